@@ -89,3 +89,81 @@ def reading_minutes(text: str) -> str:
 def reading_band(minutes: str) -> str:
     return ("CAST(CASE " + " ".join(f"WHEN {minutes} < {lim} THEN {i}" for i, lim in enumerate(READING_BAND_LIMITS))
             + f" ELSE {len(READING_BAND_LIMITS)} END AS INTEGER)")
+
+
+# ----------------------------------------------------------------------------
+# HTML, URLs, Markdown
+# ----------------------------------------------------------------------------
+
+def unescape(c: str) -> str:
+    from lisible.functions.html import ENTITIES
+    for k, v in ENTITIES:
+        c = f"replace({c}, {lit(k)}, {lit(v)})"
+    return c
+
+
+def clean_text(c: str) -> str:
+    from lisible.functions import html as H
+    c = f"regexp_replace({c}, {lit(H.TAG)}, ' ', 'g')"
+    c = unescape(c)
+    c = f"regexp_replace({c}, {lit(H.WS_RUN)}, ' ', 'g')"
+    return f"regexp_replace({c}, {lit(H.TRIM)}, '', 'g')"
+
+
+def attr_value(tag: str, attr: str) -> str:
+    from lisible.functions import html as H
+    raw = f"regexp_extract({tag}, {lit(H.attr_pattern(attr))}, 1)"
+    val = f"(CASE WHEN {raw} LIKE '\"%' OR {raw} LIKE '''%' THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END)"
+    return f"(CASE WHEN regexp_matches({tag}, {lit(H.has_attr_pattern(attr))}) THEN {unescape(val)} END)"
+
+
+def host(url: str) -> str:
+    from lisible.functions import html as H
+    return f"lower(regexp_extract({url}, {lit(H.HOST)}, 1))"
+
+
+def nullif_empty(c: str) -> str:
+    return f"nullif({c}, '')"
+
+
+def remove_dot_segments(path: str) -> str:
+    from lisible.functions import urls as U
+    tailed = f"(CASE WHEN regexp_matches({path}, {lit(U.DOT_TAIL)}) THEN {path} || '/' ELSE {path} END)"
+    segs = f"string_split({tailed}, '/')"
+    folded = (f"list_reduce(list_slice({segs}, 2, len({segs})), lambda acc, s: CASE WHEN s = '..' THEN "
+              f"regexp_replace(acc, {lit(U.LAST_SEGMENT)}, '') WHEN s = '.' THEN acc ELSE acc || '/' || s END, '')")
+    return f"(CASE WHEN {folded} = '' THEN '/' ELSE {folded} END)"
+
+
+def resolve(base: str, ref: str) -> str:
+    from lisible.functions import urls as U
+    b_scheme = f"regexp_extract({base}, {lit(U.BASE_SCHEME)}, 1)"
+    b_auth = f"regexp_extract({base}, {lit(U.BASE_AUTHORITY)}, 1)"
+    b_path = f"regexp_extract({base}, {lit(U.BASE_PATH)}, 1)"
+    b_query = f"regexp_extract({base}, {lit(U.BASE_QUERY)}, 1)"
+    prefix = f"({b_scheme} || '://' || {b_auth})"
+    r_path = f"regexp_extract({ref}, {lit(U.REF_PATH)}, 1)"
+    r_rest = f"substr({ref}, length({r_path}) + 1)"
+    base_dir = f"regexp_replace(CASE WHEN {b_path} = '' THEN '/' ELSE {b_path} END, '[^/]*$', '')"
+    merged = f"regexp_replace({base_dir} || {r_path}, {lit(U.SLASH_RUN)}, '/', 'g')"
+    return (f"(CASE WHEN {ref} IS NULL OR {base} IS NULL THEN NULL "
+            f"WHEN {ref} = '' THEN {base} "
+            f"WHEN regexp_matches({base}, {lit(U.BASE_AUTHORITY)}) AND regexp_matches({b_auth}, {lit(U.BAD_AUTHORITY)}) THEN NULL "
+            f"WHEN regexp_matches({ref}, {lit(U.SCHEME_PREFIX)}) THEN {ref} "
+            f"WHEN NOT regexp_matches({base}, {lit(U.BASE_AUTHORITY)}) THEN {ref} "
+            f"WHEN starts_with({ref}, '//') THEN {b_scheme} || ':' || {ref} "
+            f"WHEN starts_with({ref}, '/') THEN {prefix} || {remove_dot_segments(r_path)} || {r_rest} "
+            f"WHEN starts_with({ref}, '?') THEN {prefix} || {b_path} || {ref} "
+            f"WHEN starts_with({ref}, '#') THEN {prefix} || {b_path} || {b_query} || {ref} "
+            f"ELSE {prefix} || {remove_dot_segments(merged)} || {r_rest} END)")
+
+
+def relocate_images(text: str) -> str:
+    from lisible.functions import markdown as M
+    mark = "chr(57348)"
+    marked = f"regexp_replace({text}, {lit(M.BLANK_RUN)}, {mark}, 'g')"
+    marked = f"regexp_replace({marked}, '(\\n|' || {mark} || ')#+', '\\1' || {mark}, 'g')"
+    nn = "chr(10) || chr(10)"
+    one = (f"regexp_replace(p, {lit(M.IMAGE)}, '', 'g') || {nn} || "
+           f"array_to_string(regexp_extract_all(p, {lit(M.IMAGE)}), {nn})")
+    return f"array_to_string(list_transform(string_split({marked}, {mark}), lambda p: {one}), {nn})"

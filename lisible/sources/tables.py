@@ -136,3 +136,9 @@ def model_registry(spark: SparkSession, path: str) -> DataFrame:
     w = Window.partitionBy("model").orderBy(F.col("file_name").desc())
     latest = raw.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     return latest.withColumn("registry_order", F.dense_rank().over(Window.orderBy("file_name")) - 1)
+
+
+def spark_empty_image_sizes(spark: SparkSession) -> DataFrame:
+    """Crawl-time image widths ``(src, width)``; no crawl table ships with the inputs, so empty."""
+    from lisible.operators.pages import IMAGE_SIZES_SCHEMA
+    return spark.createDataFrame([], IMAGE_SIZES_SCHEMA)
