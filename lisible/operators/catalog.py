@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lisible.constants import (DESCRIPTION_LENGTH, LEVELS, TEXT_ICON, TEXT_URL,
@@ -12,21 +12,23 @@ from lisible.functions.text import clip
 from lisible.operators.scoring import DEFAULT_SCORER, Scorer, scored_documents
 
 
-def assign_dense_ids(df: DataFrame, order_by: str, id_col: str = "article_id",
+def assign_dense_ids(df: DataFrame, order_by, id_col: str = "article_id",
                      base: int | DataFrame = 0, partitions: int | None = None) -> DataFrame:
     """Dense 0-based ids in ``order_by`` order, offset by ``base``, without a global window.
 
-    Rows are range-partitioned on the (unique) ordering key and sorted inside
-    each partition; the result is checkpointed to the shared checkpoint
-    folder so positions are stable across task retries. Per-partition counts
-    (one row per partition — a size bounded by the partition count) are
-    turned into running offsets and broadcast back. ``base`` may be an int
-    or a one-row DataFrame holding the next free id (the committed maximum
-    plus one), read as a scalar subquery.
+    ``order_by`` is a column name or a list of names/Columns that together
+    are unique. Rows are range-partitioned on it and sorted inside each
+    partition; the result is checkpointed to the shared checkpoint folder so
+    positions are stable across task retries. Per-partition counts (one row
+    per partition — bounded by the partition count) become running offsets
+    that are broadcast back. ``base`` may be an int or a one-row DataFrame
+    holding the next free id (committed maximum plus one), read as a scalar
+    subquery.
     """
     spark = df.sparkSession
+    keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order_by).sortWithinPartitions(order_by)
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn(
         "_mono", F.monotonically_increasing_id())
     stable = ranged.checkpoint(eager=True)
@@ -40,6 +42,22 @@ def assign_dense_ids(df: DataFrame, order_by: str, id_col: str = "article_id",
     return out.drop("_part", "_mono", "_offset", "_first")
 
 
+def ordinal_within(df: DataFrame, group: str, order_by, name: str = "ordinal") -> DataFrame:
+    """0-based position of each row inside its group, in ``order_by`` order.
+
+    Same result as ``row_number() over (partition by group order by ...) - 1``
+    but a hot group is not sorted in one task: rows get a global dense rank
+    (range-partitioned), each group's first rank is a partial+final
+    aggregate, and it is attached with a salted join.
+    """
+    from lisible.operators.joins import salted_join
+    keys = [group] + ([order_by] if isinstance(order_by, (str, Column)) else list(order_by))
+    ranked = assign_dense_ids(df, keys, id_col="_rank")
+    first = ranked.groupBy(group).agg(F.min("_rank").alias("_first_rank"))
+    j = salted_join(ranked, first, [group], salt_from=["_rank"])
+    return j.withColumn(name, (F.col("_rank") - F.col("_first_rank")).cast("bigint")).drop("_rank", "_first_rank")
+
+
 def scorable(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("n_sentences") > 0)
 

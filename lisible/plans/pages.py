@@ -209,14 +209,7 @@ def _images_ctes() -> list[tuple[str, str]]:
 
 
 def _scored_text_ctes(source: str, key: str) -> list[tuple[str, str]]:
-    return [
-        ("ts", S.sentences_cte(source, key=key)),
-        ("ts_short", f"SELECT *, {S.token_count('sentence')} AS n_tokens FROM ts"),
-        ("ts_kept", f"SELECT * FROM ts_short WHERE n_tokens <= {SCORER_MAX_TOKENS}"),
-        *S.lix_probability_ctes("ts_kept", name="tp"),
-        ("t_means", f"SELECT {key}, count(*) AS n_sentences, " + ", ".join(f"avg({lv}) AS {lv}" for lv in LEVELS)
-                    + f" FROM tp GROUP BY {key}"),
-    ]
+    return S.scored_text_ctes(source, key, "tx") + [("t_means", "SELECT * FROM tx_means")]
 
 
 def _page_rows_ctes() -> list[tuple[str, str]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lisible.plans.documents", "lisible.plans.pages"]
+MODULES = ["lisible.plans.documents", "lisible.plans.pages", "lisible.plans.simplify"]
 
 
 def all_queries() -> dict:

@@ -167,3 +167,29 @@ def relocate_images(text: str) -> str:
     one = (f"regexp_replace(p, {lit(M.IMAGE)}, '', 'g') || {nn} || "
            f"array_to_string(regexp_extract_all(p, {lit(M.IMAGE)}), {nn})")
     return f"array_to_string(list_transform(string_split({marked}, {mark}), lambda p: {one}), {nn})"
+
+
+def scored_text_ctes(source: str, key: str, prefix: str) -> list[tuple[str, str]]:
+    """CTEs ending in ``{prefix}_means(key, n_sentences, A1..C2)`` for texts in ``source(key, text)``."""
+    from lisible.constants import SCORER_MAX_TOKENS
+    return [
+        (f"{prefix}_s", sentences_cte(source, key=key)),
+        (f"{prefix}_t", f"SELECT *, {token_count('sentence')} AS n_tokens FROM {prefix}_s"),
+        (f"{prefix}_k", f"SELECT * FROM {prefix}_t WHERE n_tokens <= {SCORER_MAX_TOKENS}"),
+        *lix_probability_ctes(f"{prefix}_k", name=f"{prefix}_p"),
+        (f"{prefix}_means", f"SELECT {key}, count(*) AS n_sentences, " + ", ".join(f"avg({lv}) AS {lv}" for lv in LEVELS)
+                            + f" FROM {prefix}_p GROUP BY {key}"),
+    ]
+
+
+def rule_rewrite(s: str) -> str:
+    from lisible.operators.simplify import CLAUSE_SPLIT, PARENS
+    first = f"regexp_split_to_array({s}, {lit(CLAUSE_SPLIT)})[1]"
+    out = f"regexp_replace({first}, {lit(PARENS)}, '', 'g')"
+    out = f"regexp_replace({out}, '[ \\t\\n\\r]+', ' ', 'g')"
+    out = f"regexp_replace({out}, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')"
+    return out
+
+
+def ids_text(list_expr: str) -> str:
+    return f"array_to_string(list_transform({list_expr}, lambda x: CAST(x AS VARCHAR)), ' ')"
