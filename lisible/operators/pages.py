@@ -161,3 +161,23 @@ def page_main_text(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "host",
                       F.array_join(F.transform("_kept", _markdown_block), "\n\n").alias("main_text"),
                       F.size("_kept").cast("bigint").alias("n_blocks"))
+
+
+def page_article_rows(pages: DataFrame, image_sizes: DataFrame | None = None, compat: bool = False) -> DataFrame:
+    """Accepted page articles before ids: clipped title/description, image, relocated text, levels.
+
+    Pages without main text or without a scorable sentence are left out
+    (they are listed by ``rejected_inputs``).
+    """
+    from lisible.constants import DESCRIPTION_LENGTH, LEVELS, TITLE_LENGTH
+    from lisible.functions.markdown import relocate_images
+    from lisible.functions.text import clip
+    from lisible.operators.scoring import scored_documents
+    fields = page_fields(pages, compat=compat)
+    image = page_image(fields, largest_image(page_images(pages), image_sizes), compat=compat)
+    main = page_main_text(pages).where(F.col("n_blocks") > 0)
+    text = main.select("page_id", relocate_images(F.col("main_text")).alias("text"))
+    scored = scored_documents(text, key="page_id").where(F.col("n_sentences") > 0)
+    rows = scored.join(fields, "page_id").join(image, "page_id")
+    return rows.select("page_id", "url", clip(F.col("title"), TITLE_LENGTH).alias("title"), "image",
+                       clip(F.col("description"), DESCRIPTION_LENGTH).alias("description"), "text", *LEVELS)

@@ -341,7 +341,9 @@ def pending_simplifications(requests: DataFrame, stored: DataFrame, default_mode
         "article_id", "resolved_model",
         F.explode(F.sequence(F.col("_count"), F.col("n").cast("bigint"))).alias("simplification_id"), "_count")
     model = F.when(F.col("simplification_id") == F.col("_count"), F.col("resolved_model")).otherwise(default_model)
-    return need.select("article_id", "simplification_id", model.alias("model"))
+    rows = need.select("article_id", "simplification_id", model.alias("model"))
+    # several requests for one article in a batch: one row per missing ordinal, smallest model name wins
+    return rows.groupBy("article_id", "simplification_id").agg(F.min("model").alias("model"))
 
 
 def versions_gain(versions: DataFrame, articles: DataFrame) -> DataFrame:
@@ -351,3 +353,24 @@ def versions_gain(versions: DataFrame, articles: DataFrame) -> DataFrame:
     j = salted_join(after, before, ["article_id"], salt_from=["simplification_id"])
     return j.select("article_id", "simplification_id", "level_before", "level_after",
                     (level_rank(F.col("level_before")) - level_rank(F.col("level_after"))).cast("bigint").alias("gain"))
+
+
+def simplify_and_rescore(todo: DataFrame, articles: DataFrame,
+                         generator: Generator = DEFAULT_GENERATOR_IMPL, scorer=None) -> DataFrame:
+    """New versions for ``todo(article_id, simplification_id, model)``, made from the original text.
+
+    Each row gets the article's title and text (salted join: one article may
+    be asked for many versions), is simplified sentence by sentence and
+    re-scored; versions without a scorable sentence are left out.
+    """
+    from lisible.operators.scoring import DEFAULT_SCORER, scored_documents
+    j = salted_join(todo, articles.select("article_id", "title", "text"), ["article_id"],
+                    salt_from=["simplification_id"])
+    k = j.select(F.struct("article_id", "simplification_id").alias("k"), "model", "title", "text")
+    simp = simplify_documents(k.select("k", "text"), key="k", generator=generator)
+    scored = scored_documents(simp.select("k", F.col("simplified").alias("text")), key="k",
+                              scorer=scorer or DEFAULT_SCORER).where(F.col("n_sentences") > 0)
+    out = k.select("k", "model", "title").join(scored, "k")
+    return out.select(F.col("k.article_id").alias("article_id"),
+                      F.col("k.simplification_id").cast("bigint").alias("simplification_id"),
+                      "model", "title", "text", *LEVELS)

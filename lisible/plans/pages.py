@@ -31,15 +31,8 @@ def page_text(spark, sf_dir) -> DataFrame:
 
 
 def page_rows(spark, sf_dir, compat: bool = False) -> DataFrame:
-    """Accepted page articles before ids: fields, image, clipped title/description, text, levels."""
-    p = pages(spark, sf_dir)
-    fields = pg.page_fields(p, compat=compat)
-    image = pg.page_image(fields, pg.largest_image(pg.page_images(p), spark_empty_image_sizes(spark)), compat=compat)
-    text = page_text(spark, sf_dir).where(F.col("n_blocks") > 0).select("page_id", "text")
-    scored = cat.scorable(scored_documents(text, key="page_id"))
-    rows = scored.join(fields, "page_id").join(image, "page_id")
-    return rows.select("page_id", "url", clip(F.col("title"), TITLE_LENGTH).alias("title"), "image",
-                       clip(F.col("description"), DESCRIPTION_LENGTH).alias("description"), "text", *LEVELS)
+    """Accepted page articles before ids."""
+    return pg.page_article_rows(pages(spark, sf_dir), spark_empty_image_sizes(spark), compat=compat)
 
 
 def submissions(spark, sf_dir) -> DataFrame:

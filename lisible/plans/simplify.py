@@ -177,15 +177,9 @@ def q_resolve_model(spark, sf_dir):
 
 
 def q_simplify_and_rescore(spark, sf_dir):
-    todo = pending(spark, sf_dir)
-    arts = D.doc_catalog(spark, sf_dir).select("article_id", "title", "text")
-    j = salted_join(todo, arts, ["article_id"], salt_from=["simplification_id"])
-    k = j.select(F.struct("article_id", "simplification_id").alias("k"), "model", "title", "text")
-    simp = sp.simplify_documents(k.select("k", "text"), key="k")
-    scored = cat.scorable(scored_documents(simp.select("k", F.col("simplified").alias("text")), key="k"))
-    out = k.select("k", "model", "title").join(scored, "k")
-    return out.select(F.col("k.article_id").alias("article_id"), F.col("k.simplification_id").alias("simplification_id"),
-                      "model", "title", F.length("text").cast("bigint").alias("n_chars"), *rounded_levels())
+    out = sp.simplify_and_rescore(pending(spark, sf_dir), D.doc_catalog(spark, sf_dir))
+    return out.select("article_id", "simplification_id", "model", "title",
+                      F.length("text").cast("bigint").alias("n_chars"), *rounded_levels())
 
 
 def q_simplification_gain(spark, sf_dir):
