@@ -22,7 +22,8 @@ ABBREVIATIONS = [
 WS = r"[ \t\n\r]"
 PROTECT = "\ue000"   # stands for a period that does not end a sentence
 MARK = "\ue001"      # sentence boundary marker
-SENT_END = r"([.!?…]+[»\"”’)\]]*)" + WS + "+"
+# end punctuation, closing marks, and French spaced closing guillemets, then blanks
+SENT_END = r"([.!?…]+[»\"”’)\]]*(?:[ \x{00A0}]+[»”])*)" + WS + "+"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r]"
 WORD = r"[\p{L}]+"
 LONG_WORD_TEMPLATE = r"[\p{L}]{%d,}"

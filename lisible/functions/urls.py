@@ -3,7 +3,8 @@
 Follows RFC 3986 section 5.2 the way Python's ``urllib.parse.urljoin``
 applies it: empty reference → base; a reference with its own scheme stays
 as is; ``//host`` takes the base scheme; ``/path`` keeps the base
-authority; ``?query`` and ``#fragment`` keep the base path (and query);
+authority; ``?query`` and ``#fragment`` keep the base path (and the base query when
+the reference has none); empty ``?``/``#`` parts are dropped;
 anything else merges with the base directory (empty inner segments
 dropped). A base without ``scheme://authority`` leaves the reference as
 is; a base with a malformed authority gives null. Dot segments are removed by folding over the path segments with
@@ -19,7 +20,9 @@ SCHEME_PREFIX = "^[A-Za-z][A-Za-z0-9+.-]*:"
 BASE_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
 BASE_AUTHORITY = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 BASE_PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
-BASE_QUERY = "^[^?#]*([?][^#]*)"
+BASE_QUERY = "^[^?#]*[?]([^#]*)"
+REF_QUERY = "^[^?#]*[?]([^#]*)"
+REF_FRAGMENT = "^[^#]*#(.*)$"
 REF_PATH = "^([^?#]*)"
 BAD_AUTHORITY = "\\[[^\\]]*$"
 DOT_TAIL = "(^|/)[.][.]?$"
@@ -39,6 +42,12 @@ def remove_dot_segments(path: Column) -> Column:
     return F.when(folded == "", F.lit("/")).otherwise(folded)
 
 
+def _tail(query: Column, fragment: Column) -> Column:
+    """``?query#fragment``, each part only when non-empty."""
+    return F.concat(F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+                    F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")))
+
+
 def resolve(base: Column, ref: Column) -> Column:
     b_scheme = F.regexp_extract(base, BASE_SCHEME, 1)
     b_auth = F.regexp_extract(base, BASE_AUTHORITY, 1)
@@ -46,7 +55,9 @@ def resolve(base: Column, ref: Column) -> Column:
     b_query = F.regexp_extract(base, BASE_QUERY, 1)
     prefix = F.concat(b_scheme, F.lit("://"), b_auth)
     r_path = F.regexp_extract(ref, REF_PATH, 1)
-    r_rest = F.substr(ref, F.length(r_path) + 1, F.length(ref))
+    r_query = F.regexp_extract(ref, REF_QUERY, 1)
+    r_frag = F.regexp_extract(ref, REF_FRAGMENT, 1)
+    r_rest = _tail(r_query, r_frag)
     base_dir = F.regexp_replace(F.when(b_path == "", F.lit("/")).otherwise(b_path), "[^/]*$", "")
     merged = F.regexp_replace(F.concat(base_dir, r_path), SLASH_RUN, "/")
     return (
@@ -57,7 +68,7 @@ def resolve(base: Column, ref: Column) -> Column:
         .when(~base.rlike(BASE_AUTHORITY), ref)
         .when(ref.startswith("//"), F.concat(b_scheme, F.lit(":"), ref))
         .when(ref.startswith("/"), F.concat(prefix, remove_dot_segments(r_path), r_rest))
-        .when(ref.startswith("?"), F.concat(prefix, b_path, ref))
-        .when(ref.startswith("#"), F.concat(prefix, b_path, b_query, ref))
+        .when(r_path == "", F.concat(prefix, b_path,
+                                     _tail(F.when(r_query != "", r_query).otherwise(b_query), r_frag)))
         .otherwise(F.concat(prefix, remove_dot_segments(merged), r_rest))
     )

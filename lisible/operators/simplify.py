@@ -132,17 +132,42 @@ def vocabulary(texts: DataFrame, text: str = "formatted_chat") -> DataFrame:
     return ranked.select("token", "n", "token_id")
 
 
+VOCAB_BROADCAST_MAX = 1_000_000   # vocabularies up to this size are broadcast for in-row lookup
+
+
 def encode_prompts(prompts: DataFrame, vocab: DataFrame, keys=("doc_id", "pos"), text: str = "formatted_chat",
-                   hot_share: float = 0.001) -> DataFrame:
+                   hot_share: float = 0.001, broadcast_max: int = VOCAB_BROADCAST_MAX) -> DataFrame:
     """``(keys, ids)``: begin id then the token ids of each prompt, in order.
 
-    Tokens are exploded with their position and joined to the vocabulary;
+    The vocabulary size is checked first (it is a checkpointed table, the
+    count is cheap). Up to ``broadcast_max`` entries it is broadcast as a
+    hash table and every prompt is encoded inside its row by an
+    Arrow-batched pandas UDF (hash lookups, no explode, no shuffle).
+    Larger vocabularies take the distributed join path below.
+    """
+    keys = list(keys)
+    if vocab.count() <= broadcast_max:
+        spark = prompts.sparkSession
+        table = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").toLocalIterator()}
+        shared = spark.sparkContext.broadcast(table)
+        bos, unk = BOS_ID, UNK_ID
+
+        @F.pandas_udf("array<bigint>")
+        def lookup(tokens):
+            ids = shared.value
+            return tokens.map(lambda ts: [bos] + [ids.get(t, unk) for t in ts])
+
+        return prompts.select(*keys, lookup(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)).alias("ids"))
+    return _encode_by_join(prompts, vocab, keys, text, hot_share)
+
+
+def _encode_by_join(prompts: DataFrame, vocab: DataFrame, keys: list, text: str, hot_share: float) -> DataFrame:
+    """Large vocabularies: tokens are exploded with their position and joined to the vocabulary;
     frequent tokens (each above ``hot_share`` of all occurrences, so at most
     ``1/hot_share`` of them: a bounded set) are salted so that the most
     common word does not land in one task. Ids are regrouped per prompt and
     ordered by position.
     """
-    keys = list(keys)
     toks = prompts.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)).alias("tpos", "token"))
     total = vocab.agg(F.sum("n")).scalar()
     hot = vocab.where(F.col("n") > total * F.lit(hot_share)).select("token", F.lit(True).alias("_hot"))

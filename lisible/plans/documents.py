@@ -12,6 +12,7 @@ from lisible.functions.levels import dominant_level, level_dim
 from lisible.operators import catalog as cat
 from lisible.operators import scoring, sentences as sn
 from lisible.plans import sql as S
+from lisible.plans.memo import memoized
 from lisible.sources.tables import documents
 
 LV = ", ".join(LEVELS)
@@ -29,6 +30,7 @@ def _scored(spark, sf_dir) -> DataFrame:
     return scoring.scored_documents(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@memoized
 def doc_catalog(spark, sf_dir) -> DataFrame:
     return cat.text_articles(documents(spark, sf_dir))
 

@@ -15,6 +15,7 @@ from lisible.operators import pages as pg
 from lisible.operators.scoring import rounded_levels, scored_documents
 from lisible.plans import documents as D
 from lisible.plans import sql as S
+from lisible.plans.memo import memoized
 from lisible.sources.tables import documents, pages, spark_empty_image_sizes
 
 NN = "chr(10) || chr(10)"
@@ -24,6 +25,7 @@ NN = "chr(10) || chr(10)"
 # building blocks
 # ----------------------------------------------------------------------------
 
+@memoized
 def page_text(spark, sf_dir) -> DataFrame:
     """``(page_id, url, host, text, n_blocks)``: main text with images moved to paragraph ends."""
     main = pg.page_main_text(pages(spark, sf_dir))

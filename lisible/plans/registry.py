@@ -8,9 +8,10 @@ MODULES = ["lisible.plans.documents", "lisible.plans.pages", "lisible.plans.simp
 
 
 def all_queries() -> dict:
+    from lisible.plans.memo import query
     out = {}
     for m in MODULES:
-        out.update(importlib.import_module(m).QUERIES)
+        out.update({k: query(v) for k, v in importlib.import_module(m).QUERIES.items()})
     return out
 
 

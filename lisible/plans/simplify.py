@@ -15,6 +15,7 @@ from lisible.operators.scoring import rounded_levels, scored_documents
 from lisible.operators.sentences import sentences
 from lisible.plans import documents as D
 from lisible.plans import sql as S
+from lisible.plans.memo import memoized
 from lisible.sources.tables import documents, read_table
 
 RESUMED_BEFORE = 3   # an earlier run finished the first three sentences of every document
@@ -28,6 +29,7 @@ def _ids_text(c) -> F.Column:
 # building blocks
 # ----------------------------------------------------------------------------
 
+@memoized
 def prompts(spark, sf_dir) -> DataFrame:
     return sp.simplification_prompts(sp.sentence_levels(sentences(documents(spark, sf_dir))))
 
@@ -37,6 +39,7 @@ def encoded(spark, sf_dir) -> DataFrame:
     return sp.encode_prompts(p, sp.vocabulary(p))
 
 
+@memoized
 def versions(spark, sf_dir) -> DataFrame:
     """Stored simplifications: 0–3 versions per article (``doc_id % 4``), made from the original text."""
     arts = D.doc_catalog(spark, sf_dir)
@@ -50,10 +53,12 @@ def versions(spark, sf_dir) -> DataFrame:
                       F.lit(DEFAULT_GENERATOR).alias("model"), "text", *LEVELS)
 
 
+@memoized
 def stored(spark, sf_dir) -> DataFrame:
     return sp.stored_ordinals(versions(spark, sf_dir))
 
 
+@memoized
 def requests(spark, sf_dir) -> DataFrame:
     """Requests per article: ordinal ``doc_id % 5 - 1`` (−1 … 3), models incl. null and unknown;
     plus a request for an article id past the catalog for every tenth document."""
@@ -75,10 +80,12 @@ def _default_model(spark) -> F.Column:
     return reg.select(F.min_by("fine_tuned_model", "registry_order")).scalar()
 
 
+@memoized
 def resolved(spark, sf_dir) -> DataFrame:
     return sp.resolve_model(requests(spark, sf_dir), sp.generator_registry(spark))
 
 
+@memoized
 def pending(spark, sf_dir) -> DataFrame:
     arts = D.doc_catalog(spark, sf_dir).select("article_id")
     ok = resolved(spark, sf_dir).where(F.col("model_status") == "ok").join(arts, "article_id", "left_semi")

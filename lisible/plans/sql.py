@@ -135,6 +135,11 @@ def remove_dot_segments(path: str) -> str:
     return f"(CASE WHEN {folded} = '' THEN '/' ELSE {folded} END)"
 
 
+def _url_tail(query: str, fragment: str) -> str:
+    return (f"(CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END || "
+            f"CASE WHEN {fragment} <> '' THEN '#' || {fragment} ELSE '' END)")
+
+
 def resolve(base: str, ref: str) -> str:
     from lisible.functions import urls as U
     b_scheme = f"regexp_extract({base}, {lit(U.BASE_SCHEME)}, 1)"
@@ -143,9 +148,12 @@ def resolve(base: str, ref: str) -> str:
     b_query = f"regexp_extract({base}, {lit(U.BASE_QUERY)}, 1)"
     prefix = f"({b_scheme} || '://' || {b_auth})"
     r_path = f"regexp_extract({ref}, {lit(U.REF_PATH)}, 1)"
-    r_rest = f"substr({ref}, length({r_path}) + 1)"
+    r_query = f"regexp_extract({ref}, {lit(U.REF_QUERY)}, 1)"
+    r_frag = f"regexp_extract({ref}, {lit(U.REF_FRAGMENT)}, 1)"
+    r_rest = _url_tail(r_query, r_frag)
     base_dir = f"regexp_replace(CASE WHEN {b_path} = '' THEN '/' ELSE {b_path} END, '[^/]*$', '')"
     merged = f"regexp_replace({base_dir} || {r_path}, {lit(U.SLASH_RUN)}, '/', 'g')"
+    q = f"(CASE WHEN {r_query} <> '' THEN {r_query} ELSE {b_query} END)"
     return (f"(CASE WHEN {ref} IS NULL OR {base} IS NULL THEN NULL "
             f"WHEN {ref} = '' THEN {base} "
             f"WHEN regexp_matches({base}, {lit(U.BASE_AUTHORITY)}) AND regexp_matches({b_auth}, {lit(U.BAD_AUTHORITY)}) THEN NULL "
@@ -153,8 +161,7 @@ def resolve(base: str, ref: str) -> str:
             f"WHEN NOT regexp_matches({base}, {lit(U.BASE_AUTHORITY)}) THEN {ref} "
             f"WHEN starts_with({ref}, '//') THEN {b_scheme} || ':' || {ref} "
             f"WHEN starts_with({ref}, '/') THEN {prefix} || {remove_dot_segments(r_path)} || {r_rest} "
-            f"WHEN starts_with({ref}, '?') THEN {prefix} || {b_path} || {ref} "
-            f"WHEN starts_with({ref}, '#') THEN {prefix} || {b_path} || {b_query} || {ref} "
+            f"WHEN {r_path} = '' THEN {prefix} || {b_path} || {_url_tail(q, r_frag)} "
             f"ELSE {prefix} || {remove_dot_segments(merged)} || {r_rest} END)")
 
 
