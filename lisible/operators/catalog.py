@@ -18,28 +18,37 @@ def assign_dense_ids(df: DataFrame, order_by, id_col: str = "article_id",
 
     ``order_by`` is a column name or a list of names/Columns that together
     are unique. Rows are range-partitioned on it and sorted inside each
-    partition; the result is checkpointed to the shared checkpoint folder so
-    positions are stable across task retries. Per-partition counts (one row
-    per partition — bounded by the partition count) become running offsets
-    that are broadcast back. ``base`` may be an int or a one-row DataFrame
-    holding the next free id (committed maximum plus one), read as a scalar
-    subquery.
+    partition; partition id and position are recorded as columns and the
+    rows are written once as a table in the shared checkpoint folder, which
+    cuts the lineage (a retried task reproduces the same positions: the
+    shuffle output and the sort on a unique key are fixed). Per-partition
+    counts — one row per partition, bounded by the partition count — become
+    running offsets, computed once and joined back as a small local table.
+    ``base`` may be an int or a one-row DataFrame holding the next free id
+    (committed maximum plus one).
     """
+    from lisible.session import scratch_path
     spark = df.sparkSession
     keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn(
+    ranked = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranked = ranked.withColumn("_part", F.spark_partition_id()).withColumn(
         "_mono", F.monotonically_increasing_id())
-    stable = ranged.checkpoint(eager=True)
-    counts = stable.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-    offsets = counts.withColumn(
-        "_offset",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base_col = base.scalar() if isinstance(base, DataFrame) else F.lit(base)
-    out = stable.join(F.broadcast(offsets.select("_part", "_offset", "_first")), "_part")
-    out = out.withColumn(id_col, (base_col + F.col("_offset") + F.col("_mono") - F.col("_first")).cast("bigint"))
-    return out.drop("_part", "_mono", "_offset", "_first")
+    path = scratch_path(spark, "dense-ids")
+    ranked.write.parquet(path)
+    stable = spark.read.parquet(path)
+    # one row per partition (bounded by the partition count): computed once, joined back as a local table
+    counts = sorted(tuple(r) for r in stable.groupBy("_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first")).collect())
+    start = int(base.first()[0] or 0) if isinstance(base, DataFrame) else int(base)
+    deltas, running = [], start
+    for part, size, first in counts:
+        deltas.append((int(part), running - int(first)))
+        running += int(size)
+    shift = spark.createDataFrame(deltas, "_part int, _delta bigint")
+    out = stable.join(F.broadcast(shift), "_part")
+    out = out.withColumn(id_col, (F.col("_mono") + F.col("_delta")).cast("bigint"))
+    return out.drop("_part", "_mono", "_delta")
 
 
 def ordinal_within(df: DataFrame, group: str, order_by, name: str = "ordinal") -> DataFrame:

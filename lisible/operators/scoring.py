@@ -117,7 +117,10 @@ def scored_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "_probs", zero, lambda acc, p: F.zip_with(acc, p, lambda a, b: a + b)))
     n = F.size("_kept")
     means = [F.when(n > 0, F.col("_sums")[i] / n) for i in range(len(LEVELS))]
-    return staged.select(*docs.columns, n.alias("n_sentences"), *[m.alias(lv) for m, lv in zip(means, LEVELS)])
+    result = F.struct(n.alias("n_sentences"), *[m.alias(lv) for m, lv in zip(means, LEVELS)])
+    # emitted through a one-row generator: a later filter on the results (e.g. n_sentences > 0)
+    # cannot be pushed below it, so the sentence work is never duplicated into a pushed predicate
+    return staged.select(*docs.columns, F.inline(F.array(result)))
 
 
 def rounded_levels() -> list[Column]:
@@ -126,3 +129,51 @@ def rounded_levels() -> list[Column]:
 
 def with_dominant_level(df: DataFrame, name: str = "level") -> DataFrame:
     return df.withColumn(name, dominant_level())
+
+
+# surface features shared by the learned scorer
+def sentence_features(df: DataFrame, sentence: str = "sentence") -> DataFrame:
+    from lisible.constants import LIX_LONG_WORD
+    from lisible.functions.text import long_word_count, word_count
+    words = word_count(F.col(sentence))
+    return df.withColumns({
+        "_f_words": words.cast("double"),
+        "_f_long": (long_word_count(F.col(sentence), LIX_LONG_WORD) / F.greatest(words, F.lit(1))).cast("double"),
+        "_f_chars": (F.length(sentence) / F.greatest(words, F.lit(1))).cast("double"),
+        "_f_tokens": token_count(F.col(sentence)).cast("double"),
+    })
+
+
+FEATURES = ["_f_words", "_f_long", "_f_chars", "_f_tokens"]
+
+
+def fit_level_model(labeled: DataFrame, sentence: str = "sentence", level: str = "level", max_iter: int = 50):
+    """Multinomial logistic regression from labelled sentences (``level`` in A1..C2) — a spark.ml pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from lisible.functions.levels import level_rank
+    data = sentence_features(labeled, sentence).withColumn("_label", level_rank(F.col(level)).cast("double"))
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_features"),
+                            LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial",
+                                               maxIter=max_iter, probabilityCol="_probability",
+                                               rawPredictionCol="_raw", predictionCol="_prediction")])
+    return pipe.fit(data)
+
+
+class LearnedScorer(Scorer):
+    """Scores with a fitted level model; class ``i`` of the model is level ``LEVELS[i]``.
+
+    Levels never seen in training get probability 0.
+    """
+
+    def __init__(self, model):
+        self.model = model
+
+    def score(self, df: DataFrame, sentence: str = "sentence") -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+        out = self.model.transform(sentence_features(df, sentence))
+        probs = vector_to_array(F.col("_probability"))
+        n = F.size(probs)
+        cols = [F.when(F.lit(i) < n, probs[i]).otherwise(F.lit(0.0)).alias(lv) for i, lv in enumerate(LEVELS)]
+        return out.select(*df.columns, *cols)

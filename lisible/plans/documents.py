@@ -166,6 +166,20 @@ def q_target_level(spark, sf_dir):
                                        "reduced_level", "offered_level")
 
 
+def q_scan_articles(spark, sf_dir):
+    """Text catalog exported as JSON lines and scanned back with the fixed schema."""
+    from lisible.session import scratch_path
+    from lisible.sources.sinks import export_json
+    from lisible.sources.tables import scan_articles
+    path = scratch_path(spark, "articles-json")
+    export_json(doc_catalog(spark, sf_dir), path)
+    back = scan_articles(spark, path)
+    return back.select("article_id", "url", "title", "image", "description",
+                       F.length("text").cast("bigint").alias("n_chars"),
+                       *[F.round(F.col(lv), 6).alias(lv) for lv in LEVELS],
+                       F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
 def q_learn_abbreviations(spark, sf_dir):
     return sn.learn_abbreviations(documents(spark, sf_dir))
 
@@ -189,6 +203,7 @@ QUERIES = {
     "catalog_audit": q_catalog_audit,
     "target_level": q_target_level,
     "learn_abbreviations": q_learn_abbreviations,
+    "scan_articles": q_scan_articles,
 }
 
 
@@ -272,4 +287,7 @@ def oracle() -> dict[str, str]:
                                     "SELECT lv.doc_id, lv.level, CAST(dim.rank AS BIGINT) AS rank, dim.reduced_level, dim.offered_level "
                                     "FROM lv JOIN dim ON lv.level = dim.level"),
         "learn_abbreviations": abbrev,
+        "scan_articles": S.with_ctes(cc, "SELECT article_id, url, title, image, description, CAST(length(text) AS BIGINT) AS n_chars, "
+                                         + ", ".join(f"round(round({lv}, 10), 6) AS {lv}" for lv in LEVELS)
+                                         + ", false AS corrupt FROM articles"),
     }
