@@ -148,7 +148,7 @@ def encode_prompts(prompts: DataFrame, vocab: DataFrame, keys=("doc_id", "pos"),
     keys = list(keys)
     if vocab.count() <= broadcast_max:
         spark = prompts.sparkSession
-        table = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").toLocalIterator()}
+        table = _vocab_dict(vocab)
         shared = spark.sparkContext.broadcast(table)
         bos, unk = BOS_ID, UNK_ID
 
@@ -161,6 +161,12 @@ def encode_prompts(prompts: DataFrame, vocab: DataFrame, keys=("doc_id", "pos"),
     return _encode_by_join(prompts, vocab, keys, text, hot_share)
 
 
+def _vocab_dict(vocab: DataFrame) -> dict:
+    """A size-checked vocabulary as a Python dict (Arrow transfer)."""
+    pdf = vocab.select("token", "token_id").toPandas()
+    return dict(zip(pdf["token"].tolist(), pdf["token_id"].astype("int64").tolist()))
+
+
 def _encode_by_join(prompts: DataFrame, vocab: DataFrame, keys: list, text: str, hot_share: float) -> DataFrame:
     """Large vocabularies: tokens are exploded with their position and joined to the vocabulary;
     frequent tokens (each above ``hot_share`` of all occurrences, so at most
@@ -399,3 +405,113 @@ def simplify_and_rescore(todo: DataFrame, articles: DataFrame,
     return out.select(F.col("k.article_id").alias("article_id"),
                       F.col("k.simplification_id").cast("bigint").alias("simplification_id"),
                       "model", "title", "text", *LEVELS)
+
+
+# ----------------------------------------------------------------------------
+# template-aware encoding: only the variable fields of a prompt are tokenized
+# ----------------------------------------------------------------------------
+
+SLOT_COLUMNS = {"level": "difficulty", "sentence": "sentence", "target": "target"}
+
+
+def rendered_template() -> str:
+    """The whole rendered prompt with ``{level}``, ``{sentence}``, ``{target}`` slots."""
+    sys_p, sys_s = CHAT_TEMPLATE["system"]
+    usr_p, usr_s = CHAT_TEMPLATE["user"]
+    return CHAT_BOS + sys_p + SYSTEM_PROMPT + sys_s + usr_p + USER_TEMPLATE + usr_s + GENERATION_PROMPT
+
+
+def template_parts(template: str) -> tuple[list[str], list[str]]:
+    """Literal pieces (one more than slots) and slot names, in order."""
+    pieces, slots, rest = [], [], template
+    while "{" in rest:
+        head, tail = rest.split("{", 1)
+        name, rest = tail.split("}", 1)
+        pieces.append(head)
+        slots.append(name)
+    pieces.append(rest)
+    return pieces, slots
+
+
+def _boundary_safe(pieces: list[str]) -> bool:
+    """Tokens never span a slot boundary when the literal sides are not letters or digits."""
+    inner = pieces[1:-1]
+    ends_ok = (not pieces[0] or not pieces[0][-1].isalnum()) and (not pieces[-1] or not pieces[-1][0].isalnum())
+    return ends_ok and all(p and not p[0].isalnum() and not p[-1].isalnum() for p in inner)
+
+
+def _constant_tokens(spark: SparkSession, pieces: list[str]) -> list[list[str]]:
+    """Tokenize the fixed literal pieces with the same JVM pattern (a handful of short strings)."""
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pieces)], "i int, p string")
+    rows = df.select("i", F.regexp_extract_all("p", F.lit(TOKEN), 0).alias("t")).collect()
+    return [list(r["t"]) for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def template_vocabulary(levels: DataFrame) -> DataFrame:
+    """Vocabulary of the rendered prompts computed from their variable fields.
+
+    Equals ``vocabulary(simplification_prompts(levels))``: literal-piece token
+    counts are added once, weighted by the number of prompts (a scalar), and
+    only slot values are exploded and counted.
+    """
+    spark = levels.sparkSession
+    pieces, slots = template_parts(rendered_template())
+    if not _boundary_safe(pieces):
+        return vocabulary(simplification_prompts(levels))
+    with_target = _with_target(levels)
+    var = with_target.select(F.explode(F.concat(*[F.regexp_extract_all(F.col(SLOT_COLUMNS[s]), F.lit(TOKEN), 0)
+                                                  for s in slots])).alias("token"))
+    var_counts = var.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    const = {}
+    for toks in _constant_tokens(spark, pieces):
+        for t in toks:
+            const[t] = const.get(t, 0) + 1
+    n_prompts = levels.select(F.lit(1).alias("_one")).agg(F.count(F.lit(1))).scalar()  # scoring pruned
+    const_df = spark.createDataFrame(sorted(const.items()), "token string, per_prompt bigint").select(
+        "token", (F.col("per_prompt") * n_prompts).alias("n"))
+    counts = var_counts.unionByName(const_df).groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
+    ranked = assign_dense_ids(counts, [F.col("n").desc(), F.col("token")], id_col="token_id", base=FIRST_VOCAB_ID)
+    return ranked.select("token", "n", "token_id")
+
+
+def _with_target(levels: DataFrame) -> DataFrame:
+    dim = F.broadcast(level_dim(levels.sparkSession).select(
+        F.col("level").alias("difficulty"), F.col("reduced_level").alias("target")))  # fixed 10 rows
+    return levels.join(dim, "difficulty", "left")
+
+
+def encode_template_prompts(levels: DataFrame, vocab: DataFrame, keys=("doc_id", "pos"),
+                            broadcast_max: int = VOCAB_BROADCAST_MAX) -> DataFrame:
+    """Token ids of every rendered prompt, splicing constant ids of the template with slot ids.
+
+    Equals ``encode_prompts(simplification_prompts(levels), vocab)`` but
+    tokenizes only the slot values (sentence, level names). Falls back to
+    the general path when the template is not boundary-safe or the
+    vocabulary exceeds the broadcast bound.
+    """
+    keys = list(keys)
+    spark = levels.sparkSession
+    pieces, slots = template_parts(rendered_template())
+    if not _boundary_safe(pieces) or vocab.count() > broadcast_max:
+        return encode_prompts(simplification_prompts(levels), vocab, keys, broadcast_max=broadcast_max)
+    table = _vocab_dict(vocab)
+    const_ids = [[table.get(t, UNK_ID) for t in toks] for toks in _constant_tokens(spark, pieces)]
+    shared = spark.sparkContext.broadcast(table)
+    bos, unk = BOS_ID, UNK_ID
+
+    @F.pandas_udf("array<bigint>")
+    def splice(*slot_tokens):
+        ids = shared.value
+        out = []
+        for row in zip(*slot_tokens):
+            seq = [bos] + const_ids[0]
+            for toks, tail in zip(row, const_ids[1:]):
+                seq.extend(ids.get(t, unk) for t in toks)
+                seq.extend(tail)
+            out.append(seq)
+        import pandas as pd
+        return pd.Series(out)
+
+    with_target = _with_target(levels)
+    args = [F.regexp_extract_all(F.col(SLOT_COLUMNS[s]), F.lit(TOKEN), 0) for s in slots]
+    return with_target.select(*keys, splice(*args).alias("ids"))

@@ -31,12 +31,19 @@ def _ids_text(c) -> F.Column:
 
 @memoized
 def prompts(spark, sf_dir) -> DataFrame:
-    return sp.simplification_prompts(sp.sentence_levels(sentences(documents(spark, sf_dir))))
+    return sp.simplification_prompts(levels(spark, sf_dir))
+
+
+@memoized
+def levels(spark, sf_dir) -> DataFrame:
+    return sp.sentence_levels(sentences(documents(spark, sf_dir)))
 
 
 def encoded(spark, sf_dir) -> DataFrame:
-    p = prompts(spark, sf_dir)
-    return sp.encode_prompts(p, sp.vocabulary(p))
+    """Prompt token ids; only the variable fields of the prompt template are tokenized."""
+    from lisible.session import materialize
+    lv = materialize(levels(spark, sf_dir).select("doc_id", "pos", "sentence", "difficulty"), "sentence-levels")
+    return sp.encode_template_prompts(lv, sp.template_vocabulary(lv))
 
 
 @memoized

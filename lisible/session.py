@@ -56,3 +56,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a table under the shared checkpoint folder and read it back.
+
+    Used when one derived table feeds several jobs of a plan: it is computed
+    once, and the lineage is cut at a durable copy (safe under executor loss).
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
