@@ -106,7 +106,7 @@ def scan_articles(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     the scan.
     """
     if fmt == "json":
-        schema = ARTICLE_SCHEMA.add(T.StructField("_corrupt_record", T.StringType(), True))
+        schema = T.StructType(ARTICLE_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
         return (spark.read.schema(schema).option("mode", "PERMISSIVE")
                 .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     return spark.read.schema(ARTICLE_SCHEMA).parquet(path)
