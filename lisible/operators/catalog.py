@@ -109,8 +109,10 @@ def level_percentages(articles: DataFrame, key: str = "article_id") -> DataFrame
 
 def article_by_id(articles: DataFrame, requests: DataFrame, route: str = "route") -> DataFrame:
     """Batch point lookups: a route string is cast to an id (else -1), first match or null."""
+    from lisible.operators.joins import salted_join
     req = requests.withColumn("article_id", F.coalesce(F.col(route).try_cast("bigint"), F.lit(-1).cast("bigint")))
-    found = req.join(articles.select("article_id", "title", "url"), "article_id", "left")
+    # every unparsable route maps to -1: a hot key by construction, hence the salt
+    found = salted_join(req, articles.select("article_id", "title", "url"), ["article_id"], "left", salt_from=[route])
     return found.select(route, "article_id", F.col("title").isNotNull().alias("found"), "title", "url")
 
 

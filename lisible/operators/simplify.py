@@ -188,19 +188,24 @@ def _encode_by_join(prompts: DataFrame, vocab: DataFrame, keys: list, text: str,
         *keys, F.coalesce(ids, F.array(F.lit(BOS_ID).cast("bigint"))).alias("ids"))
 
 
-def generation_batches(encoded: DataFrame, keys=("doc_id", "pos"), batch_size: int = GENERATION_BATCH_SIZE) -> DataFrame:
+def generation_batches(encoded: DataFrame, keys=("doc_id", "pos"), batch_size: int = GENERATION_BATCH_SIZE,
+                       pad_to: str = "batch") -> DataFrame:
     """Length-bucketed batches: prompts ordered by (length, key) are cut every ``batch_size``.
 
-    Each batch is padded on the left to its own longest prompt (not to the
-    global maximum), with the pad id; the mask marks real tokens; labels are
-    the input ids. Output limit per batch: ``max(128, 2 × padded length)``.
+    Each batch is padded on the left to its own longest prompt (``pad_to="batch"``)
+    or to the longest prompt overall (``pad_to="global"``, a scalar max), with
+    the pad id; the mask marks real tokens; labels are the input ids. Output
+    limit per batch: ``max(128, 2 × padded length)``.
     """
     keys = list(keys)
     with_len = encoded.withColumn("n_ids", F.size("ids").cast("bigint"))
     ranked = assign_dense_ids(with_len, ["n_ids", *keys], id_col="_rank")
     b = ranked.withColumn("batch_id", F.floor(F.col("_rank") / batch_size).cast("bigint"))
-    lens = b.groupBy("batch_id").agg(F.max("n_ids").alias("batch_len"))  # ≤ batch_size rows per key
-    j = b.join(lens, "batch_id")
+    if pad_to == "global":
+        j = b.withColumn("batch_len", with_len.agg(F.max("n_ids")).scalar())
+    else:
+        lens = b.groupBy("batch_id").agg(F.max("n_ids").alias("batch_len"))  # ≤ batch_size rows per key
+        j = b.join(lens, "batch_id")
     pad = (F.col("batch_len") - F.col("n_ids")).cast("int")
     input_ids = F.concat(F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad), F.col("ids"))
     mask = F.concat(F.array_repeat(F.lit(0).cast("bigint"), pad), F.array_repeat(F.lit(1).cast("bigint"), F.col("n_ids").cast("int")))
@@ -366,7 +371,8 @@ def pending_simplifications(requests: DataFrame, stored: DataFrame, default_mode
     model, later ones the default model. Negative ``n`` is rejected.
     """
     counts = stored.groupBy("article_id").agg(F.count(F.lit(1)).alias("_count"))
-    r = requests.where(F.col("n") >= 0).join(counts, "article_id", "left").withColumn(
+    r = salted_join(requests.where(F.col("n") >= 0), counts, ["article_id"], "left",
+                    salt_from=["n", "resolved_model"]).withColumn(
         "_count", F.coalesce(F.col("_count"), F.lit(0)).cast("bigint"))
     need = r.where(F.col("n") >= F.col("_count")).select(
         "article_id", "resolved_model",
@@ -515,3 +521,9 @@ def encode_template_prompts(levels: DataFrame, vocab: DataFrame, keys=("doc_id",
     with_target = _with_target(levels)
     args = [F.regexp_extract_all(F.col(SLOT_COLUMNS[s]), F.lit(TOKEN), 0) for s in slots]
     return with_target.select(*keys, splice(*args).alias("ids"))
+
+
+def compat_predictions(generated: DataFrame) -> DataFrame:
+    """Compatibility view: a failed generation shows the literal ``Error`` as its text."""
+    return generated.withColumn("prediction", F.when(F.col("status") == "error", F.lit("Error"))
+                                .otherwise(F.col("prediction")))

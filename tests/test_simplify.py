@@ -93,3 +93,14 @@ def test_render_chat_pieces(spark):
     assert pieces[(1, 0)] == "<s><|user|>\na</s>\n"
     assert pieces[(1, 1)] == "<|assistant|>\nb</s>\n<|assistant|>\n"
     assert pieces[(2, 5)] == "<s><|user|>\nc</s>\n<|assistant|>\n"
+
+
+def test_generation_batches_global_padding(spark):
+    enc = spark.createDataFrame([(1, i, list(range(1, 2 + i % 5))) for i in range(10)], "doc_id long, pos int, ids array<bigint>")
+    rows = sp.generation_batches(enc, batch_size=4, pad_to="global").collect()
+    assert {len(r["input_ids"]) for r in rows} == {5}
+
+
+def test_compat_predictions(spark):
+    g = spark.createDataFrame([("a", "ok"), ("b", "error")], "prediction string, status string")
+    assert [r["prediction"] for r in sp.compat_predictions(g).collect()] == ["a", "Error"]
