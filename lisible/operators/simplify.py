@@ -319,16 +319,24 @@ class PandasGenerator(Generator):
 DEFAULT_GENERATOR_IMPL = RuleGenerator()
 
 
+PARAGRAPH_BREAK = "\n{2,}"
+
+
 def simplify_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                       generator: Generator = DEFAULT_GENERATOR_IMPL) -> DataFrame:
+                       generator: Generator = DEFAULT_GENERATOR_IMPL, keep_paragraphs: bool = False) -> DataFrame:
     """``(key, simplified)``: every sentence rewritten, joined with single spaces in order.
 
     A native generator runs inside the row (no explode, no shuffle). Other
     generators go through the sentence table and an ordered regroup per
-    document.
+    document. ``keep_paragraphs=True`` (native generators) keeps blank-line
+    paragraph breaks instead of running all sentences together.
     """
     expr = generator.expression(F.lit("x"))
     if expr is not None:
+        if keep_paragraphs:
+            paras = F.filter(F.split(F.col(text), PARAGRAPH_BREAK), lambda p: F.regexp_replace(p, "[ \\t\\n\\r]", "") != "")
+            joined = F.transform(paras, lambda p: F.array_join(F.transform(sentence_array(p), generator.expression), " "))
+            return docs.select(key, F.array_join(joined, "\n\n").alias("simplified"))
         parts = F.transform(sentence_array(F.col(text)), generator.expression)
         return docs.select(key, F.array_join(parts, " ").alias("simplified"))
     from lisible.operators.sentences import sentences
@@ -527,3 +535,23 @@ def compat_predictions(generated: DataFrame) -> DataFrame:
     """Compatibility view: a failed generation shows the literal ``Error`` as its text."""
     return generated.withColumn("prediction", F.when(F.col("status") == "error", F.lit("Error"))
                                 .otherwise(F.col("prediction")))
+
+
+def simplify_rounds(articles: DataFrame, rounds: int, generator: Generator = DEFAULT_GENERATOR_IMPL) -> DataFrame:
+    """Versions made from the *previous* version (not the original), for a fixed number of rounds.
+
+    ``(article_id, simplification_id, text)`` with ``simplification_id`` 0 ..
+    rounds-1. Each round reads the last one from a written table in the
+    shared checkpoint folder, so lineage stays one round deep.
+    """
+    from lisible.session import materialize
+    current = articles.select("article_id", "text")
+    out = None
+    for i in range(rounds):
+        nxt = simplify_documents(current, key="article_id", generator=generator).select(
+            "article_id", F.col("simplified").alias("text"))
+        nxt = materialize(nxt, f"simplify-round-{i}")
+        version = nxt.select("article_id", F.lit(i).cast("bigint").alias("simplification_id"), "text")
+        out = version if out is None else out.unionByName(version)
+        current = nxt
+    return out

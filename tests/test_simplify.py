@@ -104,3 +104,37 @@ def test_generation_batches_global_padding(spark):
 def test_compat_predictions(spark):
     g = spark.createDataFrame([("a", "ok"), ("b", "error")], "prediction string, status string")
     assert [r["prediction"] for r in sp.compat_predictions(g).collect()] == ["a", "Error"]
+
+
+def test_keep_paragraphs(spark):
+    docs = spark.createDataFrame([(1, "Un (a). Deux ; trois.\n\nQuatre.\n\n\n")], "doc_id long, text string")
+    assert sp.simplify_documents(docs, keep_paragraphs=True).first()["simplified"] == "Un . Deux\n\nQuatre."
+    assert sp.simplify_documents(docs).first()["simplified"] == "Un . Deux Quatre."
+
+
+def test_simplify_rounds_from_previous(spark):
+    arts = spark.createDataFrame([(0, "A (b) c ; d. E : f.")], "article_id long, text string")
+    got = {r["simplification_id"]: r["text"] for r in sp.simplify_rounds(arts, 2).collect()}
+    assert got == {0: "A c E", 1: "A c E"}
+
+
+def test_pandas_model_scorer(spark):
+    import numpy as np
+    from lisible.constants import LEVELS
+    from lisible.operators.scoring import PandasModelScorer
+
+    def load():
+        return np.linspace(0.5, 3.0, 6)
+
+    def predict(weights, sentences):
+        lengths = np.array([len(s) for s in sentences], dtype=float)[:, None]
+        logits = -np.abs(lengths / 10.0 - weights[None, :])
+        e = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    df = spark.createDataFrame([(1, "Court."), (2, "Une phrase nettement plus longue que la premiere.")],
+                               "id long, sentence string")
+    rows = PandasModelScorer(load, predict).score(df).collect()
+    assert len(rows) == 2
+    for r in rows:
+        assert abs(sum(r[lv] for lv in LEVELS) - 1.0) < 1e-9
