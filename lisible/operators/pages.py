@@ -121,18 +121,31 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.withColumn("blocks", F.filter(blocks, lambda b: b["text"] != ""))
 
 
-def template_keys(blocks: DataFrame) -> DataFrame:
-    """``(host, key)`` of blocks repeated on at least half the pages of a host with ≥5 pages.
+def block_statistics(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(host, key, n_pages)`` and ``(host, host_pages)`` for a set of pages with blocks.
 
     Keys are 64-bit hashes of the block text. Each page contributes each key
-    once (``array_distinct`` in the row), the count is a partial+final hash
-    aggregate, and the per-host page count is attached with a salted join
-    because one host may own a large share of all pages.
+    once (``array_distinct`` in the row); both counts are partial+final hash
+    aggregates, so a host owning a large share of all pages never sends its
+    rows to one task. Counts are additive: statistics of several batches can
+    be unioned and summed.
     """
     keys = blocks.select("host", F.explode(F.array_distinct(
         F.transform("blocks", lambda b: F.xxhash64(b["text"])))).alias("key"))
     per_key = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n_pages"))
     per_host = blocks.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    return per_key, per_host
+
+
+def template_keys(blocks: DataFrame | None = None, per_key: DataFrame | None = None,
+                  per_host: DataFrame | None = None) -> DataFrame:
+    """``(host, key)`` of blocks repeated on at least half the pages of a host with ≥5 pages.
+
+    The per-host page count is attached to the per-key counts with a salted
+    join (one host may own a large share of all keys).
+    """
+    if per_key is None or per_host is None:
+        per_key, per_host = block_statistics(blocks)
     j = salted_join(per_key, per_host, ["host"], salt_from=["key"])
     return j.where((F.col("host_pages") >= TEMPLATE_MIN_PAGES)
                    & (F.col("n_pages") >= F.col("host_pages") * F.lit(TEMPLATE_SHARE))).select("host", "key")
@@ -143,16 +156,20 @@ def _markdown_block(b: Column) -> Column:
     return F.concat(prefix, b["text"])
 
 
-def page_main_text(pages: DataFrame) -> DataFrame:
+def page_main_text(pages: DataFrame, statistics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(page_id, url, host, main_text, n_blocks)``: blocks minus host templates and link-dense blocks.
 
     Per-host template key sets (bounded: a template covers half the host's
     pages, so a host has at most about twice a page's block count of them)
     are joined to pages on host with a salt, and filtered inside the row.
+    ``statistics`` — ``(per_key, per_host)`` counts from ``block_statistics``,
+    e.g. accumulated over earlier stream batches — replaces the statistics of
+    ``pages`` alone.
     """
     with_host = pages.withColumn("host", H.host(F.col("url")))
     blocks = page_blocks(with_host)
-    tmpl = template_keys(blocks).groupBy("host").agg(F.collect_set("key").alias("tmpl"))
+    per_key, per_host = statistics if statistics is not None else block_statistics(blocks)
+    tmpl = template_keys(per_key=per_key, per_host=per_host).groupBy("host").agg(F.collect_set("key").alias("tmpl"))
     j = salted_join(blocks.select("page_id", "url", "host", "blocks"), tmpl, ["host"], "left", salt_from=["page_id"])
     empty = F.array().cast("array<bigint>")
     kept = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce(F.col("tmpl"), empty), F.xxhash64(b["text"]))
@@ -163,7 +180,8 @@ def page_main_text(pages: DataFrame) -> DataFrame:
                       F.size("_kept").cast("bigint").alias("n_blocks"))
 
 
-def page_article_rows(pages: DataFrame, image_sizes: DataFrame | None = None, compat: bool = False) -> DataFrame:
+def page_article_rows(pages: DataFrame, image_sizes: DataFrame | None = None, compat: bool = False,
+                      statistics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Accepted page articles before ids: clipped title/description, image, relocated text, levels.
 
     Pages without main text or without a scorable sentence are left out
@@ -175,7 +193,7 @@ def page_article_rows(pages: DataFrame, image_sizes: DataFrame | None = None, co
     from lisible.operators.scoring import scored_documents
     fields = page_fields(pages, compat=compat)
     image = page_image(fields, largest_image(page_images(pages), image_sizes), compat=compat)
-    main = page_main_text(pages).where(F.col("n_blocks") > 0)
+    main = page_main_text(pages, statistics).where(F.col("n_blocks") > 0)
     text = main.select("page_id", relocate_images(F.col("main_text")).alias("text"))
     scored = scored_documents(text, key="page_id").where(F.col("n_sentences") > 0)
     rows = scored.join(fields, "page_id").join(image, "page_id")

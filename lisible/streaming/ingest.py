@@ -1,9 +1,10 @@
 """Incremental article ingestion from a stream of crawled pages.
 
 Each micro-batch: keep the first submission per URL and drop URLs already
-in the catalog, extract and score the pages, give dense ids after the
-committed maximum, and write the batch as its own partition
-(``batch=<epoch>``, dynamic overwrite). A batch replayed after a failure
+in the catalog, update the per-host block statistics (state: additive
+counts per batch), extract and score the pages with templates judged on
+all pages seen so far, give dense ids after the committed maximum, and
+write the batch as its own partition (``batch=<epoch>``, dynamic overwrite). A batch replayed after a failure
 reads only earlier batches as committed state and overwrites its own
 partition, so the result is the same as a single clean run.
 """
@@ -40,11 +41,40 @@ def _committed(spark: SparkSession, sink: str, before_batch: int) -> DataFrame:
     return scan_or_empty(spark, sink, CATALOG_SCHEMA).where(F.col("batch") < before_batch)
 
 
+BLOCK_STATS_SCHEMA = T.StructType([T.StructField("host", T.StringType()), T.StructField("key", T.LongType()),
+                                   T.StructField("n_pages", T.LongType()), T.StructField("batch", T.LongType())])
+HOST_STATS_SCHEMA = T.StructType([T.StructField("host", T.StringType()), T.StructField("host_pages", T.LongType()),
+                                  T.StructField("batch", T.LongType())])
+
+
+def _write_partition(df: DataFrame, path: str, epoch_id: int) -> None:
+    (df.withColumn("batch", F.lit(epoch_id).cast("bigint"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+
+
+def _cumulative_statistics(spark: SparkSession, fresh: DataFrame, state: str, epoch_id: int):
+    """Block statistics of this batch written as its own partition, summed with all earlier batches."""
+    from lisible.functions import html as H
+    from lisible.operators.pages import block_statistics, page_blocks
+    from lisible.sources.tables import scan_or_empty
+    blocks = page_blocks(fresh.withColumn("host", H.host(F.col("url"))))
+    per_key, per_host = block_statistics(blocks)
+    _write_partition(per_key, f"{state}/blocks", epoch_id)
+    _write_partition(per_host, f"{state}/hosts", epoch_id)
+    keys = scan_or_empty(spark, f"{state}/blocks", BLOCK_STATS_SCHEMA).where(F.col("batch") <= epoch_id)
+    hosts = scan_or_empty(spark, f"{state}/hosts", HOST_STATS_SCHEMA).where(F.col("batch") <= epoch_id)
+    return (keys.groupBy("host", "key").agg(F.sum("n_pages").alias("n_pages")),
+            hosts.groupBy("host").agg(F.sum("host_pages").alias("host_pages")))
+
+
 def ingest_batch(batch: DataFrame, epoch_id: int, sink: str, image_sizes: DataFrame | None = None) -> None:
+    """One micro-batch. Template statistics are cumulative over all batches so far
+    (state kept next to the sink as per-batch count partitions)."""
     spark = batch.sparkSession
     committed = _committed(spark, sink, epoch_id)
     fresh = new_urls(batch.select("page_id", "url", "html"), committed, order_by="page_id")
-    rows = page_article_rows(fresh, image_sizes)
+    stats = _cumulative_statistics(spark, fresh, f"{sink}_state", epoch_id)
+    rows = page_article_rows(fresh, image_sizes, statistics=stats)
     next_id = committed.agg(F.coalesce(F.max("article_id") + 1, F.lit(0).cast("bigint")))
     with_ids = assign_dense_ids(rows, "page_id", base=next_id)
     (with_ids.withColumn("batch", F.lit(epoch_id).cast("bigint"))

@@ -28,3 +28,25 @@ def test_ingest_stream_once_and_replay(spark):
     q = start_ingest(spark, src, f"{base}/catalog", f"{base}/ckpt")
     q.awaitTermination()
     assert sorted((r["article_id"], r["page_id"]) for r in read_catalog(spark, f"{base}/catalog").collect()) == first
+
+
+def test_templates_accumulate_across_batches(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    src = tempfile.mkdtemp(prefix="lisible-src-")
+
+    def write(name, ids):
+        rows = [(i, f"https://one.example/{i}",
+                 f"<body><div>Join the club today</div><p>Story number {i} is here.</p></body>") for i in ids]
+        pq.write_table(pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows],
+                                 "html": [r[2] for r in rows]}), os.path.join(src, name))
+
+    write("a.parquet", [0, 1, 2])
+    base = scratch_path(spark, "test-templates")
+    start_ingest(spark, src, f"{base}/catalog", f"{base}/ckpt").awaitTermination()
+    write("b.parquet", [3, 4, 5])
+    start_ingest(spark, src, f"{base}/catalog", f"{base}/ckpt").awaitTermination()
+    texts = {r["page_id"]: r["text"] for r in read_catalog(spark, f"{base}/catalog").collect()}
+    assert sorted(texts) == [0, 1, 2, 3, 4, 5]
+    assert all("Join the club" in texts[i] for i in (0, 1, 2))       # three pages: not yet a template
+    assert not any("Join the club" in texts[i] for i in (3, 4, 5))   # six pages seen: template removed
