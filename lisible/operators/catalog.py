@@ -30,8 +30,10 @@ def assign_dense_ids(df: DataFrame, order_by, id_col: str = "article_id",
     from lisible.session import scratch_path
     spark = df.sparkSession
     keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without an explicit count AQE may coalesce small range partitions; ids only
+    # depend on the partition ids seen by the single write job below
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranked = ranged.sortWithinPartitions(*keys)
     ranked = ranked.withColumn("_part", F.spark_partition_id()).withColumn(
         "_mono", F.monotonically_increasing_id())
     path = scratch_path(spark, "dense-ids")
