@@ -34,7 +34,6 @@ def _open(tag: str) -> str:
 
 
 NOISE = "(?is)<!--.*?-->|" + "|".join(_open(t) + ".*?</" + t + WSC + "*>" for t in NOISE_TAGS)
-SCRIPT_BODY = "(?is)(<script(?:" + WSC + "[^>]*)?>).*?</script" + WSC + "*>"
 HEADING_OPEN = "(?i)<h([1-6])(?:" + WSC + "[^>]*)?>"
 BLOCK_TAG = "(?i)</?(?:" + "|".join(BLOCK_TAGS) + ")(?:" + WSC + "[^>]*)?/?>"
 TAG = "<[^>]*>"

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lisible.constants import (DEFAULT_IMAGE, DESCRIPTION_LENGTH, LEVELS, NO_DESCRIPTION,
-                               SCORER_MAX_TOKENS, TEXT_URL, TITLE_LENGTH)
+from lisible.constants import DEFAULT_IMAGE, DESCRIPTION_LENGTH, LEVELS, NO_DESCRIPTION, TITLE_LENGTH
 from lisible.functions import html as H
 from lisible.functions.markdown import relocate_images
-from lisible.functions.text import clip
 from lisible.operators import catalog as cat
 from lisible.operators import pages as pg
 from lisible.operators.scoring import rounded_levels, scored_documents

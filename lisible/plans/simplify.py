@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lisible.constants import (DEFAULT_GENERATOR, GENERATION_BATCH_SIZE, GENERATION_MIN_LENGTH,
-                               LEVELS, SCORER_MAX_TOKENS)
-from lisible.functions.levels import dominant_level
+from lisible.constants import DEFAULT_GENERATOR, GENERATION_BATCH_SIZE, GENERATION_MIN_LENGTH, LEVELS
 from lisible.operators import catalog as cat
 from lisible.operators import simplify as sp
 from lisible.operators.joins import salted_join

@@ -50,3 +50,32 @@ def test_templates_accumulate_across_batches(spark):
     assert sorted(texts) == [0, 1, 2, 3, 4, 5]
     assert all("Join the club" in texts[i] for i in (0, 1, 2))       # three pages: not yet a template
     assert not any("Join the club" in texts[i] for i in (3, 4, 5))   # six pages seen: template removed
+
+
+def test_simplify_stream_two_batches_and_replay(spark):
+    from lisible.constants import LEVELS
+    from lisible.operators import simplify as sp
+    from lisible.streaming.simplify import VERSION_SCHEMA, start_simplify
+    schema = "article_id long, title string, text string, " + ", ".join(f"{l} double" for l in LEVELS)
+    arts = spark.createDataFrame([(0, "t0", "Un chat (noir) dort ; il ronfle. Fin.") + (1 / 6,) * 6,
+                                  (1, "t1", "Deux chiens jouent.") + (1 / 6,) * 6], schema)
+    initial = spark.createDataFrame([(0, 0)], "article_id long, simplification_id long")
+    src = tempfile.mkdtemp(prefix="lisible-req-")
+    base = scratch_path(spark, "test-simplify-stream")
+    reg = sp.generator_registry(spark)
+
+    def run():
+        start_simplify(spark, src, f"{base}/versions", f"{base}/ckpt", arts, initial, reg).awaitTermination()
+        return sorted((r["article_id"], r["simplification_id"], r["model"])
+                      for r in spark.read.schema(VERSION_SCHEMA).parquet(f"{base}/versions").collect())
+
+    spark.createDataFrame([(0, 1, None), (1, 0, "rule-rewrite-keep")], "article_id long, n long, model string") \
+        .write.mode("append").parquet(src)
+    first = run()
+    assert first == [(0, 1, "rule-rewrite:v1"), (1, 0, "rule-rewrite-keep:v1")]
+    spark.createDataFrame([(0, 2, "rule-rewrite-keep"), (1, 0, None)], "article_id long, n long, model string") \
+        .write.mode("append").parquet(src)
+    second = run()
+    # article 0 already has 0 (initial) and 1 (batch 1): only 2 is new; article 1 ordinal 0 exists
+    assert second == sorted(first + [(0, 2, "rule-rewrite-keep:v1")])
+    assert run() == second   # replay with the same checkpoint: nothing new
