@@ -66,3 +66,29 @@ def learn_abbreviations(docs: DataFrame, text: str = "text",
             .select("type", F.col("n").cast("bigint").alias("n"),
                     F.col("n_period").cast("bigint").alias("n_period"),
                     F.round("score", 6).alias("score")))
+
+
+LEARNED_ABBREVIATIONS_MAX = 2000   # alternatives in one pattern; larger sets are refused, not cut
+
+
+def learned_abbreviation_list(learned: DataFrame, base: list[str] | None = None,
+                              max_types: int = LEARNED_ABBREVIATIONS_MAX) -> list[str]:
+    """Fixed abbreviations plus learned types (regex-escaped), for ``sentences(..., abbreviations=...)``.
+
+    The learned table is counted first and only pulled when it is within
+    ``max_types``; a larger set raises instead of being silently truncated.
+    Types are matched in their lower-cased form and with a capital initial.
+    """
+    import re as _re
+    from lisible.functions.text import ABBREVIATIONS
+    n = learned.count()
+    if n > max_types:
+        raise ValueError(f"{n} learned abbreviation types exceed the bound of {max_types}")
+    types = sorted(r["type"] for r in learned.select("type").collect())
+    out = list(base if base is not None else ABBREVIATIONS)
+    for t in types:
+        for form in (t, t[:1].upper() + t[1:]):
+            esc = _re.sub(r"([.\\\\^$|?*+()\\[\\]{}])", r"\\\\\\1", form)
+            if esc not in out:
+                out.append(esc)
+    return out

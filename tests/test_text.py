@@ -65,3 +65,17 @@ def _relocate_py(text):
 def test_relocate_images_matches_python(spark, parts):
     text = "".join(parts)
     assert _one(spark, text, relocate_images) == _relocate_py(text)
+
+
+def test_learned_abbreviations_feed_the_splitter(spark):
+    import pytest
+    from lisible.operators.sentences import learn_abbreviations, learned_abbreviation_list, sentences
+    text = " ".join([f"Voir le chap. suivant et le vol. deux de la partie {w}." for w in ("un", "trois", "cinq")] * 10)
+    docs = spark.createDataFrame([(1, text), (2, "Nous lisons le ibid. Puis la suite.")], "doc_id long, text string")
+    learned = learn_abbreviations(docs)
+    abbrevs = learned_abbreviation_list(learned, base=[])
+    assert "chap" in abbrevs and "Chap" in abbrevs
+    one = spark.createDataFrame([(1, "Voir le chap. Suivant.")], "doc_id long, text string")
+    assert [r["sentence"] for r in sentences(one, abbreviations=abbrevs).collect()] == ["Voir le chap. Suivant."]
+    with pytest.raises(ValueError):
+        learned_abbreviation_list(learned, max_types=0)
