@@ -41,20 +41,24 @@ def _has_attr(attr: str):
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(page_id, tag, attr, pos, raw, absolute)`` for a[href], img[src], link[href], script[src]."""
-    clean = pages.select("page_id", "url", F.regexp_replace("html", "(?is)<!--.*?-->", " ").alias("html"))
+    """``(page_id, tag, attr, pos, raw, absolute)`` for a[href], img[src], link[href], script[src].
+
+    One pass over the HTML: the four tag lists become one array of structs,
+    exploded once.
+    """
+    html = F.regexp_replace("html", "(?is)<!--.*?-->", " ")
     parts = []
     for tag, attr in H.LINK_TAGS:
-        tags = F.filter(F.regexp_extract_all(F.col("html"), F.lit(H.tag_pattern(tag)), 0),
-                        _has_attr(attr))
-        part = clean.select("page_id", "url", F.posexplode(tags).alias("pos", "_tag"))
-        parts.append(part.select("page_id", "url", F.lit(tag).alias("tag"), F.lit(attr).alias("attr"),
-                                 F.col("pos").cast("bigint").alias("pos"),
-                                 H.attr_value(F.col("_tag"), attr).alias("raw")))
-    links = parts[0]
-    for p in parts[1:]:
-        links = links.unionByName(p)
-    return links.select("page_id", "tag", "attr", "pos", "raw", resolve(F.col("url"), F.col("raw")).alias("absolute"))
+        tags = F.filter(F.regexp_extract_all(html, F.lit(H.tag_pattern(tag)), 0), _has_attr(attr))
+        parts.append(F.transform(tags, _link_struct(tag, attr)))
+    links = pages.select("page_id", "url", F.explode(F.concat(*parts)).alias("l"))
+    return links.select("page_id", "l.tag", "l.attr", "l.pos", "l.raw",
+                        resolve(F.col("url"), F.col("l.raw")).alias("absolute"))
+
+
+def _link_struct(tag: str, attr: str):
+    return lambda t, i: F.struct(F.lit(tag).alias("tag"), F.lit(attr).alias("attr"),
+                                 i.cast("bigint").alias("pos"), H.attr_value(t, attr).alias("raw"))
 
 
 def page_images(pages: DataFrame) -> DataFrame:
@@ -93,6 +97,16 @@ def largest_image(images: DataFrame, image_sizes: DataFrame | None = None) -> Da
         F.max("width").alias("width"))
 
 
+def largest_image_src(html: Column, url: Column) -> Column:
+    """Widest ``<img>`` by declared width, inside the row (no crawled widths): first one wins ties."""
+    tags = F.regexp_extract_all(html, F.lit(H.tag_pattern("img")), 0)
+    cands = F.transform(tags, lambda t, i: F.struct(
+        declared_width(H.attr_value(t, "width")).alias("width"), (-i).alias("neg_pos"),
+        resolve(url, H.attr_value(t, "src")).alias("src")))
+    valid = F.filter(cands, lambda c: c["src"].isNotNull() & (c["width"] > 0))
+    return F.array_max(valid)["src"]
+
+
 def page_image(fields: DataFrame, largest: DataFrame, compat: bool = False) -> DataFrame:
     """og image, else the largest image, else the default icon (``compat``: null)."""
     j = fields.select("page_id", "og_image").join(largest.select("page_id", F.col("src").alias("largest")),
@@ -156,7 +170,8 @@ def _markdown_block(b: Column) -> Column:
     return F.concat(prefix, b["text"])
 
 
-def page_main_text(pages: DataFrame, statistics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def page_main_text(pages: DataFrame, statistics: tuple[DataFrame, DataFrame] | None = None,
+                   carry: list[str] | None = None) -> DataFrame:
     """``(page_id, url, host, main_text, n_blocks)``: blocks minus host templates and link-dense blocks.
 
     Per-host template key sets (bounded: a template covers half the host's
@@ -170,32 +185,51 @@ def page_main_text(pages: DataFrame, statistics: tuple[DataFrame, DataFrame] | N
     blocks = page_blocks(with_host)
     per_key, per_host = statistics if statistics is not None else block_statistics(blocks)
     tmpl = template_keys(per_key=per_key, per_host=per_host).groupBy("host").agg(F.collect_set("key").alias("tmpl"))
-    j = salted_join(blocks.select("page_id", "url", "host", "blocks"), tmpl, ["host"], "left", salt_from=["page_id"])
+    carry = list(carry or [])
+    j = salted_join(blocks.select("page_id", "url", "host", "blocks", *carry), tmpl, ["host"], "left",
+                    salt_from=["page_id"])
     empty = F.array().cast("array<bigint>")
     kept = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce(F.col("tmpl"), empty), F.xxhash64(b["text"]))
                     & ~(b["link_chars"] > F.length(b["text"]) * F.lit(LINK_DENSITY_MAX)))
     out = j.withColumn("_kept", kept)
     return out.select("page_id", "url", "host",
                       F.array_join(F.transform("_kept", _markdown_block), "\n\n").alias("main_text"),
-                      F.size("_kept").cast("bigint").alias("n_blocks"))
+                      F.size("_kept").cast("bigint").alias("n_blocks"), *carry)
 
 
 def page_article_rows(pages: DataFrame, image_sizes: DataFrame | None = None, compat: bool = False,
                       statistics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Accepted page articles before ids: clipped title/description, image, relocated text, levels.
 
-    Pages without main text or without a scorable sentence are left out
-    (they are listed by ``rejected_inputs``).
+    Fields and the widest declared image are computed inside the row and
+    ride along the single (salted) template join of the main-text step; only
+    a crawled ``image_sizes`` table needs a join of its own. Pages without
+    main text or without a scorable sentence are left out (see
+    ``rejected_inputs``).
     """
     from lisible.constants import DESCRIPTION_LENGTH, LEVELS, TITLE_LENGTH
     from lisible.functions.markdown import relocate_images
     from lisible.functions.text import clip
     from lisible.operators.scoring import scored_documents
-    fields = page_fields(pages, compat=compat)
-    image = page_image(fields, largest_image(page_images(pages), image_sizes), compat=compat)
-    main = page_main_text(pages, statistics).where(F.col("n_blocks") > 0)
-    text = main.select("page_id", relocate_images(F.col("main_text")).alias("text"))
+    fallback = F.concat(H.scheme(F.col("url")), F.lit(":")) if compat else H.host(F.col("url"))
+    enriched = pages.select(
+        "page_id", "url", "html",
+        F.coalesce(H.page_title_raw(F.col("html")), fallback).alias("title"),
+        F.coalesce(H.meta_content(F.col("html"), H.META_DESCRIPTION), F.lit(NO_DESCRIPTION)).alias("description"),
+        H.meta_content(F.col("html"), H.META_IMAGE).alias("og_image"),
+        (largest_image_src(F.col("html"), F.col("url")) if image_sizes is None
+         else F.lit(None).cast("string")).alias("_largest"),
+    )
+    carry = ["title", "description", "og_image", "_largest"]
+    main = page_main_text(enriched, statistics, carry=carry).where(F.col("n_blocks") > 0)
+    if image_sizes is not None:
+        largest = largest_image(page_images(pages), image_sizes).select("page_id", F.col("src").alias("_crawled"))
+        main = main.drop("_largest").join(largest, "page_id", "left").withColumnRenamed("_crawled", "_largest")
+    image = F.coalesce(F.col("og_image"), F.col("_largest"))
+    if not compat:
+        image = F.coalesce(image, F.lit(DEFAULT_IMAGE))
+    text = main.select("page_id", "url", "title", "description", image.alias("image"),
+                       relocate_images(F.col("main_text")).alias("text"))
     scored = scored_documents(text, key="page_id").where(F.col("n_sentences") > 0)
-    rows = scored.join(fields, "page_id").join(image, "page_id")
-    return rows.select("page_id", "url", clip(F.col("title"), TITLE_LENGTH).alias("title"), "image",
-                       clip(F.col("description"), DESCRIPTION_LENGTH).alias("description"), "text", *LEVELS)
+    return scored.select("page_id", "url", clip(F.col("title"), TITLE_LENGTH).alias("title"), "image",
+                         clip(F.col("description"), DESCRIPTION_LENGTH).alias("description"), "text", *LEVELS)

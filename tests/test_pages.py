@@ -69,3 +69,25 @@ def test_noise_elements_and_entities(spark):
             '<article><h1>Head</h1><p>One&nbsp;two &lt;b&gt;<br>three</p></article><footer>f</footer></body>')
     main = pg.page_main_text(_pages(spark, [(1, "https://h.example/", html)])).first()["main_text"]
     assert main == "# Head\n\nOne two <b>\n\nthree"
+
+
+def test_inrow_largest_image_equals_join_path(spark):
+    html = ('<img src="a.png" width="100%"><img src="b.png" width=" 42 "><img width="500">'
+            '<img src="c.png" width="42"><img src="d.png" width="0"><img src="e.png" width="-5"><img src="f.png">')
+    p = _pages(spark, [(1, "https://h.example/", html), (2, "https://h.example/z", "<p>none</p>"),
+                       (3, "https://h.example/q", '<img src="/x.png" width="7"><img src="/y.png" width="9">')])
+    joined = {r["page_id"]: r["src"] for r in pg.largest_image(pg.page_images(p), None).collect()}
+    inrow = {r["page_id"]: r["s"] for r in p.select("page_id", pg.largest_image_src(F.col("html"), F.col("url")).alias("s")).collect()
+             if r["s"] is not None}
+    assert inrow == joined == {1: "https://h.example/b.png", 3: "https://h.example/y.png"}
+
+
+def test_page_article_rows_with_crawled_widths(spark):
+    body = "<body><h1>Titre</h1><p>Une phrase simple. Une autre phrase.</p>"
+    p = _pages(spark, [(1, "https://h.example/a", body + '<img src="/w.png"></body>'),
+                       (2, "https://h.example/b", body + '<img src="/v.png" width="10"></body>')])
+    sizes = spark.createDataFrame([("https://h.example/w.png", 300)], pg.IMAGE_SIZES_SCHEMA)
+    with_sizes = {r["page_id"]: r["image"] for r in pg.page_article_rows(p, sizes).collect()}
+    without = {r["page_id"]: r["image"] for r in pg.page_article_rows(p).collect()}
+    assert with_sizes == {1: "https://h.example/w.png", 2: "https://h.example/v.png"}
+    assert without == {1: DEFAULT_IMAGE, 2: "https://h.example/v.png"}
