@@ -43,8 +43,9 @@ def submissions(spark, sf_dir) -> DataFrame:
 
 
 def known_catalog(spark, sf_dir) -> DataFrame:
-    """Catalog already holding the URLs of every third page."""
-    return pages(spark, sf_dir).where(F.col("page_id") % 3 == 0).select("url")
+    """Catalog already holding the earliest page of every host (a partial+final aggregate per host)."""
+    p = pages(spark, sf_dir).select("page_id", "url", H.host(F.col("url")).alias("host"))
+    return p.groupBy("host").agg(F.min_by("url", "page_id").alias("url")).select("url")
 
 
 # ----------------------------------------------------------------------------
@@ -232,7 +233,7 @@ def oracle() -> dict[str, str]:
     doc_scored = D.sql_scored_ctes()
     submissions = ("subs", "SELECT page_id * 2 + c AS seq, page_id, url FROM (SELECT page_id, url, "
                            "unnest(generate_series(0, page_id % 2)) AS c FROM pages) x")
-    known = ("known", "SELECT url FROM pages WHERE page_id % 3 = 0")
+    known = ("known", f"SELECT arg_min(url, page_id) AS url FROM pages GROUP BY {S.host('url')}")
     return {
         "page_links": S.with_ctes([_pg(), ("lk", " UNION ALL ".join(links)), ("lk2", f"SELECT *, {raw_cases} AS raw FROM lk")],
                                   f"SELECT page_id, tag, attr, pos, raw, {S.resolve('url', 'raw')} AS absolute FROM lk2"),

@@ -65,19 +65,16 @@ def stored(spark, sf_dir) -> DataFrame:
 
 @memoized
 def requests(spark, sf_dir) -> DataFrame:
-    """Requests per article: ordinal ``doc_id % 5 - 1`` (−1 … 3), models incl. null and unknown;
-    plus a request for an article id past the catalog for every tenth document."""
+    """One request per article: ordinal ``doc_id % 5 - 1`` (−1 … 3), models incl. null and unknown;
+    every tenth request names an article id past the end of the catalog."""
     arts = D.doc_catalog(spark, sf_dir).select("article_id", "doc_id")
     model = (F.when(F.col("doc_id") % 6 == 0, F.lit(None).cast("string"))
              .when(F.col("doc_id") % 6 == 1, F.lit("no-such-model"))
              .when(F.col("doc_id") % 6 == 2, F.lit("rule-rewrite-keep"))
              .otherwise(F.lit(DEFAULT_GENERATOR)))
-    base = arts.select("article_id", (F.col("doc_id") % 5 - 1).alias("n"), model.alias("model"))
     n_articles = arts.agg(F.count(F.lit(1))).scalar()
-    unknown = arts.where(F.col("doc_id") % 10 == 9).select(
-        (F.col("article_id") + n_articles).alias("article_id"), F.lit(0).cast("bigint").alias("n"),
-        F.lit(DEFAULT_GENERATOR).alias("model"))
-    return base.unionByName(unknown)
+    target = F.when(F.col("doc_id") % 10 == 9, F.col("article_id") + n_articles).otherwise(F.col("article_id"))
+    return arts.select(target.alias("article_id"), (F.col("doc_id") % 5 - 1).alias("n"), model.alias("model"))
 
 
 def _default_model(spark) -> F.Column:
@@ -295,9 +292,9 @@ def _requests_ctes() -> list[tuple[str, str]]:
     reg = ", ".join(f"('{m}', '{ft}', {o})" for m, ft, o in sp.GENERATORS)
     default = min(sp.GENERATORS, key=lambda g: g[2])[1]
     return [
-        ("req", "SELECT article_id, doc_id % 5 - 1 AS n, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 'no-such-model' "
-                f"WHEN doc_id % 6 = 2 THEN 'rule-rewrite-keep' ELSE '{DEFAULT_GENERATOR}' END AS model FROM articles "
-                f"UNION ALL SELECT article_id + (SELECT count(*) FROM articles), 0, '{DEFAULT_GENERATOR}' FROM articles WHERE doc_id % 10 = 9"),
+        ("req", "SELECT CASE WHEN doc_id % 10 = 9 THEN article_id + (SELECT count(*) FROM articles) ELSE article_id END AS article_id, "
+                "doc_id % 5 - 1 AS n, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 'no-such-model' "
+                f"WHEN doc_id % 6 = 2 THEN 'rule-rewrite-keep' ELSE '{DEFAULT_GENERATOR}' END AS model FROM articles"),
         ("reg", f"SELECT * FROM (VALUES {reg}) AS t(model, fine_tuned_model, registry_order)"),
         ("resolved", f"SELECT r.*, CASE WHEN r.model IS NULL THEN '{default}' ELSE g.fine_tuned_model END AS resolved_model FROM req r "
                      "LEFT JOIN reg g ON r.model = g.model"),
