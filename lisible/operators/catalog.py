@@ -17,8 +17,9 @@ def assign_dense_ids(df: DataFrame, order_by, id_col: str = "article_id",
     """Dense 0-based ids in ``order_by`` order, offset by ``base``, without a global window.
 
     ``order_by`` is a column name or a list of names/Columns that together
-    are unique. Rows are range-partitioned on it and sorted inside each
-    partition; partition id and position are recorded as columns and the
+    are unique. The input is written once (so the range sampler reads rows
+    instead of recomputing the upstream plan), then range-partitioned on the
+    key and sorted inside each partition; partition id and position are recorded as columns and the
     rows are written once as a table in the shared checkpoint folder, which
     cuts the lineage (a retried task reproduces the same positions: the
     shuffle output and the sort on a unique key are fixed). Per-partition
@@ -27,9 +28,12 @@ def assign_dense_ids(df: DataFrame, order_by, id_col: str = "article_id",
     ``base`` may be an int or a one-row DataFrame holding the next free id
     (committed maximum plus one).
     """
-    from lisible.session import scratch_path
+    from lisible.session import materialize, scratch_path
     spark = df.sparkSession
     keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
+    # range partitioning samples its input in a separate job; reading a written copy keeps that
+    # sample from re-running an expensive upstream plan (scoring, encoding)
+    df = materialize(df, "dense-ids-input")
     # without an explicit count AQE may coalesce small range partitions; ids only
     # depend on the partition ids seen by the single write job below
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
