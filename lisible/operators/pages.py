@@ -170,24 +170,24 @@ def _markdown_block(b: Column) -> Column:
     return F.concat(prefix, b["text"])
 
 
-def page_main_text(pages: DataFrame, statistics: tuple[DataFrame, DataFrame] | None = None,
-                   carry: list[str] | None = None) -> DataFrame:
+def page_main_text(pages: DataFrame, statistics=None, carry: list[str] | None = None) -> DataFrame:
     """``(page_id, url, host, main_text, n_blocks)``: blocks minus host templates and link-dense blocks.
 
     Per-host template key sets (bounded: a template covers half the host's
     pages, so a host has at most about twice a page's block count of them)
     are joined to pages on host with a salt, and filtered inside the row.
-    ``statistics`` — ``(per_key, per_host)`` counts from ``block_statistics``,
-    e.g. accumulated over earlier stream batches — replaces the statistics of
-    ``pages`` alone.
+    ``statistics`` — a function ``blocks -> (per_key, per_host)``, e.g. one
+    that adds counts accumulated over earlier stream batches — replaces the
+    statistics of ``pages`` alone. The parsed blocks feed both the statistics
+    and the join, so they are written once (the HTML is parsed once).
     """
+    from lisible.session import materialize
+    carry = list(carry or [])
     with_host = pages.withColumn("host", H.host(F.col("url")))
-    blocks = page_blocks(with_host)
-    per_key, per_host = statistics if statistics is not None else block_statistics(blocks)
+    blocks = materialize(page_blocks(with_host).select("page_id", "url", "host", "blocks", *carry), "page-blocks")
+    per_key, per_host = statistics(blocks) if statistics is not None else block_statistics(blocks)
     tmpl = template_keys(per_key=per_key, per_host=per_host).groupBy("host").agg(F.collect_set("key").alias("tmpl"))
-    carry = list(carry or [])
-    j = salted_join(blocks.select("page_id", "url", "host", "blocks", *carry), tmpl, ["host"], "left",
-                    salt_from=["page_id"])
+    j = salted_join(blocks, tmpl, ["host"], "left", salt_from=["page_id"])
     empty = F.array().cast("array<bigint>")
     kept = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce(F.col("tmpl"), empty), F.xxhash64(b["text"]))
                     & ~(b["link_chars"] > F.length(b["text"]) * F.lit(LINK_DENSITY_MAX)))
@@ -198,7 +198,7 @@ def page_main_text(pages: DataFrame, statistics: tuple[DataFrame, DataFrame] | N
 
 
 def page_article_rows(pages: DataFrame, image_sizes: DataFrame | None = None, compat: bool = False,
-                      statistics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                      statistics=None) -> DataFrame:
     """Accepted page articles before ids: clipped title/description, image, relocated text, levels.
 
     Fields and the widest declared image are computed inside the row and

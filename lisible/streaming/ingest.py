@@ -52,12 +52,10 @@ def _write_partition(df: DataFrame, path: str, epoch_id: int) -> None:
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
 
-def _cumulative_statistics(spark: SparkSession, fresh: DataFrame, state: str, epoch_id: int):
+def _cumulative_statistics(spark: SparkSession, blocks: DataFrame, state: str, epoch_id: int):
     """Block statistics of this batch written as its own partition, summed with all earlier batches."""
-    from lisible.functions import html as H
-    from lisible.operators.pages import block_statistics, page_blocks
+    from lisible.operators.pages import block_statistics
     from lisible.sources.tables import scan_or_empty
-    blocks = page_blocks(fresh.withColumn("host", H.host(F.col("url"))))
     per_key, per_host = block_statistics(blocks)
     _write_partition(per_key, f"{state}/blocks", epoch_id)
     _write_partition(per_host, f"{state}/hosts", epoch_id)
@@ -73,7 +71,7 @@ def ingest_batch(batch: DataFrame, epoch_id: int, sink: str, image_sizes: DataFr
     spark = batch.sparkSession
     committed = _committed(spark, sink, epoch_id)
     fresh = new_urls(batch.select("page_id", "url", "html"), committed, order_by="page_id")
-    stats = _cumulative_statistics(spark, fresh, f"{sink}_state", epoch_id)
+    stats = lambda blocks: _cumulative_statistics(spark, blocks, f"{sink}_state", epoch_id)
     rows = page_article_rows(fresh, image_sizes, statistics=stats)
     next_id = committed.agg(F.coalesce(F.max("article_id") + 1, F.lit(0).cast("bigint")))
     with_ids = assign_dense_ids(rows, "page_id", base=next_id)
