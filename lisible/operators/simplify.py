@@ -356,10 +356,15 @@ def generator_registry(spark: SparkSession, path: str | None = None) -> DataFram
     return spark.createDataFrame(GENERATORS, "model string, fine_tuned_model string, registry_order bigint")
 
 
+REGISTRY_BROADCAST_MAX = 100_000
+
+
 def resolve_model(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Requested base model → resolved id; none → first registry entry; unknown → ``unknown_model``."""
     default = registry.select(F.min_by("fine_tuned_model", "registry_order")).scalar()
-    reg = F.broadcast(registry.select(F.col("model").alias("_m"), F.col("fine_tuned_model").alias("_ft")))  # registry: a handful of rows
+    reg = registry.select(F.col("model").alias("_m"), F.col("fine_tuned_model").alias("_ft"))
+    if registry.count() <= REGISTRY_BROADCAST_MAX:   # checked size: one row per model file
+        reg = F.broadcast(reg)
     j = requests.join(reg, requests["model"] == reg["_m"], "left")
     resolved = F.when(F.col("model").isNull(), default).otherwise(F.col("_ft"))
     status = F.when(resolved.isNull(), F.lit("unknown_model")).otherwise(F.lit("ok"))
