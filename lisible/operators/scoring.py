@@ -106,9 +106,9 @@ def scored_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if scorer.arrays(F.array()) is None:
         from lisible.operators.sentences import sentences, short_sentences
         table = short_sentences(sentences(docs.select(key, text), key=key, text=text), max_tokens)
-        means = doc_difficulty(scorer.score(table), key=key)
-        counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("n_sentences"))
-        return docs.join(means.join(counts, key), key, "left").fillna({"n_sentences": 0})
+        stats = scorer.score(table).groupBy(key).agg(
+            F.count(F.lit(1)).alias("n_sentences"), *[F.avg(lv).alias(lv) for lv in LEVELS])
+        return docs.join(stats, key, "left").fillna({"n_sentences": 0})
 
     staged = docs.withColumn("_kept", kept)
     staged = staged.withColumn("_probs", scorer.arrays(F.col("_kept")))

@@ -61,3 +61,23 @@ def test_learned_scorer_ranks_easy_below_hard(spark):
     assert ranks[0] < ranks[1]
     for r in scored.collect():
         assert abs(sum(r[lv] for lv in LEVELS) - 1.0) < 1e-9
+
+
+def test_model_scorer_path_matches_native_means(spark):
+    """A scorer without in-row expressions goes through the sentence table; same means as the native path."""
+    from lisible.operators.scoring import LixScorer, Scorer, scored_documents
+
+    class TableOnly(Scorer):          # same numbers as the native scorer, but no in-row form
+        def score(self, df, sentence="sentence"):
+            return LixScorer().score(df, sentence)
+
+    docs = spark.createDataFrame([(1, "Le chat dort. Il pleut beaucoup aujourd'hui."), (2, ""), (3, "Oui.")],
+                                 "doc_id long, text string")
+    native = {r["doc_id"]: r for r in scored_documents(docs).collect()}
+    table = {r["doc_id"]: r for r in scored_documents(docs, scorer=TableOnly()).collect()}
+    assert native.keys() == table.keys()
+    for k in native:
+        assert native[k]["n_sentences"] == table[k]["n_sentences"]
+        for lv in LEVELS:
+            a, b = native[k][lv], table[k][lv]
+            assert (a is None and b is None) or abs(a - b) < 1e-12
