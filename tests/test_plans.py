@@ -40,3 +40,15 @@ def test_salted_join_spreads_a_hot_key(spark):
     j = salted_join(big, small, ["k"], salt_from=["id"], buckets=8)
     per_salt = (big.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(8))).groupBy("_s").count().collect())
     assert len(per_salt) == 8 and j.count() == 10000
+
+
+def test_first_per_url_is_limited_before_the_shuffle(spark):
+    import __spark_entry__ as E
+    plan = _plan(E.queries()["new_urls"](spark, SF))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_template_join_is_salted(spark):
+    from lisible.operators.pages import page_main_text
+    plan = _plan(page_main_text(read_table(spark, SF, "pages").select("page_id", "url", "html")))
+    assert "_salt" in plan   # the join key carries the salt next to the host
