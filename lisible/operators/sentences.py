@@ -47,9 +47,9 @@ def learn_abbreviations(docs: DataFrame, text: str = "text",
         F.count(F.lit(1)).alias("n"),
         F.sum("with_period").alias("n_period"),
     )
-    # corpus period rate as a scalar subquery (evaluated once, no join)
-    p0 = per_type.select(F.sum("n_period") / F.sum("n")).scalar()
-    cand = per_type.where("n_period > 0")
+    # corpus period rate as a scalar subquery, bound to a column once so it is planned once (no join)
+    cand = per_type.where("n_period > 0").withColumn("_p0", per_type.select(F.sum("n_period") / F.sum("n")).scalar())
+    p0 = F.col("_p0")
     k, n = F.col("n_period"), F.col("n")
 
     def loglik(p):
