@@ -130,8 +130,9 @@ def q_simplified_text(spark, sf_dir):
 
 
 def _finished(spark, sf_dir) -> DataFrame:
-    p = prompts(spark, sf_dir).where(F.col("pos") < RESUMED_BEFORE)
-    return sp.DEFAULT_GENERATOR_IMPL.generate(p).select("doc_id", "pos", "prediction")
+    """Predictions stored by an interrupted earlier run (the rule generator needs only the sentence)."""
+    s = sentences(documents(spark, sf_dir)).where(F.col("pos") < RESUMED_BEFORE)
+    return sp.DEFAULT_GENERATOR_IMPL.generate(s).select("doc_id", "pos", "prediction")
 
 
 def q_generation_resume(spark, sf_dir):
