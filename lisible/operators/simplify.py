@@ -359,9 +359,16 @@ def generator_registry(spark: SparkSession, path: str | None = None) -> DataFram
 REGISTRY_BROADCAST_MAX = 100_000
 
 
-def resolve_model(requests: DataFrame, registry: DataFrame) -> DataFrame:
+def default_model(registry: DataFrame | None = None) -> Column:
+    """Resolved id of the first registry entry: a constant for the built-in registry, else a scalar subquery."""
+    if registry is None:
+        return F.lit(min(GENERATORS, key=lambda g: g[2])[1])
+    return registry.select(F.min_by("fine_tuned_model", "registry_order")).scalar()
+
+
+def resolve_model(requests: DataFrame, registry: DataFrame, default: Column | None = None) -> DataFrame:
     """Requested base model → resolved id; none → first registry entry; unknown → ``unknown_model``."""
-    default = registry.select(F.min_by("fine_tuned_model", "registry_order")).scalar()
+    default = default if default is not None else default_model(registry)
     reg = registry.select(F.col("model").alias("_m"), F.col("fine_tuned_model").alias("_ft"))
     if registry.count() <= REGISTRY_BROADCAST_MAX:   # checked size: one row per model file
         reg = F.broadcast(reg)

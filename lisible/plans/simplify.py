@@ -78,13 +78,12 @@ def requests(spark, sf_dir) -> DataFrame:
 
 
 def _default_model(spark) -> F.Column:
-    reg = sp.generator_registry(spark)
-    return reg.select(F.min_by("fine_tuned_model", "registry_order")).scalar()
+    return sp.default_model()   # built-in registry: a constant
 
 
 @memoized
 def resolved(spark, sf_dir) -> DataFrame:
-    return sp.resolve_model(requests(spark, sf_dir), sp.generator_registry(spark))
+    return sp.resolve_model(requests(spark, sf_dir), sp.generator_registry(spark), default=sp.default_model())
 
 
 @memoized
