@@ -38,9 +38,9 @@ def simplify_batch(batch: DataFrame, epoch_id: int, sink: str, articles: DataFra
     earlier = scan_or_empty(spark, sink, VERSION_SCHEMA).where(F.col("batch") < epoch_id)
     stored = initial.select("article_id", "simplification_id").unionByName(
         earlier.select("article_id", "simplification_id"))
-    resolved = sp.resolve_model(batch, registry).where(F.col("model_status") == "ok").join(
+    default = sp.default_model(registry)
+    resolved = sp.resolve_model(batch, registry, default=default).where(F.col("model_status") == "ok").join(
         articles.select("article_id"), "article_id", "left_semi")
-    default = registry.select(F.min_by("fine_tuned_model", "registry_order")).scalar()
     todo = sp.pending_simplifications(resolved, stored, default)
     rows = sp.simplify_and_rescore(todo, articles)
     (rows.withColumn("batch", F.lit(epoch_id).cast("bigint"))
