@@ -135,6 +135,7 @@ def model_registry(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy("model").orderBy(F.col("file_name").desc())
     latest = raw.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    # one row per model file: a handful of rows, so an unpartitioned window is fine here
     return latest.withColumn("registry_order", F.dense_rank().over(Window.orderBy("file_name")) - 1)
 
 
