@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lisible.llm import chat_format
+from lisible.llm import chat_format, quality_rules
 
 QUERIES = {
     "op3_chat_formatting": chat_format.op3_chat_formatting,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLES = {
     "op3_chat_formatting": chat_format.ORACLE,
+    "op9_quality_rules": quality_rules.ORACLE,
 }
