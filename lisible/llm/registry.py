@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lisible.llm import chat_format, quality_rules
+from lisible.llm import chat_format, pii, quality_rules
 
 QUERIES = {
     "op3_chat_formatting": chat_format.op3_chat_formatting,
+    "op6_pii": pii.op6_pii,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 

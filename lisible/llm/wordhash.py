@@ -23,6 +23,9 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _is_space = np.zeros(256, dtype=bool)
 _is_space[[0x20, *range(0x09, 0x0E)]] = True
+#: Also splits at ASCII control characters and punctuation; then a word is letters, digits and non-ASCII characters.
+PLAIN_SPACE = np.zeros(256, dtype=bool)
+PLAIN_SPACE[:128] = [not chr(c).isalnum() for c in range(128)]
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -59,7 +62,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES, space: np.ndarray = _is_space) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, words' hashes, word count of each row) over a string column."""
     offsets, data = buffers(column)
     row, n = 0, len(offsets) - 1
@@ -67,18 +70,18 @@ def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chunk_bytes, "right")) - 1)
         end = min(end, n)
         part = data[offsets[row]:offsets[end]]
-        hashes, counts = words(part, offsets[row:end + 1] - offsets[row])
+        hashes, counts = words(part, offsets[row:end + 1] - offsets[row], space)
         yield row, end, hashes, counts
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _is_space) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of adjacent texts, and how many each text has."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     _tables(n + 1)
-    space = _is_space[data]
+    space = space[data]
     first = np.zeros(n + 1, dtype=bool)  # a text begins here
     first[offsets] = True
     begins = ~space
@@ -132,3 +135,42 @@ def distinct(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     keep = np.ones(len(v), dtype=bool)
     keep[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
     return v[keep], np.bincount(t[keep], minlength=len(counts)).astype(np.int64)
+
+
+class Counter:
+    """Counts of 64-bit keys over a partition, handed on in sorted blocks of bounded size.
+
+    ``add`` takes keys and one or more rows of weights; once more than ``limit``
+    keys are held they are summed, and if they are still too many, given out.
+    """
+
+    def __init__(self, width: int, limit: int = 3_000_000):
+        self.width, self.limit = width, limit
+        self.keys: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.weights.append(weights)
+        self.held += len(keys)
+
+    def full(self) -> bool:
+        if self.held < self.limit:
+            return False
+        keys, weights = self.summed()
+        self.keys, self.weights, self.held = [keys], [weights], len(keys)
+        return self.held > self.limit // 2
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.zeros(0, np.uint64), np.zeros((0, self.width), np.int64)
+        keys, where = np.unique(np.concatenate(self.keys), return_inverse=True)
+        weights = np.concatenate(self.weights)
+        out = np.stack([np.bincount(where, weights[:, j], len(keys)).astype(np.int64) for j in range(self.width)], axis=1)
+        return keys, out
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.summed()
+        self.keys, self.weights, self.held = [], [], 0
+        return out
