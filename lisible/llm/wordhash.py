@@ -129,12 +129,19 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
 
 def distinct(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each text, and how many each text has."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((values, text))
-    v, t = values[order], text[order]
+    text = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    bits = np.uint64(max(1, int(len(counts)).bit_length()))
+    # the text's number in front of the value's upper bits: one sort; equal keys are sorted out below
+    key = (text << (np.uint64(64) - bits)) | (values >> bits)
+    order = np.argsort(key, kind="stable")
+    v, t, key = values[order], text[order], key[order]
+    tied = (key[1:] == key[:-1]) & (v[1:] != v[:-1])
+    if tied.any():
+        order = np.lexsort((v, t))
+        v, t = v[order], t[order]
     keep = np.ones(len(v), dtype=bool)
     keep[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
-    return v[keep], np.bincount(t[keep], minlength=len(counts)).astype(np.int64)
+    return v[keep], np.bincount(t[keep].astype(np.int64), minlength=len(counts)).astype(np.int64)
 
 
 class Counter:
