@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lisible.llm import chat_format, language_id, near_dup, pieces, pii, quality_rules
+from lisible.llm import chat_format, decontaminate, language_id, near_dup, pieces, pii, quality_rules
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_chat_formatting": chat_format.op3_chat_formatting,
     "op4_near_dup": near_dup.op4_near_dup,
     "op6_pii": pii.op6_pii,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
