@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lisible.llm import chat_format, decontaminate, language_id, near_dup, pieces, pii, quality_rules
+from lisible.llm import chat_format, decontaminate, language_id, near_dup, pieces, pii, quality_rules, sharding
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
     "op2_language_id": language_id.op2_language_id,
     "op3_chat_formatting": chat_format.op3_chat_formatting,
     "op4_near_dup": near_dup.op4_near_dup,
