@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lisible.llm import chat_format, decontaminate, language_id, near_dup, pieces, pii, quality_rules, sharding
+from lisible.llm import chat_format, decontaminate, language_id, near_dup, pieces, pii, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_language_id": language_id.op2_language_id,
     "op3_chat_formatting": chat_format.op3_chat_formatting,
     "op4_near_dup": near_dup.op4_near_dup,
+    "op5_url_filters": url_filter.op5_url_filters,
     "op6_pii": pii.op6_pii,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sentencepiece": pieces.op8_sentencepiece,
