@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lisible.llm import chat_format, decontaminate, language_id, near_dup, pieces, pii, quality_rules, sharding, url_filter
+from lisible.llm import chat_format, decontaminate, language_id, lm_score, near_dup, pieces, pii, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_lm_scoring": lm_score.op10_lm_scoring,
 }
 
 ORACLES = {
