@@ -14,10 +14,11 @@ Equal sets are one class before anything is compared. In a bucket of at most
 ``SMALL`` classes, all of its pairs are verified. In larger ones every class is
 verified against one pivot, the class that sits in the largest buckets
 altogether (the text that the others are copies of), which is linear in the
-bucket; classes that are not linked to the pivot go on to the next round with
-a pivot of their own, until no bucket holds two unlinked classes. Links are
-confirmed on the full sets: texts travel to their pivot, a pivot's members are
-salted over tasks, and a task holds one pivot's set at a time.
+bucket. Members that this leaves unlinked are compared with all of their
+bucket, block by block inside tasks, which give out links only. So every pair
+that shares a bucket is either verified or known to be linked through others.
+Links are confirmed on the full sets: texts travel to their pivot, a pivot's
+members are salted over tasks, and a task holds one pivot's set at a time.
 
 Inputs and their results: a text with fewer words than a shingle has its whole
 sequence as one; null texts, empty texts and texts without words have the empty
@@ -44,9 +45,11 @@ SIZE = BANDS * ROWS
 #: Similarity in percent from which documents are linked.
 PERCENT = 80
 #: Buckets of at most this many classes verify all their pairs.
-SMALL = 8
+SMALL = 32
 #: Members of one pivot that one task verifies in a row.
 MEMBERS = 500
+#: Strays and members of a large bucket that are compared in one piece, and shared shingles taken at a time there.
+STRAY_BLOCK, MEMBER_BLOCK, COLUMNS = 128, 512, 4096
 #: Texts sketched together, in bytes; rounds of the sketch run over all of them at once.
 SKETCH_BYTES = 1_500_000
 #: Ids of classes without any doc_id lie below this.
@@ -126,18 +129,16 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
         .mapInArrow(run, "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>")
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of the pairs (cid, pivot, size) whose full sets are similar enough.
 
-    ``size`` bounds how many members a pivot has through one bucket; members
+    ``texts`` holds (cid, c1, c2, text) of the classes. ``size`` bounds how many members a pivot has through one bucket; members
     are salted by it, and the pivot's text goes along to each salt in use.
     """
     salt = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / F.lit(MEMBERS)).cast("bigint"))
     members = pairs.select("cid", F.col("pivot"), salt.alias("salt"), F.lit(1).alias("role"))
     pivots = members.select(F.col("pivot").alias("cid"), "pivot", "salt", F.lit(0).alias("role")).distinct()
-    sent = members.unionByName(pivots).join(classes.select("cid", "c1", "c2"), "cid")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("cid"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(sent, "cid").select("pivot", "salt", "role", "cid", "c1", "c2", "text") \
+    rows = texts.join(members.unionByName(pivots), "cid").select("pivot", "salt", "role", "cid", "c1", "c2", "text") \
         .repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
 
     def run(batches):
@@ -173,46 +174,105 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, pe
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def verify_blocks(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) for the strays of every bucket against all its members, on full sets; at most one link per stray and component.
+
+    ``members`` holds (sig, cid, own, stray), own the component so far. Strays
+    and members are dealt into blocks; every pair of blocks is one piece of
+    work, whose size is bounded, so a large bucket is many pieces.
+    """
+    count = members.groupBy("sig").agg(F.sum(F.col("stray").cast("int")).alias("strays"), F.count(F.lit(1)).alias("size")).where("strays > 0")
+    dealt = members.join(count, "sig").select(
+        "sig", "cid", "own", "stray", F.ceil(F.col("strays") / F.lit(STRAY_BLOCK)).cast("bigint").alias("n_s"),
+        F.ceil(F.col("size") / F.lit(MEMBER_BLOCK)).cast("bigint").alias("n_m"))
+    number = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    strays = dealt.where("stray").select("sig", "cid", "own", number("n_s", 1).alias("s"), every("n_m").alias("m"), F.lit(0).alias("role"))
+    others = dealt.select("sig", "cid", "own", every("n_s").alias("s"), number("n_m", 2).alias("m"), F.lit(1).alias("role"))
+    rows = texts.join(strays.unionByName(others), "cid").select("sig", "s", "m", "role", "cid", "own", "c1", "c2", "text") \
+        .repartition("sig", "s", "m").sortWithinPartitions("sig", "s", "m", "role")
+
+    def compare(block):
+        """Links of one piece of work: (role, cid, own, set) of its rows."""
+        left, right = [r for r in block if r[0] == 0], [r for r in block if r[0] == 1]
+        if not left or not right:
+            return []
+        sizes = [np.array([len(r[3]) for r in side]) for side in (left, right)]
+        rows_of = [np.repeat(np.arange(len(side)), n) for side, n in zip((left, right), sizes)]
+        values = [np.concatenate([r[3] for r in side]) for side in (left, right)]
+        shared = np.intersect1d(np.unique(values[0]), np.unique(values[1]))
+        at = [np.searchsorted(shared, v) for v in values]
+        hit = [(a < len(shared)) & (shared[np.minimum(a, len(shared) - 1)] == v) if len(shared) else np.zeros(len(v), bool) for a, v in zip(at, values)]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, len(shared), COLUMNS):  # shared shingles, some at a time
+            held = []
+            for side in (0, 1):
+                keep = hit[side] & (at[side] >= start) & (at[side] < start + COLUMNS)
+                part = np.zeros((len(sizes[side]), min(COLUMNS, len(shared) - start)), np.float32)
+                part[rows_of[side][keep], at[side][keep] - start] = 1
+                held.append(part)
+            both += held[0] @ held[1].T
+        both = both.astype(np.int64)
+        near = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+        told = {}
+        for i, j in zip(*np.nonzero(near)):
+            if left[i][2] != right[j][2]:
+                told.setdefault((left[i][1], right[j][2]), right[j][1])
+        return [(cid, other) for (cid, _), other in told.items()]
+
+    def run(batches):
+        block, at = [], None
+        links = []
+        for batch in batches:
+            key = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            role, cid, own, c1, c2 = (batch.column(i).to_pylist() for i in range(3, 8))
+            for start, stop, hashes, words in chunks(batch.column(8)):
+                values, counts = distinct(*shingles(hashes, words, width))
+                k1, k2 = (k.view(np.int64) for k in set_keys(values, counts))
+                ends = np.cumsum(counts)
+                for i in range(start, stop):
+                    j = i - start
+                    if k1[j] != c1[i] or k2[j] != c2[i]:
+                        continue  # another text under the same doc_id
+                    if key[i] != at:
+                        links += compare(block)
+                        block, at = [], key[i]
+                    block.append((role[i], cid[i], own[i], values[ends[j] - counts[j]:ends[j]].copy()))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+                links = []
+        links += compare(block)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, width: int = 4, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the classes that have a link; ``classes`` is a stored table (cid, c1, c2, bands)."""
     entries = classes.select(F.explode("bands").alias("sig"), "cid")
-    buckets = stored(entries.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+    buckets = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(entries.join(buckets, "sig"), "near-shared")
     weight = shared.groupBy("cid").agg(F.sum("size").alias("weight"))
-    open_ = shared.where(F.col("size") > SMALL).join(weight, "cid")
-    few = shared.where(F.col("size") <= SMALL)
-    other = few.select("sig", F.col("cid").alias("pivot"))
-    pairs = few.join(other, "sig").where("cid > pivot").groupBy("cid", "pivot").agg(F.max("size").alias("size"))
-    links, tested, nodes = None, None, None
-    while True:
-        pivots = open_.groupBy("sig").agg(F.max(F.struct(F.col("weight"), (-F.col("cid")).alias("least"))).alias("p")) \
-            .select("sig", (-F.col("p.least")).alias("pivot"))
-        open_ = stored(open_.join(pivots, "sig"), "near-open")
-        star = open_.where("cid <> pivot").groupBy("cid", "pivot").agg(F.max("size").alias("size"))
-        star = star.select("cid", "pivot", "size")
-        todo = star if pairs is None else pairs.unionByName(star).groupBy("cid", "pivot").agg(F.max("size").alias("size"))
-        if tested is not None:
-            todo = todo.join(tested, ["cid", "pivot"], "left_anti")
-        todo = stored(todo, "near-pairs")
-        pairs = None
-        if todo.isEmpty():
-            if open_.isEmpty():
-                return nodes if nodes is not None else components(classes.limit(0).select(F.col("cid").alias("a"), F.col("cid").alias("b")))
-            found = None
-        else:
-            tested = todo.select("cid", "pivot") if tested is None else tested.unionByName(todo.select("cid", "pivot"))
-            found = verify(docs, classes, todo, width, percent)
-        if found is not None:
-            links = found if links is None else links.unionByName(found)
-            links = stored(links, "near-links")
-            nodes = components(links)
-            nodes = stored(nodes, "near-nodes")
-        # members linked with their bucket's pivot, directly or through others, are done there
-        own = nodes.select(F.col("node").alias("cid"), F.col("component").alias("own"))
-        its = nodes.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
-        rest = open_.join(own, "cid", "left").join(its, "pivot", "left").where(
-            (F.col("cid") != F.col("pivot")) & ~(F.col("own").eqNullSafe(F.col("its")) & F.col("own").isNotNull()))
-        open_ = rest.select("sig", "cid", "size", "weight")
+    open_ = shared.select("sig", "cid").join(weight, "cid")
+    # texts of the classes that share a bucket leave the documents once, for all rounds
+    wanted = classes.select("cid", "c1", "c2").join(shared.select("cid").distinct(), "cid", "left_semi")
+    texts = stored(docs.select(F.col("doc_id").cast("bigint").alias("cid"), F.col("text").cast("string").alias("text"))
+                   .join(wanted, "cid"), "near-texts")
+    found = open_.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", (-F.col("cid")).alias("least"))).alias("p"))
+    open_ = stored(open_.join(found.select("sig", "size", (-F.col("p.least")).alias("pivot")), "sig"), "near-open")
+    small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
+    every = small.select("sig", "cid", "size").join(small.select("sig", F.col("cid").alias("pivot")), "sig").where("cid > pivot")
+    pairs = every.select("cid", "pivot", "size").unionByName(large.where("cid <> pivot").select("cid", "pivot", "size")) \
+        .groupBy("cid", "pivot").agg(F.max("size").alias("size"))
+    links = stored(verify(texts, stored(pairs, "near-pairs"), width, percent), "near-links")
+    nodes = stored(components(links), "near-nodes")
+    # what a large bucket's pivot does not link, directly or through others, meets all of the bucket
+    own = nodes.select(F.col("node").alias("cid"), F.col("component").alias("own"))
+    its = nodes.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
+    large = large.join(own, "cid", "left").join(its, "pivot", "left").select(
+        "sig", "cid", F.coalesce("own", "cid").alias("own"), (F.coalesce("own", "cid") != F.coalesce("its", "pivot")).alias("stray"))
+    more = verify_blocks(texts, stored(large, "near-large"), width, percent)
+    return components(more.unionByName(nodes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:

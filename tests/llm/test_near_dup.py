@@ -77,7 +77,7 @@ def test_large_group_of_near_copies(spark):
     rng = random.Random(2)
     base = [f"b{i}" for i in range(60)]
     rows = [(0, " ".join(base))]
-    for i in range(1, 400):
+    for i in range(1, 300):
         own = list(base)
         own[rng.randrange(60)] = f"n{i}"
         rows.append((i, " ".join(own)))
@@ -102,3 +102,21 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[i] == 1000 for i in [*range(1000, 1300), 2000])
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_strays_of_a_large_bucket(spark, monkeypatch):
+    """Copies that lie too far from the pivot, and a chain of them, with buckets cut into several blocks."""
+    monkeypatch.setattr(nd, "SMALL", 2)
+    monkeypatch.setattr(nd, "STRAY_BLOCK", 3)
+    monkeypatch.setattr(nd, "MEMBER_BLOCK", 4)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(i % 5):
+            own[rng.randrange(80)] = f"n{i}x{rng.randrange(1000)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = nd.near_duplicates(docs, width=4).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
