@@ -25,7 +25,6 @@ from itertools import chain
 
 #: Mark that stands for a blank.
 MARK = "▁"
-_SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -79,7 +78,7 @@ class Machine:
     model_type: int
     add_mark: bool = True
     #: Compositions kept between inputs (segments, in two generations, and piece pairs), so memory is bounded.
-    cache_size: int = 250_000
+    cache_size: int = 400_000
     ids: dict[str, int] = field(init=False)
     surface: list[bytes] = field(init=False)
 
@@ -94,12 +93,35 @@ class Machine:
                         else text.replace(MARK, " ").encode() for i, (text, _, kind) in enumerate(self.pieces)]
         # prefixes of pieces: the prefix tree, as a set
         self.prefixes = {text[:k] for text in self.ids for k in range(1, len(text) + 1)}
-        # no piece holds a mark after another character: every path has a state at such a place
-        self.cuts_at_marks = not any(MARK in text.lstrip(MARK) for text in self.ids)
+        self._segment = self._cuts()
+        if self.model_type == MERGES:  # pieces that merging never gives have no arc
+            self.arc_pieces = {text for text in self.ids if self.merged(text) == [text]}
+        else:
+            self.arc_pieces = set(self.ids)
         self.penalty = min(self.scores, default=0.0) - 10.0
         self._segments: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[str, dict[str, bool]] = {}
+        self._n_pairs = 0
+
+    def _cuts(self) -> re.Pattern | None:
+        """Pattern of the segments: places between characters that no piece holds side by side, read off the pieces.
+
+        Cuts are made before a mark that follows another character, and before
+        ASCII punctuation that follows a character which no piece has in front
+        of it. Every path through the lattice has a state there.
+        """
+        before: dict[str, set[str]] = {}
+        for text in self.ids:
+            for a, b in zip(text, text[1:]):
+                before.setdefault(b, set()).add(a)
+        if before.get(MARK, set()) - {MARK}:
+            return None
+        marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+        joined = {a for p in marks for a in before.get(p, ()) if a not in marks and a != MARK}
+        inner = "".join(map(re.escape, marks))
+        held = f"(?:(?<=[{''.join(map(re.escape, sorted(joined)))}])[{inner}]+[^{MARK}{inner}]*)*" if joined else ""
+        return re.compile(f"{MARK}*(?:[{inner}]+[^{MARK}{inner}]*|[^{MARK}{inner}]+){held}|{MARK}+")
 
     # normaliser
 
@@ -109,10 +131,10 @@ class Machine:
         return (MARK if self.add_mark else "") + text.replace(" ", MARK)
 
     def segments(self, normal: str) -> list[str]:
-        """The input cut where every path through the lattice must pass: before a mark that follows another character."""
-        if not self.cuts_at_marks:
+        """The input cut where every path through the lattice must pass."""
+        if self._segment is None:
             return [normal] if normal else []
-        return _SEGMENT.findall(normal)
+        return self._segment.findall(normal)
 
     # byte fallback
 
@@ -140,20 +162,27 @@ class Machine:
         return parts
 
     def allowed(self, left: str, right: str) -> bool:
-        """Whether the arc from a state that remembers ``left`` over ``right`` has finite weight ("" remembers none)."""
-        key = (left, right)
-        known = self._pairs.get(key)
+        """Whether the arc over ``right`` from a state that remembers ``left`` has finite weight.
+
+        A character outside the pieces never merges, so it stands between any neighbours.
+        """
+        known = self._pairs.get(left)
         if known is None:
-            if len(self._pairs) >= self.cache_size:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
+            known = self._pairs[left] = {}
+        fits = known.get(right)
+        if fits is None:
+            fits = left not in self.ids or right not in self.ids or self.merged(left + right) == [left, right]
+            self._n_pairs += 1
+            if self._n_pairs > self.cache_size:
+                self._pairs, self._n_pairs = {}, 0
+            known[right] = fits
+        return fits
 
     def arcs(self, text: str, at: int) -> list[str]:
         """Pieces that begin at a place of the text, longest first; a character without any piece stands for itself."""
         found, stop = [], at + 1
         while stop <= len(text) and text[at:stop] in self.prefixes:
-            if text[at:stop] in self.ids:
+            if text[at:stop] in self.arc_pieces:
                 found.append(text[at:stop])
             stop += 1
         if text[at] not in self.ids:
@@ -183,7 +212,7 @@ class Machine:
             last = path[-1] if path else ""
             for piece in stack[-1]:
                 state = (at + len(piece), piece)
-                if state in dead or not (self.allowed("", piece) and (not last or self._fits(last, piece))):
+                if state in dead or last and not self.allowed(last, piece):
                     continue
                 path.append(piece)
                 at += len(piece)
@@ -197,12 +226,6 @@ class Machine:
                 stack.pop()
         return path
 
-    def _fits(self, left: str, right: str) -> bool:
-        # a character outside the pieces never merges, so it stands between any neighbours
-        if left not in self.ids or right not in self.ids:
-            return True
-        return self.allowed(left, right)
-
     def _unigram_path(self, text: str) -> list[str]:
         """Dijkstra's search over places, weights shifted by the best score so that none is negative."""
         n = len(text)
