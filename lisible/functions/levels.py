@@ -48,14 +48,17 @@ def with_level_probabilities(df: DataFrame, sentence: str = "sentence") -> DataF
 def probability_arrays(sentences: Column) -> Column:
     """array<string> -> array<array<double>>: six probabilities per sentence.
 
-    Staged higher-order functions: counts, index, logits, exponentials,
-    normalisation, each evaluated once per element.
+    Staged higher-order functions: counts (both patterns run once per
+    sentence), index, logits with their maximum, exponentials with their sum,
+    quotients; every stage hands its values on in a struct.
     """
-    idx = F.transform(sentences, lambda s: lix_from_counts(word_count(s), long_word_count(s, LIX_LONG_WORD)))
-    lg = F.transform(idx, lambda x: F.array(*logits(x)))
-    ex = F.transform(lg, lambda a: F.transform(a, lambda v: F.exp(v - F.array_max(a))))
-    return F.transform(ex, lambda e: F.transform(
-        e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)))
+    counts = F.transform(sentences, lambda s: F.struct(
+        word_count(s).alias("w"), long_word_count(s, LIX_LONG_WORD).alias("l")))
+    lg = F.transform(F.transform(counts, lambda c: lix_from_counts(c["w"], c["l"])), lambda x: F.array(*logits(x)))
+    ex = F.transform(F.transform(lg, lambda a: F.struct(a.alias("a"), F.array_max(a).alias("top"))),
+                     lambda t: F.transform(t["a"], lambda v: F.exp(v - t["top"])))
+    sums = F.transform(ex, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y).alias("sum")))
+    return F.transform(sums, lambda t: F.transform(t["e"], lambda v: v / t["sum"]))
 
 
 def dominant_level(cols: list[Column] | None = None) -> Column:

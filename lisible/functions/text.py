@@ -20,8 +20,12 @@ ABBREVIATIONS = [
 ]
 
 WS = r"[ \t\n\r]"
-PROTECT = "\ue000"   # stands for a period that does not end a sentence
-MARK = "\ue001"      # sentence boundary marker
+# marks are an escape character and a second one; the escape character itself is escaped in the text first,
+# so texts that hold these private-use characters come back unchanged
+ESCAPE = "\ue000"
+ESCAPED = ESCAPE + "\ue001"   # the escape character as text
+PROTECT = ESCAPE + "\ue002"   # a period that does not end a sentence
+MARK = ESCAPE + "\ue003"      # sentence boundary
 # end punctuation, closing marks, and French spaced closing guillemets, then blanks
 SENT_END = r"([.!?…]+[»\"”’)\]]*(?:[ \x{00A0}]+[»”])*)" + WS + "+"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r]"
@@ -53,10 +57,12 @@ def sentence_array(text: Column, abbreviations: list[str] | None = None) -> Colu
     protected, a boundary is marked after end punctuation (with closing
     quotes) followed by blanks, then the text is split at the marks.
     """
-    protected = F.regexp_replace(text, protect_pattern(abbreviations), "$1$2" + PROTECT)
+    escaped = F.replace(text, F.lit(ESCAPE), F.lit(ESCAPED))
+    protected = F.regexp_replace(escaped, protect_pattern(abbreviations), "$1$2" + PROTECT)
     marked = F.regexp_replace(protected, SENT_END, "$1" + MARK)
     parts = F.split(marked, MARK)
-    cleaned = F.transform(parts, lambda s: strip_ws(F.regexp_replace(s, PROTECT, ".")))
+    cleaned = F.transform(parts, lambda s: F.replace(
+        strip_ws(F.replace(s, F.lit(PROTECT), F.lit("."))), F.lit(ESCAPED), F.lit(ESCAPE)))
     return F.filter(cleaned, lambda s: s != "")
 
 

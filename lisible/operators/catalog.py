@@ -73,6 +73,13 @@ def ordinal_within(df: DataFrame, group: str, order_by, name: str = "ordinal") -
     return j.withColumn(name, (F.col("_rank") - F.col("_first_rank")).cast("bigint")).drop("_rank", "_first_rank")
 
 
+def scorable_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Documents that ``scorable`` would keep, told without scoring: one sentence within the scorer's length is enough."""
+    from lisible.constants import SCORER_MAX_TOKENS
+    from lisible.functions.text import sentence_array, token_count
+    return docs.where(F.exists(sentence_array(F.col(text)), lambda s: token_count(s) <= F.lit(SCORER_MAX_TOKENS)))
+
+
 def scorable(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("n_sentences") > 0)
 
@@ -116,9 +123,12 @@ def level_percentages(articles: DataFrame, key: str = "article_id") -> DataFrame
 def article_by_id(articles: DataFrame, requests: DataFrame, route: str = "route") -> DataFrame:
     """Batch point lookups: a route string is cast to an id (else -1), first match or null."""
     from lisible.operators.joins import salted_join
-    req = requests.withColumn("article_id", F.coalesce(F.col(route).try_cast("bigint"), F.lit(-1).cast("bigint")))
-    # every unparsable route maps to -1: a hot key by construction, hence the salt
+    # equal routes are counted first and come back after the join, so a route that many ask for is one row;
+    # every unparsable route maps to -1, a key that stays hot and is salted by the route
+    req = requests.groupBy(route).agg(F.count(F.lit(1)).alias("_times")) \
+        .withColumn("article_id", F.coalesce(F.col(route).try_cast("bigint"), F.lit(-1).cast("bigint")))
     found = salted_join(req, articles.select("article_id", "title", "url"), ["article_id"], "left", salt_from=[route])
+    found = found.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
     return found.select(route, "article_id", F.col("title").isNotNull().alias("found"), "title", "url")
 
 

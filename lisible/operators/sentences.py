@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lisible.constants import SCORER_MAX_TOKENS
 from lisible.functions.text import sentence_array, token_count
+from lisible.operators.joins import salted_join
 
 # tokens for abbreviation learning: a word, internal periods allowed, optional final period
 ABBREV_TOKEN = r"[\p{L}]+(?:[.][\p{L}]+)*[.]?"
@@ -43,10 +44,12 @@ def learn_abbreviations(docs: DataFrame, text: str = "text",
         F.lower(F.regexp_replace("tok", r"[.]$", "")).alias("type"),
         F.col("tok").endswith(".").cast("int").alias("with_period"),
     )
-    per_type = toks.groupBy("type").agg(
+    from lisible.session import materialize
+    # one narrow table per type, written once: the rate and the candidates both read it
+    per_type = materialize(toks.groupBy("type").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("with_period").alias("n_period"),
-    )
+    ), "abbreviation-types")
     # corpus period rate as a scalar subquery, bound to a column once so it is planned once (no join)
     cand = per_type.where("n_period > 0").withColumn("_p0", per_type.select(F.sum("n_period") / F.sum("n")).scalar())
     p0 = F.col("_p0")
@@ -68,27 +71,25 @@ def learn_abbreviations(docs: DataFrame, text: str = "text",
                     F.round("score", 6).alias("score")))
 
 
-LEARNED_ABBREVIATIONS_MAX = 2000   # alternatives in one pattern; larger sets are refused, not cut
+# the word (with internal periods) that stands before the final period of a sentence, if it ends in just one
+LAST_WORD = r"(?:^|[^\p{L}.])([\p{L}]+(?:[.][\p{L}]+)*)[.]$"
 
 
-def learned_abbreviation_list(learned: DataFrame, base: list[str] | None = None,
-                              max_types: int = LEARNED_ABBREVIATIONS_MAX) -> list[str]:
-    """Fixed abbreviations plus learned types (regex-escaped), for ``sentences(..., abbreviations=...)``.
+def sentences_with_learned(docs: DataFrame, learned: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, pos, sentence)`` where a period after a learned abbreviation type ends no sentence.
 
-    The learned table is counted first and only pulled when it is within
-    ``max_types``; a larger set raises instead of being silently truncated.
-    Types are matched in their lower-cased form and with a capital initial.
+    Documents are split with the fixed abbreviations first; a sentence whose
+    last word is a learned type (any number of them: a join on the word, hot
+    words salted) is joined with the one after it, with a blank between.
     """
-    import re as _re
-    from lisible.functions.text import ABBREVIATIONS
-    n = learned.count()
-    if n > max_types:
-        raise ValueError(f"{n} learned abbreviation types exceed the bound of {max_types}")
-    types = sorted(r["type"] for r in learned.select("type").collect())
-    out = list(base if base is not None else ABBREVIATIONS)
-    for t in types:
-        for form in (t, t[:1].upper() + t[1:]):
-            esc = _re.sub(r"([.\\\\^$|?*+()\\[\\]{}])", r"\\\\\\1", form)
-            if esc not in out:
-                out.append(esc)
-    return out
+    base = sentences(docs, key=key, text=text).withColumn("type", F.nullif(
+        F.lower(F.regexp_extract("sentence", LAST_WORD, 1)), F.lit("")))
+    types = learned.select("type").distinct().withColumn("_open", F.lit(True))
+    j = salted_join(base, types, ["type"], "left", salt_from=[key, "pos"])
+    order = Window.partitionBy(key).orderBy("pos")
+    starts = (~F.coalesce(F.lag("_open").over(order), F.lit(False))).cast("int")
+    grouped = j.withColumn("_starts", starts).withColumn(
+        "_pos", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    out = grouped.groupBy(key, F.col("_pos").cast("int").alias("pos")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), "sentence"))).alias("_s"))
+    return out.select(key, "pos", F.array_join(F.transform("_s", lambda x: x["sentence"]), " ").alias("sentence"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,60 +132,46 @@ def vocabulary(texts: DataFrame, text: str = "formatted_chat") -> DataFrame:
     return ranked.select("token", "n", "token_id")
 
 
-VOCAB_BROADCAST_MAX = 1_000_000   # vocabularies up to this size are broadcast for in-row lookup
+#: A token is frequent when it makes up more than one in FREQUENT_SHARE of all tokens; no more than that many can be.
+FREQUENT_SHARE = 2000
 
 
-def encode_prompts(prompts: DataFrame, vocab: DataFrame, keys=("doc_id", "pos"), text: str = "formatted_chat",
-                   hot_share: float = 0.001, broadcast_max: int = VOCAB_BROADCAST_MAX) -> DataFrame:
-    """``(keys, ids)``: begin id then the token ids of each prompt, in order.
-
-    The vocabulary size is checked first (it is a checkpointed table, the
-    count is cheap). Up to ``broadcast_max`` entries it is broadcast as a
-    hash table and every prompt is encoded inside its row by an
-    Arrow-batched pandas UDF (hash lookups, no explode, no shuffle).
-    Larger vocabularies take the distributed join path below.
-    """
-    keys = list(keys)
-    if vocab.count() <= broadcast_max:
-        spark = prompts.sparkSession
-        table = _vocab_dict(vocab)
-        shared = spark.sparkContext.broadcast(table)
-        bos, unk = BOS_ID, UNK_ID
-
-        @F.pandas_udf("array<bigint>")
-        def lookup(tokens):
-            ids = shared.value
-            return tokens.map(lambda ts: [bos] + [ids.get(t, unk) for t in ts])
-
-        return prompts.select(*keys, lookup(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)).alias("ids"))
-    return _encode_by_join(prompts, vocab, keys, text, hot_share)
-
+def encode_prompts(prompts: DataFrame, vocab: DataFrame, keys=("doc_id", "pos"), text: str = "formatted_chat") -> DataFrame:
+    """``(keys, ids)``: begin id then the token ids of each prompt, in order."""
+    toks = prompts.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)).alias("tpos", "token"))
+    ided = token_ids(toks, vocab).select(*keys, F.struct(F.lit(0).alias("slot"), "tpos", "token_id").alias("t"))
+    return _in_order(prompts.select(*keys), ided, list(keys), [[]], 0)
 
-def _vocab_dict(vocab: DataFrame) -> dict:
-    """A size-checked vocabulary as a Python dict (Arrow transfer)."""
-    pdf = vocab.select("token", "token_id").toPandas()
-    return dict(zip(pdf["token"].tolist(), pdf["token_id"].astype("int64").tolist()))
 
+def token_ids(toks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Tokens with ``token_id``, whatever the vocabulary's size.
 
-def _encode_by_join(prompts: DataFrame, vocab: DataFrame, keys: list, text: str, hot_share: float) -> DataFrame:
-    """Large vocabularies: tokens are exploded with their position and joined to the vocabulary;
-    frequent tokens (each above ``hot_share`` of all occurrences, so at most
-    ``1/hot_share`` of them: a bounded set) are salted so that the most
-    common word does not land in one task. Ids are regrouped per prompt and
-    ordered by position.
+    Frequent tokens (a bounded set, see FREQUENT_SHARE) are answered by a
+    broadcast where they stand; only the others meet the vocabulary in a
+    shuffle, so the most common word never lands in one task.
     """
-    toks = prompts.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)).alias("tpos", "token"))
     total = vocab.agg(F.sum("n")).scalar()
-    hot = vocab.where(F.col("n") > total * F.lit(hot_share)).select("token", F.lit(True).alias("_hot"))
-    flagged = toks.join(F.broadcast(hot), "token", "left")  # ≤ 1/hot_share rows
-    flagged = flagged.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*keys, "tpos"), F.lit(32))).otherwise(F.lit(0)))
-    v = vocab.join(F.broadcast(hot), "token", "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(31))).otherwise(F.array(F.lit(0)))))
-    ided = flagged.join(v.select("token", "_salt", "token_id"), ["token", "_salt"], "left")
-    grouped = ided.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tpos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))).alias("_ids"))
-    ids = F.concat(F.array(F.lit(BOS_ID).cast("bigint")), F.transform("_ids", lambda x: x["id"].cast("bigint")))
-    return prompts.select(*keys).join(grouped, keys, "left").select(
-        *keys, F.coalesce(ids, F.array(F.lit(BOS_ID).cast("bigint"))).alias("ids"))
+    frequent = F.col("n") * F.lit(FREQUENT_SHARE) > total
+    near = toks.join(F.broadcast(vocab.where(frequent).select("token", "token_id")), "token", "left")
+    rest = near.where("token_id is null").drop("token_id").join(vocab.where(~frequent).select("token", "token_id"), "token", "left")
+    return near.where("token_id is not null").unionByName(rest).withColumn(
+        "token_id", F.coalesce("token_id", F.lit(UNK_ID)).cast("bigint"))
+
+
+def _in_order(prompts: DataFrame, ided: DataFrame, keys: list, constants: list[list[int]], n_slots: int) -> DataFrame:
+    """Begin id, then constant ids and the ids of slots 0 .. in turn; ``ided`` holds (keys, t struct<slot, tpos, token_id>)."""
+    grouped = ided.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("_ids"))
+    whole = prompts.join(grouped, keys, "left").withColumn(
+        "_ids", F.coalesce("_ids", F.array().cast("array<struct<slot:int,tpos:int,token_id:bigint>>")))
+    fixed = lambda ids: F.array(*[F.lit(i).cast("bigint") for i in ids]) if ids else F.array().cast("array<bigint>")
+    of_slot = lambda k: F.transform(F.filter("_ids", lambda x: x["slot"] == k), lambda x: x["token_id"])
+    if not n_slots:
+        parts = [fixed([BOS_ID]), F.transform("_ids", lambda x: x["token_id"])]
+    else:
+        parts = [fixed([BOS_ID, *constants[0]])]
+        for k in range(n_slots):
+            parts += [of_slot(k), fixed(constants[k + 1])]
+    return whole.select(*keys, F.concat(*parts).alias("ids"))
 
 
 def generation_batches(encoded: DataFrame, keys=("doc_id", "pos"), batch_size: int = GENERATION_BATCH_SIZE,
@@ -233,8 +219,11 @@ class Generator:
 def rule_rewrite(sentence: Column) -> Column:
     """Stand-in rewrite: first clause (before ``;`` or `` : ``), parentheses dropped, blanks collapsed."""
     first = F.split(sentence, CLAUSE_SPLIT)[0]
-    no_parens = F.regexp_replace(first, PARENS, "")
-    collapsed = F.regexp_replace(no_parens, "[ \\t\\n\\r]+", " ")
+    return _tidy(F.regexp_replace(first, PARENS, ""))
+
+
+def _tidy(text: Column) -> Column:
+    collapsed = F.regexp_replace(text, "[ \\t\\n\\r]+", " ")
     return F.regexp_replace(collapsed, "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "")
 
 
@@ -255,28 +244,44 @@ class RuleGenerator(Generator):
             F.when(ok, F.lit(None).cast("string")).otherwise(F.lit("empty output")).alias("error"))
 
 
+class KeepGenerator(Generator):
+    """Deterministic rewrite that keeps every clause: parentheses dropped, blanks collapsed."""
+
+    name = "rule-rewrite-keep"
+
+    def expression(self, sentence: Column) -> Column:
+        out = _tidy(F.regexp_replace(sentence, PARENS, ""))
+        return F.when(out == "", sentence).otherwise(out)
+
+    def generate(self, prompts: DataFrame) -> DataFrame:
+        return prompts.drop(*OUTPUT_COLUMNS).select(
+            "*", self.expression(F.col("sentence")).alias("prediction"), F.lit("ok").alias("status"),
+            F.lit(None).cast("string").alias("error"))
+
+
 class FileExchangeGenerator(Generator):
     """A model service outside Spark: requests out as JSON lines, responses joined back.
 
-    ``write_requests`` writes ``(doc_id, pos, model, messages, max_tokens)``;
-    the service writes ``(doc_id, pos, prediction)`` (or ``error``) files;
-    ``generate`` joins them on the key — never on row order. Missing
-    responses come back with ``status='pending'``.
+    ``write_requests`` writes ``(keys, model, messages, max_tokens)``; the
+    service writes ``(keys, prediction)`` (or ``error``) files; ``generate``
+    joins them on the keys, never on row order. Missing responses come
+    back with ``status='pending'``.
     """
 
-    def __init__(self, requests_path: str, responses_path: str, model: str = DEFAULT_GENERATOR):
-        self.requests_path, self.responses_path, self.model = requests_path, responses_path, model
+    def __init__(self, requests_path: str, responses_path: str, model: str = DEFAULT_GENERATOR,
+                 keys: tuple[str, ...] = ("doc_id", "pos")):
+        self.requests_path, self.responses_path, self.model, self.keys = requests_path, responses_path, model, list(keys)
 
     def write_requests(self, prompts: DataFrame) -> None:
-        (prompts.select("doc_id", "pos", F.lit(self.model).alias("model"), F.col("chat").alias("messages"),
+        (prompts.select(*self.keys, F.lit(self.model).alias("model"), F.col("chat").alias("messages"),
                         (2 * F.length("formatted_chat")).alias("max_tokens"))
          .write.mode("overwrite").json(self.requests_path))
 
     def generate(self, prompts: DataFrame) -> DataFrame:
-        schema = "doc_id bigint, pos int, prediction string, error string"
-        resp = prompts.sparkSession.read.schema(schema).json(self.responses_path)
         prompts = prompts.drop(*OUTPUT_COLUMNS)
-        j = prompts.join(resp, ["doc_id", "pos"], "left")
+        schema = T.StructType([prompts.schema[k] for k in self.keys]).add("prediction", "string").add("error", "string")
+        resp = prompts.sparkSession.read.schema(schema).json(self.responses_path)
+        j = prompts.join(resp, self.keys, "left")
         status = (F.when(F.col("error").isNotNull(), F.lit("error"))
                   .when(F.col("prediction").isNull(), F.lit("pending")).otherwise(F.lit("ok")))
         return j.select(*prompts.columns, F.coalesce(F.trim("prediction"), F.col("sentence")).alias("prediction"),
@@ -286,8 +291,10 @@ class FileExchangeGenerator(Generator):
 class PandasGenerator(Generator):
     """A model opened once per Python worker; prompts travel in Arrow batches.
 
-    ``generate_batch(model, list[str]) -> list[str]``; an exception on a
-    batch marks its rows ``error`` and keeps their original sentence.
+    ``generate_batch(model, list[str]) -> list[str]``. When a batch fails its
+    rows are tried one by one, so only the rows at fault are marked ``error``
+    (with the whole message) and keep their original sentence. All columns of
+    the prompts come back, whatever the keys are called.
     """
 
     def __init__(self, load: Callable[[], object], generate_batch: Callable[[object, list], list]):
@@ -295,36 +302,54 @@ class PandasGenerator(Generator):
 
     def generate(self, prompts: DataFrame) -> DataFrame:
         load, gen = self._load, self._gen
-        base = prompts.select("doc_id", "pos", "sentence", "formatted_chat")
-        schema = T.StructType(base.schema.fields + [T.StructField("prediction", T.StringType()),
-                                                    T.StructField("status", T.StringType()),
-                                                    T.StructField("error", T.StringType())])
+        base = prompts.drop(*OUTPUT_COLUMNS)
+        carried = [c for c in base.columns if c not in ("sentence", "formatted_chat")]
+        rows = base.select(F.struct(*carried).alias("_row"), "sentence", "formatted_chat")
+        schema = T.StructType(rows.schema.fields + [T.StructField(c, T.StringType()) for c in OUTPUT_COLUMNS])
+
+        def one_by_one(model, chats, sentences):
+            for chat, sentence in zip(chats, sentences):
+                try:
+                    yield str(gen(model, [chat])[0]).strip(), "ok", None
+                except Exception as e:  # noqa: BLE001 - a failed row must not stop the job
+                    yield sentence, "error", str(e)
 
         def run(batches: Iterator):
+            import pyarrow as pa
             model = None
-            for pdf in batches:
+            for batch in batches:
                 if model is None:
                     model = load()
+                sentences, chats = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 try:
-                    out = [str(x).strip() for x in gen(model, pdf["formatted_chat"].tolist())]
-                    pdf["prediction"], pdf["status"], pdf["error"] = out, "ok", None
-                except Exception as e:  # noqa: BLE001 - a failed batch must not stop the job
-                    pdf["prediction"], pdf["status"], pdf["error"] = pdf["sentence"], "error", str(e)[:200]
-                yield pdf
+                    out = [(str(x).strip(), "ok", None) for x in gen(model, chats)]
+                    if len(out) != len(chats):
+                        raise ValueError(f"{len(out)} outputs for {len(chats)} prompts")
+                except Exception:  # noqa: BLE001
+                    out = list(one_by_one(model, chats, sentences))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *(pa.array([o[i] for o in out], pa.string()) for i in range(3))], names=schema.names)
 
-        out = base.mapInPandas(run, schema)
-        return prompts.drop(*OUTPUT_COLUMNS).join(out.select("doc_id", "pos", "prediction", "status", "error"), ["doc_id", "pos"])
+        done = rows.mapInArrow(run, schema)
+        return done.select(*[F.col(f"_row.{c}") if c in carried else F.col(c) for c in base.columns], *OUTPUT_COLUMNS)
 
 
 DEFAULT_GENERATOR_IMPL = RuleGenerator()
 
+#: Resolved model id → what runs it. A registry entry without one here is an unknown model.
+IMPLEMENTATIONS: dict[str, Generator] = {
+    DEFAULT_GENERATOR + ":v1": DEFAULT_GENERATOR_IMPL,
+    "rule-rewrite-keep:v1": KeepGenerator(),
+}
+
 
 PARAGRAPH_BREAK = "\n{2,}"
 
 
 def simplify_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                       generator: Generator = DEFAULT_GENERATOR_IMPL, keep_paragraphs: bool = False) -> DataFrame:
-    """``(key, simplified)``: every sentence rewritten, joined with single spaces in order.
+                       generator: Generator = DEFAULT_GENERATOR_IMPL, keep_paragraphs: bool = False,
+                       carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, carry..., simplified)``: every sentence rewritten, joined with single spaces in order.
 
     A native generator runs inside the row (no explode, no shuffle). Other
     generators go through the sentence table and an ordered regroup per
@@ -336,16 +361,16 @@ def simplify_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if keep_paragraphs:
             paras = F.filter(F.split(F.col(text), PARAGRAPH_BREAK), lambda p: F.regexp_replace(p, "[ \\t\\n\\r]", "") != "")
             joined = F.transform(paras, lambda p: F.array_join(F.transform(sentence_array(p), generator.expression), " "))
-            return docs.select(key, F.array_join(joined, "\n\n").alias("simplified"))
+            return docs.select(key, *carry, F.array_join(joined, "\n\n").alias("simplified"))
         parts = F.transform(sentence_array(F.col(text)), generator.expression)
-        return docs.select(key, F.array_join(parts, " ").alias("simplified"))
+        return docs.select(key, *carry, F.array_join(parts, " ").alias("simplified"))
     from lisible.operators.sentences import sentences
     sents = sentences(docs.select(key, text), key=key, text=text)
     prompts = simplification_prompts(sentence_levels(sents))
     gen = generator.generate(prompts)
     grouped = gen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "prediction"))).alias("_p"))
-    return docs.select(key).join(grouped, key, "left").select(
-        key, F.coalesce(F.array_join(F.transform("_p", lambda x: x["prediction"]), " "), F.lit("")).alias("simplified"))
+    return docs.select(key, *carry).join(grouped, key, "left").select(
+        key, *carry, F.coalesce(F.array_join(F.transform("_p", lambda x: x["prediction"]), " "), F.lit("")).alias("simplified"))
 
 
 def generator_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -356,9 +381,6 @@ def generator_registry(spark: SparkSession, path: str | None = None) -> DataFram
     return spark.createDataFrame(GENERATORS, "model string, fine_tuned_model string, registry_order bigint")
 
 
-REGISTRY_BROADCAST_MAX = 100_000
-
-
 def default_model(registry: DataFrame | None = None) -> Column:
     """Resolved id of the first registry entry: a constant for the built-in registry, else a scalar subquery."""
     if registry is None:
@@ -366,13 +388,17 @@ def default_model(registry: DataFrame | None = None) -> Column:
     return registry.select(F.min_by("fine_tuned_model", "registry_order")).scalar()
 
 
-def resolve_model(requests: DataFrame, registry: DataFrame, default: Column | None = None) -> DataFrame:
-    """Requested base model → resolved id; none → first registry entry; unknown → ``unknown_model``."""
+def resolve_model(requests: DataFrame, registry: DataFrame, default: Column | None = None,
+                  implementations: dict[str, Generator] | None = None) -> DataFrame:
+    """Requested base model → resolved id; none → first registry entry; unknown → ``unknown_model``.
+
+    A registry entry that nothing implements is unknown too. Models that many
+    requests share are salted (``salted_join``), the registry has one row per model.
+    """
     default = default if default is not None else default_model(registry)
-    reg = registry.select(F.col("model").alias("_m"), F.col("fine_tuned_model").alias("_ft"))
-    if registry.count() <= REGISTRY_BROADCAST_MAX:   # checked size: one row per model file
-        reg = F.broadcast(reg)
-    j = requests.join(reg, requests["model"] == reg["_m"], "left")
+    names = sorted(implementations if implementations is not None else IMPLEMENTATIONS)
+    reg = registry.select("model", F.when(F.col("fine_tuned_model").isin(names), F.col("fine_tuned_model")).alias("_ft"))
+    j = salted_join(requests, reg, ["model"], "left")
     resolved = F.when(F.col("model").isNull(), default).otherwise(F.col("_ft"))
     status = F.when(resolved.isNull(), F.lit("unknown_model")).otherwise(F.lit("ok"))
     return j.select(*requests.columns, resolved.alias("resolved_model"), status.alias("model_status"))
@@ -384,23 +410,29 @@ def stored_ordinals(versions: DataFrame) -> DataFrame:
 
 
 def pending_simplifications(requests: DataFrame, stored: DataFrame, default_model: Column) -> DataFrame:
-    """Missing ordinals ``count .. n`` per request, as rows to create.
-
-    A request for ordinal ``n`` of an article with ``count`` stored versions
-    needs ``n + 1 - count`` new ones; the first uses the requested (resolved)
-    model, later ones the default model. Negative ``n`` is rejected.
+    """Missing ordinals of every article, as rows to create; requests are served in the order of ``seq``.
+
+    A request for ordinal ``n`` of an article that has ``count`` versions makes
+    versions ``count`` to ``n``: the first with its own (resolved) model, the
+    rest with the default, and a later request finds them stored. So only
+    requests that ask for more than all before them make any: among equal
+    ``n`` the first to arrive, and the ordinals from the highest ``n`` before it
+    on. Requests are reduced to one per (article, n) before anything is
+    expanded, and every missing ordinal is expanded once. Negative or null
+    ``n`` is rejected.
     """
+    first = requests.where(F.col("n") >= 0).groupBy("article_id", F.col("n").cast("bigint").alias("n")).agg(
+        F.min(F.struct("seq", "resolved_model")).alias("_r"))
     counts = stored.groupBy("article_id").agg(F.count(F.lit(1)).alias("_count"))
-    r = salted_join(requests.where(F.col("n") >= 0), counts, ["article_id"], "left",
-                    salt_from=["n", "resolved_model"]).withColumn(
-        "_count", F.coalesce(F.col("_count"), F.lit(0)).cast("bigint"))
-    need = r.where(F.col("n") >= F.col("_count")).select(
-        "article_id", "resolved_model",
-        F.explode(F.sequence(F.col("_count"), F.col("n").cast("bigint"))).alias("simplification_id"), "_count")
-    model = F.when(F.col("simplification_id") == F.col("_count"), F.col("resolved_model")).otherwise(default_model)
-    rows = need.select("article_id", "simplification_id", model.alias("model"))
-    # several requests for one article in a batch: one row per missing ordinal, smallest model name wins
-    return rows.groupBy("article_id", "simplification_id").agg(F.min("model").alias("model"))
+    r = first.join(counts, "article_id", "left").select(
+        "article_id", "n", F.col("_r.seq").alias("seq"), F.col("_r.resolved_model").alias("resolved_model"),
+        F.coalesce(F.col("_count"), F.lit(0)).cast("bigint").alias("_count"))
+    earlier = Window.partitionBy("article_id").orderBy("seq", "n").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_from", F.greatest(F.col("_count"), F.coalesce(F.max("n").over(earlier) + 1, F.lit(0).cast("bigint"))))
+    need = r.where(F.col("n") >= F.col("_from")).select(
+        "article_id", "resolved_model", "_from", F.explode(F.sequence("_from", "n")).alias("simplification_id"))
+    model = F.when(F.col("simplification_id") == F.col("_from"), F.col("resolved_model")).otherwise(default_model)
+    return need.select("article_id", "simplification_id", model.alias("model"))
 
 
 def versions_gain(versions: DataFrame, articles: DataFrame) -> DataFrame:
@@ -412,25 +444,39 @@ def versions_gain(versions: DataFrame, articles: DataFrame) -> DataFrame:
                     (level_rank(F.col("level_before")) - level_rank(F.col("level_after"))).cast("bigint").alias("gain"))
 
 
-def simplify_and_rescore(todo: DataFrame, articles: DataFrame,
-                         generator: Generator = DEFAULT_GENERATOR_IMPL, scorer=None) -> DataFrame:
-    """New versions for ``todo(article_id, simplification_id, model)``, made from the original text.
+def simplify_and_rescore(todo: DataFrame, articles: DataFrame, scorer=None,
+                         implementations: dict[str, Generator] | None = None) -> DataFrame:
+    """New versions for ``todo(article_id, simplification_id, model)``, made from the original text by their model.
 
-    Each row gets the article's title and text (salted join: one article may
-    be asked for many versions), is simplified sentence by sentence and
-    re-scored; versions without a scorable sentence are left out.
+    One join brings each row its article's title and text (``todo`` has one row
+    per version, so no article is hot beyond its versions); they travel along.
+    All native generators run as one expression chosen by the row's model,
+    others on the rows of their model. Rows whose model nothing implements
+    make no version; versions without a scorable sentence are left out.
     """
     from lisible.operators.scoring import DEFAULT_SCORER, scored_documents
-    j = salted_join(todo, articles.select("article_id", "title", "text"), ["article_id"],
-                    salt_from=["simplification_id"])
-    k = j.select(F.struct("article_id", "simplification_id").alias("k"), "model", "title", "text")
-    simp = simplify_documents(k.select("k", "text"), key="k", generator=generator)
-    scored = scored_documents(simp.select("k", F.col("simplified").alias("text")), key="k",
-                              scorer=scorer or DEFAULT_SCORER).where(F.col("n_sentences") > 0)
-    out = k.select("k", "model", "title").join(scored, "k")
-    return out.select(F.col("k.article_id").alias("article_id"),
-                      F.col("k.simplification_id").cast("bigint").alias("simplification_id"),
-                      "model", "title", "text", *LEVELS)
+    runs = implementations if implementations is not None else IMPLEMENTATIONS
+    native = {m: g for m, g in runs.items() if g.expression(F.lit("x")) is not None}
+    rows = todo.join(articles.select("article_id", "title", "text"), "article_id").select(
+        F.struct("article_id", "simplification_id").alias("k"), "model", "title", "text")
+    carry = ("model", "title")
+    out = None
+    if native:
+        parts = sentence_array(F.col("text"))
+        text = None
+        for m, g in sorted(native.items()):
+            rewritten = F.array_join(F.transform(parts, g.expression), " ")
+            text = F.when(F.col("model") == m, rewritten) if text is None else text.when(F.col("model") == m, rewritten)
+        out = rows.where(F.col("model").isin(sorted(native))).select("k", *carry, text.alias("simplified"))
+    for m, g in runs.items():
+        if m not in native:
+            own = simplify_documents(rows.where(F.col("model") == m), key="k", generator=g, carry=carry)
+            out = own if out is None else out.unionByName(own)
+    scored = scored_documents(out.withColumnRenamed("simplified", "text"), key="k", scorer=scorer or DEFAULT_SCORER) \
+        .where(F.col("n_sentences") > 0)
+    return scored.select(F.col("k.article_id").alias("article_id"),
+                         F.col("k.simplification_id").cast("bigint").alias("simplification_id"),
+                         "model", "title", "text", *LEVELS)
 
 
 # ----------------------------------------------------------------------------
@@ -506,41 +552,27 @@ def _with_target(levels: DataFrame) -> DataFrame:
     return levels.join(dim, "difficulty", "left")
 
 
-def encode_template_prompts(levels: DataFrame, vocab: DataFrame, keys=("doc_id", "pos"),
-                            broadcast_max: int = VOCAB_BROADCAST_MAX) -> DataFrame:
+def encode_template_prompts(levels: DataFrame, vocab: DataFrame, keys=("doc_id", "pos")) -> DataFrame:
     """Token ids of every rendered prompt, splicing constant ids of the template with slot ids.
 
     Equals ``encode_prompts(simplification_prompts(levels), vocab)`` but
-    tokenizes only the slot values (sentence, level names). Falls back to
-    the general path when the template is not boundary-safe or the
-    vocabulary exceeds the broadcast bound.
+    tokenizes only the slot values (sentence, level names). A template
+    whose literal pieces could grow together with a slot takes the general way.
     """
     keys = list(keys)
-    spark = levels.sparkSession
     pieces, slots = template_parts(rendered_template())
-    if not _boundary_safe(pieces) or vocab.count() > broadcast_max:
-        return encode_prompts(simplification_prompts(levels), vocab, keys, broadcast_max=broadcast_max)
-    table = _vocab_dict(vocab)
-    const_ids = [[table.get(t, UNK_ID) for t in toks] for toks in _constant_tokens(spark, pieces)]
-    shared = spark.sparkContext.broadcast(table)
-    bos, unk = BOS_ID, UNK_ID
-
-    @F.pandas_udf("array<bigint>")
-    def splice(*slot_tokens):
-        ids = shared.value
-        out = []
-        for row in zip(*slot_tokens):
-            seq = [bos] + const_ids[0]
-            for toks, tail in zip(row, const_ids[1:]):
-                seq.extend(ids.get(t, unk) for t in toks)
-                seq.extend(tail)
-            out.append(seq)
-        import pandas as pd
-        return pd.Series(out)
-
-    with_target = _with_target(levels)
-    args = [F.regexp_extract_all(F.col(SLOT_COLUMNS[s]), F.lit(TOKEN), 0) for s in slots]
-    return with_target.select(*keys, splice(*args).alias("ids"))
+    if not _boundary_safe(pieces):
+        return encode_prompts(simplification_prompts(levels), vocab, keys)
+    constant = _constant_tokens(levels.sparkSession, pieces)
+    wanted = sorted({t for toks in constant for t in toks})
+    table = {r["token"]: r["token_id"] for r in vocab.where(F.col("token").isin(wanted)).collect()}   # the template's own tokens
+    constant_ids = [[table.get(t, UNK_ID) for t in toks] for toks in constant]
+    lists = F.array(*[F.struct(F.lit(i).alias("slot"), F.regexp_extract_all(F.col(SLOT_COLUMNS[s]), F.lit(TOKEN), 0).alias("toks"))
+                      for i, s in enumerate(slots)])
+    toks = _with_target(levels).select(*keys, F.explode(lists).alias("l")) \
+        .select(*keys, F.col("l.slot").alias("slot"), F.posexplode("l.toks").alias("tpos", "token"))
+    ided = token_ids(toks, vocab).select(*keys, F.struct("slot", "tpos", "token_id").alias("t"))
+    return _in_order(levels.select(*keys), ided, keys, constant_ids, len(slots))
 
 
 def compat_predictions(generated: DataFrame) -> DataFrame:

@@ -151,8 +151,13 @@ def q_article_by_id(spark, sf_dir):
     return cat.article_by_id(doc_catalog(spark, sf_dir), lookup_requests(spark, sf_dir))
 
 
+def catalog_size(spark, sf_dir) -> DataFrame:
+    """Number of articles: documents with a scorable sentence, counted where they stand (no ids, nothing written)."""
+    return cat.scorable_documents(documents(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_articles"))
+
+
 def q_catalog_size(spark, sf_dir):
-    return doc_catalog(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_articles"))
+    return catalog_size(spark, sf_dir)
 
 
 def q_catalog_audit(spark, sf_dir):

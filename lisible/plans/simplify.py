@@ -14,9 +14,12 @@ from lisible.operators.sentences import sentences
 from lisible.plans import documents as D
 from lisible.plans import sql as S
 from lisible.plans.memo import memoized
+from lisible.session import scratch_path
+from lisible.sources.sinks import append_predictions, scan_predictions
 from lisible.sources.tables import documents, read_table
 
-RESUMED_BEFORE = 3   # an earlier run finished the first three sentences of every document
+# fixture: the prompts that an earlier, interrupted run has answered, by a hash of their key (a third of all)
+EARLIER_RUN = "(doc_id * 7 + pos) % 3 = 0"
 
 
 def _ids_text(c) -> F.Column:
@@ -65,16 +68,19 @@ def stored(spark, sf_dir) -> DataFrame:
 
 @memoized
 def requests(spark, sf_dir) -> DataFrame:
-    """One request per article: ordinal ``doc_id % 5 - 1`` (−1 … 3), models incl. null and unknown;
-    every tenth request names an article id past the end of the catalog."""
+    """One to three requests per article in order of arrival ``seq``: ordinals −1 … 3, models incl. null and
+    unknown; every tenth article's requests name an article id past the end of the catalog."""
     arts = D.doc_catalog(spark, sf_dir).select("article_id", "doc_id")
-    model = (F.when(F.col("doc_id") % 6 == 0, F.lit(None).cast("string"))
-             .when(F.col("doc_id") % 6 == 1, F.lit("no-such-model"))
-             .when(F.col("doc_id") % 6 == 2, F.lit("rule-rewrite-keep"))
+    arts = arts.select("article_id", "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("doc_id") % 3)).alias("k"))
+    kind = (F.col("doc_id") + F.col("k")) % 6
+    model = (F.when(kind == 0, F.lit(None).cast("string"))
+             .when(kind == 1, F.lit("no-such-model"))
+             .when(kind == 2, F.lit("rule-rewrite-keep"))
              .otherwise(F.lit(DEFAULT_GENERATOR)))
-    n_articles = arts.agg(F.count(F.lit(1))).scalar()
+    n_articles = D.catalog_size(spark, sf_dir).scalar()
     target = F.when(F.col("doc_id") % 10 == 9, F.col("article_id") + n_articles).otherwise(F.col("article_id"))
-    return arts.select(target.alias("article_id"), (F.col("doc_id") % 5 - 1).alias("n"), model.alias("model"))
+    return arts.select(target.alias("article_id"), (F.col("article_id") * 10 + F.col("k")).alias("seq"),
+                       ((F.col("doc_id") + 3 * F.col("k")) % 5 - 1).alias("n"), model.alias("model"))
 
 
 def _default_model(spark) -> F.Column:
@@ -89,7 +95,7 @@ def resolved(spark, sf_dir) -> DataFrame:
 @memoized
 def pending(spark, sf_dir) -> DataFrame:
     arts = D.doc_catalog(spark, sf_dir).select("article_id")
-    ok = resolved(spark, sf_dir).where(F.col("model_status") == "ok").join(arts, "article_id", "left_semi")
+    ok = salted_join(resolved(spark, sf_dir).where(F.col("model_status") == "ok"), arts, ["article_id"], "left_semi", salt_from=["seq"])
     return sp.pending_simplifications(ok, stored(spark, sf_dir), _default_model(spark))
 
 
@@ -128,14 +134,18 @@ def q_simplified_text(spark, sf_dir):
     return sp.simplify_documents(documents(spark, sf_dir))
 
 
+@memoized
 def _finished(spark, sf_dir) -> DataFrame:
-    """Predictions stored by an interrupted earlier run (the rule generator needs only the sentence)."""
-    s = sentences(documents(spark, sf_dir)).where(F.col("pos") < RESUMED_BEFORE)
-    return sp.DEFAULT_GENERATOR_IMPL.generate(s).select("doc_id", "pos", "prediction")
+    """Predictions that an interrupted earlier run has stored, read back from its table."""
+    path = scratch_path(spark, "predictions")
+    earlier = sentences(documents(spark, sf_dir)).where(EARLIER_RUN)   # the rule generator needs only the sentence
+    append_predictions(sp.DEFAULT_GENERATOR_IMPL.generate(earlier), path, run=0)
+    return scan_predictions(spark, path)
 
 
 def q_generation_resume(spark, sf_dir):
-    todo = prompts(spark, sf_dir).join(_finished(spark, sf_dir), ["doc_id", "pos"], "left_anti")
+    """A restart: what has no stored prediction is still to be generated."""
+    todo = sentences(documents(spark, sf_dir)).join(_finished(spark, sf_dir).select("doc_id", "pos"), ["doc_id", "pos"], "left_anti")
     return todo.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
@@ -163,8 +173,8 @@ def q_simplification_ordinals(spark, sf_dir):
 def q_nth_simplification(spark, sf_dir):
     s = stored(spark, sf_dir).select("article_id", F.col("simplification_id").alias("n"),
                                      F.length("text").cast("bigint").alias("n_chars"))
-    r = requests(spark, sf_dir).select("article_id", F.col("n").cast("bigint").alias("n"))
-    j = r.join(s, ["article_id", "n"], "left")
+    r = requests(spark, sf_dir).select("article_id", F.col("n").cast("bigint").alias("n"), "seq")
+    j = salted_join(r, s, ["article_id", "n"], "left", salt_from=["seq"])
     return j.select("article_id", "n", F.col("n_chars").isNotNull().alias("found"), "n_chars")
 
 
@@ -265,12 +275,17 @@ def _rewrite_pick(s: str) -> str:
     return f"(CASE WHEN {rw} = '' THEN {s} ELSE {rw} END)"
 
 
-def _simplified_ctes(source: str, key: str, prefix: str) -> list[tuple[str, str]]:
-    """``{prefix}(key, text)``: each text of ``source(key, text)`` simplified sentence by sentence."""
+def _simplified_ctes(source: str, key: str, prefix: str, by_model: bool = False) -> list[tuple[str, str]]:
+    """``{prefix}(key, text)``: each text of ``source(key, text)`` simplified sentence by sentence (by its ``model``)."""
+    one, rows = _rewrite_pick("sentence"), f"{prefix}_s"
+    if by_model:
+        kept = S.rule_rewrite("sentence", keep_clauses=True)
+        one = (f"CASE WHEN model = 'rule-rewrite-keep:v1' THEN (CASE WHEN {kept} = '' THEN sentence ELSE {kept} END) "
+               f"ELSE {one} END")
+        rows = f"(SELECT s.*, m.model FROM {prefix}_s s JOIN {source} m ON s.{key} = m.{key})"
     return [
         (f"{prefix}_s", S.sentences_cte(source, key=key)),
-        (f"{prefix}_a", f"SELECT {key}, string_agg({_rewrite_pick('sentence')}, ' ' ORDER BY pos) AS text "
-                        f"FROM {prefix}_s GROUP BY {key}"),
+        (f"{prefix}_a", f"SELECT {key}, string_agg({one}, ' ' ORDER BY pos) AS text FROM {rows} x GROUP BY {key}"),
         (prefix, f"SELECT x.{key}, coalesce(a.text, '') AS text FROM {source} x LEFT JOIN {prefix}_a a ON x.{key} = a.{key}"),
     ]
 
@@ -292,19 +307,24 @@ def _requests_ctes() -> list[tuple[str, str]]:
     reg = ", ".join(f"('{m}', '{ft}', {o})" for m, ft, o in sp.GENERATORS)
     default = min(sp.GENERATORS, key=lambda g: g[2])[1]
     return [
+        ("asked", "SELECT *, unnest(generate_series(0, doc_id % 3)) AS k FROM articles"),
         ("req", "SELECT CASE WHEN doc_id % 10 = 9 THEN article_id + (SELECT count(*) FROM articles) ELSE article_id END AS article_id, "
-                "doc_id % 5 - 1 AS n, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 'no-such-model' "
-                f"WHEN doc_id % 6 = 2 THEN 'rule-rewrite-keep' ELSE '{DEFAULT_GENERATOR}' END AS model FROM articles"),
+                "article_id * 10 + k AS seq, (doc_id + 3 * k) % 5 - 1 AS n, CASE WHEN (doc_id + k) % 6 = 0 THEN NULL "
+                "WHEN (doc_id + k) % 6 = 1 THEN 'no-such-model' "
+                f"WHEN (doc_id + k) % 6 = 2 THEN 'rule-rewrite-keep' ELSE '{DEFAULT_GENERATOR}' END AS model FROM asked"),
         ("reg", f"SELECT * FROM (VALUES {reg}) AS t(model, fine_tuned_model, registry_order)"),
         ("resolved", f"SELECT r.*, CASE WHEN r.model IS NULL THEN '{default}' ELSE g.fine_tuned_model END AS resolved_model FROM req r "
                      "LEFT JOIN reg g ON r.model = g.model"),
         ("resolved2", "SELECT *, CASE WHEN resolved_model IS NULL THEN 'unknown_model' ELSE 'ok' END AS model_status FROM resolved"),
         ("counts", "SELECT article_id, count(*) AS cnt FROM stored GROUP BY article_id"),
-        ("pend_src", "SELECT r.article_id, r.n, r.resolved_model, coalesce(c.cnt, 0) AS cnt FROM resolved2 r "
+        ("pend_src", "SELECT r.article_id, r.seq, r.n, r.resolved_model, coalesce(c.cnt, 0) AS cnt FROM resolved2 r "
                      "LEFT JOIN counts c ON r.article_id = c.article_id "
                      "WHERE r.model_status = 'ok' AND r.n >= 0 AND r.article_id IN (SELECT article_id FROM articles)"),
-        ("pending", f"SELECT article_id, sid AS simplification_id, CASE WHEN sid = cnt THEN resolved_model ELSE '{default}' END AS model "
-                    "FROM (SELECT *, unnest(generate_series(cnt, n)) AS sid FROM pend_src WHERE n >= cnt) x"),
+        # an ordinal belongs to the first request that reaches it; that request's first ordinal gets its model
+        ("reached", "SELECT *, unnest(generate_series(cnt, n)) AS sid FROM pend_src WHERE n >= cnt"),
+        ("owner", "SELECT article_id, sid, min(seq) AS seq, arg_min(resolved_model, seq) AS resolved_model FROM reached GROUP BY article_id, sid"),
+        ("pending", "SELECT article_id, sid AS simplification_id, CASE WHEN sid = min(sid) OVER (PARTITION BY article_id, seq) "
+                    f"THEN resolved_model ELSE '{default}' END AS model FROM owner"),
     ]
 
 
@@ -336,9 +356,9 @@ def oracle() -> dict[str, str]:
         "generate": S.with_ctes(pc, gen_sel),
         "simplified_text": S.with_ctes(_simplified_ctes("documents", "doc_id", "simp"),
                                        "SELECT doc_id, text AS simplified FROM simp"),
-        "generation_resume": S.with_ctes(pc, f"SELECT doc_id, pos, sentence FROM prompts WHERE pos >= {RESUMED_BEFORE}"),
+        "generation_resume": S.with_ctes(pc, f"SELECT doc_id, pos, sentence FROM prompts WHERE NOT ({EARLIER_RUN})"),
         "generation_progress": S.with_ctes([("sents", D.sql_sentences()),
-                                            ("t", f"SELECT doc_id, count(*) AS total, sum(CASE WHEN pos < {RESUMED_BEFORE} THEN 1 ELSE 0 END) AS done FROM sents GROUP BY doc_id")],
+                                            ("t", f"SELECT doc_id, count(*) AS total, sum(CASE WHEN {EARLIER_RUN} THEN 1 ELSE 0 END) AS done FROM sents GROUP BY doc_id")],
                                            "SELECT d.doc_id, CAST(coalesce(t.done, 0) AS BIGINT) AS done, CAST(coalesce(t.total, 0) AS BIGINT) AS total, "
                                            "CAST(CASE WHEN coalesce(t.total, 0) = 0 THEN 0.0 ELSE round_even(CAST(100.0 AS DOUBLE) * t.done / t.total, 0) END AS DOUBLE) AS pct "
                                            "FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id"),
@@ -355,7 +375,7 @@ def oracle() -> dict[str, str]:
         "simplify_and_rescore": S.with_ctes(rc + [
             ("psrc", "SELECT p.article_id * 1000 + p.simplification_id AS pk, p.article_id, p.simplification_id, p.model, a.title, a.text "
                      "FROM pending p JOIN articles a ON p.article_id = a.article_id"),
-            *_simplified_ctes("psrc", "pk", "psimp"),
+            *_simplified_ctes("psrc", "pk", "psimp", by_model=True),
             *S.scored_text_ctes("psimp", "pk", "psc")],
             "SELECT p.article_id, p.simplification_id, p.model, p.title, CAST(length(s.text) AS BIGINT) AS n_chars, "
             f"{S.rounded_levels('m.')} FROM psrc p JOIN psimp s ON p.pk = s.pk JOIN psc_means m ON p.pk = m.pk"),

@@ -18,8 +18,10 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-PROTECT_SQL = "chr(57344)"
-MARK_SQL = "chr(57345)"
+ESCAPE_SQL = "chr(57344)"
+ESCAPED_SQL = "chr(57344) || chr(57345)"
+PROTECT_SQL = "chr(57344) || chr(57346)"
+MARK_SQL = "chr(57344) || chr(57347)"
 
 
 def clip(c: str, n: int) -> str:
@@ -31,9 +33,10 @@ def strip_ws(c: str) -> str:
 
 
 def sentence_list(text: str, abbreviations: list[str] | None = None) -> str:
-    protected = f"regexp_replace({text}, {lit(protect_pattern(abbreviations))}, '\\1\\2' || {PROTECT_SQL}, 'g')"
+    escaped = f"replace({text}, {ESCAPE_SQL}, {ESCAPED_SQL})"
+    protected = f"regexp_replace({escaped}, {lit(protect_pattern(abbreviations))}, '\\1\\2' || {PROTECT_SQL}, 'g')"
     marked = f"regexp_replace({protected}, {lit(SENT_END)}, '\\1' || {MARK_SQL}, 'g')"
-    cleaned = f"list_transform(string_split({marked}, {MARK_SQL}), lambda s: {strip_ws(f'replace(s, {PROTECT_SQL}, {lit(chr(46))})')})"
+    cleaned = f"list_transform(string_split({marked}, {MARK_SQL}), lambda s: replace({strip_ws(f'replace(s, {PROTECT_SQL}, {lit(chr(46))})')}, {ESCAPED_SQL}, {ESCAPE_SQL}))"
     return f"list_filter({cleaned}, lambda s: s <> '')"
 
 
@@ -189,9 +192,9 @@ def scored_text_ctes(source: str, key: str, prefix: str) -> list[tuple[str, str]
     ]
 
 
-def rule_rewrite(s: str) -> str:
+def rule_rewrite(s: str, keep_clauses: bool = False) -> str:
     from lisible.operators.simplify import CLAUSE_SPLIT, PARENS
-    first = f"regexp_split_to_array({s}, {lit(CLAUSE_SPLIT)})[1]"
+    first = s if keep_clauses else f"regexp_split_to_array({s}, {lit(CLAUSE_SPLIT)})[1]"
     out = f"regexp_replace({first}, {lit(PARENS)}, '', 'g')"
     out = f"regexp_replace({out}, '[ \\t\\n\\r]+', ' ', 'g')"
     out = f"regexp_replace({out}, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')"

@@ -2,7 +2,7 @@
 
 Cluster jobs read ``spark.checkpoint.dir`` from the session (the shared
 folder the cluster names); only when it is unset — local runs and tests —
-do we point it at a fresh folder of our own.
+do we point it at a fresh folder of our own. On a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -23,12 +23,19 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
+#: Explicit option: spread the rows of the input tables over so many partitions (unset: as the scan splits them).
+INPUT_PARTITIONS = "spark.lisible.input.partitions"
+
+
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "lisible", extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """A session with the engine's defaults; master, shuffle partitions and memory stay as submitted unless given."""
+    builder = SparkSession.builder.appName(app_name)
+    if master is not None:
+        builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -47,6 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a folder of one machine would not be seen by the others
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="lisible-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

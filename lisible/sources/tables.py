@@ -74,16 +74,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work at least one task per core.
+    """Rows dealt round over as many partitions as the session option names; unset, the scan's splits stay.
 
-    A scan of a few large row groups yields fewer splits than cores; then a
-    round-robin repartition spreads the rows. At scale the scan already has
-    far more splits than cores and this is a no-op (no extra shuffle).
+    For CPU-heavy text work over a few small files (one row group is one
+    split); at scale the scan has splits enough and the option stays unset.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    from lisible.session import INPUT_PARTITIONS
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
@@ -132,11 +130,13 @@ def model_registry(spark: SparkSession, path: str) -> DataFrame:
            .select(F.col("model.model").alias("model"),
                    F.col("model.fine_tuned_model").alias("fine_tuned_model"),
                    F.col("_metadata.file_name").alias("file_name")))
-    from pyspark.sql import Window
-    w = Window.partitionBy("model").orderBy(F.col("file_name").desc())
-    latest = raw.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    # one row per model file: a handful of rows, so an unpartitioned window is fine here
-    return latest.withColumn("registry_order", F.dense_rank().over(Window.orderBy("file_name")) - 1)
+    latest = raw.groupBy("model").agg(F.max_by("fine_tuned_model", "file_name").alias("fine_tuned_model"),
+                                      F.max("file_name").alias("file_name"))
+    # listing order: how many registry files come before (the registry is a folder of a handful of files)
+    before = latest.select(F.col("file_name").alias("_f")).distinct()
+    order = F.size(F.filter(F.sort_array("_files"), lambda f: f < F.col("file_name"))).cast("int")
+    files = before.agg(F.collect_set("_f").alias("_files")).scalar()
+    return latest.withColumn("_files", files).withColumn("registry_order", order).drop("_files")
 
 
 def spark_empty_image_sizes(spark: SparkSession) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queued simplification requests processed as a stream.
 
-Requests ``(article_id, n, model)`` arrive as files. Each micro-batch
+Requests ``(article_id, n, model, seq)`` arrive as files; ``seq`` is their order. Each micro-batch
 resolves the model, works out which ordinals are missing given what is
 already stored (earlier batches plus the initial version table), creates
 them from the original article text, re-scores them and writes them as the
@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 
 from lisible.constants import LEVELS
 from lisible.operators import simplify as sp
+from lisible.operators.joins import salted_join
 
 REQUEST_SCHEMA = T.StructType([
     T.StructField("article_id", T.LongType()),
     T.StructField("n", T.LongType()),
     T.StructField("model", T.StringType()),
+    T.StructField("seq", T.LongType()),   # order of arrival
 ])
 
 VERSION_SCHEMA = T.StructType([
@@ -39,8 +41,8 @@ def simplify_batch(batch: DataFrame, epoch_id: int, sink: str, articles: DataFra
     stored = initial.select("article_id", "simplification_id").unionByName(
         earlier.select("article_id", "simplification_id"))
     default = sp.default_model(registry)
-    resolved = sp.resolve_model(batch, registry, default=default).where(F.col("model_status") == "ok").join(
-        articles.select("article_id"), "article_id", "left_semi")
+    ok = sp.resolve_model(batch, registry, default=default).where(F.col("model_status") == "ok")
+    resolved = salted_join(ok, articles.select("article_id"), ["article_id"], "left_semi", salt_from=["seq"])
     todo = sp.pending_simplifications(resolved, stored, default)
     rows = sp.simplify_and_rescore(todo, articles)
     (rows.withColumn("batch", F.lit(epoch_id).cast("bigint"))

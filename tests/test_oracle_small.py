@@ -11,8 +11,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import TABLES, digest  # noqa: E402
 
+from lisible.plans.registry import all_oracle_sql, all_queries  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
-SQL = E.oracle_sql()
+SQL = all_oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,12 +26,13 @@ def con():
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(SQL)
+    assert set(all_queries()) == set(SQL)
+    assert set(SQL) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
+    df = all_queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(SQL[name])
     ocols = [d[0] for d in cur.description]

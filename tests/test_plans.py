@@ -37,7 +37,7 @@ def test_dense_ids_do_not_use_global_window_on_data(spark):
 def test_salted_join_spreads_a_hot_key(spark):
     big = spark.range(10000).select(F.lit(1).alias("k"), F.col("id"))
     small = spark.createDataFrame([(1, "x")], "k int, v string")
-    j = salted_join(big, small, ["k"], salt_from=["id"], buckets=8)
+    j = salted_join(big, small, ["k"], salt_from=["id"], buckets=8, rows=100)
     per_salt = (big.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(8))).groupBy("_s").count().collect())
     assert len(per_salt) == 8 and j.count() == 10000
 
@@ -52,3 +52,15 @@ def test_template_join_is_salted(spark):
     from lisible.operators.pages import page_main_text
     plan = _plan(page_main_text(read_table(spark, SF, "pages").select("page_id", "url", "html")))
     assert "_salt" in plan   # the join key carries the salt next to the host
+
+
+def test_no_text_is_replicated_by_a_salt(spark):
+    """No generator that replicates rows stands over a relation that holds article texts."""
+    import re
+    from lisible.operators import simplify as sp
+    levels = "A1 double, A2 double, B1 double, B2 double, C1 double, C2 double"
+    arts = spark.createDataFrame([(0, "t", "Un chat. Fin.")], "article_id long, title string, text string")
+    todo = spark.createDataFrame([(0, 0, "rule-rewrite:v1")], "article_id long, simplification_id long, model string")
+    plan = _plan(sp.simplify_and_rescore(todo, arts))
+    generators = re.findall(r"Generate explode\(([^\n]*)", plan)
+    assert not any("text" in g for g in generators) and "_salt" not in plan and levels

@@ -11,13 +11,64 @@ from lisible.operators import simplify as sp
 
 def test_pending_simplifications_rules(spark):
     stored = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "article_id long, simplification_id long")
-    req = spark.createDataFrame([(1, 1, "m1"), (1, 3, "m1"), (2, 2, "m2"), (3, 0, "m3"), (2, -1, "m2")],
-                                "article_id long, n long, resolved_model string")
+    req = spark.createDataFrame([(1, 1, "m1", 0), (1, 3, "m1", 1), (2, 2, "m2", 2), (3, 0, "m3", 3), (2, -1, "m2", 4)],
+                                "article_id long, n long, resolved_model string, seq long")
     got = sorted(tuple(r) for r in sp.pending_simplifications(req, stored, F.lit("dflt")).collect())
     # article 1: hit for n=1, n=3 needs 2 and 3; article 2: n=2 needs 1, 2; article 3: n=0 needs 0; negative n rejected
     assert got == [(1, 2, "m1"), (1, 3, "dflt"), (2, 1, "m2"), (2, 2, "dflt"), (3, 0, "m3")]
 
 
+def _sequential(requests, counts, default):
+    """The rules one request after the other."""
+    stored, made = dict(counts), []
+    for article, n, model, _ in sorted(requests, key=lambda r: r[3]):
+        first = True
+        while n is not None and n >= 0 and stored.get(article, 0) <= n:
+            made.append((article, stored.get(article, 0), model if first else default))
+            stored[article] = stored.get(article, 0) + 1
+            first = False
+    return sorted(made)
+
+
+def test_pending_requests_are_served_in_order_of_arrival(spark):
+    import random
+    rng = random.Random(4)
+    req = [(rng.randrange(8), rng.choice([-1, 0, 1, 2, 3, 4]), rng.choice(["x", "y", "z"]), i) for i in range(60)]
+    req += [(20, 0, "x", 100), (20, 1, "y", 101), (21, 0, "z", 102), (21, 0, "a", 103)]
+    counts = {0: 2, 3: 1, 5: 5}
+    schema = "article_id long, n long, resolved_model string, seq long"
+    stored = spark.createDataFrame([(a, i) for a, n in counts.items() for i in range(n)], "article_id long, simplification_id long")
+    got = sp.pending_simplifications(spark.createDataFrame(req, schema), stored, F.lit("dflt")).collect()
+    assert sorted(tuple(r) for r in got) == _sequential(req, counts, "dflt")
+
+
+def test_versions_are_made_by_their_model(spark):
+    from lisible.constants import LEVELS
+    arts = spark.createDataFrame([(0, "t", "Un chat (noir) dort ; il ronfle. Fin.")], "article_id long, title string, text string")
+    todo = spark.createDataFrame([(0, 0, "rule-rewrite:v1"), (0, 1, "rule-rewrite-keep:v1"), (0, 2, "echo"), (0, 3, "nobody")],
+                                 "article_id long, simplification_id long, model string")
+    echo = sp.PandasGenerator(lambda: None, lambda m, chats: [c.split('"""')[1].upper() for c in chats])
+    out = sp.simplify_and_rescore(todo, arts, implementations={**sp.IMPLEMENTATIONS, "echo": echo})
+    got = {r["simplification_id"]: r["text"] for r in out.collect()}
+    assert got == {0: "Un chat dort Fin.", 1: "Un chat dort ; il ronfle. Fin.", 2: "UN CHAT (NOIR) DORT ; IL RONFLE. FIN."}
+    assert set(LEVELS) < set(out.columns)
+
+
+def test_one_bad_row_fails_alone_with_its_whole_message(spark):
+    message = "no answer " * 60
+
+    def gen(model, chats):
+        if any("mauvaise" in c for c in chats):
+            raise ValueError(message)
+        return ["ok"] * len(chats)
+
+    sents = spark.createDataFrame([(0, i, "Phrase mauvaise." if i == 3 else f"Phrase {i}.") for i in range(8)], "article_id long, pos int, sentence string")
+    prompts = sp.simplification_prompts(sp.sentence_levels(sents.coalesce(1)))
+    got = {r["pos"]: r for r in sp.PandasGenerator(lambda: 1, gen).generate(prompts).collect()}
+    assert [got[i]["status"] for i in range(8)] == ["ok"] * 3 + ["error"] + ["ok"] * 4
+    assert got[3]["error"] == message and got[3]["prediction"] == "Phrase mauvaise."
+
+
 def test_resolve_model(spark):
     reg = sp.generator_registry(spark)
     req = spark.createDataFrame([(1, None), (2, "rule-rewrite-keep"), (3, "nope")], "article_id long, model string")

@@ -62,5 +62,29 @@ def test_salted_join_equals_plain_join_on_hot_key(spark, how):
                                    F.col("id"))
     small = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     plain = sorted(tuple(r) for r in big.join(small, "k", how).collect())
-    salted = sorted(tuple(r) for r in salted_join(big, small, ["k"], how, salt_from=["id"], buckets=8).collect())
+    salted = sorted(tuple(r) for r in salted_join(big, small, ["k"], how, salt_from=["id"], buckets=8, rows=100).collect())
     assert salted == plain
+
+
+def test_predictions_are_stored_and_read_back(spark):
+    from lisible.session import scratch_path
+    from lisible.sources.sinks import append_predictions, scan_predictions
+    path = scratch_path(spark, "test-predictions")
+    schema = "doc_id long, pos int, prediction string, status string, error string"
+    first = spark.createDataFrame([(1, 0, "a", "ok", None), (1, 1, "x", "error", "boom")], schema)
+    append_predictions(first, path, run=0)
+    append_predictions(spark.createDataFrame([(1, 1, "b", "ok", None)], schema), path, run=1)
+    append_predictions(first, path, run=0)   # the repeated run replaces only its own rows
+    assert sorted(tuple(r) for r in scan_predictions(spark, path).collect()) == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_versions_are_appended_by_batch(spark):
+    from lisible.session import scratch_path
+    from lisible.sources.sinks import append_simplifications
+    path = scratch_path(spark, "test-versions")
+    schema = "article_id long, simplification_id int, model string, title string, text string, " + ", ".join(f"{lv} double" for lv in LEVELS)
+    rows = lambda ids: spark.createDataFrame([(i, 0, "m", "t", "x", *[1 / 6] * 6) for i in ids], schema)
+    append_simplifications(rows([0, 1]), path, batch=0)
+    append_simplifications(rows([2]), path, batch=1)
+    append_simplifications(rows([2]), path, batch=1)
+    assert sorted(r["article_id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2]

@@ -69,11 +69,11 @@ def test_simplify_stream_two_batches_and_replay(spark):
         return sorted((r["article_id"], r["simplification_id"], r["model"])
                       for r in spark.read.schema(VERSION_SCHEMA).parquet(f"{base}/versions").collect())
 
-    spark.createDataFrame([(0, 1, None), (1, 0, "rule-rewrite-keep")], "article_id long, n long, model string") \
+    spark.createDataFrame([(0, 1, None, 0), (1, 0, "rule-rewrite-keep", 1)], "article_id long, n long, model string, seq long") \
         .write.mode("append").parquet(src)
     first = run()
     assert first == [(0, 1, "rule-rewrite:v1"), (1, 0, "rule-rewrite-keep:v1")]
-    spark.createDataFrame([(0, 2, "rule-rewrite-keep"), (1, 0, None)], "article_id long, n long, model string") \
+    spark.createDataFrame([(0, 2, "rule-rewrite-keep", 2), (1, 0, None, 3)], "article_id long, n long, model string, seq long") \
         .write.mode("append").parquet(src)
     second = run()
     # article 0 already has 0 (initial) and 1 (batch 1): only 2 is new; article 1 ordinal 0 exists

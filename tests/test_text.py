@@ -68,14 +68,28 @@ def test_relocate_images_matches_python(spark, parts):
 
 
 def test_learned_abbreviations_feed_the_splitter(spark):
-    import pytest
-    from lisible.operators.sentences import learn_abbreviations, learned_abbreviation_list, sentences
-    text = " ".join([f"Voir le chap. suivant et le vol. deux de la partie {w}." for w in ("un", "trois", "cinq")] * 10)
+    from lisible.operators.sentences import learn_abbreviations, sentences_with_learned
+    text = " ".join([f"Voir le sect. suivant et le vol. deux de la partie {w}." for w in ("un", "trois", "cinq")] * 10)
     docs = spark.createDataFrame([(1, text), (2, "Nous lisons le ibid. Puis la suite.")], "doc_id long, text string")
     learned = learn_abbreviations(docs)
-    abbrevs = learned_abbreviation_list(learned, base=[])
-    assert "chap" in abbrevs and "Chap" in abbrevs
-    one = spark.createDataFrame([(1, "Voir le chap. Suivant.")], "doc_id long, text string")
-    assert [r["sentence"] for r in sentences(one, abbreviations=abbrevs).collect()] == ["Voir le chap. Suivant."]
-    with pytest.raises(ValueError):
-        learned_abbreviation_list(learned, max_types=0)
+    assert "sect" in {r["type"] for r in learned.collect()}
+    two = spark.createDataFrame([(1, "Voir le Sect. Suivant. La fin. Et sect."), (2, ""), (3, None)], "doc_id long, text string")
+    got = [(r["pos"], r["sentence"]) for r in sentences_with_learned(two, learned).orderBy("pos").collect()]
+    assert got == [(0, "Voir le Sect. Suivant."), (1, "La fin."), (2, "Et sect.")]
+
+
+def test_a_learned_type_with_periods_or_signs_is_no_pattern(spark):
+    """Learned types are joined as words: ``e.g`` protects only itself, not ``egg`` or ``ebg``."""
+    from lisible.operators.sentences import sentences_with_learned
+    learned = spark.createDataFrame([("e.g",)], "type string")
+    docs = spark.createDataFrame([(1, "Un egg. Deux ebg. Trois e.g. Quatre.")], "doc_id long, text string")
+    got = [r["sentence"] for r in sentences_with_learned(docs, learned).orderBy("pos").collect()]
+    assert got == ["Un egg.", "Deux ebg.", "Trois e.g. Quatre."]
+
+
+def test_private_use_characters_come_back(spark):
+    """Web icon fonts use these code points; the splitter's own marks must not be confused with them."""
+    from lisible.operators.sentences import sentences
+    text = "Un \ue000 deux. Le Dr. \ue001 vient\ue002. Fin\ue003 ! \ue000\ue002 reste\ue000\ue003 ici."
+    got = [r["sentence"] for r in sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("pos").collect()]
+    assert got == ["Un \ue000 deux.", "Le Dr. \ue001 vient\ue002.", "Fin\ue003 !", "\ue000\ue002 reste\ue000\ue003 ici."]

@@ -23,7 +23,7 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from lisible.session import build_session
     import __spark_entry__ as E
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, extra={"spark.driver.memory": "16g", "spark.lisible.input.partitions": "8"})
     qs = E.queries()
     print("# Physical plans\n")
     print(f"Operator counts in the executed plan of each registered query (`{sf_dir}`, AQE on, before run-time re-planning; identical exchanges and subqueries are counted each time they appear, although Spark reuses them at run time).\n")
