@@ -164,9 +164,13 @@ def new_urls(batch: DataFrame, catalog: DataFrame, order_by: str = "page_id") ->
 
     The in-batch rule is a per-URL ``row_number`` (planned as a window group
     limit); the catalog check is a left anti join on URL, which the planner
-    turns into a broadcast when the URL set is small at run time.
+    turns into a broadcast when the URL set is small at run time. Pasted
+    texts (url ``text``) and rows without a URL are no duplicates of each
+    other: all of them stay.
     """
     w = Window.partitionBy("url").orderBy(order_by)
-    first = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    crawled = batch.where(F.col("url") != F.lit(TEXT_URL))
+    first = crawled.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     known = catalog.where(F.col("url") != F.lit(TEXT_URL)).select("url")
-    return first.join(known, "url", "left_anti")
+    others = batch.where(F.col("url").isNull() | (F.col("url") == F.lit(TEXT_URL)))
+    return first.join(known, "url", "left_anti").select(*batch.columns).unionByName(others)

@@ -183,7 +183,8 @@ def page_main_text(pages: DataFrame, statistics=None, carry: list[str] | None =
     """
     from lisible.session import materialize
     carry = list(carry or [])
-    with_host = pages.withColumn("host", H.host(F.col("url")))
+    # a page without html has no block; a page without url has the empty host
+    with_host = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("host", F.coalesce(H.host(F.col("url")), F.lit("")))
     blocks = materialize(page_blocks(with_host).select("page_id", "url", "host", "blocks", *carry), "page-blocks")
     per_key, per_host = statistics(blocks) if statistics is not None else block_statistics(blocks)
     tmpl = template_keys(per_key=per_key, per_host=per_host).groupBy("host").agg(F.collect_set("key").alias("tmpl"))
@@ -197,39 +198,51 @@ def page_main_text(pages: DataFrame, statistics=None, carry: list[str] | None =
                       F.size("_kept").cast("bigint").alias("n_blocks"), *carry)
 
 
-def page_article_rows(pages: DataFrame, image_sizes: DataFrame | None = None, compat: bool = False,
-                      statistics=None) -> DataFrame:
-    """Accepted page articles before ids: clipped title/description, image, relocated text, levels.
+BLANK = "^[ \\t\\n\\r]*$"
+
 
-    Fields and the widest declared image are computed inside the row and
-    ride along the single (salted) template join of the main-text step; only
-    a crawled ``image_sizes`` table needs a join of its own. Pages without
-    main text or without a scorable sentence are left out (see
-    ``rejected_inputs``).
+def page_article_status(pages: DataFrame, image_sizes: DataFrame | None = None, compat: bool = False,
+                        statistics=None) -> DataFrame:
+    """Every page once, as an article before ids, with ``reason``: null if accepted, else why it is not.
+
+    ``fetch_failed``: html null or blank; ``no_main_text``: no block is left;
+    ``no_sentence``: nothing that can be scored. Fields and the widest declared
+    image are computed inside the row and ride along the template join of the
+    main-text step; only a crawled ``image_sizes`` table needs a join of its own.
     """
     from lisible.constants import DESCRIPTION_LENGTH, LEVELS, TITLE_LENGTH
     from lisible.functions.markdown import relocate_images
     from lisible.functions.text import clip
     from lisible.operators.scoring import scored_documents
     fallback = F.concat(H.scheme(F.col("url")), F.lit(":")) if compat else H.host(F.col("url"))
+    html = F.coalesce(F.col("html"), F.lit(""))
     enriched = pages.select(
         "page_id", "url", "html",
-        F.coalesce(H.page_title_raw(F.col("html")), fallback).alias("title"),
-        F.coalesce(H.meta_content(F.col("html"), H.META_DESCRIPTION), F.lit(NO_DESCRIPTION)).alias("description"),
-        H.meta_content(F.col("html"), H.META_IMAGE).alias("og_image"),
-        (largest_image_src(F.col("html"), F.col("url")) if image_sizes is None
+        html.rlike(BLANK).alias("_blank"),
+        F.coalesce(H.page_title_raw(html), fallback).alias("title"),
+        F.coalesce(H.meta_content(html, H.META_DESCRIPTION), F.lit(NO_DESCRIPTION)).alias("description"),
+        H.meta_content(html, H.META_IMAGE).alias("og_image"),
+        (largest_image_src(html, F.col("url")) if image_sizes is None
          else F.lit(None).cast("string")).alias("_largest"),
     )
-    carry = ["title", "description", "og_image", "_largest"]
-    main = page_main_text(enriched, statistics, carry=carry).where(F.col("n_blocks") > 0)
+    main = page_main_text(enriched, statistics, carry=["title", "description", "og_image", "_largest", "_blank"])
     if image_sizes is not None:
         largest = largest_image(page_images(pages), image_sizes).select("page_id", F.col("src").alias("_crawled"))
         main = main.drop("_largest").join(largest, "page_id", "left").withColumnRenamed("_crawled", "_largest")
     image = F.coalesce(F.col("og_image"), F.col("_largest"))
     if not compat:
         image = F.coalesce(image, F.lit(DEFAULT_IMAGE))
-    text = main.select("page_id", "url", "title", "description", image.alias("image"),
+    text = main.select("page_id", "url", "title", "description", image.alias("image"), "_blank", "n_blocks",
                        relocate_images(F.col("main_text")).alias("text"))
-    scored = scored_documents(text, key="page_id").where(F.col("n_sentences") > 0)
+    scored = scored_documents(text, key="page_id")
+    reason = (F.when(F.col("_blank"), "fetch_failed").when(F.col("n_blocks") == 0, "no_main_text")
+              .when(F.col("n_sentences") == 0, "no_sentence"))
     return scored.select("page_id", "url", clip(F.col("title"), TITLE_LENGTH).alias("title"), "image",
-                         clip(F.col("description"), DESCRIPTION_LENGTH).alias("description"), "text", *LEVELS)
+                         clip(F.col("description"), DESCRIPTION_LENGTH).alias("description"), "text", *LEVELS,
+                         reason.alias("reason"))
+
+
+def page_article_rows(pages: DataFrame, image_sizes: DataFrame | None = None, compat: bool = False,
+                      statistics=None) -> DataFrame:
+    """Accepted page articles before ids: clipped title/description, image, relocated text, levels."""
+    return page_article_status(pages, image_sizes, compat, statistics).where("reason is null").drop("reason")

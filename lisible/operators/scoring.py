@@ -98,10 +98,10 @@ def scored_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     With a native scorer the whole chain stays inside the row (array
     higher-order functions), so there is no explode and no shuffle at all.
-    Documents with no scorable sentence get null levels and ``n_sentences=0``.
+    Documents with no scorable sentence (null texts too) get null levels and ``n_sentences=0``.
     A model scorer goes through the sentence table and ``doc_difficulty``.
     """
-    sents = sentence_array(F.col(text))
+    sents = sentence_array(F.coalesce(F.col(text), F.lit("")))   # a null text has no sentence, like an empty one
     kept = F.filter(sents, lambda s: token_count(s) <= F.lit(max_tokens))
     if scorer.arrays(F.array()) is None:
         from lisible.operators.sentences import sentences, short_sentences

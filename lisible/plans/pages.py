@@ -14,7 +14,8 @@ from lisible.operators.scoring import rounded_levels, scored_documents
 from lisible.plans import documents as D
 from lisible.plans import sql as S
 from lisible.plans.memo import memoized
-from lisible.sources.tables import documents, pages, spark_empty_image_sizes
+from lisible.sources.tables import documents
+from lisible.sources.tables import pages as stored_pages
 
 NN = "chr(10) || chr(10)"
 
@@ -23,6 +24,29 @@ NN = "chr(10) || chr(10)"
 # building blocks
 # ----------------------------------------------------------------------------
 
+# Fixture: the stored pages with what they lack, as expressions on page_id: description and image metadata, images
+# in several spellings (declared width, none, quoted and not), and pages whose fetch has failed (no html, blank html).
+DESCRIPTION_TAG = "<meta name=\"description\" content=\"About page &amp; more\">"
+IMAGE_TAG = "<meta property='og:image' content='/og.png'>"
+WIDE = "<p><img src=\"/wide.png\" alt=\"Wide one\" width=\"640\"> seen here.</p>"
+NARROW = "<p><img width='90' src='img/narrow.png'>Small.</p><p>And <img src=bare.png> too.</p>"
+
+
+def pages(spark, sf_dir) -> DataFrame:
+    i = F.col("page_id")
+    head = F.concat(F.when(i % 4 == 0, F.lit(DESCRIPTION_TAG)).otherwise(""), F.when(i % 5 == 1, F.lit(IMAGE_TAG)).otherwise(""), F.lit("</head>"))
+    body = F.concat(F.when(i % 3 == 0, F.lit(WIDE)).otherwise(""), F.when(i % 3 == 1, F.lit(NARROW)).otherwise(""), F.lit("</article>"))
+    html = F.replace(F.replace("html", F.lit("</head>"), head), F.lit("</article>"), body)
+    html = F.when(i % 17 == 5, F.lit(None).cast("string")).when(i % 17 == 9, F.lit(" \n ")).otherwise(html)
+    return stored_pages(spark, sf_dir).select("page_id", "url", html.alias("html"))
+
+
+def image_sizes(spark, sf_dir) -> DataFrame:
+    """Crawled widths, as a table: one per image source without a declared width."""
+    images = pg.page_images(pages(spark, sf_dir)).where("width_raw is null").select("src").distinct()
+    return images.select("src", (F.length("src") * 37 % 900 + 10).cast("int").alias("width"))
+
+
 @memoized
 def page_text(spark, sf_dir) -> DataFrame:
     """``(page_id, url, host, text, n_blocks)``: main text with images moved to paragraph ends."""
@@ -32,12 +56,14 @@ def page_text(spark, sf_dir) -> DataFrame:
 
 def page_rows(spark, sf_dir, compat: bool = False) -> DataFrame:
     """Accepted page articles before ids."""
-    return pg.page_article_rows(pages(spark, sf_dir), spark_empty_image_sizes(spark), compat=compat)
+    return pg.page_article_rows(pages(spark, sf_dir), image_sizes(spark, sf_dir), compat=compat)
 
 
 def submissions(spark, sf_dir) -> DataFrame:
-    """Every page submitted once, odd page ids a second time (a duplicate inside the batch)."""
-    p = pages(spark, sf_dir).select("page_id", "url")
+    """Every page submitted once, odd page ids a second time (a duplicate inside the batch); some are pasted
+    texts, some have no url."""
+    url = F.when(F.col("page_id") % 11 == 3, F.lit(None).cast("string")).when(F.col("page_id") % 13 == 4, F.lit("text")).otherwise(F.col("url"))
+    p = pages(spark, sf_dir).select("page_id", url.alias("url"))
     rep = p.select("page_id", "url", F.explode(F.sequence(F.lit(0), F.col("page_id") % 2)).alias("copy"))
     return rep.select((F.col("page_id") * 2 + F.col("copy")).alias("seq"), "page_id", "url")
 
@@ -73,12 +99,12 @@ def q_relocate_images(spark, sf_dir):
 
 
 def q_largest_image(spark, sf_dir):
-    return pg.largest_image(pg.page_images(pages(spark, sf_dir)), spark_empty_image_sizes(spark))
+    return pg.largest_image(pg.page_images(pages(spark, sf_dir)), image_sizes(spark, sf_dir))
 
 
 def q_page_image(spark, sf_dir):
     p = pages(spark, sf_dir)
-    return pg.page_image(pg.page_fields(p), pg.largest_image(pg.page_images(p), spark_empty_image_sizes(spark)))
+    return pg.page_image(pg.page_fields(p), pg.largest_image(pg.page_images(p), image_sizes(spark, sf_dir)))
 
 
 def q_new_urls(spark, sf_dir):
@@ -87,19 +113,12 @@ def q_new_urls(spark, sf_dir):
 
 
 def q_rejected_inputs(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    fetch = p.where(F.col("html").isNull() | (F.regexp_replace("html", "[ \\t\\n\\r]", "") == "")).select(
-        F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.lit("fetch_failed").alias("reason"))
-    text = page_text(spark, sf_dir)
-    parse = text.where(F.col("n_blocks") == 0).select(
-        F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.lit("no_main_text").alias("reason"))
-    page_unscored = scored_documents(text.where(F.col("n_blocks") > 0).select("page_id", "text"), key="page_id").where(
-        F.col("n_sentences") == 0).select(F.lit("pages").alias("source"), F.col("page_id").alias("id"),
-                                          F.lit("no_sentence").alias("reason"))
-    doc_unscored = scored_documents(documents(spark, sf_dir).select("doc_id", "text")).where(
-        F.col("n_sentences") == 0).select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"),
-                                          F.lit("no_sentence").alias("reason"))
-    return fetch.unionByName(parse).unionByName(page_unscored).unionByName(doc_unscored)
+    """Inputs that become no article, one reason each; accepted and rejected inputs are all inputs."""
+    status = pg.page_article_status(pages(spark, sf_dir), image_sizes(spark, sf_dir))
+    page = status.where("reason is not null").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "reason")
+    text = F.when(F.col("doc_id") % 19 == 7, F.lit(None).cast("string")).otherwise(F.col("text"))   # fixture: null texts
+    docs = scored_documents(documents(spark, sf_dir).select("doc_id", text.alias("text"))).where("n_sentences = 0")
+    return page.unionByName(docs.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.lit("no_sentence").alias("reason")))
 
 
 def q_assign_article_ids(spark, sf_dir):
@@ -135,7 +154,13 @@ QUERIES = {
 # ----------------------------------------------------------------------------
 
 def _pg() -> tuple[str, str]:
-    return ("pg", f"SELECT page_id, url, coalesce(html, '') AS html, {S.host('url')} AS host FROM pages")
+    head = (f"(CASE WHEN page_id % 4 = 0 THEN {S.lit(DESCRIPTION_TAG)} ELSE '' END) || "
+            f"(CASE WHEN page_id % 5 = 1 THEN {S.lit(IMAGE_TAG)} ELSE '' END) || '</head>'")
+    body = (f"(CASE WHEN page_id % 3 = 0 THEN {S.lit(WIDE)} ELSE '' END) || "
+            f"(CASE WHEN page_id % 3 = 1 THEN {S.lit(NARROW)} ELSE '' END) || '</article>'")
+    html = (f"CASE WHEN page_id % 17 = 5 THEN '' WHEN page_id % 17 = 9 THEN ' ' || chr(10) || ' ' "
+            f"ELSE replace(replace(html, '</head>', {head}), '</article>', {body}) END")
+    return ("pg", f"SELECT page_id, url, {html} AS html, {S.host('url')} AS host FROM pages")
 
 
 def _title() -> str:
@@ -195,8 +220,11 @@ def _images_ctes() -> list[tuple[str, str]]:
         ("img_list", f"SELECT page_id, url, regexp_extract_all(html, {tag_re}) AS tags FROM pg"),
         ("img", "SELECT page_id, url, tags[i] AS tag, i - 1 AS pos FROM (SELECT *, generate_subscripts(tags, 1) AS i FROM img_list) x"),
         ("img2", f"SELECT page_id, pos, {S.resolve('url', S.attr_value('tag', 'src'))} AS src, "
-                 f"coalesce({declared}, 0) AS width FROM img"),
-        ("cand", "SELECT * FROM img2 WHERE src IS NOT NULL AND width > 0"),
+                 f"coalesce({declared}, 0) AS declared, {w} IS NULL AS undeclared FROM img"),
+        ("crawled", "SELECT DISTINCT src, length(src) * 37 % 900 + 10 AS fetched FROM img2 WHERE undeclared AND src IS NOT NULL"),
+        ("img3", "SELECT i.page_id, i.pos, i.src, CAST(CASE WHEN declared <> 0 THEN declared ELSE c.fetched END AS BIGINT) AS width "
+                 "FROM img2 i LEFT JOIN crawled c ON i.src = c.src"),
+        ("cand", "SELECT * FROM img3 WHERE src IS NOT NULL AND width > 0"),
         ("largest", "SELECT page_id, src, width FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY width DESC, pos) AS rn FROM cand) x WHERE rn = 1"),
         ("maxw", "SELECT page_id, max(width) AS width FROM cand GROUP BY page_id"),
     ]
@@ -232,7 +260,8 @@ def oracle() -> dict[str, str]:
     page_rows = _page_rows_ctes()
     doc_scored = D.sql_scored_ctes()
     submissions = ("subs", "SELECT page_id * 2 + c AS seq, page_id, url FROM (SELECT page_id, url, "
-                           "unnest(generate_series(0, page_id % 2)) AS c FROM pages) x")
+                           "unnest(generate_series(0, page_id % 2)) AS c FROM (SELECT page_id, CASE WHEN page_id % 11 = 3 THEN NULL "
+                           "WHEN page_id % 13 = 4 THEN 'text' ELSE url END AS url FROM pages) y) x")
     known = ("known", f"SELECT arg_min(url, page_id) AS url FROM pages GROUP BY {S.host('url')}")
     return {
         "page_links": S.with_ctes([_pg(), ("lk", " UNION ALL ".join(links)), ("lk2", f"SELECT *, {raw_cases} AS raw FROM lk")],
@@ -247,14 +276,14 @@ def oracle() -> dict[str, str]:
                                   "FROM fields f LEFT JOIN largest l ON f.page_id = l.page_id"),
         "new_urls": S.with_ctes([submissions, known],
                                 "SELECT seq, page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM subs) x "
-                                "WHERE rn = 1 AND url NOT IN (SELECT url FROM known WHERE url <> 'text')"),
+                                "WHERE url IS NULL OR url = 'text' OR rn = 1 AND url NOT IN (SELECT url FROM known WHERE url <> 'text')"),
         "rejected_inputs": S.with_ctes(blocks + [("accepted", "SELECT page_id, text FROM ptext WHERE n_blocks > 0")]
                                        + _scored_text_ctes("accepted", "page_id") + doc_scored,
-                                       "SELECT 'pages' AS source, page_id AS id, 'fetch_failed' AS reason FROM pages "
-                                       "WHERE html IS NULL OR regexp_replace(html, '[ \\t\\n\\r]', '', 'g') = '' "
-                                       "UNION ALL SELECT 'pages', page_id, 'no_main_text' FROM ptext WHERE n_blocks = 0 "
+                                       "SELECT 'pages' AS source, page_id AS id, 'fetch_failed' AS reason FROM pages WHERE page_id % 17 IN (5, 9) "
+                                       "UNION ALL SELECT 'pages', page_id, 'no_main_text' FROM ptext WHERE n_blocks = 0 AND page_id % 17 NOT IN (5, 9) "
                                        "UNION ALL SELECT 'pages', a.page_id, 'no_sentence' FROM accepted a ANTI JOIN t_means m ON a.page_id = m.page_id "
-                                       "UNION ALL SELECT 'documents', d.doc_id, 'no_sentence' FROM documents d ANTI JOIN doc_means m ON d.doc_id = m.doc_id"),
+                                       "UNION ALL SELECT 'documents', d.doc_id, 'no_sentence' FROM documents d LEFT JOIN doc_means m ON d.doc_id = m.doc_id "
+                                       "WHERE m.doc_id IS NULL OR d.doc_id % 19 = 7"),
         "assign_article_ids": S.with_ctes(page_rows, "SELECT row_number() OVER (ORDER BY page_id) - 1 AS article_id, page_id, url FROM rows"),
         "union_articles": S.with_ctes(
             D.sql_catalog_ctes() + page_rows,

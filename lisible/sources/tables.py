@@ -137,9 +137,3 @@ def model_registry(spark: SparkSession, path: str) -> DataFrame:
     order = F.size(F.filter(F.sort_array("_files"), lambda f: f < F.col("file_name"))).cast("int")
     files = before.agg(F.collect_set("_f").alias("_files")).scalar()
     return latest.withColumn("_files", files).withColumn("registry_order", order).drop("_files")
-
-
-def spark_empty_image_sizes(spark: SparkSession) -> DataFrame:
-    """Crawl-time image widths ``(src, width)``; no crawl table ships with the inputs, so empty."""
-    from lisible.operators.pages import IMAGE_SIZES_SCHEMA
-    return spark.createDataFrame([], IMAGE_SIZES_SCHEMA)
