@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lisible.functions.urls import resolve
+
 WSC = "[ \\t\\n\\r]"
 
 # --- fixed values: named entities decoded (``&amp;`` last) --------------------
@@ -45,9 +47,11 @@ H1 = "(?is)<h1(?:" + WSC + "[^>]*)?>(.*?)</h1" + WSC + "*>"
 META_TEMPLATE = "(?is)<meta" + WSC + "[^>]*(?:name|property)" + WSC + "*=" + WSC + "*[\"'](?:%s)[\"'][^>]*>"
 META_DESCRIPTION = META_TEMPLATE % "description|og:description"
 META_IMAGE = META_TEMPLATE % "og:image"
-IMG_ALT_SRC = "(?is)<img" + WSC + "[^>]*?alt=\"([^\"]*)\"[^>]*?src=\"([^\"]*)\"[^>]*>"
-IMG_SRC_ALT = "(?is)<img" + WSC + "[^>]*?src=\"([^\"]*)\"[^>]*?alt=\"([^\"]*)\"[^>]*>"
-IMG_SRC = "(?is)<img" + WSC + "[^>]*?src=\"([^\"]*)\"[^>]*>"
+LINK_CLOSE = "</a" + WSC + "*>"
+LINK_INNER = "(?is)^(.*?)" + LINK_CLOSE
+# emphasis around plain text; its ends keep their blanks outside the marks
+BOLD = "(?i)<(?:b|strong)(?:" + WSC + "[^>]*)?>" + WSC + "*([^< \\t\\n\\r](?:[^<]*[^< \\t\\n\\r])?)" + WSC + "*</(?:b|strong)" + WSC + "*>"
+ITALIC = "(?i)<(?:i|em)(?:" + WSC + "[^>]*)?>" + WSC + "*([^< \\t\\n\\r](?:[^<]*[^< \\t\\n\\r])?)" + WSC + "*</(?:i|em)" + WSC + "*>"
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
 
@@ -108,17 +112,38 @@ def page_title_raw(html: Column) -> Column:
     return F.coalesce(t, h1)
 
 
-def images_to_markdown(c: Column) -> Column:
-    """Inline ``<img>`` tags become Markdown images in place (alt text kept)."""
-    c = F.regexp_replace(c, IMG_ALT_SRC, " ![$1]($2) ")
-    c = F.regexp_replace(c, IMG_SRC_ALT, " ![$2]($1) ")
-    return F.regexp_replace(c, IMG_SRC, " ![]($1) ")
+def _rewrite_tags(c: Column, tag: str, rewrite) -> Column:
+    """``rewrite(tag, text up to the next such tag)`` in place of each tag and the text that follows it."""
+    parts = F.split(c, tag_pattern(tag), -1)
+    tags = F.regexp_extract_all(c, F.lit(tag_pattern(tag)), 0)
+    return F.concat(parts[0], F.array_join(F.zip_with(tags, F.slice(parts, F.lit(2), F.size(parts)), rewrite), ""))
+
+
+def images_to_markdown(c: Column, url: Column) -> Column:
+    """``<img>`` tags become Markdown images in place, alt text kept, source absolute; any quoting of attributes."""
+    def image(t, rest):
+        src = resolve(url, attr_value(t, "src"))
+        return F.concat(F.when(src.isNull(), F.lit(" ")).otherwise(F.concat(
+            F.lit(" !["), F.coalesce(attr_value(t, "alt"), F.lit("")), F.lit("]("), src, F.lit(") "))), rest)
+    return _rewrite_tags(c, "img", image)
+
+
+def links_to_markdown(c: Column, url: Column) -> Column:
+    """``<a href>`` with a text inside the block becomes ``[text](absolute url)``; others stay as they are."""
+    def link(t, rest):
+        target = resolve(url, attr_value(t, "href"))
+        inner = F.regexp_replace(F.regexp_extract(rest, LINK_INNER, 1), TRIM, "")
+        is_link = target.isNotNull() & (clean_text(inner) != "")
+        return F.when(is_link, F.concat(F.lit("["), inner, F.lit("]("), target, F.lit(")"), F.regexp_replace(rest, LINK_INNER, ""))).otherwise(rest)
+    return _rewrite_tags(c, "a", link)
+
+
+def emphasis_to_markdown(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, BOLD, "**$1**"), ITALIC, "*$1*")
 
 
-def block_html(html: Column) -> Column:
-    """array<string>: raw HTML of each block, in page order (heading level marked)."""
-    body = F.regexp_replace(html, NOISE, " ")
-    body = images_to_markdown(body)
+def block_html(body: Column) -> Column:
+    """array<string>: raw HTML of each block of a page body without noise, in page order (heading level marked)."""
     body = F.regexp_replace(body, HEADING_OPEN, BLOCK_MARK + "$1" + HEADING_MARK)
     body = F.regexp_replace(body, BLOCK_TAG, BLOCK_MARK)
     return F.split(body, BLOCK_MARK)

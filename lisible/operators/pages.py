@@ -117,7 +117,7 @@ def page_image(fields: DataFrame, largest: DataFrame, compat: bool = False) -> D
     return j.select("page_id", chosen.alias("image"))
 
 
-def _block(b: Column, i: Column) -> Column:
+def _block(b: Column, i: Column, url: Column) -> Column:
     level = F.regexp_extract(b, HEADING_PREFIX, 1)
     body = F.regexp_replace(b, HEADING_PREFIX, "")
     link_text = H.clean_text(F.array_join(F.regexp_extract_all(body, F.lit(H.LINK_TEXT), 1), " "))
@@ -126,13 +126,20 @@ def _block(b: Column, i: Column) -> Column:
         F.when(level == "", F.lit(0)).otherwise(level.cast("int")).alias("level"),
         H.clean_text(body).alias("text"),
         F.length(link_text).alias("link_chars"),
+        H.clean_text(H.emphasis_to_markdown(H.links_to_markdown(body, url))).alias("md"),
     )
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Adds ``blocks``: array<struct<pos, level, text, link_chars>> of non-empty blocks in page order."""
-    blocks = F.transform(H.block_html(F.col("html")), _block)
-    return pages.withColumn("blocks", F.filter(blocks, lambda b: b["text"] != ""))
+    """Adds ``blocks``: array<struct<pos, level, text, link_chars, md>> of non-empty blocks in page order.
+
+    ``text`` is plain (it tells templates and link density), ``md`` keeps links, images and emphasis.
+    """
+    url = F.col("url")
+    body = pages.withColumn("_body", F.regexp_replace("html", H.NOISE, " "))
+    body = body.withColumn("_body", H.images_to_markdown(F.col("_body"), url))
+    blocks = F.transform(H.block_html(F.col("_body")), lambda b, i: _block(b, i, url))
+    return body.withColumn("blocks", F.filter(blocks, lambda b: b["text"] != "")).drop("_body")
 
 
 def block_statistics(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,7 +174,7 @@ def template_keys(blocks: DataFrame | None = None, per_key: DataFrame | None = N
 
 def _markdown_block(b: Column) -> Column:
     prefix = F.when(b["level"] > 0, F.concat(F.repeat(F.lit("#"), b["level"]), F.lit(" "))).otherwise(F.lit(""))
-    return F.concat(prefix, b["text"])
+    return F.concat(prefix, b["md"])
 
 
 def page_main_text(pages: DataFrame, statistics=None, carry: list[str] | None = None) -> DataFrame:

@@ -29,7 +29,8 @@ NN = "chr(10) || chr(10)"
 DESCRIPTION_TAG = "<meta name=\"description\" content=\"About page &amp; more\">"
 IMAGE_TAG = "<meta property='og:image' content='/og.png'>"
 WIDE = "<p><img src=\"/wide.png\" alt=\"Wide one\" width=\"640\"> seen here.</p>"
-NARROW = "<p><img width='90' src='img/narrow.png'>Small.</p><p>And <img src=bare.png> too.</p>"
+NARROW = ("<p><img width='90' src='img/narrow.png'>Small.</p><p>And <img src=bare.png> too, see "
+          "<a class=x href='../more?a=1&amp;b=2'> the <i>rest</i> </a> of <strong> it all </strong>.</p>")
 
 
 def pages(spark, sf_dir) -> DataFrame:
@@ -182,19 +183,32 @@ def _fields() -> tuple[str, str]:
 
 def _blocks_ctes() -> list[tuple[str, str]]:
     bm, hm = "chr(57346)", "chr(57347)"
-    body = f"regexp_replace(html, {S.lit(H.NOISE)}, ' ', 'g')"
-    body = f"regexp_replace({body}, {S.lit(H.IMG_ALT_SRC)}, ' ![\\1](\\2) ', 'g')"
-    body = f"regexp_replace({body}, {S.lit(H.IMG_SRC_ALT)}, ' ![\\2](\\1) ', 'g')"
-    body = f"regexp_replace({body}, {S.lit(H.IMG_SRC)}, ' ![](\\1) ', 'g')"
+
+    def rewritten(text: str, tag: str, one: str) -> str:
+        """Tags of one kind in ``text`` replaced, each with the text after it: ``one`` over t and rest."""
+        tags, parts = f"regexp_extract_all({text}, {S.lit(H.tag_pattern(tag))})", f"regexp_split_to_array({text}, {S.lit(H.tag_pattern(tag))})"
+        each = f"list_transform(list_zip({tags}, ({parts})[2:]), lambda z: {one.replace('@t', 'z[1]').replace('@rest', 'z[2]')})"
+        return f"(({parts})[1] || array_to_string({each}, ''))"
+
+    src = S.resolve("url", S.attr_value("@t", "src"))
+    image = (f"(CASE WHEN {src} IS NULL THEN ' ' ELSE ' ![' || coalesce({S.attr_value('@t', 'alt')}, '') || '](' || {src} || ') ' END) || @rest")
+    target = S.resolve("url", S.attr_value("@t", "href"))
+    inner = f"regexp_replace(regexp_extract(@rest, {S.lit(H.LINK_INNER)}, 1), {S.lit(H.TRIM)}, '', 'g')"
+    link = (f"CASE WHEN {target} IS NOT NULL AND {S.clean_text(inner)} <> '' THEN '[' || {inner} || '](' || {target} || ')' || "
+            f"regexp_replace(@rest, {S.lit(H.LINK_INNER)}, '') ELSE @rest END")
+    md = rewritten("body", "a", link)
+    md = f"regexp_replace(regexp_replace({md}, {S.lit(H.BOLD)}, '**\\1**', 'g'), {S.lit(H.ITALIC)}, '*\\1*', 'g')"
+    body = rewritten("quiet", "img", image)
     body = f"regexp_replace({body}, {S.lit(H.HEADING_OPEN)}, {bm} || '\\1' || {hm}, 'g')"
     body = f"regexp_replace({body}, {S.lit(H.BLOCK_TAG)}, {bm}, 'g')"
     prefix = "'^([1-6])' || " + hm
     return [
-        ("raw", f"SELECT page_id, url, host, string_split({body}, {bm}) AS bl FROM pg"),
+        ("calm", f"SELECT page_id, url, host, regexp_replace(html, {S.lit(H.NOISE)}, ' ', 'g') AS quiet FROM pg"),
+        ("raw", f"SELECT page_id, url, host, string_split({body}, {bm}) AS bl FROM calm"),
         ("ub", "SELECT page_id, url, host, bl[i] AS b, i - 1 AS pos FROM (SELECT *, generate_subscripts(bl, 1) AS i FROM raw) x"),
         ("ub2", f"SELECT *, regexp_extract(b, {prefix}, 1) AS lvl, regexp_replace(b, {prefix}, '') AS body FROM ub"),
         ("blk", "SELECT page_id, url, host, pos, CASE WHEN lvl = '' THEN 0 ELSE CAST(lvl AS INTEGER) END AS level, "
-                f"{S.clean_text('body')} AS text, "
+                f"{S.clean_text('body')} AS text, {S.clean_text(md)} AS md, "
                 f"length({S.clean_text(f'array_to_string(regexp_extract_all(body, {S.lit(H.LINK_TEXT)}, 1), {S.lit(chr(32))})')}) AS link_chars FROM ub2"),
         ("nb", "SELECT * FROM blk WHERE text <> ''"),
         ("per_key", "SELECT host, text, count(DISTINCT page_id) AS n_pages FROM nb GROUP BY host, text"),
@@ -203,7 +217,7 @@ def _blocks_ctes() -> list[tuple[str, str]]:
                  f"WHERE h.host_pages >= {pg.TEMPLATE_MIN_PAGES} AND k.n_pages >= h.host_pages * {pg.TEMPLATE_SHARE}"),
         ("kept_blocks", f"SELECT nb.* FROM nb ANTI JOIN tmpl ON nb.host = tmpl.host AND nb.text = tmpl.text "
                  f"WHERE NOT (nb.link_chars > length(nb.text) * {pg.LINK_DENSITY_MAX})"),
-        ("main_agg", "SELECT page_id, string_agg(CASE WHEN level > 0 THEN repeat('#', level) || ' ' ELSE '' END || text, "
+        ("main_agg", "SELECT page_id, string_agg(CASE WHEN level > 0 THEN repeat('#', level) || ' ' ELSE '' END || md, "
                      f"{NN} ORDER BY pos) AS main_text, count(*) AS n_blocks FROM kept_blocks GROUP BY page_id"),
         ("main", "SELECT pg.page_id, pg.url, pg.host, coalesce(m.main_text, '') AS main_text, "
                  "CAST(coalesce(m.n_blocks, 0) AS BIGINT) AS n_blocks FROM pg LEFT JOIN main_agg m ON pg.page_id = m.page_id"),

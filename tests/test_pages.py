@@ -91,3 +91,30 @@ def test_page_article_rows_with_crawled_widths(spark):
     without = {r["page_id"]: r["image"] for r in pg.page_article_rows(p).collect()}
     assert with_sizes == {1: "https://h.example/w.png", 2: "https://h.example/v.png"}
     assert without == {1: DEFAULT_IMAGE, 2: "https://h.example/v.png"}
+
+
+def test_main_text_keeps_links_images_and_emphasis(spark):
+    from lisible.operators.pages import page_main_text
+    html = ("<body><p>See <a href='/x?a=1&amp;b=2'>the <b>page</b></a>, <img src=a.png alt='An image'> and <em> more </em> here.</p>"
+            "<p><a name=\"n\">anchor</a> with <a href=\"y\"></a> nothing <img alt=\"no source\"> else <b></b>.</p><a href='z'><p>Split link.</p></a></body>")
+    rows = [(1, "http://h.example/d/p.html", html), (2, None, "<p>No url <a href='x'>y</a> at all, really.</p>"), (3, "http://h.example/", None), (4, "http://h.example/", " ")]
+    got = {r["page_id"]: r for r in page_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1]["main_text"].split("\n\n") == [
+        "See [the **page**](http://h.example/x?a=1&b=2), ![An image](http://h.example/d/a.png) and *more* here.",
+        "anchor with nothing else .", "Split link."]
+    assert got[2]["n_blocks"] == 1 and got[3]["n_blocks"] == got[4]["n_blocks"] == 0
+
+
+def test_accepted_and_rejected_pages_are_all_pages(spark):
+    from lisible.operators.pages import page_article_status
+    rows = [(1, "http://h.example/a", "<p>A sentence here.</p>"), (2, "http://h.example/b", None), (3, None, "\n "), (4, None, "<script>x</script>"),
+            (5, "u", "<p>" + "long " * 3000 + "</p>"), (6, "text", "<p>Fine.</p>")]
+    got = {r["page_id"]: r["reason"] for r in page_article_status(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: None, 2: "fetch_failed", 3: "fetch_failed", 4: "no_main_text", 5: "no_sentence", 6: None}
+
+
+def test_pasted_texts_and_missing_urls_are_no_duplicates(spark):
+    from lisible.operators.catalog import new_urls
+    batch = spark.createDataFrame([(1, "text"), (2, "text"), (3, None), (4, None), (5, "http://a"), (6, "http://a"), (7, "http://b")], "page_id long, url string")
+    known = spark.createDataFrame([("http://b",), ("text",), (None,)], "url string")
+    assert sorted(r["page_id"] for r in new_urls(batch, known).collect()) == [1, 2, 3, 4, 5]
