@@ -409,7 +409,7 @@ def stored_ordinals(versions: DataFrame) -> DataFrame:
     return ordinal_within(versions, "article_id", "seq", name="simplification_id")
 
 
-def pending_simplifications(requests: DataFrame, stored: DataFrame, default_model: Column) -> DataFrame:
+def pending_simplifications(requests: DataFrame, stored: DataFrame, default_model: Column, counted: bool = False) -> DataFrame:
     """Missing ordinals of every article, as rows to create; requests are served in the order of ``seq``.
 
     A request for ordinal ``n`` of an article that has ``count`` versions makes
@@ -419,11 +419,12 @@ def pending_simplifications(requests: DataFrame, stored: DataFrame, default_mode
     ``n`` the first to arrive, and the ordinals from the highest ``n`` before it
     on. Requests are reduced to one per (article, n) before anything is
     expanded, and every missing ordinal is expanded once. Negative or null
-    ``n`` is rejected.
+    ``n`` is rejected. ``stored`` has a row per version, or with ``counted`` a
+    row (article_id, _count) per article.
     """
     first = requests.where(F.col("n") >= 0).groupBy("article_id", F.col("n").cast("bigint").alias("n")).agg(
         F.min(F.struct("seq", "resolved_model")).alias("_r"))
-    counts = stored.groupBy("article_id").agg(F.count(F.lit(1)).alias("_count"))
+    counts = stored if counted else stored.groupBy("article_id").agg(F.count(F.lit(1)).alias("_count"))
     r = first.join(counts, "article_id", "left").select(
         "article_id", "n", F.col("_r.seq").alias("seq"), F.col("_r.resolved_model").alias("resolved_model"),
         F.coalesce(F.col("_count"), F.lit(0)).cast("bigint").alias("_count"))

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from lisible.constants import LEVELS
 from lisible.operators.catalog import assign_dense_ids, new_urls
-from lisible.operators.pages import page_article_rows
 
 PAGES_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -52,48 +51,78 @@ def _write_partition(df: DataFrame, path: str, epoch_id: int) -> None:
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
 
+def latest_snapshot(spark: SparkSession, path: str, schema: T.StructType, epoch_id: int) -> DataFrame:
+    """The newest totals before this epoch: one snapshot, however many batches there were."""
+    from lisible.sources.tables import scan_or_empty
+    all_ = scan_or_empty(spark, path, schema)
+    newest = all_.where(F.col("batch") < epoch_id).agg(F.max("batch")).first()[0]   # partition values only
+    return all_.where(F.col("batch") == F.lit(-1 if newest is None else newest))
+
+
 def _cumulative_statistics(spark: SparkSession, blocks: DataFrame, state: str, epoch_id: int):
-    """Block statistics of this batch written as its own partition, summed with all earlier batches."""
+    """Block statistics of all batches so far: the last snapshot of totals plus this batch, written as the next one."""
     from lisible.operators.pages import block_statistics
-    from lisible.sources.tables import scan_or_empty
     per_key, per_host = block_statistics(blocks)
-    _write_partition(per_key, f"{state}/blocks", epoch_id)
-    _write_partition(per_host, f"{state}/hosts", epoch_id)
-    keys = scan_or_empty(spark, f"{state}/blocks", BLOCK_STATS_SCHEMA).where(F.col("batch") <= epoch_id)
-    hosts = scan_or_empty(spark, f"{state}/hosts", HOST_STATS_SCHEMA).where(F.col("batch") <= epoch_id)
-    return (keys.groupBy("host", "key").agg(F.sum("n_pages").alias("n_pages")),
-            hosts.groupBy("host").agg(F.sum("host_pages").alias("host_pages")))
+    out = []
+    for name, new, keys, value, schema in (("blocks", per_key, ["host", "key"], "n_pages", BLOCK_STATS_SCHEMA),
+                                           ("hosts", per_host, ["host"], "host_pages", HOST_STATS_SCHEMA)):
+        before = latest_snapshot(spark, f"{state}/{name}", schema, epoch_id).drop("batch")
+        total = new.unionByName(before).groupBy(*keys).agg(F.sum(value).alias(value))
+        _write_partition(total, f"{state}/{name}", epoch_id)
+        out.append(spark.read.schema(schema).parquet(f"{state}/{name}").where(F.col("batch") == epoch_id).drop("batch"))
+    return tuple(out)
+
+
+REJECTED_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
+                                T.StructField("reason", T.StringType()), T.StructField("batch", T.LongType())])
 
 
 def ingest_batch(batch: DataFrame, epoch_id: int, sink: str, image_sizes: DataFrame | None = None) -> None:
-    """One micro-batch. Template statistics are cumulative over all batches so far
-    (state kept next to the sink as per-batch count partitions)."""
+    """One micro-batch: accepted pages go to ``sink``, the others with their reason to ``{sink}_rejected``.
+
+    Template statistics are cumulative over all batches so far; the state
+    next to the sink is one snapshot of totals per batch, of which a batch
+    reads the last one only. Pages whose URL is known already are
+    rejected as ``known_url``, so accepted and rejected pages are all pages.
+    """
+    from lisible.operators.pages import page_article_status
+    from lisible.session import materialize
     spark = batch.sparkSession
     committed = _committed(spark, sink, epoch_id)
-    fresh = new_urls(batch.select("page_id", "url", "html"), committed, order_by="page_id")
+    pages = batch.select("page_id", "url", "html")
+    fresh = new_urls(pages, committed.select("url"), order_by="page_id")
     stats = lambda blocks: _cumulative_statistics(spark, blocks, f"{sink}_state", epoch_id)
-    rows = page_article_rows(fresh, image_sizes, statistics=stats)
+    status = materialize(page_article_status(fresh, image_sizes, statistics=stats), "ingest-status")
+    known = pages.select("page_id", "url").join(status.select(F.col("page_id").alias("_p")), F.col("page_id").eqNullSafe(F.col("_p")), "left_anti") \
+        .withColumn("reason", F.lit("known_url"))
+    _write_partition(status.where("reason is not null").select("page_id", "url", "reason").unionByName(known), f"{sink}_rejected", epoch_id)
     next_id = committed.agg(F.coalesce(F.max("article_id") + 1, F.lit(0).cast("bigint")))
-    with_ids = assign_dense_ids(rows, "page_id", base=next_id)
-    (with_ids.withColumn("batch", F.lit(epoch_id).cast("bigint"))
-     .select(*[f.name for f in CATALOG_SCHEMA.fields])
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch").parquet(sink))
+    with_ids = assign_dense_ids(status.where("reason is null").drop("reason"), "page_id", base=next_id)
+    _write_partition(with_ids.select(*[f.name for f in CATALOG_SCHEMA.fields if f.name != "batch"]), sink, epoch_id)
 
 
 def start_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                 files_per_trigger: int = 1, available_now: bool = True, glob: str | None = None):
-    """Start the stream ``source`` (folder of parquet pages) → catalog ``sink``; returns the StreamingQuery."""
+                 files_per_trigger: int = 1, available_now: bool = True, glob: str | None = None,
+                 image_sizes: DataFrame | None = None):
+    """Start the stream ``source`` (folder of parquet pages) → catalog ``sink``; returns the StreamingQuery.
+
+    ``image_sizes(src, width)`` holds crawled widths of images that declare none.
+    """
     reader = spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.parquet(source)
-    writer = (stream.writeStream.foreachBatch(lambda df, epoch: ingest_batch(df, epoch, sink))
+    writer = (stream.writeStream.foreachBatch(lambda df, epoch: ingest_batch(df, epoch, sink, image_sizes))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
 
+def read_rejected(spark: SparkSession, sink: str) -> DataFrame:
+    from lisible.sources.tables import scan_or_empty
+    return scan_or_empty(spark, f"{sink}_rejected", REJECTED_SCHEMA)
+
+
 def read_catalog(spark: SparkSession, sink: str) -> DataFrame:
     from lisible.sources.tables import scan_or_empty
     return scan_or_empty(spark, sink, CATALOG_SCHEMA)

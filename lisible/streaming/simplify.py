@@ -2,8 +2,8 @@
 
 Requests ``(article_id, n, model, seq)`` arrive as files; ``seq`` is their order. Each micro-batch
 resolves the model, works out which ordinals are missing given what is
-already stored (earlier batches plus the initial version table), creates
-them from the original article text, re-scores them and writes them as the
+already stored (version counts per article: one snapshot of totals per batch,
+of which a batch reads the last one), creates them from the original article text, re-scores them and writes them as the
 batch's own partition — idempotent under replay like the ingest stream.
 """
 
@@ -33,27 +33,32 @@ VERSION_SCHEMA = T.StructType([
 ] + [T.StructField(lv, T.DoubleType()) for lv in LEVELS] + [T.StructField("batch", T.LongType())])
 
 
+COUNT_SCHEMA = T.StructType([T.StructField("article_id", T.LongType()), T.StructField("_count", T.LongType()), T.StructField("batch", T.LongType())])
+
+
 def simplify_batch(batch: DataFrame, epoch_id: int, sink: str, articles: DataFrame, initial: DataFrame,
                    registry: DataFrame) -> None:
-    from lisible.sources.tables import scan_or_empty
+    from lisible.streaming.ingest import _write_partition, latest_snapshot
     spark = batch.sparkSession
-    earlier = scan_or_empty(spark, sink, VERSION_SCHEMA).where(F.col("batch") < epoch_id)
-    stored = initial.select("article_id", "simplification_id").unionByName(
-        earlier.select("article_id", "simplification_id"))
+    state = f"{sink}_state"
+    # versions per article so far: the last snapshot of totals (before the first batch: the initial table)
+    before = latest_snapshot(spark, state, COUNT_SCHEMA, epoch_id).drop("batch")
+    if before.isEmpty():
+        before = initial.groupBy("article_id").agg(F.count(F.lit(1)).alias("_count"))
     default = sp.default_model(registry)
     ok = sp.resolve_model(batch, registry, default=default).where(F.col("model_status") == "ok")
     resolved = salted_join(ok, articles.select("article_id"), ["article_id"], "left_semi", salt_from=["seq"])
-    todo = sp.pending_simplifications(resolved, stored, default)
+    todo = sp.pending_simplifications(resolved, before, default, counted=True)
     rows = sp.simplify_and_rescore(todo, articles)
-    (rows.withColumn("batch", F.lit(epoch_id).cast("bigint"))
-     .select(*[f.name for f in VERSION_SCHEMA.fields])
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch").parquet(sink))
+    _write_partition(rows.select(*[f.name for f in VERSION_SCHEMA.fields if f.name != "batch"]), sink, epoch_id)
+    made = spark.read.schema(VERSION_SCHEMA).parquet(sink).where(F.col("batch") == epoch_id)
+    new = made.groupBy("article_id").agg(F.count(F.lit(1)).alias("_count"))
+    _write_partition(before.unionByName(new).groupBy("article_id").agg(F.sum("_count").alias("_count")), state, epoch_id)
 
 
 def start_simplify(spark: SparkSession, source: str, sink: str, checkpoint: str, articles: DataFrame,
-                   initial: DataFrame, registry: DataFrame, available_now: bool = True):
-    stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(source)
+                   initial: DataFrame, registry: DataFrame, available_now: bool = True, files_per_trigger: int = 64):
+    stream = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     writer = (stream.writeStream
               .foreachBatch(lambda df, epoch: simplify_batch(df, epoch, sink, articles, initial, registry))
               .option("checkpointLocation", checkpoint))

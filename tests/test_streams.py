@@ -79,3 +79,25 @@ def test_simplify_stream_two_batches_and_replay(spark):
     # article 0 already has 0 (initial) and 1 (batch 1): only 2 is new; article 1 ordinal 0 exists
     assert second == sorted(first + [(0, 2, "rule-rewrite-keep:v1")])
     assert run() == second   # replay with the same checkpoint: nothing new
+
+
+def test_state_read_per_batch_does_not_grow(spark):
+    """Five batches over the same blocks: every batch reads one snapshot of the same size, and rejects add up."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from lisible.streaming.ingest import BLOCK_STATS_SCHEMA, latest_snapshot, read_rejected
+    src = tempfile.mkdtemp(prefix="lisible-src-")
+    base = scratch_path(spark, "test-state")
+    for n in range(5):
+        rows = [(10 * n + i, f"https://one.example/{10 * n + i}", None if i == 2 else "<body><div>Join us</div><p>The same story.</p></body>") for i in range(4)]
+        rows.append((10 * n + 9, "https://one.example/0", "<p>Known url.</p>"))
+        pq.write_table(pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": pa.array([r[2] for r in rows], pa.string())}), os.path.join(src, f"{n}.parquet"))
+        start_ingest(spark, src, f"{base}/catalog", f"{base}/ckpt").awaitTermination()
+    sizes = [latest_snapshot(spark, f"{base}/catalog_state/blocks", BLOCK_STATS_SCHEMA, e).count() for e in range(1, 6)]
+    assert sizes == [2] * 5
+    total = latest_snapshot(spark, f"{base}/catalog_state/blocks", BLOCK_STATS_SCHEMA, 5)
+    assert {r["n_pages"] for r in total.collect()} == {15}
+    accepted = [r["page_id"] for r in read_catalog(spark, f"{base}/catalog").collect()]
+    rejected = {r["page_id"]: r["reason"] for r in read_rejected(spark, f"{base}/catalog").collect()}
+    assert sorted(accepted + list(rejected)) == sorted(10 * n + i for n in range(5) for i in (0, 1, 2, 3, 9))
+    assert {rejected[10 * n + 2] for n in range(5)} == {"fetch_failed"} and rejected[19] == "known_url"
