@@ -13,48 +13,62 @@ from lisible.operators.scoring import DEFAULT_SCORER, Scorer, scored_documents
 
 
 def assign_dense_ids(df: DataFrame, order_by, id_col: str = "article_id",
-                     base: int | DataFrame = 0, partitions: int | None = None) -> DataFrame:
+                     base: int | DataFrame = 0, partitions: int | None = None, key: list[str] | None = None) -> DataFrame:
     """Dense 0-based ids in ``order_by`` order, offset by ``base``, without a global window.
 
-    ``order_by`` is a column name or a list of names/Columns that together
-    are unique. The input is written once (so the range sampler reads rows
-    instead of recomputing the upstream plan), then range-partitioned on the
-    key and sorted inside each partition; partition id and position are recorded as columns and the
-    rows are written once as a table in the shared checkpoint folder, which
-    cuts the lineage (a retried task reproduces the same positions: the
-    shuffle output and the sort on a unique key are fixed). Per-partition
-    counts — one row per partition, bounded by the partition count — become
-    running offsets, computed once and joined back as a small local table.
+    ``order_by`` is a column name or a list of names/Columns; ``key`` names the
+    columns they are made of (by default the names in ``order_by``). The input
+    is written once (so neither the range sampler nor the join below
+    recomputes the upstream plan); only its key columns are range-partitioned
+    and sorted. Partition id and position of the keys are written as a narrow
+    table in the shared checkpoint folder, which cuts the lineage (a retried
+    task reproduces the same positions: the shuffle output and the sort on
+    the key are fixed). Per-partition counts (one row per partition, bounded
+    by the partition count) become running offsets, joined back as a small
+    local table, and the ids meet the payload in one join on the key. Rows
+    that share a key (repeated rows) get an id each.
     ``base`` may be an int or a one-row DataFrame holding the next free id
     (committed maximum plus one).
     """
     from lisible.session import materialize, scratch_path
     spark = df.sparkSession
-    keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
-    # range partitioning samples its input in a separate job; reading a written copy keeps that
-    # sample from re-running an expensive upstream plan (scoring, encoding)
-    df = materialize(df, "dense-ids-input")
+    order = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
+    key = list(key) if key is not None else [k for k in order if isinstance(k, str)]
+    payload = [c for c in df.columns if c not in key]
+    # equal keys are told apart by the rest of their rows
+    twin = F.xxhash64(*payload) if payload else F.lit(0).cast("bigint")
+    df = materialize(df.withColumn("_twin", twin), "dense-ids-input")
+    keys = df.groupBy(*key, "_twin").agg(F.count(F.lit(1)).alias("_times"))
+    by = [*order, "_twin"]
     # without an explicit count AQE may coalesce small range partitions; ids only
     # depend on the partition ids seen by the single write job below
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    ranked = ranged.sortWithinPartitions(*keys)
+    ranged = keys.repartitionByRange(partitions, *by) if partitions else keys.repartitionByRange(*by)
+    ranked = ranged.sortWithinPartitions(*by)
     ranked = ranked.withColumn("_part", F.spark_partition_id()).withColumn(
         "_mono", F.monotonically_increasing_id())
     path = scratch_path(spark, "dense-ids")
     ranked.write.parquet(path)
     stable = spark.read.parquet(path)
     # one row per partition (bounded by the partition count): computed once, joined back as a local table
-    counts = sorted(tuple(r) for r in stable.groupBy("_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first")).collect())
+    counts = sorted(tuple(r) for r in stable.groupBy("_part").agg(F.sum("_times"), F.min("_mono")).collect())
     start = int(base.first()[0] or 0) if isinstance(base, DataFrame) else int(base)
-    deltas, running = [], start
+    shifts, running = [], start
     for part, size, first in counts:
-        deltas.append((int(part), running - int(first)))
+        shifts.append((int(part), running, int(first)))
         running += int(size)
-    shift = spark.createDataFrame(deltas, "_part int, _delta bigint")
-    out = stable.join(F.broadcast(shift), "_part")
-    out = out.withColumn(id_col, (F.col("_mono") + F.col("_delta")).cast("bigint"))
-    return out.drop("_part", "_mono", "_delta")
+    shift = spark.createDataFrame(shifts, "_part int, _start bigint, _first bigint")
+    ids = stable.join(F.broadcast(shift), "_part")
+    ids = ids.withColumn("_id", F.col("_start") + F.col("_mono") - F.col("_first"))
+    if not stable.where("_times > 1").isEmpty():   # rows repeated in full: each takes an id of its own
+        earlier = Window.partitionBy("_part").orderBy("_mono").rowsBetween(Window.unboundedPreceding, -1)
+        ids = ids.withColumn("_id", F.col("_id") + F.coalesce(F.sum(F.col("_times") - 1).over(earlier), F.lit(0)))
+        ids = ids.withColumn("_id", F.explode(F.sequence(F.col("_id"), F.col("_id") + F.col("_times") - 1)))
+        df = df.dropDuplicates([*key, "_twin"])
+    narrow = ids.select(*[F.col(k).alias(f"_key_{k}") for k in key], F.col("_twin").alias("_key_twin"), F.col("_id").cast("bigint").alias(id_col))
+    if not payload:
+        return narrow.select(*[F.col(f"_key_{k}").alias(k) for k in key], id_col)
+    on = [df[k].eqNullSafe(narrow[f"_key_{k}"]) for k in key] + [df["_twin"] == narrow["_key_twin"]]
+    return df.join(narrow, on).select(*key, *payload, id_col)
 
 
 def ordinal_within(df: DataFrame, group: str, order_by, name: str = "ordinal") -> DataFrame:

@@ -128,7 +128,7 @@ def vocabulary(texts: DataFrame, text: str = "formatted_chat") -> DataFrame:
     """``(token, n, token_id)``: ids by descending frequency then token, after the reserved ids."""
     toks = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = assign_dense_ids(counts, [F.col("n").desc(), F.col("token")], id_col="token_id", base=FIRST_VOCAB_ID)
+    ranked = assign_dense_ids(counts, [F.col("n").desc(), F.col("token")], id_col="token_id", base=FIRST_VOCAB_ID, key=["n", "token"])
     return ranked.select("token", "n", "token_id")
 
 
@@ -543,7 +543,7 @@ def template_vocabulary(levels: DataFrame) -> DataFrame:
     const_df = spark.createDataFrame(sorted(const.items()), "token string, per_prompt bigint").select(
         "token", (F.col("per_prompt") * n_prompts).alias("n"))
     counts = var_counts.unionByName(const_df).groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
-    ranked = assign_dense_ids(counts, [F.col("n").desc(), F.col("token")], id_col="token_id", base=FIRST_VOCAB_ID)
+    ranked = assign_dense_ids(counts, [F.col("n").desc(), F.col("token")], id_col="token_id", base=FIRST_VOCAB_ID, key=["n", "token"])
     return ranked.select("token", "n", "token_id")
 
 

@@ -189,8 +189,16 @@ def q_learn_abbreviations(spark, sf_dir):
     return sn.learn_abbreviations(documents(spark, sf_dir))
 
 
+def q_sentences_learned(spark, sf_dir):
+    """Sentences split with the abbreviations that the corpus itself teaches."""
+    docs = documents(spark, sf_dir)
+    t = sn.sentences_with_learned(docs, sn.learn_abbreviations(docs))
+    return t.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
+
+
 QUERIES = {
     "sentences": q_sentences,
+    "sentences_learned": q_sentences_learned,
     "token_counts": q_token_counts,
     "short_sentences": q_short_sentences,
     "sentence_difficulty": q_sentence_difficulty,
@@ -236,8 +244,8 @@ def oracle() -> dict[str, str]:
     sc = sql_scored_ctes()
     cc = sql_catalog_ctes()
     lix = S.lix_probability_ctes("short")
-    from lisible.operators.sentences import ABBREV_P1, ABBREV_THRESHOLD, ABBREV_TOKEN
-    abbrev = S.with_ctes([
+    from lisible.operators.sentences import ABBREV_P1, ABBREV_THRESHOLD, ABBREV_TOKEN, LAST_WORD
+    abbrev_ctes = [
         ("toks", f"SELECT unnest(regexp_extract_all(text, {S.lit(ABBREV_TOKEN)})) AS tok FROM documents"),
         ("typed", "SELECT lower(regexp_replace(tok, '[.]$', '')) AS type, CAST(tok LIKE '%.' AS INTEGER) AS with_period FROM toks"),
         ("per_type", "SELECT type, count(*) AS n, sum(with_period) AS n_period FROM typed GROUP BY type"),
@@ -249,12 +257,22 @@ def oracle() -> dict[str, str]:
                    "* CAST(length(type) - length(replace(type, '.', '')) + 1 AS DOUBLE) "
                    "* pow(CAST(length(replace(type, '.', '')) AS DOUBLE), -CAST(n - n_period AS DOUBLE)) AS score "
                    "FROM per_type, rate WHERE n_period > 0"),
-    ], f"SELECT type, CAST(n AS BIGINT) AS n, CAST(n_period AS BIGINT) AS n_period, round(score, 6) AS score "
-       f"FROM scored WHERE score >= {ABBREV_THRESHOLD}")
+    ]
+    abbrev = S.with_ctes(abbrev_ctes, f"SELECT type, CAST(n AS BIGINT) AS n, CAST(n_period AS BIGINT) AS n_period, round(score, 6) AS score "
+                                      f"FROM scored WHERE score >= {ABBREV_THRESHOLD}")
+    learned = abbrev_ctes + [
+        ("learned", f"SELECT type FROM scored WHERE score >= {ABBREV_THRESHOLD}"),
+        ("sents", sql_sentences()),
+        ("ended", f"SELECT *, lower(regexp_extract(sentence, {S.lit(LAST_WORD)}, 1)) IN (SELECT type FROM learned) AS open FROM sents"),
+        ("started", "SELECT *, NOT coalesce(lag(open) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM ended"),
+        ("numbered", "SELECT *, sum(CAST(starts AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p FROM started"),
+    ]
     pct = " UNION ALL ".join(
         f"SELECT doc_id, '{lv}' AS level, round_even({lv} * 100.0, 0) AS pct FROM doc_means" for lv in LEVELS)
     return {
         "sentences": sql_sentences(),
+        "sentences_learned": S.with_ctes(learned, "SELECT doc_id, CAST(p AS BIGINT) AS pos, string_agg(sentence, ' ' ORDER BY pos) AS sentence "
+                                                  "FROM numbered GROUP BY doc_id, p"),
         "token_counts": S.with_ctes([("sents", sql_sentences())],
                                     f"SELECT doc_id, pos, {S.token_count('sentence')} AS n_tokens FROM sents"),
         "short_sentences": S.with_ctes(sc[:3], "SELECT doc_id, pos, sentence, n_tokens FROM kept"),
