@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lisible.llm.common import read, stored
-from lisible.llm.near_dup import set_keys
+from lisible.llm.near_dup import set_keys, shingles_sql
 from lisible.llm.wordhash import chunks, distinct, mix, shingles
 
 WIDTH = 5
@@ -171,3 +171,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT)
     """The documents that contain no test item; columns stay as they are, rows are matched by doc_id."""
     bad = matches(docs, items, percent).select(F.col("doc_id").cast("bigint").alias("_bench_id")).distinct()
     return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_bench_id"]), "left_anti")
+
+
+ORACLE = "WITH" + shingles_sql("documents", "doc_id", WIDTH) + "," + shingles_sql("benchmark", "item_id", WIDTH, "item_") + """,
+p AS (SELECT each.k AS d, item_each.k AS i, count(*) AS n FROM each JOIN item_each ON each.x = item_each.x GROUP BY each.k, item_each.k)
+SELECT s.doc_id, t.item_id, CAST(len(t.sh) AS BIGINT) AS n_shingles, CAST(p.n AS BIGINT) AS n_shared,
+  CAST(p.n AS DOUBLE) / len(t.sh) AS containment
+FROM p JOIN sets s ON s.k = p.d JOIN item_sets t ON t.k = p.i WHERE 100 * p.n >= 80 * len(t.sh)
+"""

@@ -308,3 +308,29 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = told.where(~F.col("kept") & F.col("component_id").isNotNull() & F.col("doc_id").isNotNull()) \
         .select(F.col("doc_id").alias("_near_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_near_id"], "left_anti")
+
+
+def shingles_sql(table: str, name: str, width: int, prefix: str = "") -> str:
+    """CTEs ``{prefix}docs`` (k, id, text), ``{prefix}sets`` (k, id, sh) and ``{prefix}each`` (k, x) of a table's shingles."""
+    return rf"""
+{prefix}docs AS (SELECT row_number() OVER () AS k, {name}, text FROM {table}),
+{prefix}words AS (
+  SELECT k, {name}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM {prefix}docs),
+{prefix}sets AS (
+  SELECT k, {name}, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {width} THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - {width} + 2), lambda i: array_to_string(words[i:i + {width} - 1], ' '))) END AS sh
+  FROM {prefix}words),
+{prefix}each AS (SELECT k, unnest(sh) AS x FROM {prefix}sets)"""
+
+
+ORACLE = "WITH RECURSIVE" + shingles_sql("documents", "doc_id", 4) + """,
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM each a JOIN each b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k),
+l AS (
+  SELECT p.a, p.b FROM p JOIN sets sa ON sa.k = p.a JOIN sets sb ON sb.k = p.b
+  WHERE 100 * p.n >= 80 * (len(sa.sh) + len(sb.sh) - p.n)),
+both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(k, m) AS (SELECT k, k FROM sets UNION SELECT reach.k, both_ways.b FROM reach JOIN both_ways ON reach.m = both_ways.a)
+SELECT s.doc_id, CAST(any_value(len(s.sh)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id, s.doc_id = min(o.doc_id) AS kept
+FROM sets s JOIN reach ON reach.k = s.k JOIN docs o ON o.k = reach.m GROUP BY s.k, s.doc_id
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_chat_formatting": chat_format.ORACLE,
+    "op4_near_dup": near_dup.ORACLE,
+    "op7_decontamination": decontaminate.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
