@@ -16,7 +16,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that one Arrow batch of texts holds at most (a longer text is a batch of its own). Workers and the
+#: JVM hold a few batches each, so this bounds their memory whatever the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES; limits that are lower already stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        text = str(spark.conf.get(key, None))
+        now = int(text.lower().rstrip("b")) if text.lower().rstrip("b").lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -27,6 +43,7 @@ def crc_mod(doc_id, modulus: int):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a derived table once under the shared checkpoint folder and read it back."""
+    bound_batches(df.sparkSession)
     return materialize(df, name)
 
 

@@ -23,13 +23,15 @@ doc_id, text and lang are left alone; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lisible.llm.common import crc_mod, read
+from lisible.llm.common import bound_batches, crc_mod, read
 
 #: Bytes of training text per language; the sample, its transfer and the dictionaries are bounded by it.
 DICTIONARY_BYTES = 110_000
@@ -135,10 +137,20 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 
 def filter_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language is told with a margin; rejected ones go. Columns and values stay as they are."""
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # as one struct: no name can clash
-    told = identify(whole, learn(labelled(docs)), F.col("text"), [F.col("_row")])
-    return told.where(~F.col("rejected")).select("_row.*")
+    """The documents whose language is told with a margin; rejected ones go. Columns and values stay as they are.
+
+    Only the text travels to Python and only the decision comes back.
+    """
+    bound_batches(docs.sparkSession)
+    bundle = docs.sparkSession.sparkContext.broadcast(learn(labelled(docs)))
+
+    @F.pandas_udf("boolean")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoders = Encoders(bundle.value)
+        for texts in batches:
+            yield pd.Series([not encoders.predict(t)[2] for t in texts], dtype=bool)
+
+    return docs.where(told(F.col("text").cast("string")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

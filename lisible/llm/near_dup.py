@@ -51,7 +51,7 @@ MEMBERS = 500
 #: Strays and members of a large bucket that are compared in one piece, and shared shingles taken at a time there.
 STRAY_BLOCK, MEMBER_BLOCK, COLUMNS = 128, 512, 4096
 #: Texts sketched together, in bytes; rounds of the sketch run over all of them at once.
-SKETCH_BYTES = 1_500_000
+SKETCH_BYTES = 500_000
 #: Ids of classes without any doc_id lie below this.
 NO_ID = -(1 << 61)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lisible.llm.common import read
+from lisible.llm.common import bound_batches, read
 from lisible.llm.wfst import MARK, Machine, compile_model
 
 #: Piece model file; a parameter of every function here. The driver reads it and sends it to the tasks (half a megabyte).
@@ -55,6 +55,7 @@ def _blocks(texts: pa.Array):
 
 def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """The rows with n_ids, ids (array<int>), decoded_sha256 and round_trip of their text."""
+    bound_batches(docs.sparkSession)
     with open(model, "rb") as f:
         bundle = docs.sparkSession.sparkContext.broadcast(f.read())
     added = ["n_ids", "ids", "decoded_sha256", "round_trip"]

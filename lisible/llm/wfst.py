@@ -78,7 +78,7 @@ class Machine:
     model_type: int
     add_mark: bool = True
     #: Compositions kept between inputs (segments, in two generations, and piece pairs), so memory is bounded.
-    cache_size: int = 400_000
+    cache_size: int = 150_000
     ids: dict[str, int] = field(init=False)
     surface: list[bytes] = field(init=False)
 
