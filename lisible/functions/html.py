@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lisible.functions.text import ESCAPE, ESCAPED
 from lisible.functions.urls import resolve
 
 WSC = "[ \\t\\n\\r]"
@@ -27,8 +28,9 @@ NOISE_TAGS = ["script", "style", "noscript", "template", "header", "head", "nav"
 BLOCK_TAGS = ["p", "div", "li", "ul", "ol", "article", "section", "main", "blockquote", "pre", "table",
               "tr", "td", "th", "figure", "figcaption", "h[1-6]", "br", "hr", "dl", "dt", "dd", "body", "html"]
 
-BLOCK_MARK = "\ue002"
-HEADING_MARK = "\ue003"
+# marks of two characters behind an escape character that is itself escaped in the page (see functions.text)
+BLOCK_MARK = ESCAPE + "\ue002"
+HEADING_MARK = ESCAPE + "\ue003"
 
 
 def _open(tag: str) -> str:
@@ -142,6 +144,14 @@ def emphasis_to_markdown(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, BOLD, "**$1**"), ITALIC, "*$1*")
 
 
+def escape_marks(c: Column) -> Column:
+    return F.replace(c, F.lit(ESCAPE), F.lit(ESCAPED))
+
+
+def unescape_marks(c: Column) -> Column:
+    return F.replace(c, F.lit(ESCAPED), F.lit(ESCAPE))
+
+
 def block_html(body: Column) -> Column:
     """array<string>: raw HTML of each block of a page body without noise, in page order (heading level marked)."""
     body = F.regexp_replace(body, HEADING_OPEN, BLOCK_MARK + "$1" + HEADING_MARK)

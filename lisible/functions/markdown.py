@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PARA_MARK = "\ue004"
+from lisible.functions.text import ESCAPE, ESCAPED
+
+PARA_MARK = ESCAPE + "\ue004"   # the escape character is escaped in the text first, so texts that hold it come back
 IMAGE = "!\\[[^\\n]*?\\]\\([^\\n]*?\\)"
 BLANK_RUN = "\\n{2,}"
 HEADING_AFTER = "(\\n|" + PARA_MARK + ")#+"
@@ -21,7 +23,7 @@ SEP = "\n\n"
 
 
 def paragraphs(text: Column) -> Column:
-    marked = F.regexp_replace(text, BLANK_RUN, PARA_MARK)
+    marked = F.regexp_replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPED)), BLANK_RUN, PARA_MARK)
     marked = F.regexp_replace(marked, HEADING_AFTER, "$1" + PARA_MARK)
     return F.split(marked, PARA_MARK)
 
@@ -30,4 +32,4 @@ def relocate_images(text: Column) -> Column:
     def one(p: Column) -> Column:
         images = F.regexp_extract_all(p, F.lit(IMAGE), 0)
         return F.concat(F.regexp_replace(p, IMAGE, ""), F.lit(SEP), F.array_join(images, SEP))
-    return F.array_join(F.transform(paragraphs(text), one), SEP)
+    return F.replace(F.array_join(F.transform(paragraphs(text), one), SEP), F.lit(ESCAPED), F.lit(ESCAPE))

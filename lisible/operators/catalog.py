@@ -147,12 +147,15 @@ def article_by_id(articles: DataFrame, requests: DataFrame, route: str = "route"
 
 
 def catalog_audit(articles: DataFrame) -> DataFrame:
-    """Read-back checks as one aggregate: counts, density of ids, nulls, duplicate URLs, probability sums."""
+    """Read-back checks as one aggregate: counts, density of ids, nulls, duplicate URLs, probability sums, corrupt records."""
+    if "_corrupt_record" not in articles.columns:
+        articles = articles.withColumn("_corrupt_record", F.lit(None).cast("string"))
     total = sum((F.col(lv) for lv in LEVELS[1:]), F.col(LEVELS[0]))
     per_url = (articles.where(F.col("url") != F.lit(TEXT_URL)).groupBy("url").count()
                .where("count > 1").select(F.count(F.lit(1)).alias("duplicate_urls")))
     base = articles.agg(
         F.count(F.lit(1)).alias("n_rows"),
+        F.count("_corrupt_record").alias("corrupt_rows"),
         F.count_distinct("article_id").alias("n_ids"),
         F.min("article_id").alias("min_id"),
         F.max("article_id").alias("max_id"),
@@ -170,6 +173,7 @@ def catalog_audit(articles: DataFrame) -> DataFrame:
         F.coalesce(F.col("null_texts"), F.lit(0)).cast("bigint").alias("null_texts"),
         F.coalesce(F.col("bad_probability_sums"), F.lit(0)).cast("bigint").alias("bad_probability_sums"),
         F.lit(per_url.scalar()).cast("bigint").alias("duplicate_urls"),
+        F.col("corrupt_rows").cast("bigint").alias("corrupt_rows"),
     )
 
 

@@ -124,9 +124,9 @@ def _block(b: Column, i: Column, url: Column) -> Column:
     return F.struct(
         i.alias("pos"),
         F.when(level == "", F.lit(0)).otherwise(level.cast("int")).alias("level"),
-        H.clean_text(body).alias("text"),
+        H.unescape_marks(H.clean_text(body)).alias("text"),
         F.length(link_text).alias("link_chars"),
-        H.clean_text(H.emphasis_to_markdown(H.links_to_markdown(body, url))).alias("md"),
+        H.unescape_marks(H.clean_text(H.emphasis_to_markdown(H.links_to_markdown(body, url)))).alias("md"),
     )
 
 
@@ -136,7 +136,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     ``text`` is plain (it tells templates and link density), ``md`` keeps links, images and emphasis.
     """
     url = F.col("url")
-    body = pages.withColumn("_body", F.regexp_replace("html", H.NOISE, " "))
+    body = pages.withColumn("_body", H.escape_marks(F.regexp_replace("html", H.NOISE, " ")))
     body = body.withColumn("_body", H.images_to_markdown(F.col("_body"), url))
     blocks = F.transform(H.block_html(F.col("_body")), lambda b, i: _block(b, i, url))
     return body.withColumn("blocks", F.filter(blocks, lambda b: b["text"] != "")).drop("_body")

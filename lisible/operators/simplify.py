@@ -179,23 +179,25 @@ def generation_batches(encoded: DataFrame, keys=("doc_id", "pos"), batch_size: i
     """Length-bucketed batches: prompts ordered by (length, key) are cut every ``batch_size``.
 
     Each batch is padded on the left to its own longest prompt (``pad_to="batch"``)
-    or to the longest prompt overall (``pad_to="global"``, a scalar max), with
-    the pad id; the mask marks real tokens; labels are the input ids. Output
-    limit per batch: ``max(128, 2 × padded length)``.
+    or to the longest prompt overall (``pad_to="global"``, a scalar max, as the
+    original does), with the pad id; the mask marks real tokens; labels are the
+    input ids. Output limit per batch: ``max(128, 2 × padded length)``;
+    ``global_len`` is the longest prompt overall.
     """
     keys = list(keys)
     with_len = encoded.withColumn("n_ids", F.size("ids").cast("bigint"))
     ranked = assign_dense_ids(with_len, ["n_ids", *keys], id_col="_rank")
     b = ranked.withColumn("batch_id", F.floor(F.col("_rank") / batch_size).cast("bigint"))
+    b = b.withColumn("global_len", ranked.agg(F.max("n_ids")).scalar())
     if pad_to == "global":
-        j = b.withColumn("batch_len", with_len.agg(F.max("n_ids")).scalar())
+        j = b.withColumn("batch_len", F.col("global_len"))
     else:
         lens = b.groupBy("batch_id").agg(F.max("n_ids").alias("batch_len"))  # ≤ batch_size rows per key
         j = b.join(lens, "batch_id")
     pad = (F.col("batch_len") - F.col("n_ids")).cast("int")
     input_ids = F.concat(F.array_repeat(F.lit(PAD_ID).cast("bigint"), pad), F.col("ids"))
     mask = F.concat(F.array_repeat(F.lit(0).cast("bigint"), pad), F.array_repeat(F.lit(1).cast("bigint"), F.col("n_ids").cast("int")))
-    return j.select(*keys, "batch_id", "n_ids", "batch_len",
+    return j.select(*keys, "batch_id", "n_ids", "batch_len", "global_len",
                     F.greatest(F.lit(GENERATION_MIN_LENGTH).cast("bigint"), 2 * F.col("batch_len")).alias("max_length"),
                     input_ids.alias("input_ids"), mask.alias("attention_mask"), input_ids.alias("labels"))
 

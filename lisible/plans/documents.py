@@ -161,7 +161,17 @@ def q_catalog_size(spark, sf_dir):
 
 
 def q_catalog_audit(spark, sf_dir):
-    return cat.catalog_audit(doc_catalog(spark, sf_dir))
+    """The catalog exported, read back and audited."""
+    return cat.catalog_audit(_read_back(spark, sf_dir))
+
+
+def _read_back(spark, sf_dir) -> DataFrame:
+    from lisible.session import materialize, scratch_path
+    from lisible.sources.sinks import export_json
+    from lisible.sources.tables import scan_articles
+    path = scratch_path(spark, "articles-json")
+    export_json(doc_catalog(spark, sf_dir), path)
+    return materialize(scan_articles(spark, path), "articles-back")
 
 
 def q_target_level(spark, sf_dir):
@@ -173,12 +183,7 @@ def q_target_level(spark, sf_dir):
 
 def q_scan_articles(spark, sf_dir):
     """Text catalog exported as JSON lines and scanned back with the fixed schema."""
-    from lisible.session import scratch_path
-    from lisible.sources.sinks import export_json
-    from lisible.sources.tables import scan_articles
-    path = scratch_path(spark, "articles-json")
-    export_json(doc_catalog(spark, sf_dir), path)
-    back = scan_articles(spark, path)
+    back = _read_back(spark, sf_dir)
     return back.select("article_id", "url", "title", "image", "description",
                        F.length("text").cast("bigint").alias("n_chars"),
                        *[F.round(F.col(lv), 6).alias(lv) for lv in LEVELS],
@@ -304,7 +309,7 @@ def oracle() -> dict[str, str]:
             "CAST(coalesce(sum(CAST(title IS NULL AS INTEGER)), 0) AS BIGINT) AS null_titles, "
             "CAST(coalesce(sum(CAST(text IS NULL AS INTEGER)), 0) AS BIGINT) AS null_texts, "
             f"CAST(coalesce(sum(CAST(abs({' + '.join(LEVELS)} - 1.0) > 1e-6 AS INTEGER)), 0) AS BIGINT) AS bad_probability_sums, "
-            "CAST((SELECT duplicate_urls FROM dup) AS BIGINT) AS duplicate_urls FROM articles"),
+            "CAST((SELECT duplicate_urls FROM dup) AS BIGINT) AS duplicate_urls, CAST(0 AS BIGINT) AS corrupt_rows FROM articles"),
         "target_level": S.with_ctes(sc + [("dim", _level_dim_values()),
                                           ("lv", f"SELECT doc_id, {S.dominant_level()} AS level FROM doc_means")],
                                     "SELECT lv.doc_id, lv.level, CAST(dim.rank AS BIGINT) AS rank, dim.reduced_level, dim.offered_level "

@@ -182,7 +182,7 @@ def _fields() -> tuple[str, str]:
 
 
 def _blocks_ctes() -> list[tuple[str, str]]:
-    bm, hm = "chr(57346)", "chr(57347)"
+    bm, hm = "chr(57344) || chr(57346)", "chr(57344) || chr(57347)"
 
     def rewritten(text: str, tag: str, one: str) -> str:
         """Tags of one kind in ``text`` replaced, each with the text after it: ``one`` over t and rest."""
@@ -203,12 +203,13 @@ def _blocks_ctes() -> list[tuple[str, str]]:
     body = f"regexp_replace({body}, {S.lit(H.BLOCK_TAG)}, {bm}, 'g')"
     prefix = "'^([1-6])' || " + hm
     return [
-        ("calm", f"SELECT page_id, url, host, regexp_replace(html, {S.lit(H.NOISE)}, ' ', 'g') AS quiet FROM pg"),
+        ("calm", f"SELECT page_id, url, host, replace(regexp_replace(html, {S.lit(H.NOISE)}, ' ', 'g'), {S.ESCAPE_SQL}, {S.ESCAPED_SQL}) AS quiet FROM pg"),
         ("raw", f"SELECT page_id, url, host, string_split({body}, {bm}) AS bl FROM calm"),
         ("ub", "SELECT page_id, url, host, bl[i] AS b, i - 1 AS pos FROM (SELECT *, generate_subscripts(bl, 1) AS i FROM raw) x"),
         ("ub2", f"SELECT *, regexp_extract(b, {prefix}, 1) AS lvl, regexp_replace(b, {prefix}, '') AS body FROM ub"),
         ("blk", "SELECT page_id, url, host, pos, CASE WHEN lvl = '' THEN 0 ELSE CAST(lvl AS INTEGER) END AS level, "
-                f"{S.clean_text('body')} AS text, {S.clean_text(md)} AS md, "
+                f"replace({S.clean_text('body')}, {S.ESCAPED_SQL}, {S.ESCAPE_SQL}) AS text, "
+                f"replace({S.clean_text(md)}, {S.ESCAPED_SQL}, {S.ESCAPE_SQL}) AS md, "
                 f"length({S.clean_text(f'array_to_string(regexp_extract_all(body, {S.lit(H.LINK_TEXT)}, 1), {S.lit(chr(32))})')}) AS link_chars FROM ub2"),
         ("nb", "SELECT * FROM blk WHERE text <> ''"),
         ("per_key", "SELECT host, text, count(DISTINCT page_id) AS n_pages FROM nb GROUP BY host, text"),

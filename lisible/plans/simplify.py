@@ -120,8 +120,8 @@ def q_encode_prompts(spark, sf_dir):
 
 def q_generation_batches(spark, sf_dir):
     b = sp.generation_batches(encoded(spark, sf_dir))
-    return b.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "batch_id", "n_ids", "batch_len", "max_length",
-                    _ids_text(F.col("input_ids")).alias("input_ids"),
+    return b.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "batch_id", "n_ids", "batch_len", "global_len", "max_length",
+                    _ids_text(F.col("input_ids")).alias("input_ids"), _ids_text(F.col("labels")).alias("labels"),
                     _ids_text(F.col("attention_mask")).alias("attention_mask"))
 
 
@@ -349,8 +349,8 @@ def oracle() -> dict[str, str]:
         "generation_batches": S.with_ctes(ec + [
             ("ranked", "SELECT *, CAST(len(ids) AS BIGINT) AS n_ids, row_number() OVER (ORDER BY len(ids), doc_id, pos) - 1 AS r FROM enc"),
             ("b", f"SELECT *, CAST(floor(r / {GENERATION_BATCH_SIZE}) AS BIGINT) AS batch_id FROM ranked"),
-            ("bl", "SELECT *, max(n_ids) OVER (PARTITION BY batch_id) AS batch_len FROM b")],
-            f"SELECT doc_id, pos, batch_id, n_ids, batch_len, greatest({GENERATION_MIN_LENGTH}, 2 * batch_len) AS max_length, "
+            ("bl", "SELECT *, max(n_ids) OVER (PARTITION BY batch_id) AS batch_len, max(n_ids) OVER () AS global_len FROM b")],
+            f"SELECT doc_id, pos, batch_id, n_ids, batch_len, global_len, {S.ids_text('list_concat(' + pad.format(v=sp.PAD_ID) + ', ids)')} AS labels, greatest({GENERATION_MIN_LENGTH}, 2 * batch_len) AS max_length, "
             f"{S.ids_text('list_concat(' + pad.format(v=sp.PAD_ID) + ', ids)')} AS input_ids, "
             f"{S.ids_text('list_concat(' + pad.format(v=0) + ', list_transform(range(n_ids), lambda x: 1))')} AS attention_mask FROM bl"),
         "generate": S.with_ctes(pc, gen_sel),

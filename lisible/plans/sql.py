@@ -170,13 +170,13 @@ def resolve(base: str, ref: str) -> str:
 
 def relocate_images(text: str) -> str:
     from lisible.functions import markdown as M
-    mark = "chr(57348)"
-    marked = f"regexp_replace({text}, {lit(M.BLANK_RUN)}, {mark}, 'g')"
+    mark = "chr(57344) || chr(57348)"
+    marked = f"regexp_replace(replace({text}, {ESCAPE_SQL}, {ESCAPED_SQL}), {lit(M.BLANK_RUN)}, {mark}, 'g')"
     marked = f"regexp_replace({marked}, '(\\n|' || {mark} || ')#+', '\\1' || {mark}, 'g')"
     nn = "chr(10) || chr(10)"
     one = (f"regexp_replace(p, {lit(M.IMAGE)}, '', 'g') || {nn} || "
            f"array_to_string(regexp_extract_all(p, {lit(M.IMAGE)}), {nn})")
-    return f"array_to_string(list_transform(string_split({marked}, {mark}), lambda p: {one}), {nn})"
+    return f"replace(array_to_string(list_transform(string_split({marked}, {mark}), lambda p: {one}), {nn}), {ESCAPED_SQL}, {ESCAPE_SQL})"
 
 
 def scored_text_ctes(source: str, key: str, prefix: str) -> list[tuple[str, str]]:

@@ -110,6 +110,28 @@ def scan_articles(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return spark.read.schema(ARTICLE_SCHEMA).parquet(path)
 
 
+def scan_simplifications(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Read a table of versions with the fixed schema; malformed JSON records land in ``_corrupt_record``."""
+    if fmt == "json":
+        schema = T.StructType(SIMPLIFICATION_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
+        return (spark.read.schema(schema).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    return spark.read.schema(SIMPLIFICATION_SCHEMA).parquet(path)
+
+
+def quarantine(scanned: DataFrame, path: str, batch: int) -> DataFrame:
+    """The sound rows of a scan; corrupt records are written to ``path`` as the batch's own partition.
+
+    The scan is written once first: a corrupt-record column alone cannot be read from the raw file again.
+    """
+    from lisible.session import materialize
+    rows = materialize(scanned, "scan")
+    (rows.where("_corrupt_record is not null").select(F.col("_corrupt_record").alias("record"), F.lit("corrupt").alias("reason"),
+                                                      F.lit(batch).cast("bigint").alias("batch"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+
+
 def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Stored table if present, else an empty one with the fixed schema."""
     jvm = spark.sparkContext._jvm

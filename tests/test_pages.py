@@ -118,3 +118,13 @@ def test_pasted_texts_and_missing_urls_are_no_duplicates(spark):
     batch = spark.createDataFrame([(1, "text"), (2, "text"), (3, None), (4, None), (5, "http://a"), (6, "http://a"), (7, "http://b")], "page_id long, url string")
     known = spark.createDataFrame([("http://b",), ("text",), (None,)], "url string")
     assert sorted(r["page_id"] for r in new_urls(batch, known).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_private_use_characters_of_icon_fonts_come_back(spark):
+    from lisible.functions.markdown import relocate_images
+    from lisible.operators.pages import page_main_text
+    icons = "a\ue000b\ue002c\ue003d\ue001e\ue000\ue002f\ue004g"
+    pages = spark.createDataFrame([(1, "http://h.example/", f"<h2>{icons}</h2><p>{icons} <a href='/x'>{icons}</a> and more words around it</p>")], "page_id long, url string, html string")
+    out = page_main_text(pages).select(F.col("main_text"), relocate_images(F.col("main_text")).alias("moved")).first()
+    assert out["main_text"] == f"## {icons}\n\n{icons} [{icons}](http://h.example/x) and more words around it"
+    assert icons in out["moved"] and out["moved"].count("\ue004") == 3

@@ -88,3 +88,16 @@ def test_versions_are_appended_by_batch(spark):
     append_simplifications(rows([2]), path, batch=1)
     append_simplifications(rows([2]), path, batch=1)
     assert sorted(r["article_id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+
+
+def test_corrupt_versions_go_to_quarantine(spark):
+    from lisible.session import scratch_path
+    from lisible.sources.tables import quarantine, scan_simplifications
+    d = tempfile.mkdtemp(prefix="lisible-versions-")
+    good = {"article_id": 1, "simplification_id": 0, "model": "m", "title": "t", "text": "x", **{lv: 1 / 6 for lv in LEVELS}}
+    with open(os.path.join(d, "versions.json"), "w") as fh:
+        fh.write(json.dumps(good) + "\n{broken\n")
+    path = scratch_path(spark, "test-quarantine")
+    rows = quarantine(scan_simplifications(spark, d), path, batch=0)
+    assert [r["article_id"] for r in rows.collect()] == [1] and rows.columns == ["article_id", "simplification_id", "model", "title", "text", *LEVELS]
+    assert [(r["record"], r["reason"]) for r in spark.read.parquet(path).collect()] == [("{broken", "corrupt")]
