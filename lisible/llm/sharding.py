@@ -154,7 +154,8 @@ def with_slots(rows: DataFrame) -> DataFrame:
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     numbered = bucketed.withColumn("_i", F.row_number().over(
         Window.partitionBy("shard", "_bucket").orderBy("doc_id", "h")) - 1)
-    return numbered.join(F.broadcast(starts), ["shard", "_bucket"]) \
+    # both sides stand by (shard, bucket) after the window, so the join moves only the starts
+    return numbered.join(starts, ["shard", "_bucket"]) \
         .withColumn("slot", (F.col("_start") + F.col("_i")).cast("bigint")).drop("_bucket", "_start", "_i")
 
 
