@@ -234,7 +234,10 @@ def page_article_status(pages: DataFrame, image_sizes: DataFrame | None = None,
     )
     main = page_main_text(enriched, statistics, carry=["title", "description", "og_image", "_largest", "_blank"])
     if image_sizes is not None:
-        largest = largest_image(page_images(pages), image_sizes).select("page_id", F.col("src").alias("_crawled"))
+        from lisible.session import materialize
+        # image tags are parsed once; the key counts of the width join read the narrow table
+        images = materialize(page_images(pages), "page-images")
+        largest = largest_image(images, image_sizes).select("page_id", F.col("src").alias("_crawled"))
         main = main.drop("_largest").join(largest, "page_id", "left").withColumnRenamed("_crawled", "_largest")
     image = F.coalesce(F.col("og_image"), F.col("_largest"))
     if not compat:
