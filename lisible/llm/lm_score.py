@@ -1,27 +1,29 @@
 """Language-model scores by deleted interpolation of word n-grams.
 
-The model mixes three estimates of a token after its context::
+The model mixes three estimates of a token after its context, the word before it::
 
     p(w | h) = L2[b] * c(h, w) / c(h) + L1[b] * c(w) / N + L0[b] / (V + 1)
 
-with weights per bucket b of the context's frequency, learned by expectation
+with weights per bucket b of the context's count, learned by expectation
 maximisation on held-out counts: a fold of the training documents is left out
-of the counts while the weights are learned, and put back for scoring.
-Contexts are the words of the n-gram vocabulary (those with at least
-``N / 2**CONTEXT_BITS`` occurrences), the beginning of a text, and one class for
-all other words. A word of that class is drawn from it by its share::
-
-    c(h, w) / c(h)  ->  c(h, class) / c(h) * c(w) / c(class)
-
-so the estimates stay distributions, and every count is exact.
-
-All counts are tables that grow with the corpus. What travels to the tasks is
-bounded whatever the corpus: words with at least ``N / 2**LEXICON_BITS``
-occurrences and pairs with at least ``N / 2**PAIR_BITS`` (no more than
-``2**BITS`` can exist). Tokens these tables answer are scored where the text
-stands; the rest leave as (key, document) rows and meet the count tables in one
-shuffle join, in which no key can be frequent, since the frequent ones are
-answered already. Sums are partial in every task before they meet per document.
+of the counts while the weights are learned, and put back for scoring. Every
+word is a context and a predicted word of its own, however rare, and every
+count is exact; the beginning of a text is a context as well. A context without
+a count has no bigram estimate, and its weights leave that out. A caller of
+``train`` may ask for a smaller n-gram vocabulary (``context_bits``: words with
+at least ``N / 2**context_bits`` occurrences); all other words are then one
+class, and a word is drawn from it by its share, so that ``c(h, w) / c(h)``
+becomes ``c(h, class) / c(h) * c(w) / c(class)``. op10 does not ask for it.
+
+All counts are tables that grow with the corpus: words by their hash, pairs by
+the hash of both. What travels to the tasks is bounded whatever the corpus:
+words with at least ``N / 2**LEXICON_BITS`` occurrences and pairs with at least
+``N / 2**PAIR_BITS`` (no more than ``2**BITS`` can exist). Tokens these tables
+answer are scored where the text stands; the rest leave as one row each. A row
+whose context or word is not in the broadcast table meets the word counts in
+shuffle joins first; then all rows meet the pair counts in one. No key can be
+frequent there, since the frequent ones are answered already. Sums are partial
+in every task before they meet per document.
 
 Inputs and their results: a null or empty text has one token, its end; texts
 are scored whole; rows that repeat a doc_id are one document whose texts are
@@ -40,19 +42,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lisible.llm.common import crc_mod, read, stored
-from lisible.llm.wordhash import Counter, chunks
+from lisible.llm.wordhash import ORDER, Counter, chunks, mix
 
-CONTEXT_BITS, LEXICON_BITS, PAIR_BITS = 14, 20, 20
+LEXICON_BITS, PAIR_BITS = 20, 20
 #: Held-out fold of the training documents, on which the mixture weights are learned.
 FOLDS, TEST_FOLD, WEIGHT_FOLD = 7, 2, 6
 EM_ROUNDS = 60
 #: Cells per doubling in which held-out probabilities are gathered for expectation maximisation.
 CELLS = 8
-#: Buckets of context frequency: powers of two of c(h) / N.
-BUCKETS = CONTEXT_BITS + 2
+#: Buckets of contexts: c(h) = 0, then powers of two of c(h).
+BUCKETS = 64
 #: The end of a text, as a token.
 END = np.uint64(0x5851F42D4C957F2D)
-_TOP = np.uint64(1 << 63)
+#: The context at the beginning of a text, and the class of words outside a smaller n-gram vocabulary.
+BEGIN, RARE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x3C79AC492BA7B653)
+#: No held-out estimate: its logarithm's cell.
+NONE = -(1 << 20)
 
 
 def token_chunks(column: pa.Array):
@@ -78,37 +83,43 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 @dataclass
-class Lexicon:
-    """Frequent words: hashes (sorted), counts, counts without the weight fold, class in the n-gram vocabulary."""
+class Counts:
+    """Frequent words (by sorted hash), and what is known of every class, for counts with or without the weight fold."""
     hashes: np.ndarray
     counts: np.ndarray
-    kept: np.ndarray
-    classes: np.ndarray
-    n_classes: int
-    lexicon_bits: int
-    #: Width of a class number in a pair's key.
-    class_bits: int
-
-    @property
-    def rare(self) -> int:
-        """The class of all words outside the n-gram vocabulary."""
-        return self.n_classes
-
-    @property
-    def begin(self) -> int:
-        """The context at the beginning of a text."""
-        return self.n_classes + 1
+    #: Which of them are in the n-gram vocabulary; if ``whole`` all words are, also those that are not here.
+    own: np.ndarray
+    whole: bool
+    #: Occurrences of all tokens, of the rare class as a word and as a context, and texts.
+    tokens: int
+    rare: int
+    rare_context: int
+    texts: int
 
-    def look_up(self, tokens: np.ndarray, per_text: np.ndarray):
-        """(position, found, class, context) of every token."""
+    def classes(self, tokens: np.ndarray, per_text: np.ndarray):
+        """(position, found, class, context) of every token; classes are hashes."""
         at, found = _find(self.hashes, tokens)
-        classes = np.where(found, self.classes[at], self.rare) if len(self.hashes) else np.full(len(tokens), self.rare)
-        context = np.empty_like(classes)
+        classes = tokens if self.whole else np.where(found & self.own[at] if len(self.own) else False, tokens, RARE)
+        context = np.empty_like(tokens)
         context[1:] = classes[:-1]
-        first = np.cumsum(per_text) - per_text
-        context[first[per_text > 0]] = self.begin
+        context[np.cumsum(per_text) - per_text] = BEGIN
         return at, found, classes, context
 
+    def look_up(self, tokens: np.ndarray, per_text: np.ndarray):
+        """(class, context, count of the context, count of the word) of every token; a count not known here is -1."""
+        at, found, classes, context = self.classes(tokens, per_text)
+        word = np.where(found, self.counts[at], -1) if len(self.counts) else np.full(len(tokens), -1, np.int64)
+        of_class = np.where(classes == RARE, self.rare_context, word)
+        before = np.empty_like(word)
+        before[1:] = of_class[:-1]
+        before[np.cumsum(per_text) - per_text] = self.texts
+        return classes, context, before, word
+
+
+def pair_keys(context: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Hash of a pair."""
+    return mix(context * np.uint64(ORDER[0]) + classes * np.uint64(ORDER[1]))
+
 
 def _counted(docs: DataFrame, keys_of, schema_key: str) -> DataFrame:
     """(key, kept, left): counts outside and inside the weight fold; summed in the task, then per key."""
@@ -141,36 +152,23 @@ def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
 
 @dataclass
 class Model:
-    """Counts (stored tables) and mixture weights."""
+    """Counts (stored tables; of frequent words also in memory) and mixture weights."""
     words: DataFrame
     pairs: DataFrame
-    lexicon: Lexicon
+    counts: Counts
     tokens: int
     distinct: int
-    #: Per context (class number): count, count of the rare class after it; counts of class words; bucket; weights per bucket.
-    context: np.ndarray
-    context_rare: np.ndarray
-    class_count: np.ndarray
-    rare_tokens: int
     weights: np.ndarray
+    lexicon_bits: int
 
-    @property
-    def unseen(self) -> float:
-        return 1.0 / (self.distinct + 1)
 
-    def mixture(self):
-        """Per context: weights, and (a, b) with p = a * c(w) + b for a word of the rare class."""
-        w = self.weights[bucket(self.context, self.tokens)]
-        n = max(self.tokens, 1)
-        pair = np.divide(self.context_rare, self.context * float(max(self.rare_tokens, 1)),
-                         out=np.zeros(len(self.context)), where=self.context > 0)
-        return w, w[:, 2] * pair + w[:, 1] / n, w[:, 0] * self.unseen
+def bucket(count: np.ndarray, total: int = 0) -> np.ndarray:
+    """Number of the context's bucket: 0 without a count, else one more than the doublings in c(h)."""
+    return np.where(count > 0, np.clip(1 + np.floor(np.log2(np.maximum(count, 1) + 0.5)), 1, BUCKETS - 1), 0).astype(np.int64)
 
 
-def bucket(count: np.ndarray, total: int) -> np.ndarray:
-    """Number of the context-frequency bucket: how many doublings c(h) is below N, the last for all lower ones."""
-    share = np.maximum(count, 1e-9) / max(total, 1)
-    return np.clip(np.floor(-np.log2(share)), 0, BUCKETS - 1).astype(np.int64)
+def _bucket(count: Column) -> Column:
+    return F.when(count > 0, F.least(F.lit(1) + F.floor(F.log2(count + F.lit(0.5))), F.lit(BUCKETS - 1))).otherwise(F.lit(0)).cast("int")
 
 
 def learn_weights(cells: list[tuple[int, float, float, float, float]], rounds: int = EM_ROUNDS) -> np.ndarray:
@@ -200,162 +198,174 @@ def learn_weights(cells: list[tuple[int, float, float, float, float]], rounds: i
 
 
 def _log_cell(p: Column) -> Column:
-    return F.when(p > 0, F.round(F.lit(CELLS) * F.log2(p)).cast("int"))
+    return F.when(p > 0, F.round(F.lit(CELLS) * F.log2(p)).cast("int")).otherwise(F.lit(NONE))
+
 
+def _log_cells(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, np.round(CELLS * np.log2(np.maximum(p, 1e-300))), NONE).astype(np.int32)
 
-def train(docs: DataFrame, context_bits: int = CONTEXT_BITS, lexicon_bits: int = LEXICON_BITS) -> Model:
+
+def train(docs: DataFrame, context_bits: int | None = None, lexicon_bits: int = LEXICON_BITS) -> Model:
     """Learn from documents (text, fold): counts, then weights on the fold WEIGHT_FOLD."""
     spark = docs.sparkSession
     words = stored(_counted(docs, lambda tokens, own: tokens, "h"), "lm-words")
     row = words.agg(F.sum(F.col("kept") + F.col("left")), F.sum("kept"), F.count(F.lit(1)), F.sum((F.col("kept") > 0).cast("int"))).first()
     n, n_kept, v, v_kept = (int(x or 0) for x in row)
+    end = words.where(F.col("h") == F.lit(int(END.view(np.int64)))).first()
+    texts_kept, texts = (end["kept"], end["kept"] + end["left"]) if end else (0, 0)
     count = F.col("kept") + F.col("left")
     # at most 2**lexicon_bits rows, since their counts add up to no more than N
     top = _arrays(words.where(count * F.lit(1 << lexicon_bits) >= F.lit(n)).select("h", "kept", "left"))
     order = np.argsort(top["h"].view(np.uint64))
     hashes, kept = top["h"].view(np.uint64)[order], top["kept"][order]
     counts = kept + top["left"][order]
-    in_grams = counts * (1 << context_bits) >= n
-    classes = np.where(in_grams, np.cumsum(in_grams) - 1, in_grams.sum())
-    class_bits = context_bits + 1
-    lexicon = Lexicon(hashes, counts, kept, classes, int(in_grams.sum()), lexicon_bits, class_bits)
-    shared = spark.sparkContext.broadcast(lexicon)
-
-    def pair_keys(tokens, own):
-        _, _, classes, context = shared.value.look_up(tokens, own)
-        return ((context << class_bits) | classes).astype(np.uint64)
-
-    pairs = stored(_counted(docs, pair_keys, "k"), "lm-pairs")
-    mask = (1 << class_bits) - 1
-    pairs = pairs.select("k", F.shiftright("k", class_bits).cast("int").alias("context"), F.col("k").bitwiseAND(F.lit(mask)).cast("int").alias("word"), "kept", "left")
-    # counts per context and after it of the rare class: at most 2**context_bits + 2 rows
-    per = _arrays(pairs.groupBy("context").agg(
-        F.sum(count).alias("n"), F.sum("kept").alias("kept"),
-        F.sum(F.when(F.col("word") == lexicon.rare, count).otherwise(0)).alias("rare"),
-        F.sum(F.when(F.col("word") == lexicon.rare, F.col("kept")).otherwise(0)).alias("rare_kept")))
-    size = lexicon.n_classes + 2
-    full = {k: np.zeros(size, np.int64) for k in ("n", "kept", "rare", "rare_kept")}
-    for k, values in full.items():
-        values[per["context"]] = per[k]
-    class_count, class_kept = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    class_count[lexicon.classes[in_grams]] = counts[in_grams]
-    class_kept[lexicon.classes[in_grams]] = kept[in_grams]
-    rare, rare_kept = n - int(class_count.sum()), n_kept - int(class_kept.sum())
-    cells = _held_out_cells(docs, words, pairs, shared, lexicon, full, class_kept, n, n_kept, v_kept, rare_kept)
-    return Model(words, pairs, lexicon, n, v, full["n"], full["rare"], class_count, rare, learn_weights(cells))
-
-
-def _held_out_cells(docs, words, pairs, shared, lexicon, full, class_kept, n, n_kept, v_kept, rare_kept):
+    whole = context_bits is None
+    own = np.ones(len(hashes), dtype=bool) if whole else counts * (1 << context_bits) >= n
+    end_rare = not (own & (hashes == END)).any()
+
+    def known(counts, tokens, texts):
+        rare = 0 if whole else tokens - int(counts[own].sum())
+        return Counts(hashes, counts, own, whole, tokens, rare, rare - texts if end_rare and not whole else rare, texts)
+
+    full, part = known(counts, n, texts), known(kept, n_kept, texts_kept)
+    shared = spark.sparkContext.broadcast(full)
+
+    def keys_of(tokens, own):
+        _, _, classes, context = shared.value.classes(tokens, own)
+        return pair_keys(context, classes)
+
+    pairs = stored(_counted(docs, keys_of, "k"), "lm-pairs")
+    weights = learn_weights(_held_out_cells(docs, words, pairs, part, lexicon_bits, n, v_kept))
+    weights[0] = [weights[0, 0] / weights[0, :2].sum(), weights[0, 1] / weights[0, :2].sum(), 0.0]
+    return Model(words, pairs, full, n, v, weights, lexicon_bits)
+
+
+def _hot(pairs: DataFrame, n: int, pair_bits: int, count: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the frequent pairs, by key: at most 2**pair_bits rows."""
+    hot = _arrays(pairs.where((F.col("kept") + F.col("left")) * F.lit(1 << pair_bits) >= F.lit(n)).select("k", count.alias("n")))
+    order = np.argsort(hot["k"])
+    return hot["k"][order], hot["n"][order]
+
+
+OPEN = "key bigint, doc_id bigint, h bigint, w bigint, before bigint, word bigint, rare boolean, tokens int, known int, base double, total double"
+
+
+def _rows(key, doc, h, w, before, word, rare, tokens=0, known=0, base=0.0, total=0.0) -> pa.RecordBatch:
+    n = len(key)
+    of = lambda x, kind: pa.array(np.broadcast_to(np.asarray(x), n).astype(kind))
+    return pa.RecordBatch.from_arrays(
+        [of(key, np.int64), doc, of(h, np.int64), of(w, np.int64), of(before, np.int64), of(word, np.int64), of(rare, bool),
+         of(tokens, np.int32), of(known, np.int32), of(base, float), of(total, float)], [x.split()[0] for x in OPEN.split(", ")])
+
+
+def _open_tokens(docs: DataFrame, shared, strange: bool, answered=None) -> DataFrame:
+    """The tokens of documents (doc_id, text) that the broadcast tables do not answer, one row each.
+
+    With ``strange`` those whose context or word has no count there, else the others; the latter come with
+    what ``answered(tables, per text, classes, before, word, count of the pair, answered)`` makes of the
+    answered ones: rows whose keys meet nothing.
+    """
+    def run(batches):
+        tables, hot_keys, hot_counts = shared.value
+        for batch in batches:
+            doc_ids = batch.column(0)
+            for start, stop, tokens, per in token_chunks(batch.column(1)):
+                classes, context, before, word = tables.look_up(tokens, per)
+                keys = pair_keys(context, classes).view(np.int64)
+                known = (before >= 0) & (word >= 0)
+                if strange:
+                    at = np.flatnonzero(~known)
+                else:
+                    where, hot = _find(hot_keys, keys)
+                    done = known & hot
+                    if answered:
+                        yield from answered(tables, start, stop, doc_ids, per, classes, before, word, hot_counts[where] if len(hot_counts) else where, done)
+                    at = np.flatnonzero(known & ~hot)
+                if len(at):
+                    text = np.repeat(np.arange(start, stop), per)
+                    # a count that is known here is not looked up: the key of the pair stands in, which spreads and meets nothing
+                    h = np.where(before[at] < 0, context[at].view(np.int64), keys[at])
+                    w = np.where(word[at] < 0, tokens[at].view(np.int64), keys[at])
+                    yield _rows(keys[at], doc_ids.take(pa.array(text[at])), h, w, before[at], word[at], classes[at] == RARE)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OPEN)
+
+
+def _with_counts(docs: DataFrame, words: DataFrame, pairs: DataFrame, shared, n: int, lexicon_bits: int, count: Column, answered) -> DataFrame:
+    """Open tokens with all three counts: ``before`` of the context, ``word``, ``both`` (null if never seen); and the rows of ``answered``."""
+    cold = words.where((F.col("kept") + F.col("left")) * F.lit(1 << lexicon_bits) < F.lit(n))
+    strange = _open_tokens(docs, shared, True).select("key", "doc_id", "h", "w", "before", "word", "rare") \
+        .join(cold.select("h", count.alias("n_h")), "h", "left").join(cold.select(F.col("h").alias("w"), count.alias("n_w")), "w", "left")
+    looked_up = lambda have, found: F.when(F.col(have) >= 0, F.col(have)).otherwise(F.coalesce(F.col(found), F.lit(0)))
+    unknown = F.when(F.col("word") < 0, F.coalesce("n_w", F.lit(0))).otherwise(F.lit(0))
+    strange = strange.select(
+        "key", "doc_id", looked_up("before", "n_h").alias("before"), looked_up("word", "n_w").alias("word"), "rare", F.lit(0).alias("tokens"),
+        (unknown > 0).cast("int").alias("known"), F.log10(unknown + F.lit(1.0)).alias("base"), F.lit(0.0).alias("total"))
+    rows = _open_tokens(docs, shared, False, answered).select(strange.columns).unionByName(strange)
+    return rows.join(pairs.select(F.col("k").alias("key"), count.alias("both")), "key", "left")
+
+
+def _two(rare: int) -> Column:
+    """The bigram estimate c(h, w) / c(h), for a word of the rare class by its share."""
+    share = F.when(F.col("rare"), F.col("word") / F.lit(float(max(rare, 1)))).otherwise(F.lit(1.0))
+    return F.coalesce(F.col("both"), F.lit(0)) / F.greatest(F.col("before"), F.lit(1)) * share
+
+
+def _held_out_cells(docs, words, pairs, part: Counts, lexicon_bits: int, n: int, v_kept: int):
     """(bucket, p0, p1, p2, n) of the weight fold's tokens, under the counts without that fold, gathered in cells."""
-    spark = docs.sparkSession
-    if not n_kept:
+    if not part.tokens:
         return []
-    numbers = np.arange(lexicon.n_classes + 2)
-    table = spark.createDataFrame(pa.table({
-        "context": pa.array(numbers, pa.int32()), "b": pa.array(bucket(full["n"], n), pa.int32()),
-        "c": pa.array(full["kept"]), "c_rare": pa.array(full["rare_kept"]), "c_word": pa.array(class_kept)}))
-    contexts = F.broadcast(table.select("context", "b", "c", "c_rare"))  # 2**context_bits + 2 rows at most
-    of_word = F.broadcast(table.select(F.col("context").alias("word"), "c_word"))
-    c = F.greatest(F.col("c"), F.lit(1))
-    common = pairs.where((F.col("left") > 0) & (F.col("word") != lexicon.rare)).join(contexts, "context").join(of_word, "word") \
-        .select("b", _log_cell(F.col("c_word") / F.lit(n_kept)).alias("q1"), _log_cell(F.col("kept") / c).alias("q2"), F.col("left").alias("n"))
-
-    def rare_tokens(batches):
-        lex = shared.value
-        for batch in batches:
-            for _, _, tokens, own in token_chunks(batch.column(0)):
-                _, _, classes, context = lex.look_up(tokens, own)
-                at = np.flatnonzero(classes == lex.rare)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(context[at].astype(np.int32))], ["h", "context"])
-
-    seen = docs.where(F.col("fold") == WEIGHT_FOLD).select(F.col("text").cast("string").alias("text")).mapInArrow(rare_tokens, "h bigint, context int")
-    rare = seen.join(words.select("h", "kept"), "h").join(contexts, "context") \
-        .select("b", _log_cell(F.col("kept") / F.lit(n_kept)).alias("q1"),
-                _log_cell(F.col("c_rare") / c * F.col("kept") / F.lit(max(rare_kept, 1))).alias("q2"), F.lit(1).cast("bigint").alias("n"))
+    shared = docs.sparkSession.sparkContext.broadcast((part, *_hot(pairs, n, PAIR_BITS, F.col("kept"))))
+
+    def answered(part, start, stop, doc_ids, per, classes, before, word, both, done):
+        """Cells: bucket, both logarithms and how many tokens, in a row's columns."""
+        b, w, c, rare = before[done], word[done], both[done], classes[done] == RARE
+        two = c / np.maximum(b, 1) * np.where(rare, w / max(part.rare, 1), 1.0)
+        cells, times = np.unique(np.stack([bucket(b), _log_cells(w / part.tokens), _log_cells(two)]), axis=1, return_counts=True)
+        if len(times):
+            yield _rows(np.arange(len(times)) * 0x9E3779B1 + start, pa.nulls(len(times), pa.int64()), 0, 0, cells[0], 0, False, times, 0, cells[1], cells[2])
+
+    seen = docs.where(F.col("fold") == WEIGHT_FOLD).select(F.lit(None).cast("bigint").alias("doc_id"), "text")
+    # what the fold's texts hold was counted as left; a kept count of 0 is the same as none
+    met = (F.col("left") > 0) & (F.col("kept") > 0)
+    rows = _with_counts(seen, words.where(met), pairs.where(met), shared, n, lexicon_bits, F.col("kept"), answered)
+    cell = F.col("tokens") > 0
     # cells: buckets x the range of a double's exponent, whatever the corpus
-    got = common.unionByName(rare).groupBy("b", "q1", "q2").agg(F.sum("n").alias("n")).collect()
-    value = lambda q: 0.0 if q is None else 2.0 ** (q / CELLS)
+    got = rows.groupBy(
+        F.when(cell, F.col("before").cast("int")).otherwise(_bucket(F.col("before"))).alias("b"),
+        F.when(cell, F.col("base").cast("int")).otherwise(_log_cell(F.col("word") / F.lit(part.tokens))).alias("q1"),
+        F.when(cell, F.col("total").cast("int")).otherwise(_log_cell(_two(part.rare))).alias("q2"),
+    ).agg(F.sum(F.when(cell, F.col("tokens")).otherwise(F.lit(1))).alias("n")).collect()
+    value = lambda q: 0.0 if q == NONE else 2.0 ** (q / CELLS)
     return [(r["b"], 1.0 / (v_kept + 1), value(r["q1"]), value(r["q2"]), float(r["n"])) for r in got]
 
 
 def score(docs: DataFrame, model: Model, pair_bits: int = PAIR_BITS) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of documents (doc_id, text)."""
-    spark = docs.sparkSession
-    lex, n, v = model.lexicon, model.tokens, model.distinct
-    weights, a, b = model.mixture()
-    one_class = model.class_count / float(max(n, 1))
+    n, v, weights = model.tokens, model.distinct, model.weights
+    unseen, floor = 1.0 / (v + 1), np.log10(1.0 / (n + v + 1))
     count = F.col("kept") + F.col("left")
-    frequent = count * F.lit(1 << pair_bits) >= F.lit(n)
-    own = model.pairs.where(F.col("word") != lex.rare)
-    hot = _arrays(own.where(frequent).select("k", count.alias("n")))  # at most 2**pair_bits rows
-    order = np.argsort(hot["k"])
-    hot_keys, hot_counts = hot["k"][order], hot["n"][order]
-    tables = spark.sparkContext.broadcast((lex, weights, a, b, one_class, model.context, hot_keys, hot_counts))
-    floor = np.log10(1.0 / (n + v + 1))
-    class_bits = lex.class_bits
-    mask = (1 << class_bits) - 1
-
-    def gain(keys, counts):
-        """log10 of what a pair's count adds to the estimate without it."""
-        _, weights, _, b, one_class, context, _, _ = tables.value
-        h, w = keys >> class_bits, keys & mask
-        without = weights[h, 1] * one_class[w] + b[h]
-        return np.log10(1.0 + weights[h, 2] * counts / np.maximum(context[h], 1) / without)
-
-    def read_texts(batches):
-        lex, weights, a, b, one_class, _, hot_keys, hot_counts = tables.value
-        hot_gain = gain(hot_keys, hot_counts)
-        for batch in batches:
-            doc_ids = batch.column(0)
-            for start, stop, tokens, per in token_chunks(batch.column(1)):
-                at, found, classes, context = lex.look_up(tokens, per)
-                counts = np.where(found, lex.counts[at], 0) if len(lex.counts) else np.zeros(len(tokens), np.int64)
-                base = np.log10(counts + 1.0) + floor
-                is_rare = classes == lex.rare
-                p = np.where(is_rare, a[context] * counts, weights[context, 1] * one_class[classes]) + b[context]
-                total = np.log10(p)
-                keys = (context << class_bits) | classes
-                where, is_hot = _find(hot_keys, keys)
-                if len(hot_keys):
-                    total += np.where(is_hot, hot_gain[where], 0.0)
-                first = np.cumsum(per) - per
-                texts = stop - start
-                # one row per text: its key meets nothing in the count tables
-                yield _rows(np.bitwise_or(np.arange(texts, dtype=np.int64) * 0x9E3779B1 + start, 1 << 62), doc_ids.slice(start, texts), np.full(texts, -1),
-                            per, np.add.reduceat(found.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(total, first))
-                text = np.repeat(np.arange(texts), per)
-                cold = np.flatnonzero(~is_hot & ~is_rare)
-                unknown = np.flatnonzero(~found)
-                out = np.concatenate([cold, unknown])
-                if len(out):
-                    key = np.concatenate([keys[cold], (tokens[unknown] | _TOP).view(np.int64)])
-                    ctx = np.concatenate([np.full(len(cold), -1), context[unknown]])
-                    zero = np.zeros(len(out), np.int64)
-                    yield _rows(key, doc_ids.take(pa.array(start + text[out])), ctx, zero, zero, zero.astype(float), zero.astype(float))
-
-    def _rows(key, doc, ctx, tokens, known, base, total):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key, pa.int64()), doc, pa.array(ctx.astype(np.int32)), pa.array(tokens.astype(np.int32)), pa.array(known.astype(np.int32)),
-             pa.array(base), pa.array(total)], ["key", "doc_id", "context", "tokens", "known", "base", "total"])
-
-    def pair_gains(batches):
-        for batch in batches:
-            keys, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(keys), np.int64)), pa.array(gain(keys, counts))], ["key", "n", "gain"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(read_texts, "key bigint, doc_id bigint, context int, tokens int, known int, base double, total double")
-    of_pairs = own.where(~frequent).select("k", count.alias("n")).mapInArrow(pair_gains, "key bigint, n bigint, gain double")
-    of_words = model.words.where(count * F.lit(1 << lex.lexicon_bits) < F.lit(n)) \
-        .select(F.col("h").bitwiseOR(F.lit(-(1 << 63))).alias("key"), count.alias("n"), F.lit(0.0).alias("gain"))
-    ratio = spark.createDataFrame(pa.table({"context": pa.array(np.arange(len(a)), pa.int32()), "ratio": pa.array(a / b)}))
-    joined = rows.join(of_pairs.unionByName(of_words), "key", "left").join(F.broadcast(ratio), "context", "left")
-    times = F.coalesce(F.col("n"), F.lit(0))
-    return joined.groupBy("doc_id").agg(
-        F.sum("tokens").cast("bigint").alias("n_tokens"),
-        F.sum(F.col("known") + (times > 0).cast("int")).cast("bigint").alias("n_known"),
-        F.sum(F.col("base") + F.log10(times + F.lit(1.0))).alias("base_score"),
-        F.sum(F.col("total") + F.coalesce("gain", F.lit(0.0)) + F.log10(F.lit(1.0) + F.coalesce("ratio", F.lit(0.0)) * times)).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.counts, *_hot(model.pairs, n, pair_bits, count)))
+
+    def answered(counts, start, stop, doc_ids, per, classes, before, word, both, done):
+        """One row per text: its tokens, and the sums over those that need no other table."""
+        known = np.maximum(word, 0)
+        base = np.log10(known + 1.0) + floor
+        lam = weights[bucket(before)]
+        two = both / np.maximum(before, 1) * np.where(classes == RARE, known / max(counts.rare, 1), 1.0)
+        p = lam[:, 2] * two + lam[:, 1] * known / max(n, 1) + lam[:, 0] * unseen
+        total = np.where(done, np.log10(np.where(done, p, 1.0)), 0.0)
+        first = np.cumsum(per) - per
+        texts = stop - start
+        yield _rows(np.arange(texts, dtype=np.int64) * 0x9E3779B1 + start, doc_ids.slice(start, texts), 0, 0, -1, 0, False,
+                    per, np.add.reduceat((word > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(total, first))
+
+    rows = _with_counts(docs, model.words, model.pairs, shared, n, model.lexicon_bits, count, answered)
+    lam = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, i]]), _bucket(F.col("before")) + 1) for i in range(3)]
+    p = lam[2] * _two(model.counts.rare) + lam[1] * F.col("word") / F.lit(float(max(n, 1))) + lam[0] * F.lit(unseen)
+    return rows.groupBy("doc_id").agg(
+        F.sum("tokens").cast("bigint").alias("n_tokens"), F.sum("known").cast("bigint").alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum(F.when(F.col("tokens") > 0, F.col("total")).otherwise(F.log10(p))).alias("score"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

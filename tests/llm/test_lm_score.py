@@ -106,3 +106,18 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b a", 0), (2, "b", 6)], "doc_id long, text string, fold int")
     assert lm.score(docs, lm.train(some)).count() == 0
     assert lm.score(some.where(F.col("fold") == 0), lm.train(some)).count() == 1
+
+
+def test_every_word_is_a_context_however_rare(spark):
+    rows = [(i, " ".join(f"x{(i * 7 + j * j) % 400}" for j in range(80)), i % 7) for i in range(600)]
+    rows += [(2000 + i, f"alpha{i} beta{i} gamma{i}", (0, 1, 3)[i % 3]) for i in range(40)] + [(3000, "alpha7 beta7 gamma7", 2), (3001, "alpha7 beta8 gamma7", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fold int")
+    model = lm.train(docs.where("fold <> 2"))
+    assert model.tokens > 1 << 14  # a word seen once is under N / 2**14
+    got = {r.doc_id: r for r in lm.score(docs, model).collect()}
+    plain = Plain(rows, model.weights, 60)
+    for d, t, _ in rows:
+        own = tokens(t)
+        full = sum(math.log10(plain.p(h, w)) for h, w in zip(["<s>", *own], own))
+        assert abs(got[d].score - full) < 1e-6 * abs(full)
+    assert got[3000].score > got[3001].score + 0.5 and got[3000].base_score == got[3001].base_score
