@@ -4,13 +4,19 @@ Rules name a host and a path prefix and hold for the host and its subdomains;
 the longest rule that fits decides. For urls without a rule the host decides:
 personalised PageRank carries trust from trusted hosts along links (who is
 linked from trusted hosts is trusted) and distrust from blocked hosts against
-them (who links to blocked hosts is distrusted). Every seed starts with value
-one; ``score = (1 - DAMPING) * seed + DAMPING * (sum over neighbours, by link
-share)``, walks end at hosts without further links. A host whose distrust
-exceeds its trust by ``THRESHOLD`` or more is blocked.
-
-Seeds are the hosts most of whose urls a rule allows (trusted) or blocks
-(blocked), or tables given by the caller. Host edges are the absolute and
+them (who links to blocked hosts is distrusted). Every seed starts with its
+share of one; ``score = (1 - DAMPING) * seed + DAMPING * (sum over neighbours,
+by link share)``, walks end at hosts without further links. PageRank divides a
+host's score among all its neighbours, so it becomes small where they are many.
+The verdict therefore rests on the same sums taken by the receiver's own links:
+blame comes by the shares of a host's outgoing links that go to blamed hosts,
+faith by the shares of its incoming links that come from hosts with faith. Both
+lie between 0 and 1, and no number of other linkers lowers them. A host whose
+blame exceeds its faith by ``THRESHOLD`` or more is blocked.
+
+Seeds are the hosts that have urls which a rule allows (trusted) or blocks
+(blocked), each by the share of its urls, or tables given by the caller (without
+a ``share``, each counts whole). Host edges are the absolute and
 protocol-relative links in the pages' html to another host, counted per pair
 of hosts, so a host that holds a third of all pages is one node with few
 edges. Every few iterations the scores are written under the shared checkpoint
@@ -38,7 +44,7 @@ DAMPING = 0.85
 ITERATIONS = 40
 #: Largest change of any score at which iteration ends, looked at every CHECK_EVERY iterations.
 TOLERANCE, CHECK_EVERY = 1e-4, 5
-#: Distrust less trust from which a host is blocked, where a seed's own value is 1 - DAMPING.
+#: Blame less faith from which a host is blocked, where a seed's own value is 1 - DAMPING.
 THRESHOLD = 0.05
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,18 +84,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(host, trust, distrust) of hosts that any of both reaches; seeds are tables of distinct ``host``.
+    """(host, trust, distrust, faith, blame) of hosts that any of them reaches; seeds are tables of distinct ``host``, with or without ``share``.
 
-    Both walks run together: ``kind`` t follows links, d goes against them.
+    All walks run together: ``kind`` t and f follow links, d and b go against
+    them; t and d by the giver's links, f and b by the receiver's.
     """
-    forward = edges.select(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n")
-    backward = edges.select(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
-    both = forward.unionByName(backward)
-    total = both.groupBy("kind", "a").agg(F.sum("n").alias("all"))
-    steps = stored(both.join(total, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("share")), "url-steps")
-    seeds = stored(trusted.select(F.lit("t").alias("kind"), F.col("host").alias("a"))
-                   .union(blocked.select(F.lit("d").alias("kind"), F.col("host").alias("a")))
-                   .distinct().withColumn("base", F.lit(1 - DAMPING)), "url-seeds")
+    given, taken = edges.groupBy("src").agg(F.sum("n").alias("given")), edges.groupBy("dst").agg(F.sum("n").alias("taken"))
+    step = lambda kind, a, b, total: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), (F.col("n") / F.col(total)).alias("share"))
+    steps = stored(edges.join(given, "src").join(taken, "dst").select(F.explode(F.array(
+        step("t", "src", "dst", "given"), step("f", "src", "dst", "taken"),
+        step("d", "dst", "src", "taken"), step("b", "dst", "src", "given"))).alias("x")).select("x.*"), "url-steps")
+
+    def of(hosts, kinds):
+        share = F.col("share").cast("double") if "share" in hosts.columns else F.lit(1.0)
+        return hosts.select(F.explode(F.array(*map(F.lit, kinds))).alias("kind"), F.col("host").alias("a"), (F.lit(1 - DAMPING) * share).alias("base"))
+
+    seeds = stored(of(trusted, "tf").union(of(blocked, "db")), "url-seeds")
     scores = seeds.withColumnRenamed("base", "score")
     if not steps.isEmpty():
         last = scores
@@ -104,9 +114,9 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, iteratio
                 if change < TOLERANCE:
                     break
                 last = scores
+    names = {"t": "trust", "d": "distrust", "f": "faith", "b": "blame"}
     return scores.groupBy(F.col("a").alias("host")).agg(
-        F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("score"))), F.lit(0.0)).alias("trust"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "d", F.col("score"))), F.lit(0.0)).alias("distrust"))
+        *[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(name) for kind, name in names.items()])
 
 
 def judge_urls(pages: DataFrame, rules=None, trusted: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
@@ -119,14 +129,15 @@ def judge_urls(pages: DataFrame, rules=None, trusted: DataFrame | None = None, b
         F.count(F.lit(1)).alias("n_pages"), F.sum((F.col("by_rule") == "allow").cast("int")).alias("allowed"),
         F.sum((F.col("by_rule") == "block").cast("int")).alias("blocked")), "url-hosts")
     named = hosts.where("host <> ''")
-    trusted = named.where("2 * allowed > n_pages").select("host") if trusted is None else trusted
-    blocked = named.where("2 * blocked > n_pages").select("host") if blocked is None else blocked
+    trusted = named.where("allowed > 0").select("host", (F.col("allowed") / F.col("n_pages")).alias("share")) if trusted is None else trusted
+    blocked = named.where("blocked > 0").select("host", (F.col("blocked") / F.col("n_pages")).alias("share")) if blocked is None else blocked
     edges = host_edges(pages.select(url.alias("url"), F.col("html").cast("string").alias("html")))
-    scores = propagate(edges, trusted.select("host").distinct(), blocked.select("host").distinct())
+    scores = propagate(edges, trusted.dropDuplicates(["host"]), blocked.dropDuplicates(["host"]))
+    scored = ["trust", "distrust", "faith", "blame"]
     judged = hosts.select("host", "n_pages").join(scores, "host", "left").select(
-        "host", "n_pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+        "host", "n_pages", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in scored])
     out = join_on_hot_key(rows, judged, ["host"], "n_pages", rows.count())
-    by_host = F.when(F.col("distrust") - F.col("trust") >= THRESHOLD, "block").otherwise("allow")
+    by_host = F.when(F.col("blame") - F.col("faith") >= THRESHOLD, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "trust", "distrust")
 
 

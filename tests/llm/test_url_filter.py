@@ -92,3 +92,16 @@ def test_links_decide_where_no_rule_fits(spark):
 
 def test_empty(spark):
     assert uf.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_large_farm_is_blocked_and_directory_is_not(spark):
+    rows = [(1, "http://spam.net/es/1", None), (2, "http://half.net/fr/1", None), (3, "http://half.net/en/1", None)]
+    rows += [(100 + i, f"http://farm{i}.org/", '<a href="http://spam.net/">x</a>') for i in range(300)]
+    rows += [(500, "http://big.org/1", '<a href="http://spam.net/">x</a>' * 200), (501, "http://fan.org/1", '<a href="http://half.net/">x</a>' * 3)]
+    links = "".join(f'<a href="http://site{i}.org/">x</a>' for i in range(50))
+    rows += [(600, "http://directory.org/", links + '<a href="http://spam.net/">x</a>'), (601, "http://site1.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in uf.judge_urls(pages).collect()}
+    assert all(got[100 + i].verdict == "block" for i in range(300)) and got[500].verdict == "block"
+    assert got[3].verdict == "block" and got[501].verdict == "block"  # half of half.net's urls are blocked
+    assert got[600].verdict == got[601].verdict == "allow"
