@@ -35,7 +35,7 @@ from lisible.llm.common import bound_batches, crc_mod, read
 
 #: Bytes of training text per language; the sample, its transfer and the dictionaries are bounded by it.
 DICTIONARY_BYTES = 110_000
-#: Training rows per language that the sample aims at; enough to fill a dictionary many times over.
+#: Different training texts per language that the sample aims at; enough to fill a dictionary many times over.
 SAMPLE_ROWS = 400
 #: More languages than this are refused: the dictionaries of all languages travel to every task.
 MAX_LANGUAGES = 400
@@ -89,17 +89,19 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> list[t
     """(language, dictionary) from labelled rows, languages with more rows first."""
     rows = training.select(F.col(text).cast("string").alias("text"), F.trim(F.col(lang)).alias("lang")) \
         .where("lang <> '' and text is not null")
-    counts = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).take(MAX_LANGUAGES + 1)),
+    # copies are in or out together, so the share wanted is one of different texts
+    draw = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1 << 40))
+    texts = rows.select("lang", draw.alias("draw")).groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted(((r["lang"], r["n"], r["texts"]) for r in texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).take(MAX_LANGUAGES + 1)),
                     key=lambda x: (-x[1], x[0]))
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in the training rows")
     if not counts:
         return []
     # only texts whose hash falls under the share wanted of their language go on, each text once
-    draw = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1 << 40))
     share = F.lit(0.0)
-    for name, n in counts:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(share)
+    for name, _, n_texts in counts:
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, SAMPLE_ROWS / n_texts))).otherwise(share)
     picked = rows.withColumn("draw", draw).where(F.col("draw") <= share * F.lit(float(1 << 40)))
     each = picked.groupBy("lang", "draw").agg(F.min("text").alias("text"))
     # whole texts until the dictionary is full; the text that fills it is cut there
@@ -110,7 +112,7 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> list[t
     samples: dict[str, list[bytes]] = {}
     for r in sorted(kept.collect(), key=lambda r: (r["lang"], r["draw"])):
         samples.setdefault(r["lang"], []).append(letters(r["text"]))
-    return [(name, b" ".join(samples[name])[:DICTIONARY_BYTES]) for name, _ in counts if any(samples.get(name, []))]
+    return [(name, b" ".join(samples[name])[:DICTIONARY_BYTES]) for name, _, _ in counts if any(samples.get(name, []))]
 
 
 def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: Column, keep: list[Column]) -> DataFrame:

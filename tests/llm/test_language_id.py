@@ -57,3 +57,14 @@ def test_filter_keeps_columns_and_repeats(spark):
     out = li.filter_language(docs)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted(r[0] for r in data if r[0] != 900)
+
+
+def test_a_language_of_copies_gets_its_dictionary(spark):
+    texts = [f"zuq{'q' * i} xiv wok yil vuz {'kyz ' * (i % 5)}pax" for i in range(60)]
+    made = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("draw", F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1 << 40)))
+    late = [r.text for r in made.orderBy(F.desc("draw")).limit(4).collect()]  # drawn last
+    data = rows() + [(1000 + i, late[i % 4], "cc", "x") for i in range(6000)]
+    docs = spark.createDataFrame(data, DOCS)
+    learned = dict(li.learn(li.labelled(docs)))
+    assert all(li.letters(t) in learned["cc"] for t in late)
+    assert all(r.lang_pred == "cc" for r in li.identify(docs.where("lang = 'cc'"), list(learned.items()), F.col("text"), [F.col("doc_id")]).distinct().collect())
