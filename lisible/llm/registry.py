@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lisible.llm import chat_format, decontaminate, language_id, lm_score, near_dup, pieces, pii, quality_rules, sharding, url_filter
+from lisible.llm import chat_format, decontaminate, language_id, lm_score, near_dup, pieces, pii, quality_rules, sharding, url_filter, vector_codes
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_near_dup": near_dup.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
