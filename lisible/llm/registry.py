@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lisible.llm import chat_format, decontaminate, language_id, lm_score, near_dup, pieces, pii, quality_rules, sharding, url_filter, vector_codes
+from lisible.llm import (chat_format, decontaminate, language_id, lm_score, near_dup, periodic_runs, pieces, pii, quality_rules, sharding,
+                         url_filter, vector_codes)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_lm_scoring": lm_score.op10_lm_scoring,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 
 ORACLES = {
