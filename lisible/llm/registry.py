@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lisible.llm import (chat_format, decontaminate, language_id, lm_score, near_dup, periodic_runs, pieces, pii, quality_rules, sharding,
+from lisible.llm import (chat_format, decontaminate, language_id, lm_score, near_dup, periodic_runs, pieces, pii, quality_rules, sharding, toxicity,
                          url_filter, vector_codes)
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_lm_scoring": lm_score.op10_lm_scoring,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLES = {
