@@ -24,8 +24,9 @@ NN = "chr(10) || chr(10)"
 # building blocks
 # ----------------------------------------------------------------------------
 
-# Fixture: the stored pages with what they lack, as expressions on page_id: description and image metadata, images
-# in several spellings (declared width, none, quoted and not), and pages whose fetch has failed (no html, blank html).
+# Fixture: every stored page whole, with what they lack put in by expressions on page_id (description and image
+# metadata, images in several spellings: declared width, none, quoted and not). Cases of failure are further rows
+# with ids of their own (negative), so no stored row is changed into one: fetches that gave no html or blanks only.
 DESCRIPTION_TAG = "<meta name=\"description\" content=\"About page &amp; more\">"
 IMAGE_TAG = "<meta property='og:image' content='/og.png'>"
 WIDE = "<p><img src=\"/wide.png\" alt=\"Wide one\" width=\"640\"> seen here.</p>"
@@ -33,13 +34,24 @@ NARROW = ("<p><img width='90' src='img/narrow.png'>Small.</p><p>And <img src=bar
           "<a class=x href='../more?a=1&amp;b=2'> the <i>rest</i> </a> of <strong> it all </strong>.</p>")
 
 
+RETRY = "#retry"
+
+
+def fresh_id(name: str):
+    """An id for a row derived from another one; stored ids are never negative."""
+    return (F.lit(-1).cast("bigint") - F.col(name)).alias(name)
+
+
 def pages(spark, sf_dir) -> DataFrame:
     i = F.col("page_id")
     head = F.concat(F.when(i % 4 == 0, F.lit(DESCRIPTION_TAG)).otherwise(""), F.when(i % 5 == 1, F.lit(IMAGE_TAG)).otherwise(""), F.lit("</head>"))
     body = F.concat(F.when(i % 3 == 0, F.lit(WIDE)).otherwise(""), F.when(i % 3 == 1, F.lit(NARROW)).otherwise(""), F.lit("</article>"))
     html = F.replace(F.replace("html", F.lit("</head>"), head), F.lit("</article>"), body)
-    html = F.when(i % 17 == 5, F.lit(None).cast("string")).when(i % 17 == 9, F.lit(" \n ")).otherwise(html)
-    return stored_pages(spark, sf_dir).select("page_id", "url", html.alias("html"))
+    given = stored_pages(spark, sf_dir)
+    failed = given.where(i % 17 == 5).withColumn("html", F.lit(None).cast("string")) \
+        .unionByName(given.where(i % 17 == 9).withColumn("html", F.lit(" \n ")))
+    return given.select("page_id", "url", html.alias("html")).unionByName(
+        failed.select(fresh_id("page_id"), F.concat("url", F.lit(RETRY)).alias("url"), "html"))
 
 
 def image_sizes(spark, sf_dir) -> DataFrame:
@@ -61,20 +73,30 @@ def page_rows(spark, sf_dir, compat: bool = False) -> DataFrame:
 
 
 def submissions(spark, sf_dir) -> DataFrame:
-    """Every page submitted once, odd page ids a second time (a duplicate inside the batch); some are pasted
-    texts, some have no url."""
-    url = F.when(F.col("page_id") % 11 == 3, F.lit(None).cast("string")).when(F.col("page_id") % 13 == 4, F.lit("text")).otherwise(F.col("url"))
-    p = pages(spark, sf_dir).select("page_id", url.alias("url"))
-    rep = p.select("page_id", "url", F.explode(F.sequence(F.lit(0), F.col("page_id") % 2)).alias("copy"))
-    return rep.select((F.col("page_id") * 2 + F.col("copy")).alias("seq"), "page_id", "url")
+    """Every stored page submitted once, odd page ids a second time (a duplicate inside the batch); besides them
+    pasted texts and submissions without url, as rows of their own."""
+    given = stored_pages(spark, sf_dir).select("page_id", "url")
+    rep = given.select("page_id", "url", F.explode(F.sequence(F.lit(0), F.col("page_id") % 2)).alias("copy"))
+    rep = rep.select((F.col("page_id") * 2 + F.col("copy")).alias("seq"), "page_id", "url")
+    other = [given.where(F.col("page_id") % 11 == 3).withColumn("url", F.lit(None).cast("string")),
+             given.where(F.col("page_id") % 13 == 4).withColumn("url", F.lit("text"))]
+    for k, rows in enumerate(other):
+        rep = rep.unionByName(rows.select((-F.col("page_id") * 2 - 1 - k).alias("seq"), fresh_id("page_id"), "url"))
+    return rep
 
 
 def known_catalog(spark, sf_dir) -> DataFrame:
     """Catalog already holding the earliest page of every host (a partial+final aggregate per host)."""
-    p = pages(spark, sf_dir).select("page_id", "url", H.host(F.col("url")).alias("host"))
+    p = stored_pages(spark, sf_dir).select("page_id", "url", H.host(F.col("url")).alias("host"))
     return p.groupBy("host").agg(F.min_by("url", "page_id").alias("url")).select("url")
 
 
+def documents_and_null_texts(spark, sf_dir) -> DataFrame:
+    """Every stored document, and rows of their own without a text."""
+    given = documents(spark, sf_dir).select("doc_id", "text")
+    return given.unionByName(given.where(F.col("doc_id") % 19 == 7).select(fresh_id("doc_id"), F.lit(None).cast("string").alias("text")))
+
+
 # ----------------------------------------------------------------------------
 # queries
 # ----------------------------------------------------------------------------
@@ -117,8 +139,7 @@ def q_rejected_inputs(spark, sf_dir):
     """Inputs that become no article, one reason each; accepted and rejected inputs are all inputs."""
     status = pg.page_article_status(pages(spark, sf_dir), image_sizes(spark, sf_dir))
     page = status.where("reason is not null").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "reason")
-    text = F.when(F.col("doc_id") % 19 == 7, F.lit(None).cast("string")).otherwise(F.col("text"))   # fixture: null texts
-    docs = scored_documents(documents(spark, sf_dir).select("doc_id", text.alias("text"))).where("n_sentences = 0")
+    docs = scored_documents(documents_and_null_texts(spark, sf_dir)).where("n_sentences = 0")
     return page.unionByName(docs.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.lit("no_sentence").alias("reason")))
 
 
@@ -159,9 +180,10 @@ def _pg() -> tuple[str, str]:
             f"(CASE WHEN page_id % 5 = 1 THEN {S.lit(IMAGE_TAG)} ELSE '' END) || '</head>'")
     body = (f"(CASE WHEN page_id % 3 = 0 THEN {S.lit(WIDE)} ELSE '' END) || "
             f"(CASE WHEN page_id % 3 = 1 THEN {S.lit(NARROW)} ELSE '' END) || '</article>'")
-    html = (f"CASE WHEN page_id % 17 = 5 THEN '' WHEN page_id % 17 = 9 THEN ' ' || chr(10) || ' ' "
-            f"ELSE replace(replace(html, '</head>', {head}), '</article>', {body}) END")
-    return ("pg", f"SELECT page_id, url, {html} AS html, {S.host('url')} AS host FROM pages")
+    html = f"replace(replace(html, '</head>', {head}), '</article>', {body})"
+    return ("pg", f"SELECT page_id, url, {html} AS html, {S.host('url')} AS host FROM pages UNION ALL "
+                  f"SELECT -1 - page_id, url || {S.lit(RETRY)}, CASE WHEN page_id % 17 = 5 THEN '' ELSE ' ' || chr(10) || ' ' END, {S.host('url')} "
+                  "FROM pages WHERE page_id % 17 IN (5, 9)")
 
 
 def _title() -> str:
@@ -275,8 +297,9 @@ def oracle() -> dict[str, str]:
     page_rows = _page_rows_ctes()
     doc_scored = D.sql_scored_ctes()
     submissions = ("subs", "SELECT page_id * 2 + c AS seq, page_id, url FROM (SELECT page_id, url, "
-                           "unnest(generate_series(0, page_id % 2)) AS c FROM (SELECT page_id, CASE WHEN page_id % 11 = 3 THEN NULL "
-                           "WHEN page_id % 13 = 4 THEN 'text' ELSE url END AS url FROM pages) y) x")
+                           "unnest(generate_series(0, page_id % 2)) AS c FROM pages) x UNION ALL "
+                           "SELECT -page_id * 2 - 1, -1 - page_id, NULL FROM pages WHERE page_id % 11 = 3 UNION ALL "
+                           "SELECT -page_id * 2 - 2, -1 - page_id, 'text' FROM pages WHERE page_id % 13 = 4")
     known = ("known", f"SELECT arg_min(url, page_id) AS url FROM pages GROUP BY {S.host('url')}")
     return {
         "page_links": S.with_ctes([_pg(), ("lk", " UNION ALL ".join(links)), ("lk2", f"SELECT *, {raw_cases} AS raw FROM lk")],
@@ -294,11 +317,12 @@ def oracle() -> dict[str, str]:
                                 "WHERE url IS NULL OR url = 'text' OR rn = 1 AND url NOT IN (SELECT url FROM known WHERE url <> 'text')"),
         "rejected_inputs": S.with_ctes(blocks + [("accepted", "SELECT page_id, text FROM ptext WHERE n_blocks > 0")]
                                        + _scored_text_ctes("accepted", "page_id") + doc_scored,
-                                       "SELECT 'pages' AS source, page_id AS id, 'fetch_failed' AS reason FROM pages WHERE page_id % 17 IN (5, 9) "
-                                       "UNION ALL SELECT 'pages', page_id, 'no_main_text' FROM ptext WHERE n_blocks = 0 AND page_id % 17 NOT IN (5, 9) "
+                                       "SELECT 'pages' AS source, page_id AS id, 'fetch_failed' AS reason FROM pg WHERE page_id < 0 "
+                                       "UNION ALL SELECT 'pages', page_id, 'no_main_text' FROM ptext WHERE n_blocks = 0 AND page_id >= 0 "
                                        "UNION ALL SELECT 'pages', a.page_id, 'no_sentence' FROM accepted a ANTI JOIN t_means m ON a.page_id = m.page_id "
                                        "UNION ALL SELECT 'documents', d.doc_id, 'no_sentence' FROM documents d LEFT JOIN doc_means m ON d.doc_id = m.doc_id "
-                                       "WHERE m.doc_id IS NULL OR d.doc_id % 19 = 7"),
+                                       "WHERE m.doc_id IS NULL "
+                                       "UNION ALL SELECT 'documents', -1 - doc_id, 'no_sentence' FROM documents WHERE doc_id % 19 = 7"),
         "assign_article_ids": S.with_ctes(page_rows, "SELECT row_number() OVER (ORDER BY page_id) - 1 AS article_id, page_id, url FROM rows"),
         "union_articles": S.with_ctes(
             D.sql_catalog_ctes() + page_rows,
