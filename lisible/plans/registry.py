@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lisible.plans.documents", "lisible.plans.pages", "lisible.plans.simplify", "lisible.plans.streams"]
+MODULES = ["lisible.plans.documents", "lisible.plans.boundaries", "lisible.plans.pages", "lisible.plans.simplify", "lisible.plans.streams"]
 
 
 def all_queries() -> dict:
