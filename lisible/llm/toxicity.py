@@ -14,7 +14,8 @@ one most like a toxic one). Both classes weigh the same.
 
 It is trained on a bounded sample: up to ``SAMPLE_TEXTS`` different texts and
 ``SAMPLE_BYTES`` bytes of either class, those with the smallest hashes, each text
-whole. Subwords found in under one of ``RARE`` sampled texts are left out. The
+whole. Subwords are hashed into 2**BUCKET_BITS buckets; those found in under one of
+``RARE`` sampled texts are left out. The
 training is small numpy work in one task, bounded by the sample; scoring is one
 pass over the documents, where a word is one number, its share in the log odds.
 
@@ -32,7 +33,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lisible.llm.common import crc_mod, read, stored
+from lisible.llm.wordhash import mix
 
 NGRAMS = (3, 4, 5)
 #: Words of a passage.
@@ -51,8 +52,12 @@ SAMPLE_TEXTS, SAMPLE_BYTES = 3000, 12_000_000
 RARE = 200
 DIMENSION, ROUNDS, WARM_UP = 8, 60, 10
 STEP, STEP_SOFTMAX, MOMENTUM, SEED = 2.0, 0.5, 0.9, 13
-#: Words whose share a task remembers.
-CACHE = 300_000
+#: Subwords are told apart by so many bits of their hashes.
+BUCKET_BITS = 22
+#: Words whose log odds a task remembers, and words hashed together.
+CACHE, WORD_BLOCK = 300_000, 20_000
+#: Texts scored together.
+TEXTS = 200
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -61,11 +66,31 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def subwords(word: str) -> list[int]:
-    """Checksums of the word with its ends marked and of its character n-grams, ascending, each once."""
-    marked = f"<{word}>"
-    grams = {marked[i:i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
-    return sorted({zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in grams | {marked}})
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of words, and the word (its place in the list) that each belongs to.
+
+    A word with its ends marked is hashed whole and in all pieces of each length in NGRAMS, repeated ones each time.
+    """
+    marked = "".join([f"<{w}>" for w in words])
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    if not len(words):
+        return np.zeros(0, np.int64), owner
+    at = (np.arange(len(codes)) - starts[owner]).astype(np.uint64)
+    found = [mix(np.add.reduceat(mix(codes + (at << np.uint64(32))), starts))]
+    owners = [np.arange(len(words))]
+    for n in NGRAMS:
+        if len(codes) < n:
+            continue
+        h = np.full(len(codes) - n + 1, n, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j:j + len(h)]
+        inside = owner[:len(h)] == owner[n - 1:]
+        found.append(mix(h[inside]))
+        owners.append(owner[:len(h)][inside])
+    return (np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate(owners)
 
 
 def passage_starts(n: int) -> range:
@@ -75,24 +100,40 @@ def passage_starts(n: int) -> range:
 
 @dataclass(frozen=True)
 class Model:
-    """``shares``: what a subword adds to the log odds of the word's sum of subwords; ``bias``: log odds of no words."""
+    """``shares``: what a subword's bucket adds to the log odds of a word's sum of subwords; ``bias``: log odds of no words."""
     shares: dict[int, float]
     bias: float
 
-    def word(self, word: str) -> float:
-        parts = subwords(word)
-        return sum(self.shares.get(s, 0.0) for s in parts) / len(parts)
-
-    def score(self, text: str | None, known: dict[str, float]) -> float:
-        """Probability that the text is toxic; ``known`` is a cache of words."""
-        each = []
-        for w in words_of(text):
-            u = known.get(w)
-            if u is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                u = known[w] = self.word(w)
-            each.append(u)
+    def table(self) -> np.ndarray:
+        out = np.zeros(1 << BUCKET_BITS)
+        out[np.fromiter(self.shares.keys(), np.int64, len(self.shares))] = np.fromiter(self.shares.values(), float, len(self.shares))
+        return out
+
+
+class Scorer:
+    """Scores texts of a task; remembers the log odds of up to CACHE words."""
+
+    def __init__(self, model: Model):
+        self.table, self.bias = model.table(), model.bias
+        self.known: dict[str, float] = {}
+
+    def learn_words(self, words: list[str]) -> None:
+        for i in range(0, len(words), WORD_BLOCK):
+            block = words[i:i + WORD_BLOCK]
+            buckets, owner = subwords(block)
+            mean = np.bincount(owner, self.table[buckets], len(block)) / np.bincount(owner, minlength=len(block))
+            self.known.update(zip(block, mean.tolist()))
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Probabilities that the texts are toxic."""
+        documents = [words_of(t) for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known = self.known
+        self.learn_words(sorted({w for d in documents for w in d if w not in known}))
+        return [self._score([known[w] for w in d]) for d in documents]
+
+    def _score(self, each: list[float]) -> float:
         worst = 0.0
         if each:
             values = np.array(each)
@@ -135,27 +176,26 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _known_subwords(names: list[str], documents: list[np.ndarray]) -> tuple[np.ndarray, _Bags, np.ndarray]:
-    """Subwords that stand in enough documents, the words as bags of them, and each word's number of subwords, rare ones too."""
-    each = [np.array(subwords(w), np.uint32) for w in names]
-    held = np.zeros(0, np.uint32)
-    times = np.zeros(0, np.int64)
-    waiting: list[np.ndarray] = []
-    for i, d in enumerate(documents):
+    """Buckets that stand in enough documents, the words as bags of them, and one by each word's number of subwords, rare ones too."""
+    flat, sizes = [], []
+    for i in range(0, len(names), WORD_BLOCK):
+        buckets, owner = subwords(names[i:i + WORD_BLOCK])
+        flat.append(buckets[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner))
+    every = np.concatenate([*flat, np.zeros(0, np.int32)])
+    size = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
+    start = np.cumsum(size) - size
+    held = np.zeros(1 << BUCKET_BITS, np.int32)
+    for d in documents:
         if len(d):
-            waiting.append(np.unique(np.concatenate([each[w] for w in np.unique(d).tolist()])))
-        if waiting and (i + 1 == len(documents) or sum(map(len, waiting)) > 2_000_000):
-            new, n = np.unique(np.concatenate(waiting), return_counts=True)
-            every = np.concatenate([held, new])
-            held, where = np.unique(every, return_inverse=True)
-            times = np.bincount(where, np.concatenate([times, n])).astype(np.int64)
-            waiting = []
-    kept = held[times >= max(2, -(-len(documents) // RARE))]
-    sizes = np.array([len(p) for p in each])
-    flat = np.concatenate([*each, np.zeros(0, np.uint32)])
-    at = np.searchsorted(kept, flat)
-    there = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == flat) if len(kept) else np.zeros(len(flat), bool)
-    owner = np.repeat(np.arange(len(names)), sizes)
-    return kept, _Bags(at[there], np.bincount(owner[there], minlength=len(names))), 1 / np.maximum(1, sizes)
+            own = np.unique(d)
+            held[np.unique(every[_ranges(start[own], size[own])])] += 1
+    kept = np.flatnonzero(held >= max(2, -(-len(documents) // RARE)))
+    index = np.full(1 << BUCKET_BITS, -1, np.int32)
+    index[kept] = np.arange(len(kept))
+    at = index[every]
+    owner = np.repeat(np.arange(len(names)), size)[at >= 0]
+    return kept, _Bags(at[at >= 0], np.bincount(owner, minlength=len(names))), 1 / np.maximum(1, size)
 
 
 def train(texts: list[str], toxic: list[int]) -> Model:
@@ -249,10 +289,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     fields = docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        own, known = bundle.value, {}
+        own = Scorer(bundle.value)
         for batch in batches:
-            scores = [own.score(t.as_py(), known) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                scores = own.scores(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
     return fields.mapInArrow(run, f"doc_id {dict(fields.dtypes)['doc_id']}, held_out boolean, score double")
 

@@ -28,6 +28,10 @@ def corpus(n=300, seed=3):
     return texts, toxic
 
 
+def score(model, text):
+    return X.Scorer(model).scores([text])[0]
+
+
 @pytest.fixture(scope="module")
 def model():
     return X.train(*corpus())
@@ -35,16 +39,16 @@ def model():
 
 def test_unseen_texts_are_told_and_long_ones_are_not_diluted(model):
     texts, toxic = corpus(seed=9)
-    assert np.mean([(model.score(t, {}) >= 0.5) == bool(y) for t, y in zip(texts, toxic)]) > 0.98
+    assert np.mean([(score(model, t) >= 0.5) == bool(y) for t, y in zip(texts, toxic)]) > 0.98
     clean = " ".join(t for t, y in zip(texts, toxic) if not y)
-    assert model.score(clean, {}) < 0.5 < model.score(clean + " schnark schnark " + clean, {})
+    assert score(model, clean) < 0.5 < score(model, clean + " schnark schnark " + clean)
 
 
 def test_misspellings_share_subwords(model):
     text = "lomi nerusta {} pelor enba"
     for seen in ("gruumbold", "grumboldd", "fekwittz", "sschnark", "schnarkk"):
-        assert model.score(text.format(seen), {}) > 0.5
-    assert model.score(text.format("tisenlo"), {}) < 0.5
+        assert score(model, text.format(seen)) > 0.5
+    assert score(model, text.format("tisenlo")) < 0.5
 
 
 def test_training_is_the_same_every_time(model):
@@ -55,24 +59,33 @@ def test_training_is_the_same_every_time(model):
 def test_score_by_its_definition(model):
     text = "lomi Schnark " + "ba lo neru " * 9
     words = X.words_of(text)
-    word = lambda w: sum(model.shares.get(s, 0.0) for s in X.subwords(w)) / len(X.subwords(w))
+    word = lambda w: np.mean([model.shares.get(int(b), 0.0) for b in X.subwords([w])[0]])
     cuts = [*X.passage_starts(len(words)), len(words)]
     worst = max(np.mean([word(w) for w in words[a:b]]) for a, b in zip(cuts, cuts[1:]))
-    assert model.score(text, {}) == pytest.approx(1 / (1 + np.exp(-(model.bias + worst))), abs=1e-12)
-    assert model.score(None, {}) == model.score(" ., ", {}) == pytest.approx(1 / (1 + np.exp(-model.bias)))
+    assert score(model, text) == pytest.approx(1 / (1 + np.exp(-(model.bias + worst))), abs=1e-12)
+    assert score(model, None) == score(model, " ., ") == pytest.approx(1 / (1 + np.exp(-model.bias)))
+
+
+def test_subwords_do_not_depend_on_their_neighbours():
+    words = ["ab", "é", "grumbold", "ab", "aaaaaa", "\U0001d11ex"]
+    buckets, owner = X.subwords(words)
+    for i, w in enumerate(words):
+        alone, _ = X.subwords([w])
+        assert sorted(buckets[owner == i].tolist()) == sorted(alone.tolist())
+        assert len(alone) == 1 + sum(max(0, len(w) + 3 - n) for n in X.NGRAMS)
+    assert set(X.subwords(["ba"])[0].tolist()).isdisjoint(X.subwords(["ab"])[0].tolist())
+    assert set(X.subwords(["grumbold"])[0].tolist()) & set(X.subwords(["grumboldt"])[0].tolist())
 
 
-def test_subwords_and_passages():
-    named = lambda *s: sorted({zlib.crc32(x.encode()) for x in s})
-    assert X.subwords("ab") == named("<ab>", "<ab", "ab>") and X.subwords("é") == named("<é>")
+def test_passages():
     assert list(X.passage_starts(0)) == [0] and list(X.passage_starts(30)) == [0, 12] and list(X.passage_starts(31)) == [0, 12, 24]
 
 
 def test_one_class_or_none():
-    assert X.train([], []).score("any", {}) == 0.0
-    assert X.train(["a"], [0]).score("any", {}) == 0.0
-    assert X.train(["a"], [1]).score("any", {}) == 1.0
-    assert 0 <= X.train(["", "a b"], [1, 0]).score("a b", {}) <= 1
+    assert score(X.train([], []), "any") == 0.0
+    assert score(X.train(["a"], [0]), "any") == 0.0
+    assert score(X.train(["a"], [1]), "any") == 1.0
+    assert 0 <= score(X.train(["", "a b"], [1, 0]), "a b") <= 1
 
 
 def write(spark, path, docs, labels):
