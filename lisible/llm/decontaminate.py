@@ -106,7 +106,7 @@ def bloom_filter(hashes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
 
 
 def probe(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
-    """doc_id, row (key of the text's set), hits array<long>, shingles array<long> of documents with enough hits to matter."""
+    """doc_id, th (the text's hash), row (key of its set), hits array<long>, shingles array<long> of documents with hits."""
     bits = len(bloom) * 64
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
@@ -118,7 +118,7 @@ def probe(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
 
         longs = pa.list_(pa.int64())
         for batch in batches:
-            rows, keys, hits, sets = [], [], [], []
+            rows, texts, keys, hits, sets = [], [], [], [], []
             for start, stop, hashes, words in chunks(batch.column(1)):
                 values, counts = shingles(hashes, words, WIDTH)
                 low, high = bloom_positions(values, bits)
@@ -131,20 +131,22 @@ def probe(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
                 for i in np.unique(owner):
                     own = np.unique(values[stops[i] - counts[i]:stops[i]])
                     rows.append(batch.column(0)[start + int(i)].as_py())
+                    texts.append(batch.column(2)[start + int(i)].as_py())
                     keys.append(int(set_keys(own, np.array([len(own)]))[0].view(np.int64)[0]))
                     hits.append(np.unique(values[at[owner == i]]).view(np.int64))
                     sets.append(own.view(np.int64))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), pa.array(keys, pa.int64()), pa.array(hits, longs), pa.array(sets, longs)],
-                    ["doc_id", "row", "hits", "shingles"])
+                    [pa.array(rows, pa.int64()), pa.array(texts, pa.int64()), pa.array(keys, pa.int64()), pa.array(hits, longs), pa.array(sets, longs)],
+                    ["doc_id", "th", "row", "hits", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id bigint, row bigint, hits array<bigint>, shingles array<bigint>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")) \
+        .mapInArrow(run, "doc_id bigint, th bigint, row bigint, hits array<bigint>, shingles array<bigint>")
 
 
-def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment) of every document that contains an item."""
+def _contained(docs: DataFrame, items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The probes (see ``probe``) and (doc_id, row, item_id, n, n_shared) of every text that contains an item."""
     sets = stored(item_sets(items, percent), "bench-items")
     sketch = sets.select("item_id", "item", "need", F.explode("sketch").alias("h"))
     found = stored(probe(docs, bloom_filter(sketch.select("h"))), "bench-probes")
@@ -157,7 +159,12 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFr
     its = sets.select("item_id", "item", "n", F.col("shingles").alias("its"))
     full = full.join(its, F.col("i").eqNullSafe(F.col("item_id")) & (F.col("t") == F.col("item")))
     full = full.withColumn("n_shared", F.size(F.array_intersect("its", "shingles")).cast("bigint"))
-    full = full.where(F.lit(100) * F.col("n_shared") >= F.lit(percent) * F.col("n"))
+    return found, full.where(F.lit(100) * F.col("n_shared") >= F.lit(percent) * F.col("n"))
+
+
+def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_shared, containment) of every document that contains an item."""
+    _, full = _contained(docs, items, percent)
     best = full.groupBy("doc_id", "item_id").agg(F.max(F.struct(
         (F.col("n_shared") / F.col("n")).alias("containment"), F.col("n").alias("n_shingles"), "n_shared")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_shingles", "m.n_shared", "m.containment")
@@ -168,9 +175,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that contain no test item; columns stay as they are, rows are matched by doc_id."""
-    bad = matches(docs, items, percent).select(F.col("doc_id").cast("bigint").alias("_bench_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_bench_id"]), "left_anti")
+    """The documents that contain no test item; columns stay as they are, whatever their names.
+
+    Rows are told by id and text together, so a clean text that shares its id
+    (or has none) with a contaminated one stays.
+    """
+    found, full = _contained(docs, items, percent)
+    texts = found.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "th")
+    bad = full.select("doc_id", "row").distinct().join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))) \
+        .select(F.col("d").alias("_bench_id"), F.col("th").alias("_bench_th")).distinct()
+    own = F.xxhash64(docs["text"].cast("string"))
+    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_bench_id"]) & (own == bad["_bench_th"]), "left_anti")
 
 
 ORACLE = "WITH" + shingles_sql("documents", "doc_id", WIDTH) + "," + shingles_sql("benchmark", "item_id", WIDTH, "item_") + """,

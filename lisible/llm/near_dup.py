@@ -23,10 +23,10 @@ members are salted over tasks, and a task holds one pivot's set at a time.
 Inputs and their results: a text with fewer words than a shingle has its whole
 sequence as one; null texts, empty texts and texts without words have the empty
 set and are linked with nothing (their component is their own doc_id); texts
-are taken whole; rows that repeat a doc_id are linked each by its own text; a
-null doc_id never names a component and is never kept (a component without any
-id is null); columns other than doc_id and text are left alone; an empty table
-gives no rows.
+are taken whole; rows that repeat a doc_id, and rows without one, are linked
+each by its own text; a null doc_id never names a component and is never kept
+(a component without any id is null); columns other than doc_id and text are
+left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,12 +48,12 @@ PERCENT = 80
 SMALL = 32
 #: Members of one pivot that one task verifies in a row.
 MEMBERS = 500
-#: Strays and members of a large bucket that are compared in one piece, and shared shingles taken at a time there.
+#: Strays and members of a large bucket that are compared in one piece, the shingles of either side (on average; a
+#: larger set is held alone), and shared shingles taken at a time there.
 STRAY_BLOCK, MEMBER_BLOCK, COLUMNS = 128, 512, 4096
+STRAY_SHINGLES, MEMBER_SHINGLES = 60_000, 240_000
 #: Texts sketched together, in bytes; rounds of the sketch run over all of them at once.
 SKETCH_BYTES = 500_000
-#: Ids of classes without any doc_id lie below this.
-NO_ID = -(1 << 61)
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 40) - 1)
@@ -111,7 +111,7 @@ def _long(values: np.ndarray, where: np.ndarray | None = None) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, the set's key (c1, c2) and its band keys; an empty set has null keys and no bands."""
+    """doc_id, th (the text's hash), n_shingles, the set's key (c1, c2) and its band keys; an empty set has null keys and no bands."""
     def run(batches):
         for batch in batches:
             for start, stop, hashes, words in chunks(batch.column(1), SKETCH_BYTES):
@@ -121,12 +121,34 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
                 keys = band_keys(sketches(values, counts))[~none]
                 offsets = np.concatenate([[0], np.cumsum(np.where(none, 0, BANDS))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start), pa.array(counts), _long(c1, none), _long(c2, none),
+                    [batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(counts), _long(c1, none), _long(c2, none),
                      pa.ListArray.from_arrays(pa.array(offsets), _long(np.ascontiguousarray(keys).reshape(-1)))],
-                    ["doc_id", "n_shingles", "c1", "c2", "bands"])
+                    ["doc_id", "th", "n_shingles", "c1", "c2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>")
+    return docs.select(_id(), _text(), F.xxhash64(_text()).alias("th")) \
+        .mapInArrow(run, "doc_id bigint, th bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>")
+
+
+def _id():
+    return F.col("doc_id").cast("bigint").alias("doc_id")
+
+
+def _text():
+    return F.col("text").cast("string").alias("text")
+
+
+def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, c1, c2, text), one row per class of ``wanted`` (cid, c1, c2, least, th): the text of its row with the least id."""
+    rows = docs.select(_id().alias("_id"), _text(), F.xxhash64(_text()).alias("_th"))
+    # rows without an id are told by their text alone; copies of a text meet as one row before they are joined
+    named = rows.where("_id is not null").join(wanted, (F.col("_id") == F.col("least")) & (F.col("_th") == F.col("th")))
+    nameless = rows.where("_id is null").groupBy("_th").agg(F.min("text").alias("text")) \
+        .join(wanted.where("least is null"), F.col("_th") == F.col("th"))
+    columns = ["cid", "c1", "c2", "text"]
+    texts = stored(named.select(*columns).unionByName(nameless.select(*columns)), "near-texts")
+    if texts.count() > wanted.count():  # whole rows are repeated
+        texts = stored(texts.dropDuplicates(["cid"]), "near-texts")
+    return texts
 
 
 def verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -177,14 +199,19 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
 def verify_blocks(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) for the strays of every bucket against all its members, on full sets; at most one link per stray and component.
 
-    ``members`` holds (sig, cid, own, stray), own the component so far. Strays
-    and members are dealt into blocks; every pair of blocks is one piece of
-    work, whose size is bounded, so a large bucket is many pieces.
+    ``members`` holds (sig, cid, own, stray, n_shingles), own the component so
+    far. Strays and members are dealt into blocks by their number and by their
+    shingles; every pair of blocks is one piece of work, whose size is bounded,
+    so a large bucket is many pieces.
     """
-    count = members.groupBy("sig").agg(F.sum(F.col("stray").cast("int")).alias("strays"), F.count(F.lit(1)).alias("size")).where("strays > 0")
+    of_strays = lambda c: F.sum(F.when(F.col("stray"), c).otherwise(0))
+    blocks = lambda n, most, held, bytes_: F.greatest(F.ceil(F.col(n) / F.lit(most)), F.ceil(F.col(held) / F.lit(bytes_))).cast("bigint")
+    count = members.groupBy("sig").agg(
+        of_strays(F.lit(1)).alias("strays"), F.count(F.lit(1)).alias("size"),
+        of_strays(F.col("n_shingles")).alias("stray_sum"), F.sum("n_shingles").alias("member_sum")).where("strays > 0")
     dealt = members.join(count, "sig").select(
-        "sig", "cid", "own", "stray", F.ceil(F.col("strays") / F.lit(STRAY_BLOCK)).cast("bigint").alias("n_s"),
-        F.ceil(F.col("size") / F.lit(MEMBER_BLOCK)).cast("bigint").alias("n_m"))
+        "sig", "cid", "own", "stray", blocks("strays", STRAY_BLOCK, "stray_sum", STRAY_SHINGLES).alias("n_s"),
+        blocks("size", MEMBER_BLOCK, "member_sum", MEMBER_SHINGLES).alias("n_m"))
     number = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     strays = dealt.where("stray").select("sig", "cid", "own", number("n_s", 1).alias("s"), every("n_m").alias("m"), F.lit(0).alias("role"))
@@ -248,16 +275,15 @@ def verify_blocks(texts: DataFrame, members: DataFrame, width: int, percent: int
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, width: int = 4, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the classes that have a link; ``classes`` is a stored table (cid, c1, c2, bands)."""
+    """(node, component) of the classes that have a link; ``classes`` is a stored table (cid, c1, c2, least, th, n_shingles, bands)."""
     entries = classes.select(F.explode("bands").alias("sig"), "cid")
     buckets = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(entries.join(buckets, "sig"), "near-shared")
     weight = shared.groupBy("cid").agg(F.sum("size").alias("weight"))
     open_ = shared.select("sig", "cid").join(weight, "cid")
     # texts of the classes that share a bucket leave the documents once, for all rounds
-    wanted = classes.select("cid", "c1", "c2").join(shared.select("cid").distinct(), "cid", "left_semi")
-    texts = stored(docs.select(F.col("doc_id").cast("bigint").alias("cid"), F.col("text").cast("string").alias("text"))
-                   .join(wanted, "cid"), "near-texts")
+    wanted = stored(classes.select("cid", "c1", "c2", "least", "th").join(shared.select("cid").distinct(), "cid", "left_semi"), "near-wanted")
+    texts = class_texts(docs, wanted)
     found = open_.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", (-F.col("cid")).alias("least"))).alias("p"))
     open_ = stored(open_.join(found.select("sig", "size", (-F.col("p.least")).alias("pivot")), "sig"), "near-open")
     small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
@@ -271,43 +297,62 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int = 4, percent: i
     its = nodes.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
     large = large.join(own, "cid", "left").join(its, "pivot", "left").select(
         "sig", "cid", F.coalesce("own", "cid").alias("own"), (F.coalesce("own", "cid") != F.coalesce("its", "pivot")).alias("stray"))
+    large = large.join(classes.select("cid", "n_shingles"), "cid")
     more = verify_blocks(texts, stored(large, "near-large"), width, percent)
     return components(more.unionByName(nodes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
+def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, th, n_shingles and ``first``, the (no_id, id, th) of its component's first row; null for rows without a set."""
+    sets = stored(document_sets(docs, width), "near-sets")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "th")
+    classes = sets.where("c1 is not null").groupBy("c1", "c2").agg(
+        F.min(row).alias("first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies"))
+    # numbered where they are written, so that two classes never share a number, whatever their ids
+    classes = stored(classes.select("c1", "c2", "first", "bands", "n_shingles", "copies", F.col("first.id").alias("least"), F.col("first.th").alias("th"),
+                                    F.monotonically_increasing_id().alias("cid")), "near-classes")
+    nodes = stored(link_classes(docs, classes, width, percent), "near-components")
+    linked = nodes.withColumnRenamed("node", "cid").join(classes.select("cid", "first"), "cid")
+    first = linked.groupBy("component").agg(F.min("first").alias("its"), F.count(F.lit(1)).alias("n"))
+    linked = join_on_hot_key(linked.select("cid", "component"), first, ["component"], "n", nodes.count()).select("cid", "its")
+    named = classes.join(linked, "cid", "left").select("c1", "c2", "copies", F.coalesce("its", "first").alias("first"))
+    rows = sets.select("doc_id", "th", "n_shingles", "c1", "c2")
+    told = join_on_hot_key(rows.where("c1 is not null"), named, ["c1", "c2"], "copies", sets.count()).drop("copies")
+    return told.unionByName(rows.where("c1 is null"), allowMissingColumns=True).select("doc_id", "th", "n_shingles", "first")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    sets = stored(document_sets(docs, width), "near-sets")
-    classes = stored(
-        sets.where("c1 is not null").groupBy("c1", "c2").agg(
-            F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("cid", F.coalesce("cid", F.lit(NO_ID) - F.pmod("c1", F.lit(1 << 61)))), "near-classes")
-    nodes = link_classes(docs, classes, width, percent)
-    named = classes.select("c1", "c2", "cid", "copies").join(nodes.withColumnRenamed("node", "cid"), "cid", "left") \
-        .select("c1", "c2", "copies", F.coalesce("component", "cid").alias("component_id"))
-    total = sets.count()
-    rows = sets.select("doc_id", "n_shingles", "c1", "c2")
-    told = join_on_hot_key(rows.where("c1 is not null"), named, ["c1", "c2"], "copies", total).drop("copies") \
-        .unionByName(rows.where("c1 is null").withColumn("component_id", F.col("doc_id")))
-    component = F.when(F.col("component_id") > NO_ID, F.col("component_id"))
-    return told.select("doc_id", "n_shingles", component.alias("component_id"),
-                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.id"))
+    return _groups(docs, width, percent).select("doc_id", "n_shingles", component.alias("component_id"),
+                                                F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; five-word shingles. Columns stay as they are.
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """One document of each group stays, the one with the smallest doc_id (then text hash); five-word shingles.
 
-    Of repeated rows with that doc_id all stay; rows without a doc_id go only
-    if they are in a group with one that has an id.
+    Rows are told by id and text together, so an id with two texts, or rows
+    without an id, lose only what is a copy. Of rows that are repeated with the
+    same id and text one stays. Columns stay as they are, whatever their names.
     """
-    told = near_duplicates(docs)
-    gone = told.where(~F.col("kept") & F.col("component_id").isNotNull() & F.col("doc_id").isNotNull()) \
-        .select(F.col("doc_id").alias("_near_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_near_id"], "left_anti")
+    told = _groups(docs, width, percent).where("first is not null")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    marks = told.select("doc_id", "th", stays.alias("stays")).groupBy("doc_id", "th").agg(
+        F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    marks = stored(marks.select(F.col("doc_id").alias("_m_id"), F.col("th").alias("_m_th"), "stays", "n"), "near-marks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _id().alias("_id"), F.xxhash64(_text()).alias("_th"))
+    on = F.col("_id").eqNullSafe(F.col("_m_id")) & (F.col("_th") == F.col("_m_th"))
+    once = rows.join(marks, on, "left_anti").select("row.*")
+    repeated = marks.where("stays")
+    if repeated.isEmpty():
+        return once
+    # rows that are repeated in full: copies meet as one row inside the tasks first
+    again = rows.join(repeated, on, "left_semi").groupBy("_id", "_th").agg(F.first("row").alias("row"))
+    return once.unionByName(again.select("row.*"))
 
 
 def shingles_sql(table: str, name: str, width: int, prefix: str = "") -> str:

@@ -77,8 +77,9 @@ class Machine:
     pieces: list[tuple[str, float, int]]
     model_type: int
     add_mark: bool = True
-    #: Compositions kept between inputs (segments, in two generations, and piece pairs), so memory is bounded.
-    cache_size: int = 400_000
+    #: Bytes of compositions kept between inputs (segments, in two generations) and piece pairs kept, so memory is bounded.
+    cache_bytes: int = 32 << 20
+    cache_pairs: int = 150_000
     ids: dict[str, int] = field(init=False)
     surface: list[bytes] = field(init=False)
 
@@ -102,7 +103,7 @@ class Machine:
         self._segments: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[str, dict[str, bool]] = {}
-        self._n_pairs = 0
+        self._n_pairs = self._held = 0
 
     def _cuts(self) -> re.Pattern | None:
         """Pattern of the segments: places between characters that no piece holds side by side, read off the pieces.
@@ -173,7 +174,7 @@ class Machine:
         if fits is None:
             fits = left not in self.ids or right not in self.ids or self.merged(left + right) == [left, right]
             self._n_pairs += 1
-            if self._n_pairs > self.cache_size:
+            if self._n_pairs > self.cache_pairs:
                 self._pairs, self._n_pairs = {}, 0
             known[right] = fits
         return fits
@@ -263,9 +264,11 @@ class Machine:
     def _composed(self, segment: str) -> tuple[int, ...]:
         """The segment's output, from the older generation of the cache or a new composition."""
         ids = self._segments.get(segment) or self._older.get(segment) or self.shortest_path(segment)
-        if len(segment) <= 64:
-            if len(self._segments) >= self.cache_size:
-                self._segments, self._older = {}, self._segments
+        if len(segment) <= 64 and segment not in self._segments:
+            # a dictionary entry, a string and a tuple take about so much besides their contents
+            self._held += 200 + 2 * len(segment) + 8 * len(ids)
+            if 2 * self._held > self.cache_bytes:
+                self._segments, self._older, self._held = {}, self._segments, 0
             self._segments[segment] = ids
         return ids
 

@@ -120,3 +120,41 @@ def test_strays_of_a_large_bucket(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = nd.near_duplicates(docs, width=4).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+
+
+def test_near_copies_without_ids_and_ids_with_two_texts(spark):
+    rng = random.Random(8)
+    base = [[f"b{k}x{i}" for i in range(60)] for k in range(4)]
+
+    def near(k):
+        own = list(base[k])
+        own[rng.choice([0, 59])] = f"n{rng.random()}"
+        return " ".join(own)
+
+    rows = [(1, " ".join(base[0])), (None, near(0)), (7, near(0)), (None, near(1)), (None, near(1)), (None, near(1)),
+            (5, near(2)), (5, " ".join(f"unique{i}" for i in range(50))), (4, near(2)), (9, near(3)), (9, near(3)), (8, near(0)), (8, near(3))]
+    rows += [rows[3], rows[3], rows[0]]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, th string").repartition(3)
+    got = nd.near_duplicates(docs, width=4).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+    kept = [(r.doc_id, r.text) for r in nd.drop_near_duplicates(docs, width=4).collect()]
+    # one row of each group: the least id, or any row if none has one
+    sets = {t: shingle_set(t, 4) for _, t in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert len(kept) == 5 and not any(alike(a, b) for (_, a), (_, b) in itertools.combinations(kept, 2))
+    assert {d for d, _ in kept} == {1, None, 5, 4, 8} and (5, rows[7][1]) in kept
+
+
+@pytest.mark.parametrize("ids", [[None] * 4, [3] * 4])
+def test_rows_repeated_in_full_leave_one(spark, ids):
+    docs = spark.createDataFrame([(d, "a b c d e f g", i) for i, d in enumerate(ids)] + [(None, None, 9), (None, "other words", 9)], "doc_id long, text string, n int")
+    out = nd.drop_near_duplicates(docs).collect()
+    assert sorted(str(r.text) for r in out) == ["None", "a b c d e f g", "other words"]
+    assert {(str(r.component_id), r.kept) for r in nd.near_duplicates(docs).collect() if r.n_shingles == 3} == {(str(ids[0]), ids[0] is not None)}
+
+
+def test_blocks_are_cut_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SMALL", 2)
+    monkeypatch.setattr(nd, "STRAY_SHINGLES", 150)
+    monkeypatch.setattr(nd, "MEMBER_SHINGLES", 400)
+    test_strays_of_a_large_bucket(spark, monkeypatch)

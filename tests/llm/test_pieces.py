@@ -32,7 +32,7 @@ def test_equals_the_tokenizer_library(models):
 
 def test_small_cache_changes_nothing(models):
     mine, theirs = models
-    small = wfst.Machine(mine.pieces, mine.model_type, cache_size=3)
+    small = wfst.Machine(mine.pieces, mine.model_type, cache_bytes=700, cache_pairs=3)
     text = "the quick brown fox jumps over the lazy dog the quick " * 5
     assert small.encode(text) == theirs.encode(text)
 
