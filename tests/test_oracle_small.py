@@ -25,12 +25,16 @@ def con():
     return c
 
 
+#: Queries without a SQL form, each held against a plain implementation in a test of its own.
+WITHOUT_SQL = {"level_model", "ordinal_articles"}
+
+
 def test_every_query_has_oracle():
-    assert set(all_queries()) == set(SQL)
+    assert set(all_queries()) == set(SQL) | WITHOUT_SQL and not set(SQL) & WITHOUT_SQL
     assert set(SQL) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(all_queries()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = all_queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
