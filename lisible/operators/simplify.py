@@ -84,12 +84,14 @@ def _fill(template: str, **cols: Column) -> Column:
 
 
 def render_message(role: Column, content: Column) -> Column:
-    prefix = F.lit(None).cast("string")
-    suffix = F.lit(None).cast("string")
+    """One message between its role's marks. A missing text is empty, a missing role the user's; a role that the
+    template does not name gets marks made of its name."""
+    who = F.coalesce(role, F.lit("user"))
+    prefix, suffix = F.concat(F.lit("<|"), who, F.lit("|>\n")), F.lit("</s>\n")
     for r, (p, s) in CHAT_TEMPLATE.items():
-        prefix = F.when(role == r, F.lit(p)).otherwise(prefix)
-        suffix = F.when(role == r, F.lit(s)).otherwise(suffix)
-    return F.concat(prefix, content, suffix)
+        prefix = F.when(who == r, F.lit(p)).otherwise(prefix)
+        suffix = F.when(who == r, F.lit(s)).otherwise(suffix)
+    return F.concat(prefix, F.coalesce(content, F.lit("")), suffix)
 
 
 def simplification_prompts(levels: DataFrame) -> DataFrame:
@@ -124,6 +126,18 @@ def render_chat(turns: DataFrame, key: str = "conv_id", order: str = "turn") ->
     return j.select(key, order, "role", piece.alias("piece"))
 
 
+def render_conversations(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """``(key, n_turns, formatted_chat)``: each stored conversation as one string, turns in order, generation prompt last.
+
+    A conversation is one row by its nature; turns of equal number go by role, then text.
+    """
+    whole = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(order).alias("at"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("_t"))
+    pieces = F.transform("_t", lambda t: render_message(t["role"], t["text"]))
+    return whole.select(key, F.size("_t").cast("bigint").alias("n_turns"),
+                        F.concat(F.lit(CHAT_BOS), F.array_join(pieces, ""), F.lit(GENERATION_PROMPT)).alias("formatted_chat"))
+
+
 def vocabulary(texts: DataFrame, text: str = "formatted_chat") -> DataFrame:
     """``(token, n, token_id)``: ids by descending frequency then token, after the reserved ids."""
     toks = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)).alias("token"))
@@ -406,6 +420,20 @@ def resolve_model(requests: DataFrame, registry: DataFrame, default: Column | No
     return j.select(*requests.columns, resolved.alias("resolved_model"), status.alias("model_status"))
 
 
+def request_status(requests: DataFrame, registry: DataFrame, articles: DataFrame, default: Column | None = None) -> DataFrame:
+    """Every request once, with ``resolved_model`` and ``reason``: null if it is served, else why it is refused.
+
+    ``invalid_ordinal``: missing or negative; ``unknown_model``: not in the
+    registry, or nothing implements it; ``unknown_article``: not in the catalog.
+    """
+    resolved = resolve_model(requests, registry, default=default)
+    known = articles.select("article_id").distinct().withColumn("_known", F.lit(True))
+    j = salted_join(resolved, known, ["article_id"], "left", salt_from=["seq"])
+    reason = (F.when(F.col("n").isNull() | (F.col("n") < 0), "invalid_ordinal").when(F.col("model_status") != "ok", F.col("model_status"))
+              .when(F.col("_known").isNull(), "unknown_article"))
+    return j.select(*requests.columns, "resolved_model", reason.alias("reason"))
+
+
 def stored_ordinals(versions: DataFrame) -> DataFrame:
     """``simplification_id``: 0-based position of each stored version inside its article."""
     return ordinal_within(versions, "article_id", "seq", name="simplification_id")

@@ -112,6 +112,26 @@ def q_render_chat(spark, sf_dir):
     return sp.render_chat(read_table(spark, sf_dir, "conversations"))
 
 
+def conversations_and_odd_ones(spark, sf_dir) -> DataFrame:
+    """Every stored turn, and conversations of their own (negative ids) with missing texts and roles and other roles."""
+    given = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = given.where("conv_id % 7 = 3")
+    role = F.when(F.col("turn") % 3 == 0, F.lit(None).cast("string")).when(F.col("turn") % 3 == 1, F.lit("tool")).otherwise(F.col("role"))
+    text = F.when(F.col("turn") % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("text"))
+    return given.unionByName(odd.select((-F.col("conv_id") - 1).alias("conv_id"), "turn", role.alias("role"), text.alias("text")))
+
+
+def q_rendered_conversations(spark, sf_dir):
+    return sp.render_conversations(conversations_and_odd_ones(spark, sf_dir))
+
+
+def q_refused_requests(spark, sf_dir):
+    """Requests that cannot be served, one reason each; served and refused requests are all requests."""
+    r = requests(spark, sf_dir).select("article_id", F.col("n").cast("bigint").alias("n"), "model", "seq")
+    told = sp.request_status(r, sp.generator_registry(spark), D.doc_catalog(spark, sf_dir), sp.default_model())
+    return told.where("reason is not null").select("article_id", "n", "model", "seq", "reason")
+
+
 def q_encode_prompts(spark, sf_dir):
     e = encoded(spark, sf_dir)
     return e.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.size("ids").cast("bigint").alias("n_ids"),
@@ -208,6 +228,8 @@ def q_simplification_gain(spark, sf_dir):
 QUERIES = {
     "simplification_prompts": q_simplification_prompts,
     "render_chat": q_render_chat,
+    "rendered_conversations": q_rendered_conversations,
+    "refused_requests": q_refused_requests,
     "encode_prompts": q_encode_prompts,
     "generation_batches": q_generation_batches,
     "generate": q_generate,
@@ -232,7 +254,8 @@ QUERIES = {
 def _render(role: str, content: str) -> str:
     cases_p = " ".join(f"WHEN '{r}' THEN {S.lit(p)}" for r, (p, _) in sp.CHAT_TEMPLATE.items())
     cases_s = " ".join(f"WHEN '{r}' THEN {S.lit(s)}" for r, (_, s) in sp.CHAT_TEMPLATE.items())
-    return f"((CASE {role} {cases_p} END) || {content} || (CASE {role} {cases_s} END))"
+    who = f"coalesce({role}, 'user')"
+    return f"((CASE {who} {cases_p} ELSE '<|' || {who} || '|>' || chr(10) END) || coalesce({content}, '') || (CASE {who} {cases_s} ELSE '</s>' || chr(10) END))"
 
 
 def _user(level: str, sentence: str, target: str) -> str:
@@ -345,6 +368,14 @@ def oracle() -> dict[str, str]:
                                    f"SELECT c.conv_id, c.turn, c.role, (CASE WHEN c.turn = cb.f THEN {S.lit(sp.CHAT_BOS)} ELSE '' END) || "
                                    f"{_render('c.role', 'c.text')} || (CASE WHEN c.turn = cb.l THEN {S.lit(sp.GENERATION_PROMPT)} ELSE '' END) AS piece "
                                    "FROM conversations c JOIN cb ON c.conv_id = cb.conv_id"),
+        "rendered_conversations": S.with_ctes([
+            ("turns", "SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -conv_id - 1, turn, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN 'tool' "
+                      "ELSE role END, CASE WHEN turn % 2 = 0 THEN NULL ELSE text END FROM conversations WHERE conv_id % 7 = 3")],
+            f"SELECT conv_id, count(*) AS n_turns, {S.lit(sp.CHAT_BOS)} || string_agg({_render('role', 'text')}, '' ORDER BY turn, coalesce(role, 'user'), coalesce(text, '')) "
+            f"|| {S.lit(sp.GENERATION_PROMPT)} AS formatted_chat FROM turns GROUP BY conv_id"),
+        "refused_requests": S.with_ctes(rc, "SELECT * FROM (SELECT article_id, CAST(n AS BIGINT) AS n, model, seq, CASE WHEN n < 0 THEN 'invalid_ordinal' "
+                                            "WHEN model_status <> 'ok' THEN model_status WHEN article_id NOT IN (SELECT article_id FROM articles) THEN 'unknown_article' END AS reason "
+                                            "FROM resolved2) x WHERE reason IS NOT NULL"),
         "encode_prompts": S.with_ctes(ec, f"SELECT doc_id, pos, CAST(len(ids) AS BIGINT) AS n_ids, {S.ids_text('ids')} AS ids FROM enc"),
         "generation_batches": S.with_ctes(ec + [
             ("ranked", "SELECT *, CAST(len(ids) AS BIGINT) AS n_ids, row_number() OVER (ORDER BY len(ids), doc_id, pos) - 1 AS r FROM enc"),

@@ -189,3 +189,12 @@ def test_pandas_model_scorer(spark):
     assert len(rows) == 2
     for r in rows:
         assert abs(sum(r[lv] for lv in LEVELS) - 1.0) < 1e-9
+
+
+def test_conversations_as_one_string(spark):
+    rows = [(1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 3, None, None), (2, 1, "tool", "x"), (3, 1, "system", "")]
+    got = {r["conv_id"]: (r["n_turns"], r["formatted_chat"]) for r in sp.render_conversations(
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    end = sp.GENERATION_PROMPT
+    assert got == {1: (3, "<s><|user|>\na</s>\n<|assistant|>\nb</s>\n<|user|>\n</s>\n" + end), 2: (1, "<s><|tool|>\nx</s>\n" + end),
+                   3: (1, "<s><|system|>\n</s>\n" + end)}

@@ -55,7 +55,7 @@ def test_templates_accumulate_across_batches(spark):
 def test_simplify_stream_two_batches_and_replay(spark):
     from lisible.constants import LEVELS
     from lisible.operators import simplify as sp
-    from lisible.streaming.simplify import VERSION_SCHEMA, start_simplify
+    from lisible.streaming.simplify import VERSION_SCHEMA, read_refused, start_simplify
     schema = "article_id long, title string, text string, " + ", ".join(f"{l} double" for l in LEVELS)
     arts = spark.createDataFrame([(0, "t0", "Un chat (noir) dort ; il ronfle. Fin.") + (1 / 6,) * 6,
                                   (1, "t1", "Deux chiens jouent.") + (1 / 6,) * 6], schema)
@@ -79,6 +79,13 @@ def test_simplify_stream_two_batches_and_replay(spark):
     # article 0 already has 0 (initial) and 1 (batch 1): only 2 is new; article 1 ordinal 0 exists
     assert second == sorted(first + [(0, 2, "rule-rewrite-keep:v1")])
     assert run() == second   # replay with the same checkpoint: nothing new
+    # requests that cannot be served are kept with their reason, the others go on
+    odd = [(0, -1, None, 4), (0, None, None, 5), (1, 1, "no-such-model", 6), (7, 0, None, 7), (7, -2, "no-such-model", 8), (1, 1, None, 9)]
+    spark.createDataFrame(odd, "article_id long, n long, model string, seq long").write.mode("append").parquet(src)
+    assert run() == sorted(second + [(1, 1, "rule-rewrite:v1")])
+    refused = {r["seq"]: r["reason"] for r in read_refused(spark, f"{base}/versions").collect()}
+    assert refused == {4: "invalid_ordinal", 5: "invalid_ordinal", 6: "unknown_model", 7: "unknown_article", 8: "invalid_ordinal"}
+    assert run() and read_refused(spark, f"{base}/versions").count() == 5
 
 
 def test_state_read_per_batch_does_not_grow(spark):
