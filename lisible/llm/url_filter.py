@@ -6,20 +6,21 @@ personalised PageRank carries trust from trusted hosts along links (who is
 linked from trusted hosts is trusted) and distrust from blocked hosts against
 them (who links to blocked hosts is distrusted). Every seed starts with its
 share of one; ``score = (1 - DAMPING) * seed + DAMPING * (sum over neighbours,
-by link share)``, walks end at hosts without further links. PageRank divides a
-host's score among all its neighbours, so it becomes small where they are many.
-The verdict therefore rests on the same sums taken by the receiver's own links:
-blame comes by the shares of a host's outgoing links that go to blamed hosts,
-faith by the shares of its incoming links that come from hosts with faith. Both
-lie between 0 and 1, and no number of other linkers lowers them. A host whose
-blame exceeds its faith by ``THRESHOLD`` or more is blocked.
+by link share)``, walks end at hosts without further links. Beside either walk
+goes plain PageRank, the same sums with every host as a seed. What a host gets
+of trust or distrust through links, divided by what it gets of plain PageRank
+through links, is its relative mass: the part of the walks reaching it that
+began at such seeds. It lies between 0 and 1, whatever the graph's size and
+however many others link to the same host. A host's blame is the larger of its
+relative mass of distrust and its own share of blocked urls, its faith likewise
+of trust; it is blocked if its blame exceeds its faith by ``THRESHOLD`` or more.
 
 Seeds are the hosts that have urls which a rule allows (trusted) or blocks
 (blocked), each by the share of its urls, or tables given by the caller (without
 a ``share``, each counts whole). Host edges are the absolute and
 protocol-relative links in the pages' html to another host, counted per pair
 of hosts, so a host that holds a third of all pages is one node with few
-edges. Every few iterations the scores are written under the shared checkpoint
+edges. Every other iteration the scores are written under the shared checkpoint
 folder, which cuts the lineage.
 
 Inputs and their results: a null url, or one without ``://``, has an empty host
@@ -42,10 +43,10 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 DAMPING = 0.85
 #: Iterations at most; each carries scores one link further, with DAMPING ** n left after n.
 ITERATIONS = 40
-#: Largest change of any score at which iteration ends, looked at every CHECK_EVERY iterations.
-TOLERANCE, CHECK_EVERY = 1e-4, 5
-#: Blame less faith from which a host is blocked, where a seed's own value is 1 - DAMPING.
-THRESHOLD = 0.05
+#: Largest change of any score, relative to the host's plain one, at which iteration ends; looked at every CHECK_EVERY iterations.
+TOLERANCE, CHECK_EVERY = 1e-4, 2
+#: Blame less faith from which a host is blocked.
+THRESHOLD = 1 / 3
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -84,39 +85,49 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(host, trust, distrust, faith, blame) of hosts that any of them reaches; seeds are tables of distinct ``host``, with or without ``share``.
+    """(host, trust, distrust, faith, blame) of all hosts with a link or a seed; seeds are tables of distinct ``host``, with or without ``share``.
 
-    All walks run together: ``kind`` t and f follow links, d and b go against
-    them; t and d by the giver's links, f and b by the receiver's.
+    Both directions run together (``way`` is out for trust, in for distrust),
+    the personalised and the plain score of a host in one row. A host with very
+    many links is answered by broadcast, the others meet their links in a join.
     """
     given, taken = edges.groupBy("src").agg(F.sum("n").alias("given")), edges.groupBy("dst").agg(F.sum("n").alias("taken"))
-    step = lambda kind, a, b, total: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), (F.col("n") / F.col(total)).alias("share"))
-    steps = stored(edges.join(given, "src").join(taken, "dst").select(F.explode(F.array(
-        step("t", "src", "dst", "given"), step("f", "src", "dst", "taken"),
-        step("d", "dst", "src", "taken"), step("b", "dst", "src", "given"))).alias("x")).select("x.*"), "url-steps")
+    step = lambda way, a, b, total: F.struct(F.lit(way).alias("way"), F.col(a).alias("a"), F.col(b).alias("b"), (F.col("n") / F.col(total)).alias("part"))
+    links = join_on_hot_key(edges, given.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src"), ["src"], "deg", edges.count()).drop("deg")
+    links = join_on_hot_key(links, taken.join(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("deg")), "dst"), ["dst"], "deg", edges.count()).drop("deg")
+    steps = stored(links.select(F.explode(F.array(step("out", "src", "dst", "given"), step("in", "dst", "src", "taken"))).alias("x")).select("x.*"), "url-steps")
+    n_steps = steps.count()
 
-    def of(hosts, kinds):
+    def of(hosts, way):
         share = F.col("share").cast("double") if "share" in hosts.columns else F.lit(1.0)
-        return hosts.select(F.explode(F.array(*map(F.lit, kinds))).alias("kind"), F.col("host").alias("a"), (F.lit(1 - DAMPING) * share).alias("base"))
-
-    seeds = stored(of(trusted, "tf").union(of(blocked, "db")), "url-seeds")
-    scores = seeds.withColumnRenamed("base", "score")
-    if not steps.isEmpty():
-        last = scores
-        for i in range(1, iterations + 1):
-            moved = scores.join(steps, ["kind", "a"]).select("kind", F.col("b").alias("a"), (F.lit(DAMPING) * F.col("score") * F.col("share")).alias("score"))
-            scores = moved.unionByName(seeds.withColumnRenamed("base", "score")).groupBy("kind", "a").agg(F.sum("score").alias("score"))
-            if i % CHECK_EVERY == 0 or i == iterations:
-                scores = stored(scores, "url-scores")
-                # the scores only grow: what CHECK_EVERY iterations have added bounds the change
-                change = scores.join(last.withColumnRenamed("score", "was"), ["kind", "a"], "left") \
-                    .agg(F.max(F.col("score") - F.coalesce("was", F.lit(0.0)))).first()[0] or 0.0
-                if change < TOLERANCE:
-                    break
-                last = scores
-    names = {"t": "trust", "d": "distrust", "f": "faith", "b": "blame"}
-    return scores.groupBy(F.col("a").alias("host")).agg(
-        *[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(name) for kind, name in names.items()])
+        return hosts.select(F.lit(way).alias("way"), F.col("host").alias("a"), share.alias("own"), F.lit(0).cast("bigint").alias("deg"))
+
+    degree = steps.groupBy("way", "a").agg(F.count(F.lit(1)).alias("deg")).withColumn("own", F.lit(0.0))
+    ends = steps.select("way", F.col("b").alias("a")).distinct().select("way", "a", F.lit(0.0).alias("own"), F.lit(0).cast("bigint").alias("deg"))
+    nodes = stored(of(trusted, "out").unionByName(of(blocked, "in")).unionByName(degree).unionByName(ends)
+                   .groupBy("way", "a").agg(F.max("own").alias("own"), F.max("deg").alias("deg")), "url-nodes")
+    rest = F.lit(1 - DAMPING)
+    seeds = nodes.select("way", "a", (rest * F.col("own")).alias("score"), rest.alias("plain"), "deg")
+    scores = last = seeds
+    for i in range(1, iterations + 1 if n_steps else 1):
+        moved = join_on_hot_key(steps, scores, ["way", "a"], "deg", n_steps).select(
+            "way", F.col("b").alias("a"), *[(F.lit(DAMPING) * F.col(c) * F.col("part")).alias(c) for c in ("score", "plain")], F.lit(0).cast("bigint").alias("deg"))
+        scores = moved.unionByName(seeds).groupBy("way", "a").agg(F.sum("score").alias("score"), F.sum("plain").alias("plain"), F.max("deg").alias("deg"))
+        if i % CHECK_EVERY == 0 or i == iterations:
+            scores = stored(scores, "url-scores")
+            # the scores only grow: what the last iterations have added bounds the change
+            change = scores.join(last.select("way", "a", F.col("plain").alias("was")), ["way", "a"]).agg(
+                F.max((F.col("plain") - F.col("was")) / F.col("plain"))).first()[0] or 0.0
+            if change < TOLERANCE:
+                break
+            last = scores
+    told = scores.join(nodes.select("way", "a", "own"), ["way", "a"])
+    through = F.col("plain") - rest
+    mass = F.when(through > 1e-12, F.least((F.col("score") - rest * F.col("own")) / through, F.lit(1.0))).otherwise(F.lit(0.0))
+    told = told.withColumn("relative", F.greatest(F.col("own"), mass))
+    pick = lambda way, c: F.coalesce(F.max(F.when(F.col("way") == way, F.col(c))), F.lit(0.0))
+    return told.groupBy(F.col("a").alias("host")).agg(pick("out", "score").alias("trust"), pick("in", "score").alias("distrust"),
+                                                     pick("out", "relative").alias("faith"), pick("in", "relative").alias("blame"))
 
 
 def judge_urls(pages: DataFrame, rules=None, trusted: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
@@ -131,7 +142,7 @@ def judge_urls(pages: DataFrame, rules=None, trusted: DataFrame | None = None, b
     named = hosts.where("host <> ''")
     trusted = named.where("allowed > 0").select("host", (F.col("allowed") / F.col("n_pages")).alias("share")) if trusted is None else trusted
     blocked = named.where("blocked > 0").select("host", (F.col("blocked") / F.col("n_pages")).alias("share")) if blocked is None else blocked
-    edges = host_edges(pages.select(url.alias("url"), F.col("html").cast("string").alias("html")))
+    edges = stored(host_edges(pages.select(url.alias("url"), F.col("html").cast("string").alias("html"))), "url-edges")
     scores = propagate(edges, trusted.dropDuplicates(["host"]), blocked.dropDuplicates(["host"]))
     scored = ["trust", "distrust", "faith", "blame"]
     judged = hosts.select("host", "n_pages").join(scores, "host", "left").select(

@@ -43,39 +43,89 @@ def test_rules_equal_plain_code(spark):
             assert got[i].verdict == verdicts[rule]
 
 
-def brute(edges, trusted, blocked, rounds=200):
-    """Scores by repeated sums over dictionaries."""
+def brute(edges, trusted, blocked, rounds=300):
+    """{host: (trust, distrust, faith, blame)} by repeated sums over dictionaries; seeds are {host: share}."""
     out, into = {}, {}
     for (a, b), n in edges.items():
         out.setdefault(a, {})[b] = n
         into.setdefault(b, {})[a] = n
-    scores = []
-    for graph, seeds in ((out, trusted), (into, blocked)):
+    hosts = {h for e in edges for h in e} | set(trusted) | set(blocked)
+
+    def walk(graph, seeds):
         s = {}
         for _ in range(rounds):
-            new = {h: 1 - uf.DAMPING for h in seeds}
+            new = {h: (1 - uf.DAMPING) * v for h, v in seeds.items()}
             for a, v in s.items():
                 for b, n in graph.get(a, {}).items():
                     new[b] = new.get(b, 0) + uf.DAMPING * v * n / sum(graph[a].values())
             s = new
-        scores.append(s)
-    return scores
+        return s
 
+    told = {}
+    for k, (graph, seeds) in enumerate(((out, trusted), (into, blocked))):
+        score, plain = walk(graph, seeds), walk(graph, dict.fromkeys(hosts, 1.0))
+        for h in hosts:
+            through = plain[h] - (1 - uf.DAMPING)
+            mass = (score.get(h, 0) - (1 - uf.DAMPING) * seeds.get(h, 0)) / through if through > 1e-9 else 0.0
+            told.setdefault(h, [0.0] * 4)[k], told[h][2 + k] = score.get(h, 0.0), max(seeds.get(h, 0.0), mass)
+    return told
 
-def test_propagation(spark):
-    rng = random.Random(7)
-    names = [f"h{i}.org" for i in range(15)]
+
+def graph(seed, n=15, links=40):
+    rng = random.Random(seed)
+    names = [f"h{i}.org" for i in range(n)]
     edges = {}
-    for _ in range(40):
+    for _ in range(links):
         a, b = rng.sample(names, 2)
         edges[a, b] = edges.get((a, b), 0) + rng.randint(1, 5)
+    return names, edges
+
+
+def test_propagation(spark):
+    names, edges = graph(7)
     links = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
-    seeds = [spark.createDataFrame([(h,) for h in hs], "host string") for hs in (names[:2], names[3:5])]
-    trust, distrust = brute(edges, names[:2], names[3:5])
+    trusted, blocked = {names[0]: 1.0, names[1]: 0.5}, {names[3]: 0.25, names[4]: 1.0, "lone.org": 1.0}
+    seeds = [spark.createDataFrame(list(s.items()), "host string, share double") for s in (trusted, blocked)]
+    want = brute(edges, trusted, blocked)
     got = {r.host: r for r in uf.propagate(links, *seeds).collect()}
-    for h in names:
-        assert abs((got[h].trust if h in got else 0) - trust.get(h, 0)) < 3e-3
-        assert abs((got[h].distrust if h in got else 0) - distrust.get(h, 0)) < 3e-3
+    assert set(got) == set(want)
+    for h, (trust, distrust, faith, blame) in want.items():
+        assert abs(got[h].trust - trust) < 3e-3 and abs(got[h].distrust - distrust) < 3e-3
+        assert abs(got[h].faith - faith) < 3e-3 and abs(got[h].blame - blame) < 3e-3
+
+
+def test_verdicts_equal_brute_force(spark):
+    names, edges = graph(11, 30, 70)
+    names[:3], renamed = ["a.com", "b.com", "c.com"], dict(zip(names[:6], ["a.com", "b.com", "c.com", "x.net", "y.net", "z.net"]))
+    names = [renamed.get(h, h) for h in [f"h{i}.org" for i in range(30)]]
+    edges = {(renamed.get(a, a), renamed.get(b, b)): n for (a, b), n in edges.items()}
+    rows = [(a, f'<a href="http://{b}/">l</a>' * n) for (a, b), n in edges.items()]
+    pages = [(i, f"http://{a}/p", h) for i, (a, h) in enumerate(rows)] + [(500 + i, f"http://{h}/q", None) for i, h in enumerate(names)]
+    pages += [(900 + i, f"http://{h}/es/1", None) for i, h in enumerate(["x.net", "y.net", "z.net"] * 4)]
+    count = {}
+    for _, u, _ in pages:
+        host, _, rule = plain(u)
+        c = count.setdefault(host, [0, 0, 0])
+        c[0] += 1
+        c[1] += rule == "com/"
+        c[2] += rule == "net/es/"
+    want = brute(edges, {h: a / n for h, (n, a, _) in count.items() if a}, {h: b / n for h, (n, _, b) in count.items() if b})
+    verdicts = set()
+    for r in uf.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        if r.rule is None:
+            _, _, faith, blame = want.get(r.host, (0, 0, 0, 0))
+            if abs(blame - faith - uf.THRESHOLD) > 0.01:
+                assert r.verdict == ("block" if blame - faith >= uf.THRESHOLD else "allow"), r
+                verdicts.add(r.verdict)
+    assert verdicts == {"allow", "block"}
+
+
+def test_hub_that_all_link_to(spark):
+    rows = [(f"h{i}", "hub", 1) for i in range(400)] + [("hub", "x", 1), ("x", "hub", 2)]
+    got = {r.host: r for r in uf.propagate(spark.createDataFrame(rows, "src string, dst string, n long"), spark.createDataFrame([("x",)], "host string"),
+                                           spark.createDataFrame([("hub",)], "host string")).collect()}
+    want = brute({(a, b): n for a, b, n in rows}, {"x": 1.0}, {"hub": 1.0})
+    assert all(abs(getattr(got[h], c) - want[h][k]) < 3e-3 for h in want for k, c in enumerate(("trust", "distrust", "faith", "blame")))
 
 
 def test_links_decide_where_no_rule_fits(spark):
