@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lisible.llm.bloom import bloom_filter, bloom_positions, not_among
 from lisible.llm.common import read, stored
 from lisible.llm.near_dup import set_keys, shingles_sql
 from lisible.llm.wordhash import chunks, distinct, mix, shingles
@@ -40,8 +41,6 @@ WIDTH = 5
 PERCENT = 80
 #: Hashes of an item that must be found beyond those it may miss; more are more selective.
 SURPLUS = 3
-#: Bits of the Bloom filter that travels to the tasks (a power of two; one megabyte).
-BLOOM_BITS = 1 << 23
 
 
 def missable(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -87,24 +86,6 @@ def item_sets(items: DataFrame, percent: int) -> DataFrame:
         .dropDuplicates(["item_id", "item"])
 
 
-def bloom_positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    low = (hashes & np.uint64(bits - 1)).astype(np.int64)
-    high = ((hashes >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.int64)
-    return low, high
-
-
-def bloom_filter(hashes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Bytes of a Bloom filter over ``h``; its set positions are summed up to words of 64 bits before they leave the tasks."""
-    h = F.col("h")
-    low, high = h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(bits - 1))
-    words = hashes.select(F.explode(F.array(low, high)).alias("at")) \
-        .groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("value"))
-    out = np.zeros(bits // 64, np.uint64)
-    for r in words.collect():  # at most bits / 64 rows, whatever the number of items
-        out[r["word"]] = np.uint64(r["value"] & 0xFFFFFFFFFFFFFFFF)
-    return out
-
-
 def probe(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
     """doc_id, th (the text's hash), row (key of its set), hits array<long>, shingles array<long> of documents with hits."""
     bits = len(bloom) * 64
@@ -184,8 +165,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT)
     texts = found.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "th")
     bad = full.select("doc_id", "row").distinct().join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))) \
         .select(F.col("d").alias("_bench_id"), F.col("th").alias("_bench_th")).distinct()
-    own = F.xxhash64(docs["text"].cast("string"))
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_bench_id"]) & (own == bad["_bench_th"]), "left_anti")
+    bad = stored(bad.select("*", F.xxhash64("_bench_id", "_bench_th").alias("h")), "bench-bad")
+    ident, own = F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("_id"), own.alias("_th"), F.xxhash64(ident, own).alias("h"))
+    return not_among(rows, bad, F.col("_id").eqNullSafe(F.col("_bench_id")) & (F.col("_th") == F.col("_bench_th")))
 
 
 ORACLE = "WITH" + shingles_sql("documents", "doc_id", WIDTH) + "," + shingles_sql("benchmark", "item_id", WIDTH, "item_") + """,

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lisible.llm.bloom import may_hold, not_among
 from lisible.llm.common import join_on_hot_key, read, stored
 from lisible.llm.components import components
 from lisible.llm.wordhash import chunks, distinct, mix, shingles
@@ -139,9 +140,11 @@ def _text():
 
 def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, c1, c2, text), one row per class of ``wanted`` (cid, c1, c2, least, th): the text of its row with the least id."""
-    rows = docs.select(_id().alias("_id"), _text(), F.xxhash64(_text()).alias("_th"))
+    th = F.xxhash64(_text())
+    hit = may_hold(wanted.select(F.xxhash64("least", "th").alias("h")))
+    rows = docs.select(_id().alias("_id"), _text(), th.alias("_th")).where(hit(F.xxhash64(F.col("doc_id").cast("bigint"), th)))
     # rows without an id are told by their text alone; copies of a text meet as one row before they are joined
-    named = rows.where("_id is not null").join(wanted, (F.col("_id") == F.col("least")) & (F.col("_th") == F.col("th")))
+    named = rows.where("_id is not null").join(wanted.hint("merge"), (F.col("_id") == F.col("least")) & (F.col("_th") == F.col("th")))
     nameless = rows.where("_id is null").groupBy("_th").agg(F.min("text").alias("text")) \
         .join(wanted.where("least is null"), F.col("_th") == F.col("th"))
     columns = ["cid", "c1", "c2", "text"]
@@ -344,14 +347,16 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT
     marks = told.select("doc_id", "th", stays.alias("stays")).groupBy("doc_id", "th").agg(
         F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
     marks = stored(marks.select(F.col("doc_id").alias("_m_id"), F.col("th").alias("_m_th"), "stays", "n"), "near-marks")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _id().alias("_id"), F.xxhash64(_text()).alias("_th"))
+    marks = marks.withColumn("h", F.xxhash64("_m_id", "_m_th"))
+    ident, th = F.col("doc_id").cast("bigint"), F.xxhash64(_text())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("_id"), th.alias("_th"), F.xxhash64(ident, th).alias("h"))
     on = F.col("_id").eqNullSafe(F.col("_m_id")) & (F.col("_th") == F.col("_m_th"))
-    once = rows.join(marks, on, "left_anti").select("row.*")
-    repeated = marks.where("stays")
+    once = not_among(rows, marks, on)
+    repeated = marks.where("stays").drop("h")
     if repeated.isEmpty():
         return once
     # rows that are repeated in full: copies meet as one row inside the tasks first
-    again = rows.join(repeated, on, "left_semi").groupBy("_id", "_th").agg(F.first("row").alias("row"))
+    again = rows.drop("h").join(repeated, on, "left_semi").groupBy("_id", "_th").agg(F.first("row").alias("row"))
     return once.unionByName(again.select("row.*"))
 
 
