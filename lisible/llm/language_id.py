@@ -30,15 +30,16 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from lisible.llm.common import bound_batches, crc_mod, read
+from lisible.llm.common import bound_batches, crc_mod, read, stored
 
 #: Bytes of training text per language; the sample, its transfer and the dictionaries are bounded by it.
 DICTIONARY_BYTES = 110_000
 #: Different training texts per language that the sample aims at; enough to fill a dictionary many times over.
 SAMPLE_ROWS = 400
-#: More languages than this are refused: the dictionaries of all languages travel to every task.
-MAX_LANGUAGES = 400
+#: Languages whose dictionaries travel to the tasks at once; more are encoded group after group, the two smallest sizes kept.
+GROUP = 200
 BLOCK_BYTES, SHORTEST_BYTES = 4096, 256
 LEVEL, MIN_MATCH = 5, 3
 #: Relative margin between the two smallest encodings under which the document is rejected.
@@ -50,7 +51,10 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 def letters(text: str | None) -> bytes:
     """Lower-case letter runs of a text, one blank between."""
-    return _OTHER.sub(" ", text.lower()).strip().encode() if text else b""
+    kept = _OTHER.sub(" ", text.lower()).strip() if text else ""
+    if not kept.replace(" ", "").isalpha():  # number forms that are no digits, like superscripts and fractions
+        kept = " ".join("".join(c if c.isalpha() else " " for c in kept).split())
+    return kept.encode()
 
 
 class Encoders:
@@ -71,33 +75,52 @@ class Encoders:
         blocks = [text[i:i + BLOCK_BYTES] for i in range(0, len(text), BLOCK_BYTES)]
         return [sum(len(c.compress(b)) for b in blocks) for _, c in self.compressors]
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, rejected). The compressors stand in order of preference, so ties go to the first."""
-        data = letters(text)
-        if not data or not self.compressors:
-            return UNKNOWN, 0.0, True
+    def smallest(self, data: bytes) -> tuple[str, int, int]:
+        """(language, its size, the next smallest size or 0). The compressors stand in order of preference, so ties go to the first."""
         sizes = self.sizes(data)
-        if len(sizes) == 1:
-            return self.compressors[0][0], 1.0, False
         best = min(range(len(sizes)), key=sizes.__getitem__)
-        second = min(s for i, s in enumerate(sizes) if i != best)
-        margin = (second - sizes[best]) / second
-        return self.compressors[best][0], margin, margin < MARGIN
+        return self.compressors[best][0], sizes[best], min((s for i, s in enumerate(sizes) if i != best), default=0)
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, rejected)."""
+        data = letters(text)
+        return verdict(*self.smallest(data)) if data and self.compressors else verdict(None, 0, 0)
+
+
+def verdict(lang: str | None, size: int, second: int) -> tuple[str, float, bool]:
+    """(language, score, rejected) of the smallest and the second smallest encoding; a second of 0 is none."""
+    if lang is None:
+        return UNKNOWN, 0.0, True
+    margin = (second - size) / second if second else 1.0
+    return lang, margin, margin < MARGIN
+
 
+def better(a: tuple, b: tuple) -> tuple:
+    """The two smallest of (language, size, second) of two groups; ties go to ``a``."""
+    if a[0] is None or b[0] is None:
+        return b if a[0] is None else a
+    first, other = (b, a) if b[1] < a[1] else (a, b)
+    return first[0], first[1], min(s for s in (first[2] or other[1], other[1]) if s)
 
-def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
-    """(language, dictionary) from labelled rows, languages with more rows first."""
+
+def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> list[list[tuple[str, bytes]]]:
+    """Groups of (language, dictionary) from labelled rows, languages with more rows first, at most GROUP to a group.
+
+    The names and counts of all languages come to the driver, and the samples of one group at a time.
+    """
     rows = training.select(F.col(text).cast("string").alias("text"), F.trim(F.col(lang)).alias("lang")) \
         .where("lang <> '' and text is not null")
     # copies are in or out together, so the share wanted is one of different texts
     draw = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1 << 40))
     texts = rows.select("lang", draw.alias("draw")).groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("n"))
-    counts = sorted(((r["lang"], r["n"], r["texts"]) for r in texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).take(MAX_LANGUAGES + 1)),
+    counts = sorted(((r["lang"], r["n"], r["texts"]) for r in texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).collect()),
                     key=lambda x: (-x[1], x[0]))
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the training rows")
-    if not counts:
-        return []
+    groups = [counts[i:i + GROUP] for i in range(0, len(counts), GROUP)]
+    return [g for g in (_dictionaries(rows.where(F.col("lang").isin([c[0] for c in group])), draw, group) for group in groups) if g]
+
+
+def _dictionaries(rows: DataFrame, draw: Column, counts: list[tuple[str, int, int]]) -> list[tuple[str, bytes]]:
+    """(language, dictionary) of one group of (language, rows, texts)."""
     # only texts whose hash falls under the share wanted of their language go on, each text once
     share = F.lit(0.0)
     for name, _, n_texts in counts:
@@ -115,22 +138,39 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang") -> list[t
     return [(name, b" ".join(samples[name])[:DICTIONARY_BYTES]) for name, _, _ in counts if any(samples.get(name, []))]
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: Column, keep: list[Column]) -> DataFrame:
+def identify(docs: DataFrame, groups: list[list[tuple[str, bytes]]], text: Column, keep: list[Column]) -> DataFrame:
     """The ``keep`` columns of every row and lang_pred, score, rejected of its text."""
     fields = docs.select(*keep, text.cast("string").alias("_language_text"))
-    out_schema = fields.drop("_language_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    bundle = docs.sparkSession.sparkContext.broadcast(dictionaries)
-
-    def run(batches):
-        encoders = Encoders(bundle.value)
-        for batch in batches:
-            found = [encoders.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            arrays += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
-                       pa.array([f[2] for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=out_schema.names)
-
-    return fields.mapInArrow(run, out_schema)
+    kept = fields.drop("_language_text")
+    told = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    n = len(kept.columns)
+    state = StructType([*fields.schema.fields, StructField("_lang", StringType()), StructField("_size", LongType()), StructField("_second", LongType())])
+    groups = groups or [[]]
+    for number, dictionaries in enumerate(groups):
+        bundle = docs.sparkSession.sparkContext.broadcast(dictionaries)
+        first, last = number == 0, number + 1 == len(groups)
+
+        def run(batches, bundle=bundle, first=first, last=last):
+            encoders = Encoders(bundle.value)
+            for batch in batches:
+                before = [(None, 0, 0)] * batch.num_rows if first else list(zip(*(batch.column(n + k).to_pylist() for k in (1, 2, 3))))
+                found = []
+                for t, old in zip(batch.column(n), before):
+                    data = letters(t.as_py())
+                    found.append(better(old, encoders.smallest(data)) if data and encoders.compressors else old)
+                if last:
+                    arrays = [batch.column(i) for i in range(n)] + [pa.array(c, k) for c, k in zip(
+                        zip(*(verdict(*f) for f in found)) if found else [[]] * 3, (pa.string(), pa.float64(), pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=told.names)
+                else:
+                    arrays = [batch.column(i) for i in range(n + 1)] + [pa.array(c, k) for c, k in zip(
+                        zip(*found) if found else [[]] * 3, (pa.string(), pa.int64(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=state.names)
+
+        fields = fields.mapInArrow(run, told if last else state)
+        if not last:  # one group's dictionaries at a time in a worker
+            fields = stored(fields, "language-groups")
+    return fields
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -141,10 +181,15 @@ def labelled(docs: DataFrame) -> DataFrame:
 def filter_language(docs: DataFrame) -> DataFrame:
     """The documents whose language is told with a margin; rejected ones go. Columns and values stay as they are.
 
-    Only the text travels to Python and only the decision comes back.
+    With one group of languages only the text travels to Python and only the
+    decision comes back; with more, rows travel as a struct beside their text.
     """
     bound_batches(docs.sparkSession)
-    bundle = docs.sparkSession.sparkContext.broadcast(learn(labelled(docs)))
+    groups = learn(labelled(docs))
+    if len(groups) > 1:
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        return identify(docs.select(row, F.col("text").alias("t")), groups, F.col("t"), [F.col("row")]).where("not rejected").select("row.*")
+    bundle = docs.sparkSession.sparkContext.broadcast(groups[0] if groups else [])
 
     @F.pandas_udf("boolean")
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -65,6 +65,32 @@ def test_a_language_of_copies_gets_its_dictionary(spark):
     late = [r.text for r in made.orderBy(F.desc("draw")).limit(4).collect()]  # drawn last
     data = rows() + [(1000 + i, late[i % 4], "cc", "x") for i in range(6000)]
     docs = spark.createDataFrame(data, DOCS)
-    learned = dict(li.learn(li.labelled(docs)))
+    groups = li.learn(li.labelled(docs))
+    learned = dict(groups[0])
     assert all(li.letters(t) in learned["cc"] for t in late)
-    assert all(r.lang_pred == "cc" for r in li.identify(docs.where("lang = 'cc'"), list(learned.items()), F.col("text"), [F.col("doc_id")]).distinct().collect())
+    assert all(r.lang_pred == "cc" for r in li.identify(docs.where("lang = 'cc'"), groups, F.col("text"), [F.col("doc_id")]).distinct().collect())
+
+
+def test_many_languages_go_in_groups(spark, monkeypatch):
+    data = rows() + [(300 + i, f"zuq xiv wok {'yil ' * (i % 7)}vuz kyz", "cc", "x") for i in range(60)] + [(500, None, "aa", ""), (501, "12 %", "", "")]
+    data += [(600, "lo mira", None, "")]
+    whole = predict(spark, data)
+    docs = spark.createDataFrame(data, DOCS)
+    kept = sorted(r.doc_id for r in li.filter_language(docs).collect())
+    monkeypatch.setattr(li, "GROUP", 1)
+    assert len(li.learn(li.labelled(docs))) == 3
+    parts = predict(spark, data)
+    assert {k: tuple(v) for k, v in parts.items()} == {k: tuple(v) for k, v in whole.items()}
+    out = li.filter_language(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == kept
+
+
+def test_better_keeps_the_two_smallest():
+    assert li.better((None, 0, 0), ("a", 5, 0)) == ("a", 5, 0) and li.better(("a", 5, 0), (None, 0, 0)) == ("a", 5, 0)
+    assert li.better(("a", 5, 7), ("b", 5, 6)) == ("a", 5, 5) and li.better(("a", 5, 0), ("b", 4, 9)) == ("b", 4, 5)
+    assert li.better(("a", 5, 6), ("b", 8, 9)) == ("a", 5, 6) and li.better(("a", 5, 0), ("b", 8, 9)) == ("a", 5, 8)
+
+
+def test_only_letters_count():
+    assert li.letters("² ½ ³ ٣ ⅷ _ 12") == b"" and li.letters("a² b½c É") == "a b c é".encode()
+    assert li.Encoders([("aa", b"some text of a language")]).predict("² ½ ³")[0] == "und"
