@@ -103,18 +103,18 @@ def text_articles(docs: DataFrame, scorer: Scorer = DEFAULT_SCORER, base: int |
 
     Documents without any scorable sentence are left out (see ``rejected_documents``).
     """
-    scored = scorable(scored_documents(docs.select("doc_id", "text"), scorer=scorer))
-    rows = scored.select(
-        "doc_id",
-        F.lit(TEXT_URL).alias("url"),
-        clip(F.col("text"), TITLE_LENGTH).alias("title"),
-        F.lit(TEXT_ICON).alias("image"),
-        clip(F.col("text"), DESCRIPTION_LENGTH).alias("description"),
-        "text",
-        *LEVELS,
-    )
-    with_ids = assign_dense_ids(rows, "doc_id", base=base)
-    return with_ids.select("article_id", "doc_id", "url", "title", "image", "description", "text", *LEVELS)
+    from lisible.session import materialize
+    docs = docs.select("doc_id", "text")
+    scored = scorable(scored_documents(docs, scorer=scorer))
+    # ids and levels travel without the text, which meets them once, where it is asked for
+    narrow = scored.select("doc_id", F.xxhash64("text").alias("_text_hash"), *LEVELS)
+    ids = materialize(assign_dense_ids(narrow, ["doc_id", "_text_hash"], base=base), "article-ids")
+    ids = ids.select("article_id", F.col("doc_id").alias("_doc_id"), "_text_hash", *LEVELS)
+    if not ids.groupBy("_doc_id", "_text_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])   # repeated rows have an id each, and one text
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_doc_id"]) & (F.xxhash64("text") == F.col("_text_hash")))
+    return rows.select("article_id", "doc_id", F.lit(TEXT_URL).alias("url"), clip(F.col("text"), TITLE_LENGTH).alias("title"), F.lit(TEXT_ICON).alias("image"),
+                       clip(F.col("text"), DESCRIPTION_LENGTH).alias("description"), "text", *LEVELS)
 
 
 def article_cards(articles: DataFrame) -> DataFrame:
