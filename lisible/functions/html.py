@@ -89,10 +89,13 @@ def clean_text(c: Column) -> Column:
 
 def attr_value(tag: Column, attr: str) -> Column:
     """Value of ``attr`` in one tag (quotes removed, entities decoded); null if absent."""
-    raw = F.regexp_extract(tag, attr_pattern(attr), 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    val = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(tag.rlike(has_attr_pattern(attr)), unescape(val))
+    def unquoted(x):
+        raw = x["raw"]
+        quoted = raw.startswith('"') | raw.startswith("'")
+        val = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        return F.when(x["there"], unescape(val))
+    # a lambda over an array of one element: the pattern runs once, however often its match is read
+    return F.transform(F.array(F.struct(F.regexp_extract(tag, attr_pattern(attr), 1).alias("raw"), tag.rlike(has_attr_pattern(attr)).alias("there"))), unquoted)[0]
 
 
 def meta_content(html: Column, pattern: str) -> Column:
@@ -124,19 +127,19 @@ def _rewrite_tags(c: Column, tag: str, rewrite) -> Column:
 def images_to_markdown(c: Column, url: Column) -> Column:
     """``<img>`` tags become Markdown images in place, alt text kept, source absolute; any quoting of attributes."""
     def image(t, rest):
-        src = resolve(url, attr_value(t, "src"))
-        return F.concat(F.when(src.isNull(), F.lit(" ")).otherwise(F.concat(
-            F.lit(" !["), F.coalesce(attr_value(t, "alt"), F.lit("")), F.lit("]("), src, F.lit(") "))), rest)
+        one = F.array(F.struct(resolve(url, attr_value(t, "src")).alias("src"), F.coalesce(attr_value(t, "alt"), F.lit("")).alias("alt")))
+        return F.concat(F.transform(one, lambda x: F.when(x["src"].isNull(), F.lit(" ")).otherwise(
+            F.concat(F.lit(" !["), x["alt"], F.lit("]("), x["src"], F.lit(") "))))[0], rest)
     return _rewrite_tags(c, "img", image)
 
 
 def links_to_markdown(c: Column, url: Column) -> Column:
     """``<a href>`` with a text inside the block becomes ``[text](absolute url)``; others stay as they are."""
     def link(t, rest):
-        target = resolve(url, attr_value(t, "href"))
         inner = F.regexp_replace(F.regexp_extract(rest, LINK_INNER, 1), TRIM, "")
-        is_link = target.isNotNull() & (clean_text(inner) != "")
-        return F.when(is_link, F.concat(F.lit("["), inner, F.lit("]("), target, F.lit(")"), F.regexp_replace(rest, LINK_INNER, ""))).otherwise(rest)
+        one = F.array(F.struct(resolve(url, attr_value(t, "href")).alias("target"), inner.alias("inner")))
+        return F.transform(one, lambda x: F.when(x["target"].isNotNull() & (clean_text(x["inner"]) != ""), F.concat(
+            F.lit("["), x["inner"], F.lit("]("), x["target"], F.lit(")"), F.regexp_replace(rest, LINK_INNER, ""))).otherwise(rest))[0]
     return _rewrite_tags(c, "a", link)
 
 

@@ -49,26 +49,31 @@ def _tail(query: Column, fragment: Column) -> Column:
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    b_scheme = F.regexp_extract(base, BASE_SCHEME, 1)
-    b_auth = F.regexp_extract(base, BASE_AUTHORITY, 1)
-    b_path = F.regexp_extract(base, BASE_PATH, 1)
-    b_query = F.regexp_extract(base, BASE_QUERY, 1)
-    prefix = F.concat(b_scheme, F.lit("://"), b_auth)
-    r_path = F.regexp_extract(ref, REF_PATH, 1)
-    r_query = F.regexp_extract(ref, REF_QUERY, 1)
-    r_frag = F.regexp_extract(ref, REF_FRAGMENT, 1)
-    r_rest = _tail(r_query, r_frag)
-    base_dir = F.regexp_replace(F.when(b_path == "", F.lit("/")).otherwise(b_path), "[^/]*$", "")
-    merged = F.regexp_replace(F.concat(base_dir, r_path), SLASH_RUN, "/")
-    return (
-        F.when(ref.isNull() | base.isNull(), F.lit(None))
-        .when(ref == "", base)
-        .when(base.rlike(BASE_AUTHORITY) & b_auth.rlike(BAD_AUTHORITY), F.lit(None))
-        .when(ref.rlike(SCHEME_PREFIX), ref)
-        .when(~base.rlike(BASE_AUTHORITY), ref)
-        .when(ref.startswith("//"), F.concat(b_scheme, F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(prefix, remove_dot_segments(r_path), r_rest))
-        .when(r_path == "", F.concat(prefix, b_path,
-                                     _tail(F.when(r_query != "", r_query).otherwise(b_query), r_frag)))
-        .otherwise(F.concat(prefix, remove_dot_segments(merged), r_rest))
-    )
+    """``ref`` made absolute against ``base``; both, and their parts, are computed once, also inside lambdas."""
+    def parts(x):
+        b, r = x["base"], x["ref"]
+        return F.struct(
+            b.alias("base"), r.alias("ref"), F.regexp_extract(b, BASE_SCHEME, 1).alias("scheme"), F.regexp_extract(b, BASE_AUTHORITY, 1).alias("authority"),
+            F.regexp_extract(b, BASE_PATH, 1).alias("b_path"), F.regexp_extract(b, BASE_QUERY, 1).alias("b_query"), b.rlike(BASE_AUTHORITY).alias("has_authority"),
+            F.regexp_extract(r, REF_PATH, 1).alias("path"), F.regexp_extract(r, REF_QUERY, 1).alias("query"), F.regexp_extract(r, REF_FRAGMENT, 1).alias("fragment"))
+
+    def absolute(p):
+        base, ref, path = p["base"], p["ref"], p["path"]
+        prefix = F.concat(p["scheme"], F.lit("://"), p["authority"])
+        rest = _tail(p["query"], p["fragment"])
+        base_dir = F.regexp_replace(F.when(p["b_path"] == "", F.lit("/")).otherwise(p["b_path"]), "[^/]*$", "")
+        merged = F.regexp_replace(F.concat(base_dir, path), SLASH_RUN, "/")
+        return (
+            F.when(ref.isNull() | base.isNull(), F.lit(None))
+            .when(ref == "", base)
+            .when(p["has_authority"] & p["authority"].rlike(BAD_AUTHORITY), F.lit(None))
+            .when(ref.rlike(SCHEME_PREFIX), ref)
+            .when(~p["has_authority"], ref)
+            .when(ref.startswith("//"), F.concat(p["scheme"], F.lit(":"), ref))
+            .when(ref.startswith("/"), F.concat(prefix, remove_dot_segments(path), rest))
+            .when(path == "", F.concat(prefix, p["b_path"], _tail(F.when(p["query"] != "", p["query"]).otherwise(p["b_query"]), p["fragment"])))
+            .otherwise(F.concat(prefix, remove_dot_segments(merged), rest)))
+
+    # lambdas over arrays of one element, whose variables are values
+    one = F.array(F.struct(base.alias("base"), ref.alias("ref")))
+    return F.transform(F.transform(one, parts), absolute)[0]
