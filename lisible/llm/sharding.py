@@ -3,12 +3,12 @@
 A group is all documents of one text and cannot be divided. Differencing
 starts with one partial partition per group and repeatedly combines the two
 with the largest spread, oppositely ordered: the fullest bin of one with the
-emptiest of the other. It runs on two levels. Every task bundles its groups
-into ``BUNDLES`` bins of its own; the bundles of all tasks (as many as tasks
-times ``BUNDLES``) and the few groups that are heavier than a bundle should be
-are then differenced into the shards. The second level needs one number per
-bundle and heavy group, both bounded by parameters and the number of
-partitions, never by the rows.
+emptiest of the other. It runs on levels. Every task bundles its groups into
+``BUNDLES`` bins of its own. While there are more than ``TOP`` bundles, tasks
+difference the bundles of ``FAN`` tasks at a time into ``BUNDLES`` bundles of
+bundles. The top level, at most ``TOP`` bundles and the few groups that are
+heavier than a bundle should be, is differenced into the shards; its size is
+bounded by parameters, whatever the rows and partitions.
 
 Slots count up within a shard without a gap: rows are numbered within
 ``SLOT_BUCKETS`` hash buckets of a shard, so a shard (or a group that holds a
@@ -40,6 +40,8 @@ OVERHEAD = 16
 BUNDLES = 64
 #: Groups differenced together in a task; the results of such runs are differenced in turn.
 RUN = 20_000
+#: Bundles that the top level takes, and tasks whose bundles are differenced together below it.
+TOP, FAN = 25_600, 200
 #: A group with at least 1 / HEAVY of all bytes stands alone in the second level; at most HEAVY groups can.
 HEAVY = 4000
 SLOT_BUCKETS = 4096
@@ -132,19 +134,43 @@ def assign_bytes(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     bar = max(1, -(-total // HEAVY))
     heavy = groups.where(F.col("bytes") >= bar).select("h", "crc", "size", "bytes")
     light = stored(bundle(groups.where(F.col("bytes") < bar).repartition("h")), "shard-bundles")
-    loads = light.groupBy("part", "bin").agg(F.sum("bytes").alias("bytes"))
-    items = [((r["part"], r["bin"]), r["bytes"]) for r in loads.collect()]  # bundles: partitions x BUNDLES
+    names, loads = merge_bundles(light.groupBy("part", "bin").agg(F.sum("bytes").alias("bytes")))
+    items = [((r["part"], r["bin"]), r["bytes"]) for r in loads.collect()]  # at most TOP
     items += [((r["h"], r["crc"], r["size"]), r["bytes"]) for r in heavy.collect()]  # at most HEAVY
     items.sort(key=lambda x: (-x[1], len(x[0]), x[0]))
     done = difference([[(load, name)] for name, load in items], shards)
-    bundles = [(*name, s) for s, (_, names) in enumerate(done) for name in names if len(name) == 2]
-    alone = [(*name, s) for s, (_, names) in enumerate(done) for name in names if len(name) == 3]
-    at = spark.createDataFrame(bundles, "part bigint, bin bigint, shard int")
+    bundles = [(*name, s) for s, (_, names_) in enumerate(done) for name in names_ if len(name) == 2]
+    alone = [(*name, s) for s, (_, names_) in enumerate(done) for name in names_ if len(name) == 3]
+    at = F.broadcast(spark.createDataFrame(bundles, "top_part bigint, top_bin bigint, shard int"))  # at most TOP rows
     lone = spark.createDataFrame(alone, "h bigint, crc bigint, size bigint, shard int")
-    told = light.join(F.broadcast(at), ["part", "bin"]).select("h", "crc", "size", "shard").unionByName(lone)
+    told = light.join(names.join(at, ["top_part", "top_bin"]), ["part", "bin"]).select("h", "crc", "size", "shard").unionByName(lone)
     return groups.select("h", "crc", "size", "n").join(told, ["h", "crc", "size"])
 
 
+def merge_bundles(loads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, bin, top_part, top_bin) of all bundles, and the top level's (part, bin, bytes), at most TOP."""
+    top = stored(loads, "shard-loads")
+    names = top.select("part", "bin", F.col("part").alias("top_part"), F.col("bin").alias("top_bin"))
+
+    def merge(rows):
+        rows = rows.sort_values(["bytes", "part", "bin"], ascending=[False, True, True]).reset_index(drop=True)
+        bins = np.zeros(len(rows), np.int64)
+        for number, (_, contents) in enumerate(difference([[(int(b), i)] for i, b in enumerate(rows["bytes"])], BUNDLES)):
+            bins[np.array(contents, np.int64)] = number
+        return rows[["part", "bin", "g", "bytes"]].assign(new_bin=bins)
+
+    before, now = None, top.count()
+    while now > TOP and now != before:
+        parts = -(-now // (FAN * BUNDLES))
+        grouped = top.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(parts)))
+        merged = stored(grouped.groupBy("g").applyInPandas(merge, "part bigint, bin bigint, g bigint, bytes bigint, new_bin bigint"), "shard-merged")
+        step = merged.select(F.col("part").alias("top_part"), F.col("bin").alias("top_bin"), F.col("g").alias("_part"), F.col("new_bin").alias("_bin"))
+        names = stored(names.join(step, ["top_part", "top_bin"]).select("part", "bin", F.col("_part").alias("top_part"), F.col("_bin").alias("top_bin")), "shard-names")
+        top = stored(merged.groupBy(F.col("g").alias("part"), F.col("new_bin").alias("bin")).agg(F.sum("bytes").alias("bytes")), "shard-loads")
+        before, now = now, top.count()
+    return names, top
+
+
 def with_slots(rows: DataFrame) -> DataFrame:
     """Add ``slot``, gapless from 0 within ``shard``; ``rows`` is a stored table (doc_id, shard, ...)."""
     bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS)))

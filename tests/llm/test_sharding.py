@@ -54,3 +54,30 @@ def test_differencing():
 
 def test_empty(spark):
     assert sh.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_levels_of_bundles(spark, monkeypatch):
+    """Twenty tasks' bundles merged four tasks at a time until few are left: nothing is lost, the shards stay equal."""
+    monkeypatch.setattr(sh, "TOP", 200)
+    monkeypatch.setattr(sh, "FAN", 4)
+    rng = random.Random(5)
+    loads = [(p, b, rng.randrange(1, 1000)) for p in range(20) for b in range(sh.BUNDLES)]
+    names, top = sh.merge_bundles(spark.createDataFrame(loads, "part long, bin long, bytes long"))
+    tops = {(r.part, r.bin): r.bytes for r in top.collect()}
+    told = {(r.part, r.bin): (r.top_part, r.top_bin) for r in names.collect()}
+    assert len(tops) <= 200 and set(told) == {(p, b) for p, b, _ in loads}
+    sums = {}
+    for p, b, n in loads:
+        sums[told[p, b]] = sums.get(told[p, b], 0) + n
+    assert sums == tops
+    rows = [(i, "é" * rng.randrange(400) + str(i)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = check(rows, sh.shard_documents(docs, 8).collect(), 8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(got) - min(got) <= 0.01 * sum(got) / 8
