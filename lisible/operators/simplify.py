@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,45 +148,69 @@ def vocabulary(texts: DataFrame, text: str = "formatted_chat") -> DataFrame:
 
 
 #: A token is frequent when it makes up more than one in FREQUENT_SHARE of all tokens; no more than that many can be.
-FREQUENT_SHARE = 2000
+FREQUENT_SHARE = 50_000
+#: Id of a token that is not frequent, until the vocabulary tells it.
+COLD = -1
 
 
 def encode_prompts(prompts: DataFrame, vocab: DataFrame, keys=("doc_id", "pos"), text: str = "formatted_chat") -> DataFrame:
     """``(keys, ids)``: begin id then the token ids of each prompt, in order."""
-    toks = prompts.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)).alias("tpos", "token"))
-    ided = token_ids(toks, vocab).select(*keys, F.struct(F.lit(0).alias("slot"), "tpos", "token_id").alias("t"))
-    return _in_order(prompts.select(*keys), ided, list(keys), [[]], 0)
+    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)
+    return _encode_slots(prompts.select(*keys, F.array(tokens).alias("_slots")), vocab, list(keys), [[BOS_ID], []], 1)
 
 
-def token_ids(toks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Tokens with ``token_id``, whatever the vocabulary's size.
-
-    Frequent tokens (a bounded set, see FREQUENT_SHARE) are answered by a
-    broadcast where they stand; only the others meet the vocabulary in a
-    shuffle, so the most common word never lands in one task.
-    """
+def _frequent_ids(vocab: DataFrame):
+    """array<string> -> array<bigint>: ids of frequent tokens, COLD for the others, looked up in Arrow arrays."""
     total = vocab.agg(F.sum("n")).scalar()
-    frequent = F.col("n") * F.lit(FREQUENT_SHARE) > total
-    near = toks.join(F.broadcast(vocab.where(frequent).select("token", "token_id")), "token", "left")
-    rest = near.where("token_id is null").drop("token_id").join(vocab.where(~frequent).select("token", "token_id"), "token", "left")
-    return near.where("token_id is not null").unionByName(rest).withColumn(
-        "token_id", F.coalesce("token_id", F.lit(UNK_ID)).cast("bigint"))
-
-
-def _in_order(prompts: DataFrame, ided: DataFrame, keys: list, constants: list[list[int]], n_slots: int) -> DataFrame:
-    """Begin id, then constant ids and the ids of slots 0 .. in turn; ``ided`` holds (keys, t struct<slot, tpos, token_id>)."""
-    grouped = ided.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("_ids"))
-    whole = prompts.join(grouped, keys, "left").withColumn(
-        "_ids", F.coalesce("_ids", F.array().cast("array<struct<slot:int,tpos:int,token_id:bigint>>")))
-    fixed = lambda ids: F.array(*[F.lit(i).cast("bigint") for i in ids]) if ids else F.array().cast("array<bigint>")
-    of_slot = lambda k: F.transform(F.filter("_ids", lambda x: x["slot"] == k), lambda x: x["token_id"])
-    if not n_slots:
-        parts = [fixed([BOS_ID]), F.transform("_ids", lambda x: x["token_id"])]
-    else:
-        parts = [fixed([BOS_ID, *constants[0]])]
+    found = vocab.where(F.col("n") * F.lit(FREQUENT_SHARE) > total).select("token", "token_id").collect()   # at most FREQUENT_SHARE
+    shared = vocab.sparkSession.sparkContext.broadcast(([r["token"] for r in found], [r["token_id"] for r in found]))
+
+    @F.arrow_udf("array<bigint>")
+    def told(tokens: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow.compute as pc
+        names, ids = shared.value
+        table, numbers = pa.array(names, pa.string()), pa.array([*ids, COLD], pa.int64())
+        for lists in tokens:
+            at = pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), value_set=table), len(ids))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
+            yield pa.ListArray.from_arrays(offsets, numbers.take(at))
+    return told
+
+
+def _encode_slots(prompts: DataFrame, vocab: DataFrame, keys: list, constants: list[list[int]], n_slots: int) -> DataFrame:
+    """``(keys, ids)`` of ``(keys, _slots array<array<string>>)``: constants and the ids of the slots' tokens in turn.
+
+    Frequent tokens (a bounded set, see FREQUENT_SHARE) are looked up inside
+    the row; only the others meet the vocabulary in a shuffle, as (key, place,
+    token), and are put back at their places. The most common word is always
+    frequent, so no token gathers in one task.
+    """
+    from lisible.session import materialize
+    known = _frequent_ids(vocab)
+    flat = prompts.withColumn("_tokens", F.flatten("_slots")).withColumn("_ends", F.transform("_slots", lambda s: F.size(s)))
+    flat = flat.withColumn("_found", known(F.col("_tokens")))
+    cold = F.filter(F.transform(F.arrays_zip("_tokens", "_found"), lambda x, i: F.struct(i.alias("at"), x["_tokens"].alias("token"), x["_found"].alias("id"))),
+                    lambda x: x["id"] == COLD)
+    flat = materialize(flat.select(*keys, "_ends", "_found", F.transform(cold, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))).alias("_cold")),
+                       "prompt-ids")
+    asked = flat.select(*keys, F.explode("_cold").alias("c")).select(*keys, "c.at", "c.token")
+    told = asked.join(vocab.select("token", "token_id"), "token").groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("at", "token_id"))).alias("_more"))
+    ids = F.transform("_found", lambda v, i: F.when(v != COLD, v).otherwise(F.coalesce(F.try_element_at("_more", i), F.lit(UNK_ID).cast("bigint"))))
+    fixed = lambda x: F.array(*[F.lit(i).cast("bigint") for i in x]) if x else F.array().cast("array<bigint>")
+
+    def spliced(df, column):
+        before = F.lit(0)
+        parts = [fixed(constants[0])]
         for k in range(n_slots):
-            parts += [of_slot(k), fixed(constants[k + 1])]
-    return whole.select(*keys, F.concat(*parts).alias("ids"))
+            size = F.get("_ends", F.lit(k))
+            parts += [F.slice(column, before + 1, size), fixed(constants[k + 1])]
+            before = before + size
+        return df.select(*keys, F.concat(*parts).alias("ids"))
+
+    done = spliced(flat.where(F.size("_cold") == 0), F.col("_found"))
+    rest = flat.where(F.size("_cold") > 0).drop("_cold").join(told, keys, "left").withColumn("_all", ids)
+    return done.unionByName(spliced(rest, F.col("_all")))
 
 
 def generation_batches(encoded: DataFrame, keys=("doc_id", "pos"), batch_size: int = GENERATION_BATCH_SIZE,
@@ -598,12 +623,9 @@ def encode_template_prompts(levels: DataFrame, vocab: DataFrame, keys=("doc_id",
     wanted = sorted({t for toks in constant for t in toks})
     table = {r["token"]: r["token_id"] for r in vocab.where(F.col("token").isin(wanted)).collect()}   # the template's own tokens
     constant_ids = [[table.get(t, UNK_ID) for t in toks] for toks in constant]
-    lists = F.array(*[F.struct(F.lit(i).alias("slot"), F.regexp_extract_all(F.col(SLOT_COLUMNS[s]), F.lit(TOKEN), 0).alias("toks"))
-                      for i, s in enumerate(slots)])
-    toks = _with_target(levels).select(*keys, F.explode(lists).alias("l")) \
-        .select(*keys, F.col("l.slot").alias("slot"), F.posexplode("l.toks").alias("tpos", "token"))
-    ided = token_ids(toks, vocab).select(*keys, F.struct("slot", "tpos", "token_id").alias("t"))
-    return _in_order(levels.select(*keys), ided, keys, constant_ids, len(slots))
+    tokens = F.array(*[F.regexp_extract_all(F.col(SLOT_COLUMNS[slot]), F.lit(TOKEN), 0) for slot in slots])
+    constant_ids[0] = [BOS_ID, *constant_ids[0]]
+    return _encode_slots(_with_target(levels).select(*keys, tokens.alias("_slots")), vocab, keys, constant_ids, len(slots))
 
 
 def compat_predictions(generated: DataFrame) -> DataFrame:
