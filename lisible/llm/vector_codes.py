@@ -11,9 +11,12 @@ them are computed once and stored beside the parts. In every round the entries'
 distances to the pivots are computed anew, and by the triangle inequality
 ``|d(part, pivot) - d(entry, pivot)|`` is at most ``d(part, entry)``. The
 entries with the smallest bounds are evaluated first, in exact integers; an
-entry whose bound exceeds the best distance found is never evaluated. Bounds
-are compared with a margin above their rounding, so pruning never changes a
-result, and ties go to the lower index.
+entry whose bound exceeds the best distance found is not evaluated. The rest is
+evaluated in the order of the bounds where it is little. Where the bounds leave
+more than one in ``DENSE`` (parts spread evenly in many dimensions lie about as
+far from every pivot), a block's rest is evaluated as one matrix product, exact
+as well. Bounds are compared with a margin above their rounding, so pruning
+never changes a result, and ties go to the lower index.
 
 A round is one pass over the stored parts. Tasks give out one sum per entry and
 position that they met, so what is shuffled and what comes back to the driver
@@ -47,8 +50,10 @@ PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 PIVOTS, FIRST = 6, 8
 #: Parts taken together in a task.
 BLOCK = 1024
-#: Least distance between a bound and a true distance that may be due to rounding, relative to the distances compared.
-MARGIN = 1e-9
+#: Least distance between a bound and a true distance that may be due to rounding (bounds are held in 32 bits), relative to the distances compared.
+MARGIN = 1e-5
+#: A block's entries are evaluated together if more than one in DENSE is left by the bounds.
+DENSE = 6
 LONG_MAX = (1 << 63) - 1
 
 
@@ -93,9 +98,12 @@ def nearest(parts: np.ndarray, to_pivots: np.ndarray, entries: np.ndarray, from_
 
     ``to_pivots`` (part, pivot) and ``from_pivots`` (entry, pivot) are distances, not squared.
     """
-    bound = np.zeros((len(parts), len(entries)))
-    for j in range(to_pivots.shape[1]):
-        np.maximum(bound, np.abs(to_pivots[:, j][:, None] - from_pivots[:, j][None, :]), out=bound)
+    bound = np.zeros((len(parts), len(entries)), np.float32)
+    gap = np.empty_like(bound)
+    near, far = to_pivots.astype(np.float32), from_pivots.astype(np.float32)
+    for j in range(near.shape[1]):
+        np.subtract(near[:, j][:, None], far[:, j][None, :], out=gap)
+        np.maximum(bound, np.abs(gap, out=gap), out=bound)
     slack = MARGIN * (to_pivots.max(axis=1, initial=0.0) + from_pivots.max(initial=0.0) + 1.0)
     first = min(FIRST, len(entries))
     order = np.argpartition(bound, first - 1, axis=1)[:, :first] if first < len(entries) else np.tile(np.arange(len(entries)), (len(parts), 1))
@@ -106,8 +114,12 @@ def nearest(parts: np.ndarray, to_pivots: np.ndarray, entries: np.ndarray, from_
     # the rest in the order of their bounds; a bound beyond the best distance ends it
     left = bound <= (np.sqrt(best.astype(np.float64)) * (1 + MARGIN) + slack)[:, None]
     np.put_along_axis(left, order, False, axis=1)
-    row, entry = np.nonzero(left)
     evaluated = order.size
+    if DENSE * int(left.sum()) > left.size:
+        found = squared(parts, entries)
+        index = found.argmin(axis=1)
+        return index, np.take_along_axis(found, index[:, None], axis=1)[:, 0], evaluated + found.size
+    row, entry = np.nonzero(left)
     if len(row):
         by_bound = np.lexsort((bound[row, entry], row))
         row, entry = row[by_bound], entry[by_bound]
