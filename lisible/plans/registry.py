@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lisible.plans.documents", "lisible.plans.boundaries", "lisible.plans.ordinal", "lisible.plans.pages", "lisible.plans.page_tree", "lisible.plans.catalog_store", "lisible.plans.simplify", "lisible.plans.streams"]
+MODULES = ["lisible.plans.documents", "lisible.plans.boundaries", "lisible.plans.ordinal", "lisible.plans.pages", "lisible.plans.page_tree", "lisible.plans.catalog_store", "lisible.plans.simplify", "lisible.plans.lexical", "lisible.plans.streams"]
 
 
 def all_queries() -> dict:
