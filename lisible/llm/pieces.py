@@ -32,12 +32,18 @@ BLOCK_CHARS = 2_000_000
 _machines: dict[str, Machine] = {}
 
 
-def machine(data: bytes) -> Machine:
+#: Segments that a worker of the query keeps; in a pipeline, where earlier stages have grown the executors, the model's own bound holds.
+QUERY_CACHE_BYTES = 128 << 20
+
+
+def machine(data: bytes, cache_bytes: int | None = None) -> Machine:
     """The compiled model of this process; compiled once per worker, its cache lives as long."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _machines:
         _machines.clear()
         _machines[key] = compile_model(data)
+    if cache_bytes is not None:
+        _machines[key].cache_bytes = cache_bytes
     return _machines[key]
 
 
@@ -53,8 +59,11 @@ def _blocks(texts: pa.Array):
         yield start, len(texts)
 
 
-def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """The rows with n_ids, ids (array<int>), decoded_sha256 and round_trip of their text."""
+def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL, cache_bytes: int | None = None) -> DataFrame:
+    """The rows with n_ids, ids (array<int>), decoded_sha256 and round_trip of their text.
+
+    ``cache_bytes`` is what a worker may keep of segments seen before (``Machine``'s own bound unless given).
+    """
     bound_batches(docs.sparkSession)
     with open(model, "rb") as f:
         bundle = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -65,7 +74,7 @@ def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL) ->
         .add("decoded_sha256", "string").add("round_trip", "boolean")
 
     def run(batches):
-        m = machine(bundle.value)
+        m = machine(bundle.value, cache_bytes)
         for batch in batches:
             for start, stop in _blocks(batch.column(batch.num_columns - 1)):
                 part = batch.slice(start, stop - start)
@@ -97,4 +106,4 @@ def decode_documents(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), cache_bytes=QUERY_CACHE_BYTES).drop("text")

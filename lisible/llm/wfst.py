@@ -92,13 +92,14 @@ class Machine:
         byte_of = {i: b for b, i in self.byte_ids.items()}
         self.surface = [bytes([byte_of[i]]) if i in byte_of else b"" if kind in (CONTROL, UNKNOWN, UNUSED)
                         else text.replace(MARK, " ").encode() for i, (text, _, kind) in enumerate(self.pieces)]
-        # prefixes of pieces: the prefix tree, as a set
-        self.prefixes = {text[:k] for text in self.ids for k in range(1, len(text) + 1)}
+        prefixes = {text[:k] for text in self.ids for k in range(1, len(text) + 1)}
         self._segment = self._cuts()
         if self.model_type == MERGES:  # pieces that merging never gives have no arc
             self.arc_pieces = {text for text in self.ids if self.merged(text) == [text]}
         else:
             self.arc_pieces = set(self.ids)
+        #: the prefix tree with its arcs: whether a prefix is a piece itself
+        self.tree = {prefix: prefix in self.arc_pieces for prefix in prefixes}
         self.penalty = min(self.scores, default=0.0) - 10.0
         self._segments: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
@@ -181,11 +182,14 @@ class Machine:
 
     def arcs(self, text: str, at: int) -> list[str]:
         """Pieces that begin at a place of the text, longest first; a character without any piece stands for itself."""
-        found, stop = [], at + 1
-        while stop <= len(text) and text[at:stop] in self.prefixes:
-            if text[at:stop] in self.arc_pieces:
-                found.append(text[at:stop])
-            stop += 1
+        found, holds = [], self.tree.get
+        for stop in range(at + 1, len(text) + 1):
+            piece = text[at:stop]
+            is_arc = holds(piece)
+            if is_arc is None:
+                break
+            if is_arc:
+                found.append(piece)
         if text[at] not in self.ids:
             found.append(text[at])
         found.reverse()
