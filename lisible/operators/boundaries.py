@@ -67,12 +67,16 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     ``last`` and ``next`` are types; ``mark`` is ``period`` (one full stop), ``ellipsis`` or ``mark`` (has ! or ?).
     """
     def between(a, b):
-        marks = F.regexp_extract(a, LAST, 2)
-        word = F.regexp_extract(b, FIRST, 1)
-        return F.struct(word_type(F.regexp_extract(a, LAST, 1)).alias("last"),
-                        F.when(marks == ".", F.lit("period")).when(marks.rlike("[!?]"), F.lit("mark")).otherwise(F.lit("ellipsis")).alias("mark"),
-                        word_type(word).alias("next"), word_case(word).alias("next_case"), b.isNull().alias("end"))
-    each = segments(docs, key, text).select(key, F.posexplode(F.zip_with("segs", F.slice("segs", F.lit(2), F.size("segs")), between)).alias("pos", "c"))
+        return F.struct(F.regexp_extract(a, LAST, 1).alias("last"), F.regexp_extract(a, LAST, 2).alias("marks"),
+                        F.regexp_extract(b, FIRST, 1).alias("word"), b.isNull().alias("end"))
+
+    def told(x):
+        return F.struct(word_type(x["last"]).alias("last"),
+                        F.when(x["marks"] == ".", F.lit("period")).when(x["marks"].rlike("[!?]"), F.lit("mark")).otherwise(F.lit("ellipsis")).alias("mark"),
+                        word_type(x["word"]).alias("next"), word_case(x["word"]).alias("next_case"), x["end"].alias("end"))
+    # in two steps: each pattern is searched once, however often the second step reads what it found
+    found = F.zip_with("segs", F.slice("segs", F.lit(2), F.size("segs")), between)
+    each = segments(docs, key, text).select(key, F.posexplode(F.transform(found, told)).alias("pos", "c"))
     return each.where("not c.end").select(key, "pos", "c.last", "c.mark", "c.next", "c.next_case")
 
 
