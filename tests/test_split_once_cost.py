@@ -25,3 +25,16 @@ def test_only_long_sentences_are_counted(spark):
     assert df.where(X.within_tokens(F.col("t"), 5) != (X.token_count(F.col("t")) <= 5)).count() == 0
     got = scored_documents(spark.createDataFrame([(1, "a b c d e f. Un mot."), (2, "a.b.c.d.")], "doc_id long, text string"), max_tokens=6)
     assert sorted((r["doc_id"], r["n_sentences"]) for r in got.collect()) == [(1, 1), (2, 0)]
+
+
+def test_learned_types_meet_words_not_sentences(spark):
+    docs = spark.createDataFrame([(1, "Voir art. Ensuite sect. Puis tome. La fin."), (2, "Rien ici. Fin."), (None, "Un sect. Deux."), (None, "Trois. Quatre."),
+                                  (3, None), (4, "")], "doc_id long, text string")
+    learned = spark.createDataFrame([("sect",), ("tome",), ("sect",)], "type string")
+    out = sn.sentences_with_learned(docs, learned)
+    plan = _plan(out)
+    assert X.SENT_END not in plan and "Window" not in plan
+    got = [(r["doc_id"], r["pos"], r["sentence"]) for r in out.orderBy("doc_id", "pos").collect()]
+    # rows that share a key are one document, in order of place
+    assert got == [(None, 0, "Trois."), (None, 1, "Un sect. Deux."), (None, 2, "Quatre."),
+                   (1, 0, "Voir art. Ensuite sect. Puis tome. La fin."), (2, 0, "Rien ici."), (2, 1, "Fin.")]
