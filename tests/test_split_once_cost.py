@@ -27,6 +27,14 @@ def test_only_long_sentences_are_counted(spark):
     assert sorted((r["doc_id"], r["n_sentences"]) for r in got.collect()) == [(1, 1), (2, 0)]
 
 
+def test_progress_reads_stored_sentences(spark, tmp_path):
+    rows = [(i, "Une phrase. Une autre. La fin.", "fr") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    progress = Q.q_generation_progress(spark, str(tmp_path))
+    assert X.SENT_END not in _plan(progress)
+    assert all(r["total"] == 3 and r["done"] == 1 for r in progress.collect())
+
+
 def test_learned_types_meet_words_not_sentences(spark):
     docs = spark.createDataFrame([(1, "Voir art. Ensuite sect. Puis tome. La fin."), (2, "Rien ici. Fin."), (None, "Un sect. Deux."), (None, "Trois. Quatre."),
                                   (3, None), (4, "")], "doc_id long, text string")
