@@ -19,6 +19,13 @@ def test_rare_tokens_of_rows_without_a_key_or_with_the_same(spark, monkeypatch):
         assert sorted(r["ids"] for r in sp.encode_prompts(texts, vocab).collect()) == want
 
 
+def test_ids_meet_their_batch_once(spark):
+    enc = spark.createDataFrame([(i, 0, list(range(i % 5 + 1))) for i in range(12)], "doc_id long, pos int, ids array<bigint>")
+    b = sp.generation_batches(enc, batch_size=4)
+    assert _plan(b).count("Join ") == 2   # offsets of the ranks (a row per partition), and the ids
+    assert sorted((r["batch_id"], r["batch_len"], r["n_ids"]) for r in b.collect())[::4] == [(0, 2, 1), (1, 3, 2), (2, 5, 4)]
+
+
 def test_sentences_are_tokenized_before_they_are_stored(spark, tmp_path):
     spark.createDataFrame([(1, "Une phrase. Une autre.", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     lv = sp.with_sentence_tokens(Q.levels(spark, str(tmp_path)))
