@@ -15,15 +15,17 @@ at least ``N / 2**context_bits`` occurrences); all other words are then one
 class, and a word is drawn from it by its share, so that ``c(h, w) / c(h)``
 becomes ``c(h, class) / c(h) * c(w) / c(class)``. op10 does not ask for it.
 
-All counts are tables that grow with the corpus: words by their hash, pairs by
-the hash of both. What travels to the tasks is bounded whatever the corpus:
-words with at least ``N / 2**LEXICON_BITS`` occurrences and pairs with at least
+All counts are exact and grow with the corpus: words by their hash, pairs by
+both words. What travels to the tasks is bounded whatever the corpus: words with
+at least ``N / 2**LEXICON_BITS`` occurrences and pairs with at least
 ``N / 2**PAIR_BITS`` (no more than ``2**BITS`` can exist). Tokens these tables
-answer are scored where the text stands; the rest leave as one row each. A row
-whose context or word is not in the broadcast table meets the word counts in
-shuffle joins first; then all rows meet the pair counts in one. No key can be
-frequent there, since the frequent ones are answered already. Sums are partial
-in every task before they meet per document.
+answer are scored where the text stands. The others meet in buckets, packed in
+blocks: each block names a pair once, with its count and the documents that hold
+it, and the bucket gives back sums per document. Tokens whose context and word
+both are not in the table (under a hundredth) meet the counts in joins. No key
+can be frequent there, since the frequent ones are answered already. A smaller
+n-gram vocabulary takes the plainer way: a row per token the tables do not
+answer, and joins with the word and pair counts.
 
 Inputs and their results: a null or empty text has one token, its end; texts
 are scored whole; rows that repeat a doc_id are one document whose texts are
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 from lisible.llm.common import crc_mod, read, stored
 from lisible.llm.wordhash import ORDER, Counter, chunks, mix
 
-LEXICON_BITS, PAIR_BITS = 20, 20
+LEXICON_BITS, PAIR_BITS = 22, 20
 #: Held-out fold of the training documents, on which the mixture weights are learned.
 FOLDS, TEST_FOLD, WEIGHT_FOLD = 7, 2, 6
 EM_ROUNDS = 60
@@ -152,9 +154,14 @@ def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
 
 @dataclass
 class Model:
-    """Counts (stored tables; of frequent words also in memory) and mixture weights."""
+    """Counts (stored tables; of frequent words also in memory) and mixture weights.
+
+    ``pairs`` holds all pairs of a smaller n-gram vocabulary; else the frequent ones and those of two rare words, and
+    ``docs`` has the training documents, from which ``score`` counts the others where their tokens meet.
+    """
     words: DataFrame
     pairs: DataFrame
+    docs: DataFrame
     counts: Counts
     tokens: int
     distinct: int
@@ -234,10 +241,377 @@ def train(docs: DataFrame, context_bits: int | None = None, lexicon_bits: int =
         _, _, classes, context = shared.value.classes(tokens, own)
         return pair_keys(context, classes)
 
-    pairs = stored(_counted(docs, keys_of, "k"), "lm-pairs")
-    weights = learn_weights(_held_out_cells(docs, words, pairs, part, lexicon_bits, n, v_kept))
+    if whole:
+        pairs = stored(_met_pairs(docs, full, part, lexicon_bits), "lm-pairs")
+        cells = _met_cells(words, pairs, part, v_kept)
+    else:
+        pairs = stored(_counted(docs, keys_of, "k"), "lm-pairs")
+        cells = _held_out_cells(docs, words, pairs, part, lexicon_bits, n, v_kept)
+    weights = learn_weights(cells)
     weights[0] = [weights[0, 0] / weights[0, :2].sum(), weights[0, 1] / weights[0, :2].sum(), 0.0]
-    return Model(words, pairs, full, n, v, weights, lexicon_bits)
+    return Model(words, pairs, docs, full, n, v, weights, lexicon_bits)
+
+
+# With all words in the n-gram vocabulary, tokens meet in buckets. A token belongs to its word if that is not in the
+# broadcast table, else to its context if that is not, else to their pair. So all occurrences of a rare word meet in
+# one bucket, which then knows that word's count, and the counts of its pairs with the table's words. Tokens of two
+# rare words meet there as well, for the word's count; their context's count comes from a join.
+
+#: A rare word's bit in an owner, and the bit of a table word that follows a rare one.
+TOP, AFTER = np.uint64(1 << 63), np.uint64(1 << 62)
+#: Tokens that a task gathers into one block, and tokens (as bytes of text: six each) that one bucket gets.
+BLOCK, BUCKET = 1 << 20, 1 << 20
+PACKED = ("bucket int, owner binary, other binary, kept binary, left binary, posts binary, first bigint, doc binary, blank binary, "
+          "times binary, known binary, base binary, total binary")
+EMPTY = np.zeros(0, np.uint64)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned integers as planes of bytes, lowest first, as many as the largest needs."""
+    values = np.ascontiguousarray(values).astype("<u8")
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(data) -> np.ndarray:
+    data = np.frombuffer(data, np.uint8)
+    planes = data[1:].reshape(int(data[0]), -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+@dataclass
+class Lexicon:
+    """The broadcast words numbered by falling count, and the frequent pairs by sorted key; number 0 stands for the beginning."""
+    hashes: np.ndarray
+    numbers: np.ndarray
+    #: Counts by number, and the bits of a number.
+    counts: np.ndarray
+    bits: int
+    hot_keys: np.ndarray
+    hot_counts: np.ndarray
+
+    @classmethod
+    def of(cls, known: Counts, full: Counts, lexicon_bits: int, hot_keys=EMPTY, hot_counts=EMPTY) -> Lexicon:
+        """Numbers by the counts ``full``, counts ``known``."""
+        order = np.argsort(-full.counts, kind="stable")
+        numbers = np.empty(len(order), np.int64)
+        numbers[order] = np.arange(1, len(order) + 1)
+        return cls(known.hashes, numbers, np.concatenate([[known.texts], known.counts[order]]).astype(np.int64), lexicon_bits + 1, hot_keys, hot_counts)
+
+    def numbered(self, tokens: np.ndarray, per_text: np.ndarray):
+        """(number of the context, number of the word, hash of the context) of every token; -1 is a rare word's number."""
+        distinct, where = np.unique(tokens, return_inverse=True)
+        at, found = _find(self.hashes, distinct)
+        word = (np.where(found, self.numbers[at], -1) if len(self.numbers) else np.full(len(distinct), -1, np.int64))[where]
+        context, before = np.empty_like(word), np.empty_like(tokens)
+        context[1:], before[1:] = word[:-1], tokens[:-1]
+        first = np.cumsum(per_text) - per_text
+        context[first], before[first] = 0, BEGIN
+        return context, word, before
+
+    def owners(self, context, word, before, tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, other) of every token: what it meets by, and what tells it from the owner's other tokens."""
+        rare, after = word < 0, context < 0
+        own = np.where(rare, tokens | TOP, np.where(after, before | TOP, (context << self.bits | word).astype(np.uint64)))
+        other = np.where(rare, np.where(after, before | TOP, context.astype(np.uint64)), np.where(after, word.astype(np.uint64) | AFTER, np.uint64(0)))
+        return own, other
+
+
+def _buckets(owner: np.ndarray, n: int) -> np.ndarray:
+    spread = np.where(owner >= TOP, owner << np.uint64(1), mix(owner))
+    return ((spread >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.uint16 if n < 1 << 16 else np.uint32)
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns changes from one row to the next."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _block(n: int, owner, other, kept, left, doc=None, blank=None):
+    """Rows of PACKED, one for each bucket that gets tokens: each pair once with its counts, and the documents it is in."""
+    bucket = _buckets(owner, n)
+    order = np.lexsort((other, owner, bucket))
+    bucket, owner, other = bucket[order], owner[order], other[order]
+    head = np.flatnonzero(_new(owner, other))
+    kept, left = np.add.reduceat(kept[order].astype(np.int64), head), np.add.reduceat(left[order].astype(np.int64), head)
+    if doc is not None:
+        # blank: 0 an id, 1 none, 2 a token that is only counted
+        doc, blank = doc[order], blank[order]
+        post = np.flatnonzero(_new(owner, other, doc, blank))
+        times, of = np.diff(np.append(post, len(doc))), np.searchsorted(head, post, "right") - 1
+        scored = blank[post] < 2
+        post, times, of = post[scored], times[scored], of[scored]
+        posts = np.bincount(of, minlength=len(head))
+        ends = np.cumsum(posts)
+    bounds = np.append(np.flatnonzero(_new(bucket[head])), len(head))
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        keys = owner[head[i:j]]
+        row = {"bucket": int(bucket[head[i]]), "owner": _pack(np.diff(keys, prepend=np.uint64(0))), "other": _pack(other[head[i:j]]),
+               "kept": _pack(kept[i:j]), "left": _pack(left[i:j])}
+        if doc is not None:
+            at = slice(ends[i] - posts[i], ends[j - 1])
+            ids = doc[post[at]]
+            first = int(ids.min()) if len(ids) else 0
+            row |= {"posts": _pack(posts[i:j]), "first": first, "doc": _pack(ids.astype(np.uint64) - np.uint64(first & (1 << 64) - 1)),
+                    "blank": _pack(blank[post[at]]), "times": _pack(times[at])}
+        yield row
+
+
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+
+
+def _packed(rows: list[dict]):
+    """Arrow batches of rows of PACKED, a few rows each."""
+    schema = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in PACKED.split(", "))])
+    for i in range(0, len(rows), 16):
+        yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | r for r in rows[i:i + 16]], schema=schema)
+
+
+def _met(table: pa.Table):
+    """The pairs of a bucket: (owner, other, kept, left), the owner word's (kept, left), and the pair's number of every packed one."""
+    keys = [{c: _unpack(v) for c, v in zip(("owner", "other", "kept", "left"), row)} for row in
+            zip(*(table.column(c).to_pylist() for c in ("owner", "other", "kept", "left"))) if row[0] is not None]
+    owner = np.concatenate([EMPTY, *(np.cumsum(r["owner"], dtype=np.uint64) for r in keys)])
+    other, kept, left = (np.concatenate([EMPTY, *(r[c] for r in keys)]) for c in ("other", "kept", "left"))
+    order = np.lexsort((other, owner))
+    owner, other, kept, left = owner[order], other[order], kept[order].astype(np.int64), left[order].astype(np.int64)
+    new = _new(owner, other)
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    head = np.flatnonzero(new)
+    kept, left = (np.add.reduceat(x, head) if len(head) else x for x in (kept, left))
+    owner, other = owner[head], other[head]
+    # occurrences of the owner as a word: all of its tokens but those it only stands before
+    of = np.cumsum(_new(owner)) - 1
+    is_word = (other < AFTER) | (other >= TOP)
+    totals = [np.bincount(of, x * is_word).astype(np.int64)[of] if len(of) else x for x in (kept, left)]
+    return owner, other, kept, left, totals[0], totals[1], pair
+
+
+def _before_word(lexicon: Lexicon, owner, other, own):
+    """(count of the context, count of the word, whether the word is rare) of pairs with a table word or of two; ``own`` counts the owner."""
+    rare, after = (owner >= TOP) & (other < AFTER), (owner >= TOP) & (other >= AFTER)
+    both = owner < TOP
+    mask = np.uint64((1 << lexicon.bits) - 1)
+    h = np.where(both, owner >> np.uint64(lexicon.bits), np.where(rare, other, np.uint64(0))).astype(np.int64)
+    w = np.where(both, owner & mask, np.where(after & (other < TOP), other ^ AFTER, np.uint64(0))).astype(np.int64)
+    return np.where(after, own, lexicon.counts[h]), np.where(rare, own, lexicon.counts[w]), rare
+
+
+PAIRS = "kind int, h bigint, w bigint, kept bigint, left bigint, word bigint, q1 int, q2 int"
+CELL, HOT, COLD = 0, 1, 2
+
+
+def _met_pairs(docs: DataFrame, full: Counts, part: Counts, lexicon_bits: int) -> DataFrame:
+    """Counts of pairs from their buckets, one row each (PAIRS).
+
+    CELL: held-out tokens by (bucket ``h``, ``q1``, ``q2``), ``left`` of them; HOT: frequent pairs by key ``h``;
+    COLD: pairs of the rare words ``h`` and ``w``, the latter counted ``word`` times outside the weight fold.
+    """
+    n = full.tokens
+    buckets = 1 + n // BUCKET
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon.of(part, full, lexicon_bits))
+
+    def out(batches):
+        lexicon, held, size = shared.value, [], 0
+
+        def block():
+            yield from _packed(list(_block(buckets, *(np.concatenate(x) for x in zip(*held)))))
+
+        for batch in batches:
+            fold = batch.column(1).to_numpy(zero_copy_only=False)
+            for start, stop, tokens, per in token_chunks(batch.column(0)):
+                context, word, before = lexicon.numbered(tokens, per)
+                left = np.repeat(fold[start:stop] == WEIGHT_FOLD, per)
+                held.append((*lexicon.owners(context, word, before, tokens), ~left, left))
+                size += len(tokens)
+                if size >= BLOCK:
+                    yield from block()
+                    held, size = [], 0
+        if held:
+            yield from block()
+
+    def met(table: pa.Table) -> pa.Table:
+        lexicon = shared.value
+        owner, other, kept, left, own, _, _ = _met(table)
+        cold = other >= TOP
+        seen = (left > 0) & ~cold
+        before, word, _ = _before_word(lexicon, owner[seen], other[seen], own[seen])
+        cells = np.stack([bucket(before), _log_cells(word / max(part.tokens, 1)), _log_cells(kept[seen] / np.maximum(before, 1))])
+        cells, where = np.unique(cells, axis=1, return_inverse=True)
+        held = np.bincount(where.ravel(), left[seen], cells.shape[1]).astype(np.int64)
+        hot = (owner < TOP) & (kept + left << PAIR_BITS >= n)
+        size = (len(held), int(hot.sum()), int(cold.sum()))
+        join = lambda *x: np.concatenate([np.broadcast_to(np.asarray(v), k) for v, k in zip(x, size)])
+        signed = lambda x: x.view(np.int64)
+        columns = [join(CELL, HOT, COLD), join(cells[0], signed(owner[hot]), signed(other[cold])), join(0, 0, signed(owner[cold])),
+                   join(0, kept[hot], kept[cold]), join(held, left[hot], left[cold]), join(0, 0, own[cold]), join(cells[1], 0, 0), join(cells[2], 0, 0)]
+        return pa.table({c.split()[0]: pa.array(x, _ARROW[c.split()[1]]) for c, x in zip(PAIRS.split(", "), columns)})
+
+    return docs.select(F.col("text").cast("string").alias("text"), F.col("fold").cast("int").alias("fold")) \
+        .mapInArrow(out, PACKED).groupBy("bucket").applyInArrow(met, PAIRS)
+
+
+def _topped(words: DataFrame, h: str, **counts: Column) -> DataFrame:
+    """Counts of words by their hash as an owner."""
+    return words.select(F.col("h").bitwiseOR(F.lit(-1 << 63)).alias(h), *[c.alias(name) for name, c in counts.items()])
+
+
+def _met_cells(words: DataFrame, pairs: DataFrame, part: Counts, v_kept: int):
+    """(bucket, p0, p1, p2, n) of the weight fold's tokens, under the counts without that fold, gathered in cells."""
+    if not part.tokens:
+        return []
+    met = pairs.where((F.col("kind") == COLD) & (F.col("left") > 0)) \
+        .join(_topped(words.where((F.col("left") > 0) & (F.col("kept") > 0)), "h", before=F.col("kept")), "h", "left") \
+        .withColumn("before", F.coalesce("before", F.lit(0)))
+    rows = pairs.where(F.col("kind") == CELL).select(F.col("h").cast("int").alias("b"), "q1", "q2", "left").unionByName(met.select(
+        _bucket(F.col("before")).alias("b"), _log_cell(F.col("word") / F.lit(part.tokens)).alias("q1"),
+        _log_cell(F.col("kept") / F.greatest(F.col("before"), F.lit(1))).alias("q2"), "left"))
+    got = rows.groupBy("b", "q1", "q2").agg(F.sum("left").alias("n")).collect()
+    value = lambda q: 0.0 if q == NONE else 2.0 ** (q / CELLS)
+    return [(r["b"], 1.0 / (v_kept + 1), value(r["q1"]), value(r["q2"]), float(r["n"])) for r in got]
+
+
+SUMS = "doc_id bigint, tokens bigint, known bigint, base double, total double"
+PARTS = "part int, first bigint, doc binary, blank binary, tokens binary, known binary, base binary, total binary"
+#: Documents whose sums meet in one group.
+GROUP = 1 << 13
+
+
+def _summed(sums: list[np.ndarray], *keys: np.ndarray) -> list[np.ndarray]:
+    """Sums by distinct keys, which come sorted before them."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    head = np.flatnonzero(_new(*keys))
+    return [*(k[head] for k in keys), *(np.add.reduceat(x[order], head) if len(head) else x for x in sums)]
+
+
+def _met_scores(docs: DataFrame, model: Model, pair_bits: int, learned: Column | None) -> DataFrame:
+    n, v, weights = model.tokens, model.distinct, model.weights
+    unseen, floor = 1.0 / (v + 1), np.log10(1.0 / (n + v + 1))
+    hot = _arrays(model.pairs.where((F.col("kind") == HOT) & ((F.col("kept") + F.col("left")) * F.lit(1 << pair_bits) >= F.lit(n)))
+                  .select("h", (F.col("kept") + F.col("left")).alias("n")))
+    order = np.argsort(hot["h"])
+    shared = docs.sparkSession.sparkContext.broadcast(
+        Lexicon.of(model.counts, model.counts, model.lexicon_bits, hot["h"][order].view(np.uint64), hot["n"][order]))
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, (F.lit(False) if learned is None else learned).alias("counted"), F.lit(True).alias("scored"))
+    if learned is None:
+        rows = rows.unionByName(model.docs.select(F.lit(None).cast("bigint").alias("doc_id"), text, F.lit(True).alias("counted"), F.lit(False).alias("scored")))
+    size = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    buckets, groups = 1 + int(size[0] or 0) // (6 * BUCKET), 1 + size[1] // GROUP
+
+    def probability(before, word, both):
+        lam = weights[bucket(before)]
+        return lam[:, 2] * both / np.maximum(before, 1) + lam[:, 1] * word / max(n, 1) + lam[:, 0] * unseen
+
+    def out(batches):
+        """Sums over what the tables answer, and the other tokens in blocks."""
+        lexicon, held, sums, size, texts, number = shared.value, [], [], 0, 0, 0
+
+        def block():
+            if held:
+                yield from _packed(list(_block(buckets, *(np.concatenate(x) for x in zip(*held)))))
+            ids, blank, tokens, known, base, total = (np.concatenate(x) for x in zip(*sums))
+            if len(ids):
+                yield from _packed([{"bucket": number % buckets, "first": 0, "doc": _pack(ids.view(np.uint64)), "blank": _pack(blank), "times": _pack(tokens),
+                                     "known": _pack(known), "base": base.tobytes(), "total": total.tobytes()}])
+
+        for batch in batches:
+            ids, none = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            counted, scored = (batch.column(i).fill_null(False).to_numpy(zero_copy_only=False) for i in (2, 3))
+            for start, stop, tokens, per in token_chunks(batch.column(1)):
+                context, word, before = lexicon.numbered(tokens, per)
+                owner, other = lexicon.owners(context, word, before, tokens)
+                where, met = _find(lexicon.hot_keys, owner)
+                each = lambda x: np.repeat(x[start:stop], per)
+                which = each(scored)
+                answered = met & which
+                total = np.zeros(len(tokens))
+                if answered.any():
+                    total[answered] = np.log10(probability(lexicon.counts[context[answered]], lexicon.counts[word[answered]], lexicon.hot_counts[where[answered]]))
+                known = np.where(word < 0, 0, lexicon.counts[np.maximum(word, 0)])
+                first, own = np.cumsum(per) - per, scored[start:stop]
+                sums.append([x[own] for x in (ids[start:stop], none[start:stop], per, np.add.reduceat((known > 0).astype(np.int64), first),
+                                              np.add.reduceat(np.log10(known + 1.0) + floor, first), np.add.reduceat(total, first))])
+                # tokens of two rare words are scored on their own: here they only count their word
+                alone = other >= TOP
+                sent = ~met & (each(counted) | ~alone)
+                mark = np.where(which & ~alone, each(none).astype(np.uint8), 2)
+                held.append((owner[sent], np.where(alone, TOP, other)[sent], each(counted)[sent], np.zeros(int(sent.sum()), dtype=bool),
+                             np.where(mark == 2, 0, each(ids))[sent], mark[sent]))
+                size, texts, number = size + int(sent.sum()), texts + stop - start, int(tokens[0] >> np.uint64(40))
+                if size >= BLOCK or texts >= BLOCK >> 4:
+                    yield from block()
+                    held, sums, size, texts = [], [], 0, 0
+        if sums:
+            yield from block()
+
+    def met(table: pa.Table) -> pa.Table:
+        lexicon = shared.value
+        owner, other, both, _, own, _, pair = _met(table)
+        usable = other < TOP
+        before, word, rare = _before_word(lexicon, owner, np.where(usable, other, np.uint64(0)), own)
+        value = np.log10(probability(before, word, both))
+        parts, at = [], 0
+        for r in table.select(["owner", "posts", "first", "doc", "blank", "times", "known", "base", "total"]).to_pylist():
+            times, blank = _unpack(r["times"]).astype(np.int64), _unpack(r["blank"]).astype(np.uint8)
+            ids = (_unpack(r["doc"]) + np.uint64(r["first"] & (1 << 64) - 1)).view(np.int64)
+            if r["owner"] is None:
+                parts.append((ids, blank, times, _unpack(r["known"]).astype(np.int64), np.frombuffer(r["base"]), np.frombuffer(r["total"])))
+                continue
+            posts = _unpack(r["posts"]).astype(np.int64)
+            p = np.repeat(pair[at:at + len(posts)], posts)
+            at += len(posts)
+            parts.append((ids, blank, np.zeros(len(ids), np.int64), times * (rare[p] & (word[p] > 0)), times * np.where(rare[p], np.log10(word[p] + 1.0), 0.0), times * value[p]))
+        ids, blank, *sums = (np.concatenate(x) for x in zip(*parts))
+        part = (mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        part, ids, blank, *sums = _summed(sums, part, ids, blank)
+        bounds = np.append(np.flatnonzero(_new(part)), len(part))
+        made = [{"part": int(part[i]), "first": int(ids[i]), "doc": _pack(np.diff(ids[i:j].view(np.uint64), prepend=ids[i:i + 1].view(np.uint64))), "blank": _pack(blank[i:j]),
+                 "tokens": _pack(sums[0][i:j]), "known": _pack(sums[1][i:j]), "base": sums[2][i:j].tobytes(), "total": sums[3][i:j].tobytes()}
+                for i, j in zip(bounds[:-1], bounds[1:])]
+        return pa.Table.from_pylist(made, schema=pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in PARTS.split(", ")]))
+
+    def gathered(table: pa.Table) -> pa.Table:
+        rows = [((np.cumsum(_unpack(r["doc"]), dtype=np.uint64) + np.uint64(r["first"] & (1 << 64) - 1)).view(np.int64), _unpack(r["blank"]), _unpack(r["tokens"]).astype(np.int64),
+                 _unpack(r["known"]).astype(np.int64), np.frombuffer(r["base"]), np.frombuffer(r["total"])) for r in table.to_pylist()]
+        ids, blank, *sums = (np.concatenate(x) for x in zip(*rows))
+        ids, blank, *sums = _summed(sums, ids, blank)
+        return pa.table([pa.array(ids, mask=blank > 0), *map(pa.array, sums)], names=[c.split()[0] for c in SUMS.split(", ")])
+
+    def alone(batches):
+        """Scored tokens of two rare words, each pair of a text once."""
+        lexicon = shared.value
+        for batch in batches:
+            for start, stop, tokens, per in token_chunks(batch.column(1)):
+                context, word, before = lexicon.numbered(tokens, per)
+                at = np.flatnonzero((context < 0) & (word < 0))
+                if len(at):
+                    row, h, w = np.repeat(np.arange(start, stop), per)[at], before[at] | TOP, tokens[at] | TOP
+                    order = np.lexsort((h, w, row))
+                    row, h, w = row[order], h[order], w[order]
+                    head = np.flatnonzero(_new(row, h, w))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[head])), pa.array(h[head].view(np.int64)), pa.array(w[head].view(np.int64)),
+                                                      pa.array(np.diff(np.append(head, len(row))))], ["doc_id", "h", "w", "times"])
+
+    sums = rows.mapInArrow(out, PACKED).groupBy("bucket").applyInArrow(met, PARTS).groupBy("part").applyInArrow(gathered, SUMS)
+    count = F.col("kept") + F.col("left")
+    cold = model.words.where(count * F.lit(1 << model.lexicon_bits) < F.lit(n))
+    lone = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).mapInArrow(alone, "doc_id bigint, h bigint, w bigint, times bigint") \
+        .join(model.pairs.where(F.col("kind") == COLD).select("h", "w", count.alias("both")), ["h", "w"], "left") \
+        .join(_topped(cold, "h", before=count), "h", "left").join(_topped(cold, "w", word=count), "w", "left").fillna(0, ["both", "before", "word"])
+    lam = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, i]]), _bucket(F.col("before")) + 1) for i in range(3)]
+    p = lam[2] * F.col("both") / F.greatest(F.col("before"), F.lit(1)) + lam[1] * F.col("word") / F.lit(float(max(n, 1))) + lam[0] * F.lit(unseen)
+    lone = lone.select("doc_id", F.lit(0).cast("bigint").alias("tokens"), F.when(F.col("word") > 0, F.col("times")).otherwise(F.lit(0)).alias("known"),
+                       (F.col("times") * F.log10(F.col("word") + F.lit(1.0))).alias("base"), (F.col("times") * F.log10(p)).alias("total"))
+    return sums.unionByName(lone).groupBy("doc_id").agg(
+        F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("total").alias("score"))
 
 
 def _hot(pairs: DataFrame, n: int, pair_bits: int, count: Column) -> tuple[np.ndarray, np.ndarray]:
@@ -340,8 +714,14 @@ def _held_out_cells(docs, words, pairs, part: Counts, lexicon_bits: int, n: int,
     return [(r["b"], 1.0 / (v_kept + 1), value(r["q1"]), value(r["q2"]), float(r["n"])) for r in got]
 
 
-def score(docs: DataFrame, model: Model, pair_bits: int = PAIR_BITS) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of documents (doc_id, text)."""
+def score(docs: DataFrame, model: Model, pair_bits: int = PAIR_BITS, learned: Column | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of documents (doc_id, text).
+
+    ``learned`` tells which of them are the documents that the model was learned from, if all of those are among them:
+    their tokens then travel once, to be counted and to be scored.
+    """
+    if model.counts.whole:
+        return _met_scores(docs, model, min(pair_bits, PAIR_BITS), learned)
     n, v, weights = model.tokens, model.distinct, model.weights
     unseen, floor = 1.0 / (v + 1), np.log10(1.0 / (n + v + 1))
     count = F.col("kept") + F.col("left")
@@ -371,6 +751,6 @@ def score(docs: DataFrame, model: Model, pair_bits: int = PAIR_BITS) -> DataFram
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", crc_mod("doc_id", FOLDS).alias("fold"))
     model = train(docs.where(F.col("fold") != TEST_FOLD))
-    return score(docs, model).select(
+    return score(docs, model, learned=F.col("fold") != TEST_FOLD).select(
         "doc_id", (crc_mod("doc_id", FOLDS) == TEST_FOLD).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
