@@ -126,7 +126,7 @@ def pair_keys(context: np.ndarray, classes: np.ndarray) -> np.ndarray:
 def _counted(docs: DataFrame, keys_of, schema_key: str) -> DataFrame:
     """(key, kept, left): counts outside and inside the weight fold; summed in the task, then per key."""
     def run(batches):
-        counter = Counter(2)
+        counter = Counter(2, BLOCK)
 
         def block():
             keys, n = counter.take()
@@ -491,6 +491,12 @@ def _summed(sums: list[np.ndarray], *keys: np.ndarray) -> list[np.ndarray]:
     return [*(k[head] for k in keys), *(np.add.reduceat(x[order], head) if len(head) else x for x in sums)]
 
 
+def _gathered(rows: list[tuple]) -> list[np.ndarray]:
+    """Sums of rows (ids, blank, sums ...) per document."""
+    ids, blank, *sums = (np.concatenate(x) for x in zip(*rows))
+    return _summed(sums, ids, blank)
+
+
 def _met_scores(docs: DataFrame, model: Model, pair_bits: int, learned: Column | None) -> DataFrame:
     n, v, weights = model.tokens, model.distinct, model.weights
     unseen, floor = 1.0 / (v + 1), np.log10(1.0 / (n + v + 1))
@@ -558,7 +564,7 @@ def _met_scores(docs: DataFrame, model: Model, pair_bits: int, learned: Column |
         usable = other < TOP
         before, word, rare = _before_word(lexicon, owner, np.where(usable, other, np.uint64(0)), own)
         value = np.log10(probability(before, word, both))
-        parts, at = [], 0
+        parts, at, size = [], 0, 0
         for r in table.select(["owner", "posts", "first", "doc", "blank", "times", "known", "base", "total"]).to_pylist():
             times, blank = _unpack(r["times"]).astype(np.int64), _unpack(r["blank"]).astype(np.uint8)
             ids = (_unpack(r["doc"]) + np.uint64(r["first"] & (1 << 64) - 1)).view(np.int64)
@@ -569,7 +575,10 @@ def _met_scores(docs: DataFrame, model: Model, pair_bits: int, learned: Column |
             p = np.repeat(pair[at:at + len(posts)], posts)
             at += len(posts)
             parts.append((ids, blank, np.zeros(len(ids), np.int64), times * (rare[p] & (word[p] > 0)), times * np.where(rare[p], np.log10(word[p] + 1.0), 0.0), times * value[p]))
-        ids, blank, *sums = (np.concatenate(x) for x in zip(*parts))
+            size += len(ids)
+            if size >= BLOCK >> 2:
+                parts, size = [_gathered(parts)], 0
+        ids, blank, *sums = _gathered(parts)
         part = (mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
         part, ids, blank, *sums = _summed(sums, part, ids, blank)
         bounds = np.append(np.flatnonzero(_new(part)), len(part))
@@ -581,8 +590,7 @@ def _met_scores(docs: DataFrame, model: Model, pair_bits: int, learned: Column |
     def gathered(table: pa.Table) -> pa.Table:
         rows = [((np.cumsum(_unpack(r["doc"]), dtype=np.uint64) + np.uint64(r["first"] & (1 << 64) - 1)).view(np.int64), _unpack(r["blank"]), _unpack(r["tokens"]).astype(np.int64),
                  _unpack(r["known"]).astype(np.int64), np.frombuffer(r["base"]), np.frombuffer(r["total"])) for r in table.to_pylist()]
-        ids, blank, *sums = (np.concatenate(x) for x in zip(*rows))
-        ids, blank, *sums = _summed(sums, ids, blank)
+        ids, blank, *sums = _gathered(rows)
         return pa.table([pa.array(ids, mask=blank > 0), *map(pa.array, sums)], names=[c.split()[0] for c in SUMS.split(", ")])
 
     def alone(batches):
